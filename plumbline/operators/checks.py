@@ -1,11 +1,12 @@
 """Validation checks. Everything that is a plain aggregate of the input shares a single pass.
 
-A check builder returns a :class:`Probe`: the aggregates it needs and the result rows made from
-them. :func:`evaluate` runs any number of probes in one ``agg``.
+A check builder returns probes, one per rule: the aggregates it needs and the result row made from
+them. :func:`evaluate` runs any number of probes of any kind together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,7 @@ from plumbline.functions.columns import (
     WILDCARD,
     col,
     field_of,
-    group_key,
     is_missing,
-    is_numeric,
     is_orderable,
     is_text,
     known,
@@ -28,15 +27,19 @@ from plumbline.functions.columns import (
     select_fields,
     union_all,
 )
-from plumbline.operators.distinct import distinct_counts, distinct_rows
-from plumbline.operators.results import as_rows, pass_if, result
+from plumbline.operators.batches import aggregate_rows, packed
+from plumbline.operators.distinct import distinct_rows
+from plumbline.operators.results import as_rows, no_results, pass_if, result
 
 ROWS = "rows"
 
 
 class Probe(NamedTuple):
-    aggregates: list[Column]
-    results: list[Column]
+    """``result`` makes the row; its argument gives the value of one of the probe's aggregates."""
+
+    column: str
+    aggregates: dict[str, Column]
+    result: Callable[[Callable[[str], Column]], Column]
 
 
 def rows() -> Column:
@@ -44,89 +47,106 @@ def rows() -> Column:
 
 
 def evaluate(df: DataFrame, probes: list[Probe]) -> DataFrame:
-    """All probes over ``df`` in one aggregation, one row per result."""
-    aggregates = [a for p in probes for a in p.aggregates]
-    results = [r for p in probes for r in p.results]
-    return as_rows(df.agg(F.count(F.lit(1)).alias(ROWS), *aggregates), results)
+    """All probes over ``df`` in one pass, or one per batch of columns; one row per result.
+
+    Probes of the same column run in the same pass, so every column is read about once.
+    """
+    position = {c: i for i, c in enumerate(df.columns)}
+    ordered = sorted(probes, key=lambda p: position.get(p.column, -1))
+    parts = []
+    for batch in packed(ordered, lambda p: len(p.aggregates)):
+        aggregates = [a.alias(f"{k}_{i}") for i, p in enumerate(batch) for k, a in p.aggregates.items()]
+        results = [p.result(lambda k, i=i: col(f"{k}_{i}")) for i, p in enumerate(batch)]
+        parts.append(as_rows(df.agg(F.count(F.lit(1)).alias(ROWS), *aggregates), results))
+    return union_all(parts) if parts else no_results(df.sparkSession)
 
 
-def null_probe(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> Probe:
-    aggregates, results = [], []
-    for i, rule in enumerate(rules):
+def null_probes(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> list[Probe]:
+    probes = []
+    for rule in rules:
         field = field_of(df, rule["column"])
         limit = float(rule.get("max_percent", 0))
-        name = f"null_{i}"
-        aggregates.append(F.count_if(is_missing(field)).alias(name))
-        share = percent(col(name), rows())
-        results.append(
-            result(
-                "null_check", [field.name], pass_if(share <= limit), share, rows(), limit,
-                {"null_count": col(name)}, dataset,
+
+        def row(of, name=field.name, limit=limit):
+            share = percent(of("nulls"), rows())
+            return result(
+                "null_check", [name], pass_if(share <= limit), share, rows(), limit,
+                {"null_count": of("nulls")}, dataset,
             )
-        )
-    return Probe(aggregates, results)
+
+        probes.append(Probe(field.name, {"nulls": F.count_if(is_missing(field))}, row))
+    return probes
 
 
-def _count_probe(kind: str, masks: list[tuple[str, Column]], dataset: str, always: bool) -> Probe:
+def _count_probes(
+    kind: str, masks: list[tuple[str, Column]], dataset: str, always: bool
+) -> list[Probe]:
     """Counts violating rows; without ``always`` a clean column gives no row."""
-    aggregates, results = [], []
-    for i, (name, mask) in enumerate(masks):
-        alias = f"{kind}_{i}"
-        aggregates.append(F.count_if(mask).alias(alias))
-        row = result(kind, [name], pass_if(col(alias) == 0), col(alias), rows(), 0.0, None, dataset)
-        results.append(row if always else F.when(col(alias) > 0, row))
-    return Probe(aggregates, results)
+    probes = []
+    for name, mask in masks:
+
+        def row(of, name=name):
+            found = of("hits")
+            made = result(kind, [name], pass_if(found == 0), found, rows(), 0.0, None, dataset)
+            return made if always else F.when(found > 0, made)
+
+        probes.append(Probe(name, {"hits": F.count_if(mask)}, row))
+    return probes
 
 
-def domain_probe(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> Probe:
+def domain_probes(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> list[Probe]:
     masks = [(r["column"], P.domain_mask(field_of(df, r["column"]), r)) for r in rules]
-    return _count_probe("domain_check", masks, dataset, always=True)
+    return _count_probes("domain_check", masks, dataset, always=True)
 
 
-def numeric_probe(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> Probe:
+def numeric_probes(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> list[Probe]:
     masks = [(r["column"], P.numeric_mask(numeric_field(df, r["column"]), r)) for r in rules]
-    return _count_probe("numeric_check", masks, dataset, always=True)
+    return _count_probes("numeric_check", masks, dataset, always=True)
 
 
-def empty_string_probe(df: DataFrame, columns: list[str], dataset: str = "") -> Probe:
+def empty_string_probes(df: DataFrame, columns: list[str], dataset: str = "") -> list[Probe]:
     masks = [(f.name, P.blank(f)) for f in select_fields(df, columns, is_text)]
-    return _count_probe("empty_string_check", masks, dataset, always=False)
+    return _count_probes("empty_string_check", masks, dataset, always=False)
 
 
-def volume_probe(min_rows: int | None = None, max_rows: int | None = None, dataset: str = "") -> Probe:
+def volume_probes(
+    min_rows: int | None = None, max_rows: int | None = None, dataset: str = ""
+) -> list[Probe]:
     inside = F.lit(True)
     if min_rows is not None:
         inside = inside & (rows() >= min_rows)
     if max_rows is not None:
         inside = inside & (rows() <= max_rows)
     bounds = {"min_rows": F.lit(min_rows), "max_rows": F.lit(max_rows)}
-    return Probe([], [result("volume_check", [], pass_if(inside), rows(), rows(), None, bounds, dataset)])
+    row = result("volume_check", [], pass_if(inside), rows(), rows(), None, bounds, dataset)
+    return [Probe("", {}, lambda of: row)]
 
 
-def constant_probe(df: DataFrame, columns: list[str], dataset: str = "") -> Probe:
+def constant_probes(df: DataFrame, columns: list[str], dataset: str = "") -> list[Probe]:
     """Exactly one value, a missing value counting as one: least = greatest and all or none missing."""
-    aggregates, results = [], []
-    fields = [f for f in select_fields(df, columns) if is_orderable(f.dataType)]
-    for i, field in enumerate(fields):
-        low, high, present = f"const_low_{i}", f"const_high_{i}", f"const_known_{i}"
+    probes = []
+    for field in [f for f in select_fields(df, columns) if is_orderable(f.dataType)]:
         value = known(field)
-        aggregates += [
-            F.min(value).alias(low), F.max(value).alias(high), F.count(value).alias(present),
-        ]
-        single = (col(present) == rows()) & (col(low) == col(high))
-        hit = (rows() > 0) & ((col(present) == 0) | F.coalesce(single, F.lit(False)))
-        shown = col(low).cast("string") if field.dataType.typeName() != "binary" else F.hex(col(low))
-        row = result(
-            "constant_check", [field.name], F.lit("WARN"), F.lit(1.0), rows(), 1.0,
-            {"value": shown}, dataset,
+
+        def row(of, field=field):
+            single = (of("known") == rows()) & (of("low") == of("high"))
+            hit = (rows() > 0) & ((of("known") == 0) | F.coalesce(single, F.lit(False)))
+            shown = F.hex(of("low")) if isinstance(field.dataType, T.BinaryType) else of("low")
+            made = result(
+                "constant_check", [field.name], F.lit("WARN"), F.lit(1.0), rows(), 1.0,
+                {"value": shown}, dataset,
+            )
+            return F.when(hit, made)
+
+        probes.append(
+            Probe(field.name, {"low": F.min(value), "high": F.max(value), "known": F.count(value)}, row)
         )
-        results.append(F.when(hit, row))
-    return Probe(aggregates, results)
+    return probes
 
 
 def null_check(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> DataFrame:
     """Share of missing values per rule ``{column, max_percent}``."""
-    return evaluate(df, [null_probe(df, rules, dataset)])
+    return evaluate(df, null_probes(df, rules, dataset))
 
 
 def default_null_rules(df: DataFrame) -> list[dict[str, Any]]:
@@ -136,41 +156,50 @@ def default_null_rules(df: DataFrame) -> list[dict[str, Any]]:
 def null_listing(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values per requested column; an absent column is listed with status SKIPPED."""
     wanted = df.columns if WILDCARD in columns else columns
-    counted = df.agg(
-        *[F.count_if(is_missing(df.schema[c])).alias(f"n{i}") for i, c in enumerate(wanted) if c in df.columns],
-        F.count(F.lit(1)).alias(ROWS),
-    )
-    entries = []
-    for i, c in enumerate(wanted):
-        there = c in df.columns
-        count = col(f"n{i}") if there else F.lit(None).cast("bigint")
-        status = pass_if(count == 0) if there else F.lit("SKIPPED")
-        entries.append(F.struct(F.lit(c).alias("column"), count.alias("null_count"), status.alias("status")))
-    return counted.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+    there = [c for c in wanted if c in df.columns]
+    absent = [(c, None, "SKIPPED") for c in wanted if c not in df.columns]
+    parts = []
+    if there:
+        parts.append(
+            aggregate_rows(
+                df,
+                there,
+                lambda c: 1,
+                lambda i, c: [F.count_if(is_missing(df.schema[c])).alias(f"n{i}")],
+                lambda i, c: F.struct(
+                    F.lit(c).alias("column"),
+                    col(f"n{i}").alias("null_count"),
+                    pass_if(col(f"n{i}") == 0).alias("status"),
+                ),
+            )
+        )
+    if absent or not there:
+        parts.append(df.sparkSession.createDataFrame(absent, "column string, null_count bigint, status string"))
+    return union_all(parts)
 
 
 def domain_check(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> DataFrame:
     """Rows outside ``allowed_values``, inside ``forbidden_values`` or not matching ``regex``."""
-    return evaluate(df, [domain_probe(df, rules, dataset)])
+    return evaluate(df, domain_probes(df, rules, dataset))
 
 
 def numeric_check(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> DataFrame:
     """Rows below ``min``, above ``max`` or negative where ``allow_negative`` is false."""
-    return evaluate(df, [numeric_probe(df, rules, dataset)])
+    return evaluate(df, numeric_probes(df, rules, dataset))
 
 
 def volume_check(
     df: DataFrame, min_rows: int | None = None, max_rows: int | None = None, dataset: str = ""
 ) -> DataFrame:
-    return evaluate(df, [volume_probe(min_rows, max_rows, dataset)])
+    return evaluate(df, volume_probes(min_rows, max_rows, dataset))
 
 
 def constant_check(df: DataFrame, columns: list[str], dataset: str = "") -> DataFrame:
-    return evaluate(df, [constant_probe(df, columns, dataset)])
+    return evaluate(df, constant_probes(df, columns, dataset))
 
 
 def empty_string_check(df: DataFrame, columns: list[str], dataset: str = "") -> DataFrame:
-    return evaluate(df, [empty_string_probe(df, columns, dataset)])
+    return evaluate(df, empty_string_probes(df, columns, dataset))
 
 
 def uniqueness_check(df: DataFrame, keys: list[str], dataset: str = "") -> DataFrame:

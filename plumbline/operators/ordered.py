@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SPLIT_ERROR = 0.001
+from plumbline.operators.sketches import sketched_quantiles
+
 MAX_BUCKETS = 4096
 
 
@@ -28,8 +29,7 @@ def bucket_count(df: DataFrame) -> int:
 def split_points(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
     """Approximate quantiles of all columns in one job; at most ``buckets - 1`` numbers per column."""
     shares = [i / buckets for i in range(1, buckets)]
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    found = doubles.approxQuantile(columns, shares, min(SPLIT_ERROR, 1 / (4 * buckets)))
+    found = sketched_quantiles(df, [(F.col(c), shares) for c in columns])
     return {c: sorted({p for p in points if abs(p) != inf}) for c, points in zip(columns, found)}
 
 

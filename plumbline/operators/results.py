@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,10 @@ def as_rows(one_row: DataFrame, results: list[Column]) -> DataFrame:
     )
 
 
+def no_results(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], RESULT_SCHEMA)
+
+
 def score(check_results: DataFrame, schema_status: str | Column = "PASS") -> DataFrame:
     """``100 * passed / (checks + 1)``; the extra check is the schema comparison. WARN is no pass."""
     status = F.lit(schema_status) if isinstance(schema_status, str) else schema_status

@@ -16,6 +16,7 @@ from plumbline.functions.columns import (
     known,
 )
 from plumbline.functions.parsing import DATE_FORMATS, looks_boolean, looks_numeric, parse_with
+from plumbline.operators.batches import first_row
 from plumbline.operators.distinct import distinct_counts
 
 SCHEMA_OF_SCHEMA = "column string, source_type string, inferred_type string"
@@ -92,7 +93,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
             evidence += _text_evidence(i, f)
         elif is_floating(dtype) or isinstance(dtype, T.DecimalType):
             evidence += _fraction_evidence(i, f)
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), *evidence).first().asDict()
+    counts = first_row(df, evidence)
 
     types: dict[str, str] = {}
     undecided: list[T.StructField] = []
