@@ -23,15 +23,15 @@ Item = TypeVar("Item")
 
 def packed(items: Iterable[Item], width: Callable[[Item], int]) -> list[list[Item]]:
     """Consecutive items in batches of at most ``FIELDS_PER_PASS`` fields."""
-    batches: list[list[Item]] = []
-    used = FIELDS_PER_PASS
+    batches: list[list[Item]] = [[]]
+    used = 0
     for item in items:
-        if used + width(item) > FIELDS_PER_PASS:
+        if batches[-1] and used + width(item) > FIELDS_PER_PASS:
             batches.append([])
             used = 0
         batches[-1].append(item)
         used += width(item)
-    return batches
+    return batches if batches[-1] else []
 
 
 def aggregate_rows(
