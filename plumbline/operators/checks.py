@@ -6,7 +6,6 @@ them. :func:`evaluate` runs any number of probes of any kind together.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -18,32 +17,33 @@ from plumbline.functions.columns import (
     WILDCARD,
     col,
     field_of,
+    is_complex,
     is_missing,
     is_orderable,
     is_text,
     known,
     numeric_field,
-    percent,
     select_fields,
     union_all,
 )
 from plumbline.operators.batches import aggregate_rows, packed
 from plumbline.operators.distinct import distinct_rows
-from plumbline.operators.results import as_rows, no_results, pass_if, result
+from plumbline.operators.results import as_rows, no_results, number, pass_if, result
 
 ROWS = "rows"
 
 
 class Probe(NamedTuple):
-    """``result`` makes the row; its argument gives the value of one of the probe's aggregates."""
+    """``result`` is the SQL of the row; ``{name}`` in it stands for one of the aggregates.
+
+    ``text_buffer`` marks aggregates that keep a text. They run in a pass of their own, because one
+    such buffer takes the whole pass off the hash aggregation.
+    """
 
     column: str
     aggregates: dict[str, Column]
-    result: Callable[[Callable[[str], Column]], Column]
-
-
-def rows() -> Column:
-    return col(ROWS)
+    result: str
+    text_buffer: bool = False
 
 
 def evaluate(df: DataFrame, probes: list[Probe]) -> DataFrame:
@@ -54,26 +54,31 @@ def evaluate(df: DataFrame, probes: list[Probe]) -> DataFrame:
     position = {c: i for i, c in enumerate(df.columns)}
     ordered = sorted(probes, key=lambda p: position.get(p.column, -1))
     parts = []
-    for batch in packed(ordered, lambda p: len(p.aggregates)):
-        aggregates = [a.alias(f"{k}_{i}") for i, p in enumerate(batch) for k, a in p.aggregates.items()]
-        results = [p.result(lambda k, i=i: col(f"{k}_{i}")) for i, p in enumerate(batch)]
-        parts.append(as_rows(df.agg(F.count(F.lit(1)).alias(ROWS), *aggregates), results))
+    for text_buffer in (False, True):
+        for batch in packed([p for p in ordered if p.text_buffer == text_buffer], lambda p: len(p.aggregates)):
+            names = [{k: f"{k}_{i}" for k in p.aggregates} for i, p in enumerate(batch)]
+            aggregates = [a.alias(n[k]) for p, n in zip(batch, names) for k, a in p.aggregates.items()]
+            results = [_with_names(p.result, n) for p, n in zip(batch, names)]
+            parts.append(as_rows(df.agg(F.count(F.lit(1)).alias(ROWS), *aggregates), results))
     return union_all(parts) if parts else no_results(df.sparkSession)
 
 
+def _with_names(sql: str, names: dict[str, str]) -> str:
+    for short, name in names.items():
+        sql = sql.replace(f"{{{short}}}", name)
+    return sql
+
+
 def null_probes(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -> list[Probe]:
     probes = []
+    share = f"try_divide(100.0D * {{nulls}}, {ROWS})"
     for rule in rules:
         field = field_of(df, rule["column"])
         limit = float(rule.get("max_percent", 0))
-
-        def row(of, name=field.name, limit=limit):
-            share = percent(of("nulls"), rows())
-            return result(
-                "null_check", [name], pass_if(share <= limit), share, rows(), limit,
-                {"null_count": of("nulls")}, dataset,
-            )
-
+        row = result(
+            "null_check", [field.name], pass_if(f"{share} <= {number(limit)}"), share, ROWS, limit,
+            {"null_count": "{nulls}"}, dataset,
+        )
         probes.append(Probe(field.name, {"nulls": F.count_if(is_missing(field))}, row))
     return probes
 
@@ -84,13 +89,8 @@ def _count_probes(
     """Counts violating rows; without ``always`` a clean column gives no row."""
     probes = []
     for name, mask in masks:
-
-        def row(of, name=name):
-            found = of("hits")
-            made = result(kind, [name], pass_if(found == 0), found, rows(), 0.0, None, dataset)
-            return made if always else F.when(found > 0, made)
-
-        probes.append(Probe(name, {"hits": F.count_if(mask)}, row))
+        row = result(kind, [name], pass_if("{hits} = 0"), "{hits}", ROWS, 0.0, None, dataset)
+        probes.append(Probe(name, {"hits": F.count_if(mask)}, row if always else f"if({{hits}} > 0, {row}, null)"))
     return probes
 
 
@@ -109,17 +109,17 @@ def empty_string_probes(df: DataFrame, columns: list[str], dataset: str = "") ->
     return _count_probes("empty_string_check", masks, dataset, always=False)
 
 
+def _sql(value: int | None) -> str:
+    return "null" if value is None else str(value)
+
+
 def volume_probes(
     min_rows: int | None = None, max_rows: int | None = None, dataset: str = ""
 ) -> list[Probe]:
-    inside = F.lit(True)
-    if min_rows is not None:
-        inside = inside & (rows() >= min_rows)
-    if max_rows is not None:
-        inside = inside & (rows() <= max_rows)
-    bounds = {"min_rows": F.lit(min_rows), "max_rows": F.lit(max_rows)}
-    row = result("volume_check", [], pass_if(inside), rows(), rows(), None, bounds, dataset)
-    return [Probe("", {}, lambda of: row)]
+    # A bound that is not given compares as unknown, which passes.
+    inside = f"({ROWS} >= {_sql(min_rows)}) and ({ROWS} <= {_sql(max_rows)})"
+    bounds = {"min_rows": _sql(min_rows), "max_rows": _sql(max_rows)}
+    return [Probe("", {}, result("volume_check", [], pass_if(inside), ROWS, ROWS, None, bounds, dataset))]
 
 
 def constant_probes(df: DataFrame, columns: list[str], dataset: str = "") -> list[Probe]:
@@ -127,19 +127,19 @@ def constant_probes(df: DataFrame, columns: list[str], dataset: str = "") -> lis
     probes = []
     for field in [f for f in select_fields(df, columns) if is_orderable(f.dataType)]:
         value = known(field)
-
-        def row(of, field=field):
-            single = (of("known") == rows()) & (of("low") == of("high"))
-            hit = (rows() > 0) & ((of("known") == 0) | F.coalesce(single, F.lit(False)))
-            shown = F.hex(of("low")) if isinstance(field.dataType, T.BinaryType) else of("low")
-            made = result(
-                "constant_check", [field.name], F.lit("WARN"), F.lit(1.0), rows(), 1.0,
-                {"value": shown}, dataset,
-            )
-            return F.when(hit, made)
-
+        binary = isinstance(field.dataType, T.BinaryType)
+        row = result(
+            "constant_check", [field.name], "'WARN'", "1", ROWS, 1.0,
+            {"value": "hex({low})" if binary else "{low}"}, dataset,
+        )
+        single = f"coalesce({{known}} = {ROWS} and {{low}} = {{high}}, false)"
         probes.append(
-            Probe(field.name, {"low": F.min(value), "high": F.max(value), "known": F.count(value)}, row)
+            Probe(
+                field.name,
+                {"low": F.min(value), "high": F.max(value), "known": F.count(value)},
+                f"if({ROWS} > 0 and ({{known}} = 0 or {single}), {row}, null)",
+                text_buffer=is_text(field.dataType) or is_complex(field.dataType),
+            )
         )
     return probes
 
@@ -169,7 +169,7 @@ def null_listing(df: DataFrame, columns: list[str]) -> DataFrame:
                 lambda i, c: F.struct(
                     F.lit(c).alias("column"),
                     col(f"n{i}").alias("null_count"),
-                    pass_if(col(f"n{i}") == 0).alias("status"),
+                    F.expr(pass_if(f"n{i} = 0")).alias("status"),
                 ),
             )
         )
@@ -205,10 +205,10 @@ def empty_string_check(df: DataFrame, columns: list[str], dataset: str = "") ->
 def uniqueness_check(df: DataFrame, keys: list[str], dataset: str = "") -> DataFrame:
     """Rows that repeat an earlier key. Missing key parts equal each other."""
     fields = [field_of(df, k) for k in keys]
-    duplicates = F.col("row_count") - F.col("distinct_count")
+    duplicates = "(row_count - distinct_count)"
     row = result(
-        "uniqueness_check", keys, pass_if(duplicates == 0), duplicates, F.col("row_count"), 0.0,
-        {"distinct_count": F.col("distinct_count")}, dataset,
+        "uniqueness_check", keys, pass_if(f"{duplicates} = 0"), duplicates, "row_count", 0.0,
+        {"distinct_count": "distinct_count"}, dataset,
     )
     return as_rows(distinct_rows(df, fields), [row])
 
@@ -218,15 +218,11 @@ def cardinality_check(df: DataFrame, rules: list[dict[str, Any]], dataset: str =
     parts = []
     for rule in rules:
         field = field_of(df, rule["column"])
-        low, high = rule.get("min_distinct"), rule.get("max_distinct")
-        n, inside = F.col("distinct_count"), F.lit(True)
-        if low is not None:
-            inside = inside & (n >= low)
-        if high is not None:
-            inside = inside & (n <= high)
-        bounds = {"min_distinct": F.lit(low), "max_distinct": F.lit(high)}
+        low, high = _sql(rule.get("min_distinct")), _sql(rule.get("max_distinct"))
+        inside = f"(distinct_count >= {low}) and (distinct_count <= {high})"
         row = result(
-            "cardinality_check", [field.name], pass_if(inside), n, F.col("row_count"), None, bounds, dataset
+            "cardinality_check", [field.name], pass_if(inside), "distinct_count", "row_count", None,
+            {"min_distinct": low, "max_distinct": high}, dataset,
         )
         parts.append(as_rows(distinct_rows(df, [field]), [row]))
     return union_all(parts)

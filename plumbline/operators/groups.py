@@ -88,14 +88,11 @@ def group_check(df: DataFrame, rules: list[dict[str, Any]], dataset: str = "") -
         listed = group_summary(df, rule).agg(
             F.to_json(F.sort_array(F.collect_list(F.struct(*[col(c) for c in grouped.columns])))).alias("shown")
         )
-        low = rule.get("min_count")
         row = result(
-            "group_by_check", names, pass_if(F.col("failing") == 0), F.col("smallest"), F.col("rows"),
-            None if low is None else float(low),
-            {"groups": F.col("groups"), "failing_groups": F.col("failing"), "summary": listed.scalar()},
-            dataset,
+            "group_by_check", names, pass_if("failing = 0"), "smallest", "rows", rule.get("min_count"),
+            {"groups": "groups", "failing_groups": "failing", "summary": "summary"}, dataset,
         )
-        parts.append(as_rows(whole, [row]))
+        parts.append(as_rows(whole.withColumn("summary", listed.scalar()), [row]))
     return union_all(parts)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.columns import col, is_numeric, known, select_fields
 from plumbline.functions.predicates import any_of, z_score
-from plumbline.operators.results import result
+from plumbline.operators.results import as_rows, no_results, result
 
 EXAMPLES = 5
 
@@ -84,8 +84,7 @@ def outlier_check(df: DataFrame, columns: list[str], z: float = 3.0, dataset: st
     """One FAIL row per column with outliers; clean, constant and non-numeric columns give none."""
     fields = outlier_fields(df, columns)
     if not fields:
-        empty = result("outlier_check", [], F.lit("PASS"), F.lit(0.0), F.lit(0), z, None, dataset)
-        return df.sparkSession.range(0).select(empty.alias("r")).select("r.*")
+        return no_results(df.sparkSession)
     names = [f.name for f in fields]
     examples = (
         outlier_examples(df, names, z)
@@ -95,7 +94,7 @@ def outlier_check(df: DataFrame, columns: list[str], z: float = 3.0, dataset: st
     )
     counted = outlier_moments(df, names, z).where(F.col("outlier_count") > 0)
     row = result(
-        "outlier_check", [], F.lit("FAIL"), F.col("outlier_count"), F.col("row_count"), z,
-        {"mean": F.col("mean"), "std": F.col("std"), "examples": F.col("examples")}, dataset,
-    ).withField("target", F.array("column"))
-    return counted.join(examples, "column", "left").select(row.alias("r")).select("r.*")
+        "outlier_check", "array(column)", "'FAIL'", "outlier_count", "row_count", z,
+        {"mean": "mean", "std": "std", "examples": "examples"}, dataset,
+    )
+    return as_rows(counted.join(examples, "column", "left"), [row])

@@ -23,45 +23,50 @@ RESULT_SCHEMA = T.StructType(
 UNSCORED = ("group_by_check",)
 
 
-def pass_if(condition: Column) -> Column:
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number(value: float | int | None) -> str:
+    return "cast(null as double)" if value is None else f"double('{float(value)!r}')"
+
+
+def pass_if(condition: str) -> str:
     """PASS or FAIL; an undefined condition (a share of zero rows) passes."""
-    return F.when(F.coalesce(condition, F.lit(True)), "PASS").otherwise("FAIL")
+    return f"if(coalesce({condition}, true), 'PASS', 'FAIL')"
 
 
 def result(
     check_type: str,
-    target: list[str],
-    status: Column,
-    observed: Column,
-    row_count: Column,
-    threshold: Column | float | None = None,
-    details: dict[str, Column] | None = None,
+    target: list[str] | str,
+    status: str,
+    observed: str,
+    row_count: str,
+    threshold: float | None = None,
+    details: dict[str, str] | None = None,
     dataset: str = "",
-) -> Column:
-    """One check result as a struct column of ``RESULT_SCHEMA``."""
-    threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    entries = [part for k, v in (details or {}).items() for part in (F.lit(k), v.cast("string"))]
-    names = F.array(*[F.lit(t) for t in target]) if target else F.array().cast("array<string>")
-    notes = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
-    return F.struct(
-        F.lit(dataset).alias("dataset"),
-        F.lit(check_type).alias("check_type"),
-        names.alias("target"),
-        status.cast("string").alias("status"),
-        observed.cast("double").alias("observed"),
-        threshold.cast("double").alias("threshold"),
-        row_count.cast("bigint").alias("row_count"),
-        notes.cast("map<string,string>").alias("details"),
+) -> str:
+    """SQL of one check result as a struct of ``RESULT_SCHEMA``.
+
+    ``status``, ``observed``, ``row_count`` and the details are SQL over one aggregated row;
+    ``target`` is a list of column names or the SQL of an array.
+    """
+    if not isinstance(target, str):
+        target = f"array({', '.join(text(t) for t in target)})"
+    entries = ", ".join(f"{text(k)}, cast({v} as string)" for k, v in (details or {}).items())
+    return (
+        f"named_struct('dataset', {text(dataset)}, 'check_type', {text(check_type)}, "
+        f"'target', cast({target} as array<string>), 'status', {status}, "
+        f"'observed', cast({observed} as double), 'threshold', {number(threshold)}, "
+        f"'row_count', cast({row_count} as bigint), 'details', cast(map({entries}) as map<string,string>))"
     )
 
 
-def as_rows(one_row: DataFrame, results: list[Column]) -> DataFrame:
-    """Turns result structs over a one-row DataFrame into rows; NULL structs are not emitted."""
-    return (
-        one_row.select(F.explode(F.array(*results)).alias("r"))
-        .where(F.col("r").isNotNull())
-        .select("r.*")
-    )
+def as_rows(aggregated: DataFrame, results: list[str]) -> DataFrame:
+    """Turns result structs over aggregated rows into rows; NULL structs are not emitted."""
+    exploded = aggregated.selectExpr(f"explode(array({', '.join(results)})) as r")
+    return exploded.where("r is not null").select("r.*")
 
 
 def no_results(spark: SparkSession) -> DataFrame:
