@@ -88,7 +88,13 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     splits = split_points(doubles, names, bucket_count(df))
     gaps = doubles.agg(*[F.count_if(F.col(v).isNull()).alias(v) for v in names]).first()
     count = F.count(F.lit(1)).alias("n")
-    whole = {v: _centred_ranks(doubles.groupBy(v).agg(count), v, splits[v]) for v in names if not gaps[v]}
+    # Known values only, stated before the grouping: both uses of a table of counts then have the
+    # same plan and share its shuffle.
+    whole = {
+        v: _centred_ranks(doubles.where(F.col(v).isNotNull()).groupBy(v).agg(count), v, splits[v])
+        for v in names
+        if not gaps[v]
+    }
     parts = []
     for i, j in combinations(range(len(fields)), 2):
         a, b = names[i], names[j]
@@ -127,17 +133,16 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
         )
         of_a = cells.groupBy("a").agg(F.sum("o").alias("of_a"))
         of_b = cells.groupBy("b").agg(F.sum("o").alias("of_b"))
-        rows = of_a.agg(F.count(F.lit(1))).scalar()
-        cols = of_b.agg(F.count(F.lit(1))).scalar()
+        # The shares of a value's cells add up to one, so their total is the number of values.
         whole = (
             cells.join(of_a, "a")
             .join(of_b, "b")
             .agg(
                 F.sum("o").alias("n"),
                 (F.sum(F.col("o") * F.col("o") / (F.col("of_a") * F.col("of_b").cast("double"))) - 1).alias("phi2"),
+                F.round(F.sum(F.col("o") / F.col("of_a"))).alias("r"),
+                F.round(F.sum(F.col("o") / F.col("of_b"))).alias("c"),
             )
-            .withColumn("r", rows)
-            .withColumn("c", cols)
         )
         n, r, c, phi2 = F.col("n"), F.col("r"), F.col("c"), F.greatest(F.col("phi2"), F.lit(0.0))
         phi2_c = F.greatest(phi2 - F.try_divide((r - 1) * (c - 1), n - 1), F.lit(0.0))

@@ -11,7 +11,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     col,
@@ -19,11 +18,11 @@ from plumbline.functions.columns import (
     group_key,
     is_complex,
     is_numeric,
-    is_temporal,
     known,
     union_all,
 )
 from plumbline.functions.tails import chi_square_upper, kolmogorov_two_sided, normal_two_sided
+from plumbline.operators.batches import packed
 from plumbline.operators.ordered import bucket_count, running_totals, split_points
 
 # Defaults of the test selection (fixed values).
@@ -34,10 +33,12 @@ DISTANCE = 0.1
 DRIFTED_SHARE = 0.5
 LEAST_NORM = 0.001
 
+# A sketched number of distinct values above this is certainly more than a few.
+SKETCHED_FEW = 100
+
 DRIFT_SCHEMA = (
     "column string, test string, statistic double, p_value double, threshold double, drifted boolean"
 )
-STATISTIC = ["column", "test", "statistic", "dof", "baseline_rows", "current_rows"]
 
 
 def value_pairs(baseline: DataFrame, current: DataFrame, column: str, numeric: bool) -> DataFrame:
@@ -202,33 +203,60 @@ def drift_columns(baseline: DataFrame, current: DataFrame) -> list[str]:
     ]
 
 
-def _as_number(field: T.StructField) -> bool:
-    return is_numeric(field.dataType)
+class _Size(NamedTuple):
+    baseline_rows: int
+    current_rows: int
+    distinct: int
+
+
+def _sizes(baseline: DataFrame, current: DataFrame, numeric: dict[str, bool]) -> dict[str, _Size]:
+    """Known rows of both sides and distinct values per column.
+
+    The tests only depend on whether there are a few distinct values. One pass sketches the number;
+    a second one collects the values of the columns that have few, exactly. Neither shuffles data.
+    """
+    columns = list(numeric)
+
+    def side(df: DataFrame, is_b: bool) -> DataFrame:
+        values = []
+        for i, c in enumerate(columns):
+            v = known(df.schema[c])
+            values.append((v.cast("double") if numeric[c] else v.cast("string")).alias(f"v{i}"))
+        return df.select(F.lit(is_b).alias("is_b"), *values)
+
+    both = side(baseline, True).unionAll(side(current, False))
+    seen: dict[str, int] = {}
+    for batch in packed(range(len(columns)), lambda _: 3):
+        seen.update(
+            both.agg(
+                *[F.expr(f"count_if(is_b and v{i} is not null) as b{i}") for i in batch],
+                *[F.expr(f"count_if(not is_b and v{i} is not null) as c{i}") for i in batch],
+                *[F.expr(f"approx_count_distinct(v{i}) as d{i}") for i in batch],
+            )
+            .first()
+            .asDict()
+        )
+    few = [i for i in range(len(columns)) if seen[f"d{i}"] <= SKETCHED_FEW]
+    if few:
+        # At most about SKETCHED_FEW values per column.
+        values = both.agg(*[F.expr(f"size(collect_set(v{i})) as d{i}") for i in few])
+        seen.update(values.first().asDict())
+    return {c: _Size(seen[f"b{i}"], seen[f"c{i}"], seen[f"d{i}"]) for i, c in enumerate(columns)}
 
 
 def data_drift(baseline: DataFrame, current: DataFrame) -> Drift:
-    """Tests every common column: one job picks the tests, one computes all statistics."""
+    """Tests every common column: small passes pick the tests, one job computes all statistics."""
     spark = baseline.sparkSession
-    columns = drift_columns(baseline, current)
-    if not columns:
+    numeric = {
+        c: is_numeric(baseline.schema[c].dataType) and is_numeric(current.schema[c].dataType)
+        for c in drift_columns(baseline, current)
+    }
+    if not numeric:
         return _drift_result(spark, [], "SKIPPED")
-    numeric = {c: _as_number(baseline.schema[c]) and _as_number(current.schema[c]) for c in columns}
-
-    sizes = union_all(
-        [
-            value_pairs(baseline, current, c, numeric[c]).agg(
-                F.lit(c).alias("column"),
-                F.count(F.lit(1)).alias("distinct"),
-                F.coalesce(F.sum("b"), F.lit(0)).alias("b"),
-                F.coalesce(F.sum("c"), F.lit(0)).alias("c"),
-            )
-            for c in columns
-        ]
-    ).collect()
     tests = {
-        r["column"]: choose_test(numeric[r["column"]], r["distinct"], r["b"])
-        for r in sizes
-        if r["b"] > 0 and r["c"] > 0
+        c: choose_test(numeric[c], size.distinct, size.baseline_rows)
+        for c, size in _sizes(baseline, current, numeric).items()
+        if size.baseline_rows > 0 and size.current_rows > 0
     }
     if not tests:
         return _drift_result(spark, [], "SKIPPED")

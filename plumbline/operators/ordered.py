@@ -29,8 +29,8 @@ def bucket_count(df: DataFrame) -> int:
 def split_points(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
     """Approximate quantiles of all columns in one job; at most ``buckets - 1`` numbers per column."""
     shares = [i / buckets for i in range(1, buckets)]
-    found = sketched_quantiles(df, [(F.col(c), shares) for c in columns])
-    return {c: sorted({p for p in points if abs(p) != inf}) for c, points in zip(columns, found)}
+    found = sketched_quantiles(df, {c: shares for c in columns})
+    return {c: sorted({p for p in found[c].quantiles if abs(p) != inf}) for c in columns}
 
 
 def with_bucket(df: DataFrame, value: str, splits: list[float]) -> DataFrame:
@@ -39,7 +39,10 @@ def with_bucket(df: DataFrame, value: str, splits: list[float]) -> DataFrame:
     place = Bucketizer(
         splits=[-inf, *splits, inf], inputCol="bucket_value", outputCol="bucket", handleInvalid="keep"
     )
-    return place.transform(df.withColumn("bucket_value", F.col(value).cast("double"))).drop("bucket_value")
+    placed = place.transform(df.withColumn("bucket_value", F.col(value).cast("double"))).drop("bucket_value")
+    # Never NULL: a join on the bucket then adds no filter below it, and the table of values has the
+    # same plan, and one shuffle, in both of its uses.
+    return placed.withColumn("bucket", F.coalesce("bucket", F.lit(-1.0)))
 
 
 def running_totals(

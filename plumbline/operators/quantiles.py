@@ -1,9 +1,11 @@
 """Exact quantiles without sorting or shuffling a column.
 
-A sketch brackets every wanted rank between two values, a counting pass verifies the brackets, and
-brackets that still hold many rows are sketched again. Only the rows inside the final brackets are
-counted by value and ordered. Passes over the data are plain aggregations; the driver sees a few
-numbers per column and quantile.
+A sketch brackets every wanted rank between two values. Brackets that may still hold many rows are
+counted and sketched again. The last job counts the rows before each bracket and the rows of each
+value inside it, and picks the value at the rank. A rank the sketch put into the wrong bracket is
+noticed there and read again from all values, so the result never depends on the sketch.
+
+Passes over the data are plain aggregations; the driver sees a few numbers per column and quantile.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.columns import union_all
-from plumbline.functions.predicates import any_of
-from plumbline.operators.batches import first_row
+from plumbline.operators.batches import first_row, packed
 from plumbline.operators.sketches import RANK_ERROR, sketched_quantiles
 
 ROWS_PER_BRACKET = 100_000
@@ -27,81 +28,105 @@ _SLACK = 5 * RANK_ERROR
 
 @dataclass
 class Bracket:
-    """The rows of ``measure`` with a value in ``low..high``; they hold the 0-based ``ranks``."""
+    """The rows of ``measure`` with a value in ``low..high``; meant to hold the 0-based ``ranks``.
+
+    ``before`` rows are smaller and ``inside`` rows are in it, once counted.
+    """
 
     measure: str
     low: float
     high: float
+    ranks: set[int] = field(default_factory=set)
     before: int = 0
     inside: int = 0
-    ranks: set[int] = field(default_factory=set)
 
-    def has(self, rank: int) -> bool:
-        return self.before <= rank < self.before + self.inside
+    def within(self) -> str:
+        return f"{self.measure} between {_double(self.low)} and {_double(self.high)}"
+
+    def smaller(self) -> str:
+        return f"{self.measure} < {_double(self.low)}"
+
+
+def _double(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def _shares(ranks: list[int], before: int, inside: int) -> list[float]:
+    """Shares a little below and above every rank."""
+    return [s for r in ranks for s in ((r - before) / inside - _SLACK, (r - before + 1) / inside + _SLACK)]
 
 
-def _within(value: Column, b: Bracket) -> Column:
-    return (value >= b.low) & (value <= b.high)
+def _around(measure: str, ranks: list[int], bounds: list[float]) -> list[Bracket]:
+    found: dict[tuple[float, float], Bracket] = {}
+    for i, r in enumerate(ranks):
+        low, high = bounds[2 * i], bounds[2 * i + 1]
+        found.setdefault((low, high), Bracket(measure, low, high)).ranks.add(r)
+    return list(found.values())
 
 
-def _narrow(df: DataFrame, values: dict[str, Column], wide: list[Bracket]) -> list[Bracket]:
-    """One tighter bracket per rank; a rank the tighter bracket misses keeps the old one."""
-    wanted, order = [], []
-    for b in wide:
-        ranks = sorted(b.ranks)
-        order.append(ranks)
-        shares = [s for r in ranks for s in ((r - b.before) / b.inside - _SLACK, (r - b.before + 1) / b.inside + _SLACK)]
-        wanted.append((F.when(_within(values[b.measure], b), values[b.measure]), shares))
-    tight: dict[tuple, Bracket] = {}
-    for i, (b, ranks, found) in enumerate(zip(wide, order, sketched_quantiles(df, wanted))):
-        for j, r in enumerate(ranks):
-            low, high = found[2 * j], found[2 * j + 1]
-            tight.setdefault((i, low, high), Bracket(b.measure, low, high)).ranks.add(r)
+def _narrow(values: DataFrame, brackets: list[Bracket], limit: int) -> list[Bracket]:
+    """Counts the brackets and sketches inside those with more than ``limit`` rows.
 
+    A rank that turns out to lie outside its bracket is left to the final check.
+    """
     counted = []
-    for n, b in enumerate(tight.values()):
-        v = values[b.measure]
-        counted += [F.count_if(v < b.low).alias(f"before_{n}"), F.count_if(_within(v, b)).alias(f"inside_{n}")]
-    row = first_row(df, counted)
-    result = list(wide)
-    for old in result:
-        old.ranks = set(old.ranks)
-    for n, ((i, _, _), b) in enumerate(tight.items()):
-        b.before, b.inside = row[f"before_{n}"], row[f"inside_{n}"]
-        b.ranks = {r for r in b.ranks if b.has(r)}
-        wide[i].ranks -= b.ranks
-        result.append(b)
-    return [b for b in result if b.ranks]
-
-
-def _read(df: DataFrame, values: dict[str, Column], brackets: list[Bracket]) -> dict[tuple[str, int], float]:
-    """The value at every rank, from the distinct values inside the brackets."""
+    for i, b in enumerate(brackets):
+        counted.append(F.expr(f"count_if({b.smaller()}) as before_{i}"))
+        counted.append(F.expr(f"count_if({b.within()}) as inside_{i}"))
+    row = first_row(values, counted)
+    done, wide = [], []
+    for i, b in enumerate(brackets):
+        b.before, b.inside = row[f"before_{i}"], row[f"inside_{i}"]
+        (wide if b.inside > limit and b.low < b.high else done).append(b)
+    if not wide:
+        return done
+    asked, columns = {}, []
+    for i, b in enumerate(wide):
+        columns.append(f"if({b.within()}, {b.measure}, null) as w{i}")
+        asked[f"w{i}"] = _shares(sorted(b.ranks), b.before, b.inside)
+    found = sketched_quantiles(values.selectExpr(*columns), asked)
+    for i, b in enumerate(wide):
+        done += _around(b.measure, sorted(b.ranks), found[f"w{i}"].quantiles)
+    return done
+
+
+def _read(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float]:
+    """The value at every rank, in one job; a rank that is not in its bracket is left out."""
+    spark = values.sparkSession
     measures = list(dict.fromkeys(b.measure for b in brackets))
     counts = union_all(
         [
-            df.where(any_of([_within(values[m], b) for b in brackets if b.measure == m]))
-            .groupBy(values[m].alias("value"))
+            values.where(" or ".join(b.within() for b in brackets if b.measure == m))
+            .groupBy(F.col(m).alias("value"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("m", F.lit(i))
+            .selectExpr(f"{i} as m", "value", "n")
             for i, m in enumerate(measures)
         ]
     )
-    spark = df.sparkSession
+    before = union_all(
+        [
+            values.agg(*[F.expr(f"count_if({b.smaller()}) as b{i}") for i, b in batch]).selectExpr(
+                f"inline(array({', '.join(f'struct({i} as i, b{i} as before)' for i, _ in batch)}))"
+            )
+            for batch in packed(list(enumerate(brackets)), lambda _: 1)
+        ]
+    )
     ranges = spark.createDataFrame(
         [(measures.index(b.measure), i, b.low, b.high) for i, b in enumerate(brackets)],
         "m int, i int, low double, high double",
     )
-    places = spark.createDataFrame(
-        [(i, r, r - b.before) for i, b in enumerate(brackets) for r in sorted(b.ranks)],
-        "i int, rank bigint, place bigint",
+    ranks = spark.createDataFrame(
+        [(i, r) for i, b in enumerate(brackets) for r in sorted(b.ranks)], "i int, rank bigint"
     )
+    # One row per wanted rank: bounded by columns and quantiles.
+    places = ranks.join(F.broadcast(before), "i").selectExpr("i", "rank", "rank - before as place")
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("value"))
     found = (
         counts.join(F.broadcast(ranges), "m")
-        .where(F.col("value").between(F.col("low"), F.col("high")))
+        .where("value between low and high")
         .withColumn("upto", upto)
         .join(F.broadcast(places), "i")
-        .where(F.col("upto") > F.col("place"))
+        .where("place >= 0 and upto > place")
         .groupBy("i", "rank")
         .agg(F.min("value").alias("value"))
     )
@@ -112,46 +137,50 @@ def exact_quantiles(
     df: DataFrame, measures: dict[str, Column], shares: list[float], rows_per_bracket: int = ROWS_PER_BRACKET
 ) -> dict[str, dict[float, float | None]]:
     """Quantiles with linear interpolation of numeric expressions; NULLs are skipped."""
-    values = {m: c.cast("double") for m, c in measures.items()}
-    ends = first_row(
-        df,
-        [
-            make(v).alias(f"{name}{i}")
-            for i, v in enumerate(values.values())
-            for name, make in (("n", F.count), ("low", F.min), ("high", F.max))
-        ],
-    )
-    totals = {m: ends[f"n{i}"] for i, m in enumerate(values)}
+    names = {f"v{i}": m for i, m in enumerate(measures)}
+    values = df.select(*[c.cast("double").alias(v) for v, c in zip(names, measures.values())])
+    # The number of rows is not known yet, so the first brackets are around the shares.
+    around = [s for share in shares for s in (share - _SLACK, share + _SLACK)]
+    sketched = sketched_quantiles(values, {v: around for v in names})
     at_rank: dict[tuple[str, int], float] = {}
     brackets: list[Bracket] = []
-    for i, m in enumerate(values):
-        if not totals[m]:
+    for v, seen in sketched.items():
+        if not seen.n:
             continue
-        low, high = ends[f"low{i}"], ends[f"high{i}"]
-        at_rank[m, 0], at_rank[m, totals[m] - 1] = low, high
-        places = [s * (totals[m] - 1) for s in shares]
-        ranks = {r for p in places for r in (math.floor(p), math.ceil(p))} - {0, totals[m] - 1}
-        if ranks:
-            brackets.append(Bracket(m, low, high, 0, totals[m], ranks))
-
+        at_rank[v, 0], at_rank[v, seen.n - 1] = seen.low, seen.high
+        tight: dict[tuple[float, float], Bracket] = {}
+        for i, share in enumerate(shares):
+            place = share * (seen.n - 1)
+            ranks = {math.floor(place), math.ceil(place)} - {0, seen.n - 1}
+            if ranks:
+                low, high = seen.quantiles[2 * i], seen.quantiles[2 * i + 1]
+                tight.setdefault((low, high), Bracket(v, low, high)).ranks.update(ranks)
+        brackets += tight.values()
+
+    largest = max((s.n for s in sketched.values()), default=0) * 2 * _SLACK
     for _ in range(MAX_ROUNDS):
-        wide = [b for b in brackets if b.inside > rows_per_bracket and b.low < b.high]
-        if not wide:
+        if largest <= rows_per_bracket or not brackets:
             break
-        brackets = [b for b in brackets if b not in wide] + _narrow(df, values, wide)
-
-    for b in brackets:
-        if b.low == b.high:
-            at_rank.update({(b.measure, r): b.low for r in b.ranks})
-    open_brackets = [b for b in brackets if b.low < b.high]
-    if open_brackets:
-        at_rank.update(_read(df, values, open_brackets))
-
-    def quantile(m: str, share: float) -> float | None:
-        if not totals[m]:
+        brackets = _narrow(values, brackets, rows_per_bracket)
+        largest = largest * 2 * _SLACK
+    if brackets:
+        at_rank.update(_read(values, brackets))
+        missed = [
+            Bracket(v, sketched[v].low, sketched[v].high, {r for b in brackets if b.measure == v for r in b.ranks})
+            for v in names
+        ]
+        for b in missed:
+            b.ranks = {r for r in b.ranks if (b.measure, r) not in at_rank}
+        missed = [b for b in missed if b.ranks]
+        if missed:
+            at_rank.update(_read(values, missed))
+
+    def quantile(v: str, share: float) -> float | None:
+        n = sketched[v].n
+        if not n:
             return None
-        place = share * (totals[m] - 1)
-        low, high = at_rank[m, math.floor(place)], at_rank[m, math.ceil(place)]
-        return low + (high - low) * (place - math.floor(place))
+        place = share * (n - 1)
+        low, high = at_rank[v, math.floor(place)], at_rank[v, math.ceil(place)]
+        return low if low == high else low + (high - low) * (place - math.floor(place))
 
-    return {m: {s: quantile(m, s) for s in shares} for m in values}
+    return {m: {s: quantile(v, s) for s in shares} for v, m in names.items()}

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     col,
-    group_key,
     is_complex,
     is_floating,
     is_temporal,
@@ -58,7 +57,7 @@ def _categories(df: DataFrame, fields: list[T.StructField], present: dict[str, i
     if not fields:
         return {}
     sketch = df.agg(
-        *[F.approx_count_distinct(group_key(f), _SKETCH_ERROR).alias(f"d{i}") for i, f in enumerate(fields)]
+        *[F.approx_count_distinct(col(f.name), _SKETCH_ERROR).alias(f"d{i}") for i, f in enumerate(fields)]
     ).first()
     verdict, close = {}, []
     for i, f in enumerate(fields):

@@ -6,7 +6,9 @@ more, so no single task receives the sketches of all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Size parameter of the sketch; its rank error is about 0.04 %.
@@ -15,24 +17,38 @@ RANK_ERROR = 0.0004
 MERGE_GROUPS = 256
 
 
-def sketched_quantiles(df: DataFrame, wanted: list[tuple[Column, list[float]]]) -> list[list[float]]:
-    """Approximate quantiles: for each ``(expression, shares)`` the values at those shares.
+@dataclass
+class Sketched:
+    """Known values of one expression: their exact number, least, greatest and asked quantiles."""
+
+    n: int
+    low: float | None
+    high: float | None
+    quantiles: list[float]
+
+
+def sketched_quantiles(values: DataFrame, asked: dict[str, list[float]]) -> dict[str, Sketched]:
+    """Approximate quantiles of double columns, each at its own shares, in one job.
 
-    A share outside 0..1 is moved to the nearest end. An expression without values gives ``[]``.
+    A share outside 0..1 is moved to the nearest end. A column without values has no quantiles.
     """
-    asked = [[min(1.0, max(0.0, s)) for s in shares] for _, shares in wanted]
-    values = df.select(*[c.cast("double").alias(f"v{i}") for i, (c, _) in enumerate(wanted)])
-    values = values.withColumn("task_group", F.spark_partition_id() % MERGE_GROUPS)
-    by_group = values.groupBy("task_group").agg(
-        *[F.kll_sketch_agg_double(f"v{i}", F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in range(len(wanted))]
+    names = [f"`{c}`" for c in asked]
+    groups = values.select(*asked).withColumn("task_group", F.spark_partition_id() % MERGE_GROUPS)
+    by_group = groups.groupBy("task_group").agg(
+        *[F.expr(f"kll_sketch_agg_double({c}, {SKETCH_SIZE}) as s{i}") for i, c in enumerate(names)]
     )
     merged = by_group.agg(
-        *[F.kll_merge_agg_double(f"s{i}", F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in range(len(wanted))]
+        *[F.expr(f"kll_merge_agg_double(s{i}, {SKETCH_SIZE}) as s{i}") for i in range(len(names))]
     )
     answers = []
-    for i, shares in enumerate(asked):
-        filled = F.kll_sketch_get_n_double(f"s{i}") > 0
-        found = F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(s) for s in shares]))
-        answers.append(F.when(filled, found).alias(f"q{i}"))
-    row = merged.select(*answers).first()
-    return [list(row[f"q{i}"] or []) for i in range(len(wanted))]
+    for i, shares in enumerate(asked.values()):
+        listed = ", ".join(f"{min(1.0, max(0.0, s))!r}D" for s in [0.0, 1.0, *shares])
+        count = f"kll_sketch_get_n_double(s{i})"
+        answers.append(f"{count} as n{i}")
+        answers.append(f"if({count} > 0, kll_sketch_get_quantile_double(s{i}, array({listed})), null) as q{i}")
+    row = merged.selectExpr(*answers).first()
+    found = {}
+    for i, c in enumerate(asked):
+        low, high, *quantiles = row[f"q{i}"] or [None, None]
+        found[c] = Sketched(row[f"n{i}"] or 0, low, high, quantiles)
+    return found

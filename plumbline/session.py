@@ -14,6 +14,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python line of every column expression takes longer than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from typing import Any
 
@@ -99,6 +100,12 @@ def typed(df: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:
     return df.select(*[cast(c) for c in df.columns])
 
 
+def _charset(encoding: str) -> str:
+    """The reader's name of an encoding that Python knows by several names."""
+    name = codecs.lookup(encoding).name.removesuffix("-sig")
+    return "ISO-8859-1" if name == "iso8859-1" else name
+
+
 def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> DataFrame:
     """Reads headed CSV with the option names of :data:`READER_OPTIONS`; others are refused by name.
 
@@ -108,6 +115,8 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> Data
     if unknown:
         raise ValueError(f"unsupported CSV options: {', '.join(unknown)}")
     given = {READER_OPTIONS[k]: v for k, v in options.items() if k in READER_OPTIONS and v is not None}
+    if "encoding" in given:
+        given["encoding"] = _charset(given["encoding"])
     if "sep" not in given:
         given["sep"] = sniff_delimiter(spark, path)
     # A quote inside a quoted text is written twice.
