@@ -3,7 +3,7 @@
 A sketch brackets every wanted rank between two values. Brackets that may still hold many rows are
 counted and sketched again. The last job counts the rows before each bracket and the rows of each
 value inside it, and picks the value at the rank. A rank the sketch put into the wrong bracket is
-noticed there and read again from all values, so the result never depends on the sketch.
+noticed there and looked for again with wider brackets, so the result never depends on the sketch.
 
 Passes over the data are plain aggregations; the driver sees a few numbers per column and quantile.
 """
@@ -23,7 +23,9 @@ from plumbline.operators.sketches import RANK_ERROR, sketched_quantiles
 
 ROWS_PER_BRACKET = 100_000
 MAX_ROUNDS = 5
-_SLACK = 5 * RANK_ERROR
+
+# A bracket reaches this share of the rows below and above its rank.
+SLACK = 5 * RANK_ERROR
 
 
 @dataclass
@@ -51,9 +53,9 @@ def _double(value: float) -> str:
     return f"double('{value!r}')"
 
 
-def _shares(ranks: list[int], before: int, inside: int) -> list[float]:
+def _shares(ranks: list[int], before: int, inside: int, slack: float) -> list[float]:
     """Shares a little below and above every rank."""
-    return [s for r in ranks for s in ((r - before) / inside - _SLACK, (r - before + 1) / inside + _SLACK)]
+    return [s for r in ranks for s in ((r - before) / inside - slack, (r - before + 1) / inside + slack)]
 
 
 def _around(measure: str, ranks: list[int], bounds: list[float]) -> list[Bracket]:
@@ -64,7 +66,7 @@ def _around(measure: str, ranks: list[int], bounds: list[float]) -> list[Bracket
     return list(found.values())
 
 
-def _narrow(values: DataFrame, brackets: list[Bracket], limit: int) -> list[Bracket]:
+def _narrow(values: DataFrame, brackets: list[Bracket], limit: int, slack: float) -> list[Bracket]:
     """Counts the brackets and sketches inside those with more than ``limit`` rows.
 
     A rank that turns out to lie outside its bracket is left to the final check.
@@ -83,7 +85,7 @@ def _narrow(values: DataFrame, brackets: list[Bracket], limit: int) -> list[Brac
     asked, columns = {}, []
     for i, b in enumerate(wide):
         columns.append(f"if({b.within()}, {b.measure}, null) as w{i}")
-        asked[f"w{i}"] = _shares(sorted(b.ranks), b.before, b.inside)
+        asked[f"w{i}"] = _shares(sorted(b.ranks), b.before, b.inside, slack)
     found = sketched_quantiles(values.selectExpr(*columns), asked)
     for i, b in enumerate(wide):
         done += _around(b.measure, sorted(b.ranks), found[f"w{i}"].quantiles)
@@ -139,9 +141,11 @@ def exact_quantiles(
     """Quantiles with linear interpolation of numeric expressions; NULLs are skipped."""
     names = {f"v{i}": m for i, m in enumerate(measures)}
     values = df.select(*[c.cast("double").alias(v) for v, c in zip(names, measures.values())])
+
     # The number of rows is not known yet, so the first brackets are around the shares.
-    around = [s for share in shares for s in (share - _SLACK, share + _SLACK)]
+    around = [s for share in shares for s in (share - SLACK, share + SLACK)]
     sketched = sketched_quantiles(values, {v: around for v in names})
+    wanted: dict[str, set[int]] = {}
     at_rank: dict[tuple[str, int], float] = {}
     brackets: list[Bracket] = []
     for v, seen in sketched.items():
@@ -155,25 +159,24 @@ def exact_quantiles(
             if ranks:
                 low, high = seen.quantiles[2 * i], seen.quantiles[2 * i + 1]
                 tight.setdefault((low, high), Bracket(v, low, high)).ranks.update(ranks)
+                wanted.setdefault(v, set()).update(ranks)
         brackets += tight.values()
 
-    largest = max((s.n for s in sketched.values()), default=0) * 2 * _SLACK
-    for _ in range(MAX_ROUNDS):
-        if largest <= rows_per_bracket or not brackets:
-            break
-        brackets = _narrow(values, brackets, rows_per_bracket)
-        largest = largest * 2 * _SLACK
-    if brackets:
+    largest, slack = max((s.n for s in sketched.values()), default=0), SLACK
+    while brackets:
+        expected = largest * 2 * slack
+        for _ in range(MAX_ROUNDS):
+            if expected <= rows_per_bracket or not brackets:
+                break
+            brackets = _narrow(values, brackets, rows_per_bracket, slack)
+            expected *= 2 * slack
         at_rank.update(_read(values, brackets))
-        missed = [
-            Bracket(v, sketched[v].low, sketched[v].high, {r for b in brackets if b.measure == v for r in b.ranks})
-            for v in names
-        ]
-        for b in missed:
-            b.ranks = {r for r in b.ranks if (b.measure, r) not in at_rank}
-        missed = [b for b in missed if b.ranks]
-        if missed:
-            at_rank.update(_read(values, missed))
+        missed = {v: sorted(r for r in ranks if (v, r) not in at_rank) for v, ranks in wanted.items()}
+        missed = {v: ranks for v, ranks in missed.items() if ranks}
+        # Never seen in practice: at a slack of one a bracket is the whole range, so this ends.
+        slack = min(1.0, slack * 8)
+        again = sketched_quantiles(values, {v: _shares(r, 0, sketched[v].n, slack) for v, r in missed.items()}) if missed else {}
+        brackets = [b for v, ranks in missed.items() for b in _around(v, ranks, again[v].quantiles)]
 
     def quantile(v: str, share: float) -> float | None:
         n = sketched[v].n

@@ -43,3 +43,8 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         (F.col("total_bytes") / 1024**3).alias("total_gb"),
         (F.col("total_bytes") / 1024**4).alias("total_tb"),
     )
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of the plan; no data is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -20,6 +20,7 @@ from plumbline.operators.results import RESULT_SCHEMA, no_results, score
 from plumbline.operators.schema import infer_schema, schema_drift, schema_status
 from plumbline.operators.stats import dataset_stats
 from plumbline.sources.load import dataset_name, is_row_source, load_source
+from plumbline.sources.staging import release, stage
 
 
 def run_checks(df: DataFrame, validations: dict[str, Any], dataset: str = "") -> DataFrame:
@@ -121,6 +122,12 @@ class QualityRun:
     drift: Drift | None = None
     drift_status: str = "NOT_RUN"
     messages: list[str] = field(default_factory=list)
+    staged: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Removes the staged copies; call it when the result tables have been read or written."""
+        while self.staged:
+            release(self.schema.sparkSession, self.staged.pop())
 
     def tables(self) -> dict[str, DataFrame]:
         found = {"schema": self.schema, "checks": self.checks, "score": self.score, **self.discovery.tables()}
@@ -132,6 +139,16 @@ class QualityRun:
         return found
 
 
+def _load(spark: SparkSession, source: dict[str, Any], staged: list[str]) -> DataFrame:
+    df = load_source(spark, source)
+    if not is_row_source(source):
+        return df
+    df, path = stage(df)
+    if path:
+        staged.append(path)
+    return df
+
+
 def run_rules(spark: SparkSession, config: dict[str, Any], df: DataFrame | None = None) -> QualityRun:
     """Loads the source, infers and compares the schema, runs checks, discovery and drift.
 
@@ -139,7 +156,9 @@ def run_rules(spark: SparkSession, config: dict[str, Any], df: DataFrame | None
     ``df`` replaces the source. A drift that cannot be computed does not stop the run.
     """
     source = config.get("source", {})
-    data = load_source(spark, source) if df is None else df
+    staged: list[str] = []
+    data = _load(spark, source, staged) if df is None else df
+    by_column = bool(staged) or not is_row_source(source)
     dataset = dataset_name(source)
     validations = config.get("validations") or {}
     schema = infer_schema(data)
@@ -160,11 +179,12 @@ def run_rules(spark: SparkSession, config: dict[str, Any], df: DataFrame | None
         schema_status=status,
         checks=checks,
         score=score(checks, status),
-        discovery=run_discovery(data, config.get("discovery") or {}, is_row_source(source)),
+        discovery=run_discovery(data, config.get("discovery") or {}, single_scan=not by_column),
+        staged=staged,
     )
     if "reference" in config:
         try:
-            run.drift = data_drift(load_source(spark, config["reference"]), data)
+            run.drift = data_drift(_load(spark, config["reference"], staged), data)
             run.drift_status = run.drift.summary.first()["status"]
         except Exception as error:  # reported, as the run's other results stand on their own
             run.drift_status = "FAIL"

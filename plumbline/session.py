@@ -19,11 +19,16 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
-def local_session(cores: int | str | None = None, memory: str = "16g") -> SparkSession:
+def local_session(
+    cores: int | str | None = None, memory: str = "16g", options: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and measurements."""
     cores = cores or os.environ.get("BENCH_CPUS") or 8
+    builder = configure(SparkSession.builder.master(f"local[{cores}]").appName("plumbline"))
+    for key, value in (options or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        configure(SparkSession.builder.master(f"local[{cores}]").appName("plumbline"))
+        builder
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

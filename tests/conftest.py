@@ -9,8 +9,13 @@ from plumbline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(memory="8g")
+def shared_folder(tmp_path_factory):
+    return tmp_path_factory.mktemp("shared")
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
+    session = local_session(memory="8g", options={"spark.checkpoint.dir": str(shared_folder)})
     yield session
     session.stop()
 

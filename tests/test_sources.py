@@ -188,3 +188,12 @@ def test_failed_reference_does_not_stop_the_run(spark, files):
     run = q.run_rules(spark, config)
     assert run.drift_status == "FAIL" and "Unsupported source type" in run.messages[0]
     assert run.score.first().score is not None
+
+
+def test_text_sources_are_staged_in_the_shared_folder(spark, files, shared_folder):
+    before = set(shared_folder.glob("staged-*"))
+    run = q.run_rules(spark, {"source": {"type": "csv", "file": files["repeated"]}})
+    assert run.score.first().score == 85.71
+    assert len(set(shared_folder.glob("staged-*")) - before) == 1
+    run.release()
+    assert set(shared_folder.glob("staged-*")) == before

@@ -49,6 +49,26 @@ def test_exact_quantiles(spark, limit):
     assert [found["neg"][s] for s in shares] == pytest.approx(list(np.quantile([-v for v in clean(values)], shares)))
 
 
+def test_quantiles_survive_a_wrong_sketch(spark, monkeypatch):
+    from plumbline.operators import quantiles as Q
+
+    values = [float(v) for v in range(1000)]
+    honest, calls = Q.sketched_quantiles, []
+
+    def misleading(df, asked):
+        found = honest(df, asked)
+        calls.append(asked)
+        if len(calls) == 1:
+            for s in found.values():
+                s.quantiles = [s.low for _ in s.quantiles]
+        return found
+
+    monkeypatch.setattr(Q, "sketched_quantiles", misleading)
+    found = exact_quantiles(frame(spark, values), {"v": F.col("v")}, [0.1, 0.5, 0.9])
+    assert [found["v"][s] for s in (0.1, 0.5, 0.9)] == pytest.approx([99.9, 499.5, 899.1])
+    assert len(calls) == 2
+
+
 def test_quantiles_of_nothing_and_of_one(spark):
     empty = frame(spark, [None, None])
     assert exact_quantiles(empty, {"v": F.col("v")}, [0.5]) == {"v": {0.5: None}}
