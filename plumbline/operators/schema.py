@@ -14,7 +14,7 @@ from plumbline.functions.columns import (
     is_text,
     known,
 )
-from plumbline.functions.parsing import DATE_FORMATS, looks_boolean, looks_numeric, parse_with
+from plumbline.functions.parsing import DATE_FORMATS, date_shape, looks_boolean, looks_numeric, parse_with
 from plumbline.operators.batches import first_row
 from plumbline.operators.distinct import distinct_counts
 
@@ -36,13 +36,17 @@ def column_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column string, source_type string")
 
 
+def _shape_name(i: int) -> str:
+    return f"date shape of column {i}"
+
+
 def _text_evidence(i: int, field: T.StructField) -> list[Column]:
-    c = col(field.name)
+    c, shape = col(field.name), col(_shape_name(i))
     found = [
         F.count_if(looks_boolean(c)).alias(f"bool_{i}"),
         F.count_if(looks_numeric(c)).alias(f"num_{i}"),
     ]
-    found += [F.count(parse_with(c, fmt)).alias(f"date_{i}_{j}") for j, fmt in enumerate(DATE_FORMATS)]
+    found += [F.count(parse_with(c, shape, fmt)).alias(f"date_{i}_{j}") for j, fmt in enumerate(DATE_FORMATS)]
     return found
 
 
@@ -92,7 +96,9 @@ def infer_types(df: DataFrame) -> dict[str, str]:
             evidence += _text_evidence(i, f)
         elif is_floating(dtype) or isinstance(dtype, T.DecimalType):
             evidence += _fraction_evidence(i, f)
-    counts = first_row(df, evidence)
+    texts = {i: col(f.name) for i, f in enumerate(df.schema.fields) if is_text(f.dataType)}
+    shaped = df.withColumns({_shape_name(i): date_shape(c) for i, c in texts.items()}) if texts else df
+    counts = first_row(shaped, evidence)
 
     types: dict[str, str] = {}
     undecided: list[T.StructField] = []
