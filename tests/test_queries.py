@@ -17,7 +17,7 @@ def db():
 def test_query_matches_sql(spark, db, name):
     outcome, _ = compare(spark, db, SF_DIR, name)
     assert outcome.startswith("equal" if name in oracle_sql() else "no oracle"), outcome
-    assert "types to cast" not in outcome
+    assert "types differ" not in outcome
 
 
 def test_entry(spark):
