@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.registry import EVENTS_D, events_d, query, rounded, table, union_sql
+from catalogue.registry import EVENTS_D, events_d, query, table, union_sql
 from plumbline.functions.columns import union_all
 from plumbline.operators import dates as D
 from plumbline.operators import schema as S

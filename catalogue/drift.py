@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalogue.registry import query, rounded, table, union_sql
 from plumbline.functions.columns import union_all
 from plumbline.operators import drift as R

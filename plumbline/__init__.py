@@ -44,7 +44,7 @@ from plumbline.operators.schema import (
     schema_status,
     type_mismatches,
 )
-from plumbline.operators.stats import dataset_stats
+from plumbline.operators.stats import dataset_stats, estimated_bytes
 from plumbline.plans.run import run_checks, run_discovery, run_rules
 from plumbline.sources.csv import read_csv
 from plumbline.sources.load import infer_source_schema, load_source, scan

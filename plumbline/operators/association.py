@@ -85,7 +85,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     fields = [numeric_field(df, f.name) for f in select_fields(df, columns, is_numeric)]
     names = [f"v{i}" for i in range(len(fields))]
     doubles = df.select(*[known(f).cast("double").alias(v) for f, v in zip(fields, names)])
-    splits = split_points(doubles, names, bucket_count(df))
+    splits = split_points(doubles, names, bucket_count(doubles))
     gaps = doubles.agg(*[F.count_if(F.col(v).isNull()).alias(v) for v in names]).first()
     count = F.count(F.lit(1)).alias("n")
     # Known values only, stated before the grouping: both uses of a table of counts then have the

@@ -8,13 +8,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     col,
     field_of,
     is_missing,
-    is_numeric,
     known,
     numeric_field,
     percent,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.functions.columns import METADATA_COLUMNS, key_fields, without_metadata
 from plumbline.operators.distinct import distinct_counts, distinct_rows

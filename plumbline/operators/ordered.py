@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.sketches import sketched_quantiles
+from plumbline.operators.stats import estimated_bytes
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 8192
+BYTES_PER_BUCKET = 64 * 1024**2
 
 
 def bucket_count(df: DataFrame) -> int:
-    """One bucket per shuffle partition, within bounds: this also limits the per-bucket table."""
+    """At least one bucket per shuffle partition, more for large input.
+
+    The size is the optimizer's estimate of ``df``. The upper bound also limits the table of buckets.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_BUCKETS, partitions))
+    return max(2, min(MAX_BUCKETS, max(partitions, estimated_bytes(df) // BYTES_PER_BUCKET)))
 
 
 def split_points(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:

@@ -175,8 +175,11 @@ def exact_quantiles(
         missed = {v: ranks for v, ranks in missed.items() if ranks}
         # Never seen in practice: at a slack of one a bracket is the whole range, so this ends.
         slack = min(1.0, slack * 8)
-        again = sketched_quantiles(values, {v: _shares(r, 0, sketched[v].n, slack) for v, r in missed.items()}) if missed else {}
-        brackets = [b for v, ranks in missed.items() for b in _around(v, ranks, again[v].quantiles)]
+        brackets = []
+        if missed:
+            asked = {v: _shares(ranks, 0, sketched[v].n, slack) for v, ranks in missed.items()}
+            again = sketched_quantiles(values, asked)
+            brackets = [b for v, ranks in missed.items() for b in _around(v, ranks, again[v].quantiles)]
 
     def quantile(v: str, share: float) -> float | None:
         n = sketched[v].n

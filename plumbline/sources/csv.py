@@ -60,12 +60,8 @@ def sniff_delimiter(spark: SparkSession, path: str | list[str]) -> str:
 
 def blank_out(df: DataFrame, tokens: list[str]) -> DataFrame:
     """Text that stands for a missing value becomes NULL."""
-    return df.select(
-        *[
-            F.when(~col(f.name).isin(tokens), col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    text = {f.name: col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.withColumns({c: F.when(~v.isin(tokens), v) for c, v in text.items()}) if text else df
 
 
 def typed(df: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:

@@ -42,9 +42,10 @@ def read_run(spark: SparkSession, path: str, name: str, run: str | None = None,
 def results_document(dataset: str, check_results: DataFrame, score: DataFrame, drift: DataFrame | None = None) -> DataFrame:
     """One row with one JSON text: dataset, score, checks and, if given, schema differences."""
     # Bounded by the number of rules and columns, not by the data.
-    checks = check_results.agg(
-        F.sort_array(F.collect_list(F.struct("check_type", "target", "status", "observed", "threshold", "row_count", F.to_json("details").alias("details")))).alias("v")
-    ).scalar()
+    row = F.struct(
+        "check_type", "target", "status", "observed", "threshold", "row_count", F.to_json("details").alias("details")
+    )
+    checks = check_results.agg(F.sort_array(F.collect_list(row))).scalar()
     parts = [F.lit(dataset).alias("dataset"), F.col("score").alias("data_quality_score"), checks.alias("checks")]
     if drift is not None:
         differing = drift.where(F.col("issue").isNotNull())

@@ -236,3 +236,30 @@ def test_alerts(spark):
     found = {(r.column, r.alert) for r in q.profile_alerts(df).collect()}
     assert {("id", "unique"), ("same", "constant"), ("gap", "missing"), ("z", "zeros"), ("a | b", "correlated")} <= found
     assert ("same", "correlated") not in found
+
+
+def test_bucket_count_grows_with_the_input(spark, monkeypatch):
+    from plumbline.operators import ordered
+
+    df = spark.range(10)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ordered.bucket_count(df) == partitions
+    monkeypatch.setattr(ordered, "estimated_bytes", lambda _: 10**11)
+    assert ordered.bucket_count(df) == 10**11 // ordered.BYTES_PER_BUCKET
+    monkeypatch.setattr(ordered, "estimated_bytes", lambda _: 10**14)
+    assert ordered.bucket_count(df) == ordered.MAX_BUCKETS
+
+
+def test_many_buckets_give_the_same_result(spark, monkeypatch):
+    from plumbline.operators import ordered
+
+    a, b = hot_values(10, 3000), hot_values(11, 3000)
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    few = q.spearman(df, ["a", "b"]).first().correlation
+    monkeypatch.setattr(ordered, "bucket_count", lambda _: ordered.MAX_BUCKETS)
+    monkeypatch.setattr("plumbline.operators.association.bucket_count", lambda _: ordered.MAX_BUCKETS)
+    assert q.spearman(df, ["a", "b"]).first().correlation == pytest.approx(few)
+
+
+def test_estimated_bytes_reads_no_data(spark):
+    assert q.estimated_bytes(spark.range(1000)) >= 1000
