@@ -117,24 +117,27 @@ def profile_histogram(spark, sf_dir):
     )
 
 
-def _top(source: str, c: str, k: int) -> str:
+_DIGEST = "CASE WHEN octet_length(encode(text)) >= 64 THEN sha256(text) ELSE text END"
+
+
+def _top(source: str, c: str, k: int, order: str = "") -> str:
     return (
         f"SELECT * FROM (SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count, "
         f"round(count(*) / CAST((SELECT count({c}) FROM {source}) AS DOUBLE), 6) AS share FROM {source} WHERE {c} IS NOT NULL "
-        f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT {k})"
+        f"GROUP BY {c} ORDER BY count(*) DESC, {order or c} LIMIT {k})"
     )
 
 
 @query(
     union_sql(
-        [_top("documents", "lang", 10), _top("documents", "source", 10), _top("events", "user_id", 10), _top(EVENTS_D, "t", 10)]
+        [_top("documents", "lang", 10), _top("documents", "text", 10, _DIGEST), _top("documents", "source", 10), _top("events", "user_id", 10), _top(EVENTS_D, "t", 10)]
     )
 )
 def profile_top_values(spark, sf_dir):
     return rounded(
         union_all(
             [
-                P.profile_top_values(table(spark, sf_dir, "documents"), ["lang", "source"]),
+                P.profile_top_values(table(spark, sf_dir, "documents"), ["lang", "source", "text"]),
                 P.profile_top_values(table(spark, sf_dir, "events"), ["user_id"]),
                 P.profile_top_values(events_d(spark, sf_dir), ["t"]),
             ]
@@ -264,7 +267,7 @@ def profile_missing_corr(spark, sf_dir):
 
 @query(
     "SELECT text, lang, copies FROM (SELECT text, lang, count(*) AS copies FROM documents GROUP BY text, lang HAVING count(*) > 1 "
-    "ORDER BY copies DESC, CASE WHEN octet_length(encode(text)) >= 64 THEN sha256(text) ELSE text END, lang LIMIT 10)"
+    f"ORDER BY copies DESC, {_DIGEST}, lang LIMIT 10)"
 )
 def profile_duplicates(spark, sf_dir):
     return P.profile_duplicates(table(spark, sf_dir, "documents"), ["text", "lang"])

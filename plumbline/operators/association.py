@@ -75,44 +75,66 @@ def _centred_ranks(values: DataFrame, name: str, splits: list[float]) -> DataFra
     return ranked.select(name, (mid_rank("n") - (F.col("n_total") + 1) / 2.0).alias(f"rank_{name}"))
 
 
+def _rank_correlation(n: Column, a: str, b: str) -> Column:
+    ra, rb = F.col(f"rank_{a}"), F.col(f"rank_{b}")
+    spread = F.sqrt(F.sum(n * ra * ra) * F.sum(n * rb * rb))
+    return F.try_divide(F.sum(n * ra * rb), spread)
+
+
+def _named(names: dict[str, str], a: str, b: str, correlation: str) -> Column:
+    return F.struct(
+        F.lit(names[a]).alias("column_a"), F.lit(names[b]).alias("column_b"), F.col(correlation).alias("correlation")
+    )
+
+
+def _complete_pairs(doubles: DataFrame, names: dict[str, str], splits: dict[str, list[float]]) -> DataFrame:
+    """All pairs of columns without missing values: ranks join the rows, one aggregation does the rest."""
+    count = F.count(F.lit(1)).alias("n")
+    ranked = doubles.select(*names)
+    for v in names:
+        # Known values only, stated before the grouping: both uses of a table of counts then have
+        # the same plan and share its shuffle.
+        counts = doubles.where(F.col(v).isNotNull()).groupBy(v).agg(count)
+        ranked = ranked.join(_centred_ranks(counts, v, splits[v]), v)
+    return aggregate_rows(
+        ranked,
+        list(combinations(names, 2)),
+        lambda p: 3,
+        lambda i, p: [_rank_correlation(F.lit(1), *p).alias(f"r{i}")],
+        lambda i, p: _named(names, *p, f"r{i}"),
+    )
+
+
+def _gapped_pair(doubles: DataFrame, names: dict[str, str], splits: dict[str, list[float]], a: str, b: str) -> DataFrame:
+    """A pair with missing values, ranked among the rows where both are known."""
+    both = doubles.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = pairs = both.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    for v in (a, b):
+        counts = pairs.groupBy(v).agg(F.sum("n").alias("n"))
+        ranked = ranked.join(_centred_ranks(counts, v, splits[v]), v)
+    found = ranked.agg(_rank_correlation(F.col("n"), a, b).alias("r"))
+    return found.select(_named(names, a, b, "r").alias("s")).select("s.*")
+
+
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_a, column_b, correlation)`` of average ranks, over the rows where both are known.
 
-    Rows are first reduced to distinct value pairs, ranks to distinct values; the two meet in equi
-    joins. A column without missing values is ranked once for all its pairs. Ranks are centred on
-    their known mean, so the sums do not cancel at large row counts.
+    Ranks are made on distinct values and joined back; a column without missing values is ranked
+    once for all its pairs. Ranks are centred on their known mean, so that sums over many rows do
+    not cancel.
     """
     fields = [numeric_field(df, f.name) for f in select_fields(df, columns, is_numeric)]
-    names = [f"v{i}" for i in range(len(fields))]
+    names = {f"v{i}": f.name for i, f in enumerate(fields)}
     doubles = df.select(*[known(f).cast("double").alias(v) for f, v in zip(fields, names)])
-    splits = split_points(doubles, names, bucket_count(doubles))
-    gaps = doubles.agg(*[F.count_if(F.col(v).isNull()).alias(v) for v in names]).first()
-    count = F.count(F.lit(1)).alias("n")
-    # Known values only, stated before the grouping: both uses of a table of counts then have the
-    # same plan and share its shuffle.
-    whole = {
-        v: _centred_ranks(doubles.where(F.col(v).isNotNull()).groupBy(v).agg(count), v, splits[v])
-        for v in names
-        if not gaps[v]
-    }
+    splits = split_points(doubles, list(names), bucket_count(doubles))
+    gaps = first_row(doubles, [F.expr(f"count_if({v} is null) as {v}") for v in names])
+    complete = {v: c for v, c in names.items() if not gaps[v]}
     parts = []
-    for i, j in combinations(range(len(fields)), 2):
-        a, b = names[i], names[j]
-        pairs = doubles.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(count)
-
-        def ranks(side: str) -> DataFrame:
-            if a in whole and b in whole:
-                return whole[side]
-            return _centred_ranks(pairs.groupBy(side).agg(F.sum("n").alias("n")), side, splits[side])
-
-        ra, rb, n = F.col(f"rank_{a}"), F.col(f"rank_{b}"), F.col("n")
-        spread = F.sqrt(F.sum(n * ra * ra) * F.sum(n * rb * rb))
-        ranked = pairs.join(ranks(a), a).join(ranks(b), b)
-        parts.append(
-            ranked.agg(F.try_divide(F.sum(n * ra * rb), spread).alias("correlation")).select(
-                F.lit(fields[i].name).alias("column_a"), F.lit(fields[j].name).alias("column_b"), "correlation"
-            )
-        )
+    if len(complete) > 1:
+        parts.append(_complete_pairs(doubles, complete, splits))
+    for a, b in combinations(names, 2):
+        if gaps[a] or gaps[b]:
+            parts.append(_gapped_pair(doubles, names, splits, a, b))
     return union_all(parts)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
+    DIGEST_LENGTH,
     col,
     group_key,
     is_missing,
@@ -164,20 +165,42 @@ def profile_histogram(df: DataFrame, columns: list[str], bins: int = 10) -> Data
     )
 
 
+def _is_bytes(dtype: T.DataType) -> bool:
+    return is_text(dtype) or isinstance(dtype, T.BinaryType)
+
+
+def _long_values(df: DataFrame, field: T.StructField, keys: DataFrame) -> DataFrame:
+    """``(key, value)`` of the digests among ``keys``, a table of bounded size."""
+    rows = df.where(F.octet_length(col(field.name)) >= DIGEST_LENGTH).select(
+        group_key(field).alias("key"), col(field.name).alias("value")
+    )
+    return rows.join(F.broadcast(keys), "key", "left_semi").distinct()
+
+
 def profile_top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
-    """``(column, value, count, share)`` of the ``k`` most frequent known values per column."""
+    """``(column, value, count, share)`` of the ``k`` most frequent known values per column.
+
+    Ties are ordered by the value, long texts among them by their digest. The values of the digests
+    among the ``k`` winners are read back by a second scan.
+    """
     parts = []
     for f in select_fields(df, columns, lambda t: not isinstance(t, T.ArrayType) and is_orderable(t)):
-        counted = df.select(known(f).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(
-            F.count(F.lit(1)).alias("count")
+        counted = (
+            df.select(group_key(f).alias("key"))
+            .where(F.col("key").isNotNull())
+            .groupBy("key")
+            .agg(F.count(F.lit(1)).alias("count"))
         )
         total = counted.agg(F.sum("count")).scalar()
+        top = counted.orderBy(F.desc("count"), "key").limit(k)
+        value = F.col("key")
+        if _is_bytes(f.dataType):
+            top = top.join(_long_values(df, f, top.select("key")), "key", "left")
+            value = F.coalesce("value", "key")
         parts.append(
-            counted.orderBy(F.desc("count"), "v")
-            .limit(k)
-            .select(
+            top.select(
                 F.lit(f.name).alias("column"),
-                F.col("v").cast("string").alias("value"),
+                value.cast("string").alias("value"),
                 "count",
                 F.try_divide(F.col("count"), total).alias("share"),
             )
@@ -239,7 +262,7 @@ def profile_duplicates(df: DataFrame, columns: list[str] | None = None, k: int =
         .orderBy(F.desc("copies"), *keys)
         .limit(k)
     )
-    if not any(is_text(f.dataType) or isinstance(f.dataType, T.BinaryType) for f in fields):
+    if not any(_is_bytes(f.dataType) for f in fields):
         return top.select(*[F.col(k_).alias(f.name) for f, k_ in zip(fields, keys)], "copies")
     names = [f"v{i}" for i in range(len(fields))]
     rows = df.select(
