@@ -7,6 +7,7 @@ column, reach the driver for their tail probability and verdict.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,17 +41,24 @@ DRIFT_SCHEMA = (
 )
 
 
+def _comparable(baseline: DataFrame, current: DataFrame, column: str) -> Callable[[Column], Column]:
+    """Turns values of both sides into one type: kept if it is the same, else numbers, else text."""
+    types = [df.schema[column].dataType for df in (baseline, current)]
+    if types[0] == types[1]:
+        return lambda v: v
+    return (lambda v: v.cast("double")) if all(is_numeric(t) for t in types) else (lambda v: v.cast("string"))
+
+
 def value_pairs(baseline: DataFrame, current: DataFrame, column: str, numeric: bool) -> DataFrame:
     """``(value, b, c)``: rows of each side per distinct known value."""
+    comparable = _comparable(baseline, current, column)
 
     def side(df: DataFrame, b: int, c: int) -> DataFrame:
         field = df.schema[column]
-        value = known(field).cast("double") if numeric else group_key(field).cast("string")
+        value = known(field).cast("double") if numeric else comparable(group_key(field))
         return df.select(value.alias("value"), F.lit(b).alias("is_b"), F.lit(c).alias("is_c"))
 
     both = side(baseline, 1, 0).unionAll(side(current, 0, 1)).where(F.col("value").isNotNull())
-    if numeric:
-        both = both.where(~F.isnan("value"))
     return both.groupBy("value").agg(F.sum("is_b").alias("b"), F.sum("is_c").alias("c"))
 
 
@@ -219,8 +227,7 @@ def _sizes(baseline: DataFrame, current: DataFrame, numeric: dict[str, bool]) ->
     def side(df: DataFrame, is_b: bool) -> DataFrame:
         values = []
         for i, c in enumerate(columns):
-            v = known(df.schema[c])
-            values.append((v.cast("double") if numeric[c] else v.cast("string")).alias(f"v{i}"))
+            values.append(_comparable(baseline, current, c)(known(df.schema[c])).alias(f"v{i}"))
         return df.select(F.lit(is_b).alias("is_b"), *values)
 
     both = side(baseline, True).unionAll(side(current, False))

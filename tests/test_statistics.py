@@ -263,3 +263,10 @@ def test_many_buckets_give_the_same_result(spark, monkeypatch):
 
 def test_estimated_bytes_reads_no_data(spark):
     assert q.estimated_bytes(spark.range(1000)) >= 1000
+
+
+def test_drift_between_columns_of_different_types(spark):
+    left = spark.createDataFrame([(i % 3, str(i % 2)) for i in range(60)], "n int, c string")
+    right = spark.createDataFrame([(float(i % 3), i % 2) for i in range(60)], "n double, c int")
+    found = {r.column: r for r in q.data_drift(left, right).columns.collect()}
+    assert found["n"].statistic == pytest.approx(0.0) and found["c"].statistic == pytest.approx(0.0)
