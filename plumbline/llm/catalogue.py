@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encoding, fingerprints, mixing, quality
+from plumbline.llm import encoding, fingerprints, mixing, privacy, quality
 from plumbline.llm.common import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts by kind, and spans with those of disclosing terms."""
+    found = privacy.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base", lambda s, rank=rank: s["rank"] == rank)).cast("bigint").alias(f"n_{kind}")
+        for rank, kind in enumerate(privacy.KINDS[:4])
+    ]
+    base, spans = privacy.written(F.col("base")), privacy.written(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 _FENCED = "\n".join(
