@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encoding, fingerprints, mixing, privacy, quality
+from plumbline.llm import encoding, fingerprints, mixing, near_duplicates, privacy, quality
 from plumbline.llm.common import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, named by its smallest id."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, compared with each other and the next document."""
