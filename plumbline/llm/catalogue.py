@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encoding, fingerprints, mixing, near_duplicates, privacy, quality
+from plumbline.llm import classifier, encoding, fingerprints, mixing, near_duplicates, privacy, quality
 from plumbline.llm.common import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labelled documents that are not held out."""
+    featured = materialise(
+        classifier.features(table(spark, sf_dir, "documents")).withColumn(
+            "held_out", classifier.remainder(F.col("doc_id"), 4) == 2
+        ), "features",
+    )
+    model = classifier.train(featured, table(spark, sf_dir, "labels"), ~F.col("held_out"))
+    result = classifier.scored(featured, model)
+    return result.select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= classifier.CUT, 1).otherwise(0).alias("predicted")
+    )
+
+
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
