@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import classifier, encoding, fingerprints, mixing, near_duplicates, privacy, quality
+from plumbline.llm import (
+    classifier, encoding, fingerprints, mixing, near_duplicates, passages, privacy, quality, substrings,
+)
 from plumbline.llm.common import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +187,28 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _removed(result: DataFrame, n: str) -> list:
+    length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return ["doc_id", n, length.alias("n_removed")]
+
+
+@query()
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when byte strings that occur earlier are removed."""
+    result = substrings.without_repeated_bytes(table(spark, sf_dir, "documents"))
+    return result.select(
+        *_removed(result, "n_bytes"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query()
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when repeated passages are removed."""
+    result = passages.without_repeated_passages(table(spark, sf_dir, "documents"))
+    return result.select(*_removed(result, "n_words"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labelled documents that are not held out."""
