@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    classifier, encoding, fingerprints, mixing, near_duplicates, passages, privacy, quality, substrings,
+    classifier, encoding, fingerprints, language_model, mixing, near_duplicates, passages, privacy, quality, substrings,
 )
 from plumbline.llm.common import materialise
 
@@ -209,6 +209,13 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select(*_removed(result, "n_words"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under word counts and under the recurrent model."""
+    held_out = classifier.remainder(F.col("doc_id"), 10) == 0
+    return language_model.LanguageModel(table(spark, sf_dir, "documents"), held_out).scores()
+
+
 @query()
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labelled documents that are not held out."""
