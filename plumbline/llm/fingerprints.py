@@ -69,13 +69,14 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 def _place(value: Column, bounds: Column, n: int) -> Column:
     """Number of sorted ``bounds`` that are at most ``value``."""
-    found = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        found = let(found, lambda f, step=step: F.when(
+    def further(found: Column, step: int) -> Column:
+        return let(found, lambda f: F.when(
             (f + step <= n) & (value >= F.get(bounds, f + (step - 1))), f + step
         ).otherwise(f))
-        step //= 2
+
+    found = F.lit(0)
+    for k in reversed(range(n.bit_length())):
+        found = further(found, 1 << k)
     return found
 
 

@@ -212,6 +212,10 @@ def personal_data(documents: DataFrame) -> DataFrame:
     )
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("bigint")
+
+
 def written(spans: Column) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
