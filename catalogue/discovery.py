@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import EVENTS_D, events_d, query, table, union_sql
 from plumbline.functions.columns import union_all
+from plumbline.functions.parsing import MISSING_TOKENS
 from plumbline.operators import dates as D
 from plumbline.operators import schema as S
 from plumbline.operators.distinct import distinct_counts as count_distinct
 from plumbline.operators.distinct import key_candidates
 from plumbline.operators.duplicates import duplicates
 from plumbline.operators.groups import group_distribution as distribute
-from plumbline.operators.keys import detect_keys
+from plumbline.operators.keys import detect_keys, key_not_run
 from plumbline.operators.stats import dataset_stats as measure
+from plumbline.sources.csv import blank_out, typed
 from plumbline.sources.load import load_source
 from plumbline.sources.sampling import sample_by_key as by_key
 from plumbline.sources.sampling import sample_rows as at_random
@@ -210,36 +212,55 @@ def key_single(spark, sf_dir):
     )
 
 
-# Ordered by distinct count: 50, 11, 9, 7 and 3 values.
-PREFIX = ("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag")
+def _ranked(source: str, columns: tuple[str, ...]) -> str:
+    """The columns by falling distinct count, ties in table order."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS c, {i} AS place, count(DISTINCT {c}) AS d, count(*) AS n FROM {source}" for i, c in enumerate(columns)
+    )
+    return f"(SELECT *, row_number() OVER (ORDER BY d DESC, place) AS rank FROM ({rows}))"
 
 
-@query(
-    union_sql(
-        [
-            f"SELECT CAST({size - 1} AS INTEGER) AS attempt, '{','.join(PREFIX[:size])}' AS columns, "
-            f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(PREFIX[:size])} FROM lineitem)) AS distinct_count, "
-            f"count(*) AS row_count, false AS is_key FROM lineitem"
-            for size in range(2, 6)
-        ]
+def _prefix_row(source: str, columns: tuple[str, ...], size: int) -> str:
+    """Distinct rows of the ``size`` leading columns, counted over texts that keep values apart."""
+    values = ", ".join(f"struct_pack(c := '{c}', v := CAST({c} AS VARCHAR))" for c in columns)
+    chosen = f"(SELECT list(c ORDER BY rank) AS names FROM ranked WHERE rank <= {size})"
+    kept = f"list_filter([{values}], lambda x: list_contains(names, x.c))"
+    return (
+        f"SELECT {size - 1} AS attempt, array_to_string(any_value(names), ',') AS columns, "
+        f"count(DISTINCT {kept}) AS distinct_count, count(*) AS row_count FROM {source}, {chosen}"
     )
-)
+
+
+ORDERS_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _search_sql(source: str, columns: tuple[str, ...]) -> str:
+    """All attempts up to and with the first key."""
+    attempts = " UNION ALL ".join(_prefix_row(source, columns, size) for size in range(2, 6))
+    return (
+        f"WITH ranked AS {_ranked(source, columns)}, tried AS ({attempts}) "
+        "SELECT CAST(attempt AS INTEGER) AS attempt, columns, distinct_count, row_count, distinct_count = row_count AS is_key FROM tried "
+        "WHERE NOT EXISTS (SELECT 1 FROM ranked WHERE d = n) AND attempt <= coalesce("
+        "(SELECT min(attempt) FROM tried WHERE distinct_count = row_count), 99)"
+    )
+
+
+@query(_search_sql("lineitem", LINEITEM_COLUMNS))
 def key_composite(spark, sf_dir):
-    columns = [c for c in LINEITEM_COLUMNS if c in PREFIX or c == "l_linestatus"]
-    history = detect_keys(table(spark, sf_dir, "lineitem").select(*columns)).history
+    history = detect_keys(table(spark, sf_dir, "lineitem")).history
     return history.withColumn("columns", F.array_join("columns", ","))
 
 
 @query(
-    "SELECT 'SUCCESS' AS status, 'COMPOSITE' AS key_type, 'l_extendedprice,l_orderkey' AS columns, "
-    "(SELECT count(*) FROM (SELECT DISTINCT l_extendedprice, l_orderkey FROM lineitem)) AS distinct_count, "
-    "count(*) AS row_count FROM lineitem "
-    "UNION ALL SELECT 'SUCCESS', 'SINGLE', 'o_orderkey', count(DISTINCT o_orderkey), count(*) FROM orders"
+    f"WITH tried AS ({_search_sql('lineitem', LINEITEM_COLUMNS)}), "
+    f"singles AS (SELECT * FROM {_ranked('orders', ORDERS_COLUMNS)} WHERE d = n) "
+    "SELECT CASE WHEN bool_or(is_key) THEN 'SUCCESS' ELSE 'FAIL' END AS status, CASE WHEN bool_or(is_key) THEN 'COMPOSITE' END AS key_type, "
+    "coalesce(max(columns) FILTER (WHERE is_key), '') AS columns, max(distinct_count) FILTER (WHERE is_key) AS distinct_count, "
+    "max(row_count) AS row_count FROM tried "
+    "UNION ALL SELECT 'SUCCESS', 'SINGLE', string_agg(c, ',' ORDER BY rank), max(d), max(n) FROM singles"
 )
 def key_search(spark, sf_dir):
-    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_linenumber")
-    orders = table(spark, sf_dir, "orders").drop("o_totalprice")
-    found = [detect_keys(df).key for df in (lineitem, orders)]
+    found = [detect_keys(table(spark, sf_dir, t)).key for t in ("lineitem", "orders")]
     return union_all(found).select(
         "status", "key_type", F.array_join("columns", ",").alias("columns"), "distinct_count", "row_count"
     )
@@ -406,6 +427,75 @@ def sample_rows(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    "SELECT count(*) AS sampled, count(DISTINCT o_orderkey) AS different, true AS repeats FROM (SELECT o_orderkey FROM orders LIMIT 500)"
+)
 def sample_by_key(spark, sf_dir):
-    return by_key(table(spark, sf_dir, "orders"), ["o_orderkey"], 500)
+    """Size and absence of repeats, and whether another order of the rows gives the same sample."""
+    orders = table(spark, sf_dir, "orders")
+    digest = lambda df: df.agg(F.sum(F.xxhash64("o_orderkey").cast("decimal(20,0)")))
+    found = by_key(orders, ["o_orderkey"], 500)
+    again = by_key(orders.orderBy(F.desc("o_totalprice")), ["o_orderkey"], 500)
+    return found.agg(
+        F.count(F.lit(1)).alias("sampled"), F.count_distinct("o_orderkey").alias("different"),
+        (F.sum(F.xxhash64("o_orderkey").cast("decimal(20,0)")) == digest(again).scalar()).alias("repeats"),
+    )
+
+
+_TEXT_ORDERS = """(
+  SELECT CAST(9000000000000000000 + o_orderkey AS VARCHAR) AS id19, CAST(o_orderkey AS VARCHAR) || '00000000000000000000' AS id25,
+    CASE WHEN o_orderstatus = 'O' THEN 'NA' ELSE CAST(o_custkey AS VARCHAR) END AS gaps,
+    CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'False' END AS flag, 'n/a' AS nothing, CAST(o_orderpriority AS VARCHAR) AS word
+  FROM orders)"""
+
+
+def _typed_sql(c: str, kind: str, sql: str) -> str:
+    known = f"CASE WHEN {c} IN ('NA', 'n/a') THEN NULL ELSE {c} END"
+    return (
+        f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count({known}) AS known, count(DISTINCT {known}) AS different, "
+        f"CAST(max(CAST({known} AS {sql})) AS VARCHAR) AS largest FROM {_TEXT_ORDERS}"
+    )
+
+
+@query(union_sql([
+    _typed_sql("id19", "bigint", "BIGINT"), _typed_sql("id25", "decimal(38,0)", "HUGEINT"), _typed_sql("gaps", "bigint", "BIGINT"),
+    _typed_sql("flag", "boolean", "BOOLEAN"), _typed_sql("nothing", "string", "VARCHAR"), _typed_sql("word", "string", "VARCHAR"),
+]))
+def text_typing(spark, sf_dir):
+    """Missing tokens and types of a table that is all text, as the CSV source treats it."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    text = orders.select(
+        (F.col("o_orderkey") + 9000000000000000000).cast("string").alias("id19"),
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("0" * 20)).alias("id25"),
+        F.when(status == "O", "NA").otherwise(F.col("o_custkey").cast("string")).alias("gaps"),
+        F.when(status == "F", "true").otherwise("False").alias("flag"),
+        F.lit("n/a").alias("nothing"), F.col("o_orderpriority").alias("word"),
+    )
+    found = typed(blank_out(text, list(MISSING_TOKENS)))
+    return union_all([
+        found.agg(
+            F.lit(c).alias("column"), F.lit(t).alias("kind"), F.count(c).alias("known"), F.count_distinct(c).alias("different"),
+            F.max(c).cast("string").alias("largest"),
+        )
+        for c, t in found.dtypes
+    ])
+
+
+@query(
+    "SELECT 'none' AS dataset, 'NOT_RUN' AS status, CAST(NULL AS BIGINT) AS row_count FROM orders HAVING count(*) > 0 "
+    "UNION ALL SELECT 'empty', 'SKIPPED', count(*) FROM orders WHERE o_orderkey < 0 "
+    "UNION ALL SELECT 'repeated', CASE WHEN count(*) = (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)) "
+    "THEN 'SUCCESS' ELSE 'FAIL' END, count(*) FROM orders "
+    "UNION ALL SELECT 'unlimited', CASE WHEN count(*) = (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) "
+    "THEN 'SUCCESS' ELSE 'FAIL' END, count(*) FROM lineitem"
+)
+def key_outcomes(spark, sf_dir):
+    """Searches that do not run, have no rows, find nothing, and go as deep as there are columns; metadata is ignored."""
+    orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    few = orders.select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").alias("DH_Upload"))
+    found = {
+        "none": key_not_run(orders).key, "empty": detect_keys(orders.where("o_orderkey < 0")).key,
+        "repeated": detect_keys(few).key, "unlimited": detect_keys(lineitem, max_columns=None).key,
+    }
+    return union_all([df.select(F.lit(name).alias("dataset"), "status", "row_count") for name, df in found.items()])

@@ -89,9 +89,43 @@ def profile_quantiles(spark, sf_dir):
     return rounded(union_all([found, events, derived]), 4)
 
 
-@query()
+def _exact(c: str) -> str:
+    return (
+        f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min_exact, CAST(max({c}) AS VARCHAR) AS max_exact, "
+        f"CAST(sum({c}) AS VARCHAR) AS sum_exact FROM (SELECT CAST(o_orderkey AS BIGINT) + 9007199254740992 AS big, "
+        f"CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders)"
+    )
+
+
+@query(union_sql([_exact("big"), _exact("price")]))
+def profile_exact_numbers(spark, sf_dir):
+    """Whole numbers beyond the doubles, and decimals, keep every digit."""
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + 9007199254740992).alias("big"), F.col("o_totalprice").cast("decimal(18,2)").alias("price")
+    )
+    return P.profile_numeric(orders, ["*"]).select("column", "min_exact", "max_exact", "sum_exact")
+
+
+_SHARES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+
+
+@query(union_sql([
+    "SELECT c AS \"column\", n > 0 AS q05, n > 0 AS q25, n > 0 AS q50, n > 0 AS q75, n > 0 AS q95 FROM "
+    f"(SELECT unnest({list(NUMBERS)}) AS c, n FROM (SELECT count(*) AS n FROM lineitem))"
+]))
 def profile_quantiles_approx(spark, sf_dir):
-    return P.profile_quantiles_approx(table(spark, sf_dir, "lineitem"), list(NUMBERS))
+    """Whether every sketched quantile lies within the rank error of 0.1 % around its share."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    found = {r["column"]: r for r in P.profile_quantiles_approx(lineitem, list(NUMBERS)).collect()}
+    parts = []
+    for c in NUMBERS:
+        n = F.count(F.lit(1))
+        fits = [
+            ((F.count_if(F.col(c) < found[c][q]) <= (s + 0.001) * n) & (F.count_if(F.col(c) <= found[c][q]) >= (s - 0.001) * n)).alias(q)
+            for q, s in _SHARES.items()
+        ]
+        parts.append(lineitem.agg(*fits).select(F.lit(c).alias("column"), *_SHARES))
+    return union_all(parts)
 
 
 def _histogram(source: str, c: str, bins: int) -> str:

@@ -17,9 +17,9 @@ MISSING_TOKENS = (
 )
 
 NUMBER_PATTERN = (
-    r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)\s*$"
+    r"^\s*+[+-]?(?:(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)\s*+$"
 )
-WHOLE_NUMBER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_NUMBER_PATTERN = r"^\s*+[+-]?\d++\s*+$"
 
 
 class DateFormat(NamedTuple):
@@ -35,6 +35,8 @@ class DateFormat(NamedTuple):
 _FRACTIONS = ("", ".999", ".999999", ".999999999")
 _ZONES = ("", "Z", "+99:99", "-99:99")
 _DAY_TIME = "99:99:99"
+_SHORT_DAYS = ("9/9/9999", "9/99/9999", "99/9/9999", "99/99/9999")
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 # Date formats tried in this order (fixed values).
 DATE_FORMATS = (
@@ -56,6 +58,14 @@ DATE_FORMATS = (
     DateFormat("yyyy/MM/dd HH:mm:ss", (f"9999/99/99 {_DAY_TIME}",)),
     DateFormat("dd/MM/yyyy HH:mm:ss", (f"99/99/9999 {_DAY_TIME}",)),
     DateFormat("MM/dd/yyyy HH:mm:ss", (f"99/99/9999 {_DAY_TIME}",)),
+    DateFormat("yyyy-M-d", ("9999-9-9", "9999-9-99", "9999-99-9", "9999-99-99")),
+    DateFormat("d/M/yyyy", _SHORT_DAYS),
+    DateFormat("M/d/yyyy", _SHORT_DAYS),
+    DateFormat("MMM d, yyyy", tuple(f"{m} {d}, 9999" for m in _MONTHS for d in ("9", "99"))),
+    DateFormat("yyyy-MM-dd'T'HH:mm", ("9999-99-99T99:99",)),
+    DateFormat("dd/MM/yyyy HH:mm", ("99/99/9999 99:99",)),
+    DateFormat("MM/dd/yyyy HH:mm", ("99/99/9999 99:99",)),
+    DateFormat("yyyy-MM-dd HH:mm:ssXXX", tuple(f"9999-99-99 {_DAY_TIME}{z}" for z in _ZONES[1:])),
 )
 _LONGEST_DATE = max(len(s) for fmt in DATE_FORMATS for s in fmt.shapes)
 
@@ -81,7 +91,6 @@ def parse_with(c: Column, shape: Column, fmt: DateFormat) -> Column:
     return F.when(shape.isin(*fmt.shapes), F.try_to_timestamp(c, F.lit(fmt.pattern)))
 
 
-def parse_date(c: Column) -> Column:
-    """First format that accepts the text, as a timestamp without time zone; NULL if none does."""
-    shape = date_shape(c)
-    return F.coalesce(*[parse_with(c, shape, fmt) for fmt in DATE_FORMATS]).cast("timestamp_ntz")
+def parse_as(c: Column, fmt: DateFormat) -> Column:
+    """The text read with one format, as a timestamp without time zone; NULL where it does not fit."""
+    return parse_with(c, date_shape(c), fmt).cast("timestamp_ntz")

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import col, is_missing, is_numeric, is_text, known
+from plumbline.functions.columns import col, is_floating, is_missing, is_numeric, is_text, known
 
 # A character that is not white space; the four separators x1c-x1f count as white space too.
 _VISIBLE = r"(?U)[^\s\x1c-\x1f]"
@@ -45,9 +45,18 @@ def forbidden(field: T.StructField, values: list[Any]) -> Column:
     return in_list(field, values)
 
 
+def as_text(field: T.StructField) -> Column:
+    """The text form of a value; floating numbers from 0.0001 to 1e16 in plain decimal notation."""
+    c = known(field)
+    if not is_floating(field.dataType):
+        return c.cast("string")
+    plain = F.regexp_replace(c.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(c).between(1e-4, 9.999999999999998e15), plain).otherwise(c.cast("string"))
+
+
 def not_matching(field: T.StructField, pattern: str) -> Column:
     """TRUE unless the text form matches from its start; a missing value never matches."""
-    return ~F.coalesce(known(field).cast("string").rlike(f"^(?:{pattern})"), F.lit(False))
+    return ~F.coalesce(as_text(field).rlike(f"^(?:{pattern})"), F.lit(False))
 
 
 def below(field: T.StructField, bound: Any) -> Column:

@@ -17,7 +17,7 @@ from plumbline.functions.columns import (
     select_fields,
     union_all,
 )
-from plumbline.operators.batches import aggregate_rows, first_row
+from plumbline.operators.batches import aggregate_rows, first_row, no_rows
 from plumbline.operators.ordered import bucket_count, mid_rank, running_totals, split_points
 
 
@@ -124,6 +124,8 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     not cancel.
     """
     fields = [numeric_field(df, f.name) for f in select_fields(df, columns, is_numeric)]
+    if len(fields) < 2:
+        return no_rows(df, spearman, "double", 2)
     names = {f"v{i}": f.name for i, f in enumerate(fields)}
     doubles = df.select(*[known(f).cast("double").alias(v) for f, v in zip(fields, names)])
     splits = split_points(doubles, list(names), bucket_count(doubles))
@@ -145,6 +147,8 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
     The corrected form removes the bias of small tables (Bergsma 2013).
     """
     fields = [field_of(df, f.name) for f in select_fields(df, columns) if not is_complex(f.dataType)]
+    if len(fields) < 2:
+        return no_rows(df, cramers_v, "string", 2)
     parts = []
     for fa, fb in combinations(fields, 2):
         cells = (
@@ -161,7 +165,7 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
             .join(of_b, "b")
             .agg(
                 F.sum("o").alias("n"),
-                (F.sum(F.col("o") * F.col("o") / (F.col("of_a") * F.col("of_b").cast("double"))) - 1).alias("phi2"),
+                (F.sum(F.col("o").cast("double") / F.col("of_a") * F.col("o") / F.col("of_b")) - 1).alias("phi2"),
                 F.round(F.sum(F.col("o") / F.col("of_a"))).alias("r"),
                 F.round(F.sum(F.col("o") / F.col("of_b"))).alias("c"),
             )

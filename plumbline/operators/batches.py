@@ -50,6 +50,16 @@ def aggregate_rows(
     return union_all(parts)
 
 
+def no_rows(df: DataFrame, operator: Callable[..., DataFrame], kind: str, columns: int = 1) -> DataFrame:
+    """The empty result of an operator for a table without fitting columns.
+
+    Its columns are those that the operator gives for an empty table with ``columns`` columns of ``kind``.
+    """
+    names = [f"c{i}" for i in range(columns)]
+    fitting = df.sparkSession.createDataFrame([], ", ".join(f"{n} {kind}" for n in names))
+    return df.sparkSession.createDataFrame([], operator(fitting, names).schema)
+
+
 def first_row(df: DataFrame, aggregates: list[Column], width: int = 1) -> dict:
     """All aggregates of a one-row result, by name, computed in passes of bounded width."""
     parts = packed(aggregates, lambda _: width)

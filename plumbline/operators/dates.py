@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import WILDCARD, col, field_of, is_temporal, is_text, select_fields
-from plumbline.functions.parsing import parse_date
+from plumbline.functions.parsing import DATE_FORMATS, DateFormat, date_shape, parse_as, parse_with
+from plumbline.operators.batches import first_row
 
 SHOWN_DAYS = 10
 
@@ -29,17 +30,53 @@ def date_fields(df: DataFrame, columns: list[str]) -> list[T.StructField]:
     return [f for f in select_fields(df, columns) if is_temporal(f.dataType) or is_text(f.dataType)]
 
 
-def moment(field: T.StructField) -> Column:
+def text_formats(df: DataFrame, fields: list[T.StructField]) -> dict[str, DateFormat]:
+    """The one format that each text column is read with.
+
+    It is the format that fits most values of the column, the earlier one in ``DATE_FORMATS`` (day before month)
+    if several fit as many. A column that no format fits has none.
+    """
+    texts = [f for f in fields if is_text(f.dataType)]
+    counts = [
+        F.count(parse_with(col(f.name), date_shape(col(f.name)), fmt)).alias(f"n_{i}_{j}")
+        for i, f in enumerate(texts)
+        for j, fmt in enumerate(DATE_FORMATS)
+    ]
+    seen = first_row(df, counts) if counts else {}
+    found = {}
+    for i, f in enumerate(texts):
+        best = max(range(len(DATE_FORMATS)), key=lambda j: (seen[f"n_{i}_{j}"], -j))
+        if seen[f"n_{i}_{best}"]:
+            found[f.name] = DATE_FORMATS[best]
+    return found
+
+
+def moment(field: T.StructField, formats: dict[str, DateFormat]) -> Column:
     c = col(field.name)
-    return parse_date(c) if is_text(field.dataType) else c.cast("timestamp_ntz")
+    if not is_text(field.dataType):
+        return c.cast("timestamp_ntz")
+    return parse_as(c, formats[field.name]) if field.name in formats else F.lit(None).cast("timestamp_ntz")
+
+
+def _formats(df: DataFrame, fields: list[T.StructField], date_format: str | None) -> dict[str, DateFormat]:
+    if date_format is None:
+        return text_formats(df, fields)
+    known = [f for f in DATE_FORMATS if f.pattern == date_format]
+    if not known:
+        raise ValueError(f"unknown date format {date_format!r}; known: {', '.join(f.pattern for f in DATE_FORMATS)}")
+    return dict.fromkeys([f.name for f in fields], known[0])
+
 
+def date_max(df: DataFrame, columns: list[str], date_format: str | None = None) -> DataFrame:
+    """``(column, kind, max_date)`` of every column with a date, all in one aggregation.
 
-def date_max(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, kind, max_date)`` of every column with a date, all in one aggregation."""
+    Text columns are read with ``date_format``, or each with the format that fits it best.
+    """
     fields = date_fields(df, columns)
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, kind string, max_date timestamp_ntz")
-    latest = df.agg(*[F.max(moment(f)).alias(f"m{i}") for i, f in enumerate(fields)])
+    formats = _formats(df, fields, date_format)
+    latest = df.agg(*[F.max(moment(f, formats)).alias(f"m{i}") for i, f in enumerate(fields)])
     entries = [
         F.struct(
             F.lit(f.name).alias("column"),
@@ -52,23 +89,26 @@ def date_max(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.where(F.col("max_date").isNotNull())
 
 
-def _per_day(df: DataFrame, column: str) -> DataFrame:
-    day = F.to_date(moment(field_of(df, column)))
+def _per_day(df: DataFrame, column: str, date_format: str | None) -> DataFrame:
+    field = field_of(df, column)
+    day = F.to_date(moment(field, _formats(df, [field], date_format)))
     return df.select(day.alias("date")).where(F.col("date").isNotNull()).groupBy("date").agg(
         F.count(F.lit(1)).alias("count")
     )
 
 
-def date_distribution(df: DataFrame, column: str, k: int | None = SHOWN_DAYS) -> DataFrame:
+def date_distribution(
+    df: DataFrame, column: str, k: int | None = SHOWN_DAYS, date_format: str | None = None
+) -> DataFrame:
     """Records per day, latest first; ``k=None`` lists every day."""
-    days = _per_day(df, column).orderBy(F.desc("date"))
+    days = _per_day(df, column, date_format).orderBy(F.desc("date"))
     return days if k is None else days.limit(k)
 
 
-def date_distribution_total(df: DataFrame, column: str) -> DataFrame:
+def date_distribution_total(df: DataFrame, column: str, date_format: str | None = None) -> DataFrame:
     """Every day plus a TOTAL row. The rollup runs on the daily counts, not on the records."""
     return (
-        _per_day(df, column)
+        _per_day(df, column, date_format)
         .rollup("date")
         .agg(F.sum("count").alias("count"), F.grouping("date").alias("total"))
         .select(

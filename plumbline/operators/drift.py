@@ -12,20 +12,23 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     common_columns,
     group_key,
     is_complex,
     is_numeric,
+    is_temporal,
     known,
     union_all,
 )
 from plumbline.functions.tails import chi_square_upper, kolmogorov_two_sided, normal_two_sided
-from plumbline.operators.batches import packed
+from plumbline.operators.batches import first_row, packed
 from plumbline.operators.ordered import bucket_count, running_totals, split_points
 
-# Defaults of the test selection (fixed values).
+# Verdict thresholds, the most values of a number that is compared as a category, and the
+# largest baseline for which the family "by_size" uses hypothesis tests.
 SMALL_BASELINE = 1000
 FEW_VALUES = 5
 P_VALUE = 0.05
@@ -49,13 +52,20 @@ def _comparable(baseline: DataFrame, current: DataFrame, column: str) -> Callabl
     return (lambda v: v.cast("double")) if all(is_numeric(t) for t in types) else (lambda v: v.cast("string"))
 
 
+def as_number(field: T.StructField) -> Column:
+    """A number as a double, a date or time as its microseconds."""
+    if is_temporal(field.dataType):
+        return F.unix_micros(known(field).cast("timestamp")).cast("double")
+    return known(field).cast("double")
+
+
 def value_pairs(baseline: DataFrame, current: DataFrame, column: str, numeric: bool) -> DataFrame:
     """``(value, b, c)``: rows of each side per distinct known value."""
     comparable = _comparable(baseline, current, column)
 
     def side(df: DataFrame, b: int, c: int) -> DataFrame:
         field = df.schema[column]
-        value = known(field).cast("double") if numeric else comparable(group_key(field))
+        value = as_number(field) if numeric else comparable(group_key(field))
         return df.select(value.alias("value"), F.lit(b).alias("is_b"), F.lit(c).alias("is_c"))
 
     both = side(baseline, 1, 0).unionAll(side(current, 0, 1)).where(F.col("value").isNotNull())
@@ -78,7 +88,7 @@ def _numeric_splits(baseline: DataFrame, current: DataFrame, columns: list[str])
         return {}
 
     def doubles(df: DataFrame) -> DataFrame:
-        return df.select(*[known(df.schema[c]).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+        return df.select(*[as_number(df.schema[c]).alias(f"v{i}") for i, c in enumerate(columns)])
 
     both = doubles(baseline).unionAll(doubles(current))
     names = [f"v{i}" for i in range(len(columns))]
@@ -115,14 +125,15 @@ def wasserstein(
     column: str,
     splits: list[float] | None = None,
     normalise: bool = True,
+    std: float | None = None,
 ) -> DataFrame:
-    """Area between the distribution functions, in standard deviations of the baseline."""
+    """Area between the distribution functions, in standard deviations (``std``) of the baseline."""
     rows = _ordered(baseline, current, column, splits)
     width = F.col("next_value") - F.col("value")
     area = F.coalesce(F.sum(F.abs(_share_b() - _share_c()) * width), F.lit(0.0))
     if normalise:
-        std = baseline.agg(F.stddev_pop(known(baseline.schema[column]).cast("double"))).scalar()
-        area = area / F.greatest(std, F.lit(LEAST_NORM))
+        spread = baseline.agg(F.stddev_pop(as_number(baseline.schema[column]))).scalar() if std is None else F.lit(std)
+        area = area / F.greatest(spread, F.lit(LEAST_NORM))
     return _statistic(rows, column, "wasserstein", area, F.max("b_total"), F.max("c_total"))
 
 
@@ -135,7 +146,7 @@ def _with_totals(baseline: DataFrame, current: DataFrame, column: str) -> tuple[
 def chi_square(baseline: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """Pearson's statistic of the table (dataset x value)."""
     pairs, nb, nc = _with_totals(baseline, current, column)
-    both = F.col("b") + F.col("c")
+    both = (F.col("b") + F.col("c")).cast("double")
     expected_b, expected_c = both * nb / (nb + nc), both * nc / (nb + nc)
     parts = F.try_divide((F.col("b") - expected_b) ** 2, expected_b) + F.try_divide(
         (F.col("c") - expected_c) ** 2, expected_c
@@ -175,10 +186,17 @@ TESTS = {
 }
 
 
-def choose_test(numeric: bool, distinct: int, baseline_rows: int) -> str:
+def choose_test(numeric: bool, distinct: int, baseline_rows: int, family: str = "distances") -> str:
+    """The test of a column: ``distances`` or ``hypotheses``, or with ``by_size`` the one that fits the baseline."""
+    if family in TESTS:
+        return family
+    if family == "by_size":
+        family = "hypotheses" if baseline_rows <= SMALL_BASELINE else "distances"
+    if family not in ("distances", "hypotheses"):
+        raise ValueError(f"unknown drift tests: {family}")
     if numeric and distinct > FEW_VALUES:
-        return "ks" if baseline_rows <= SMALL_BASELINE else "wasserstein"
-    if baseline_rows > SMALL_BASELINE:
+        return "ks" if family == "hypotheses" else "wasserstein"
+    if family == "distances":
         return "jensen_shannon"
     return "chi_square" if distinct > 2 else "proportion_z"
 
@@ -227,7 +245,9 @@ def _sizes(baseline: DataFrame, current: DataFrame, numeric: dict[str, bool]) ->
     def side(df: DataFrame, is_b: bool) -> DataFrame:
         values = []
         for i, c in enumerate(columns):
-            values.append(_comparable(baseline, current, c)(known(df.schema[c])).alias(f"v{i}"))
+            field = df.schema[c]
+            value = as_number(field) if numeric[c] else _comparable(baseline, current, c)(group_key(field))
+            values.append(value.alias(f"v{i}"))
         return df.select(F.lit(is_b).alias("is_b"), *values)
 
     both = side(baseline, True).unionAll(side(current, False))
@@ -250,26 +270,39 @@ def _sizes(baseline: DataFrame, current: DataFrame, numeric: dict[str, bool]) ->
     return {c: _Size(seen[f"b{i}"], seen[f"c{i}"], seen[f"d{i}"]) for i, c in enumerate(columns)}
 
 
-def data_drift(baseline: DataFrame, current: DataFrame) -> Drift:
-    """Tests every common column: small passes pick the tests, one job computes all statistics."""
+def data_drift(baseline: DataFrame, current: DataFrame, tests: str | dict[str, str] = "distances") -> Drift:
+    """Tests every common column: small passes pick the tests, one job computes all statistics.
+
+    ``tests`` is a family, or one for each column (others: ``distances``). ``distances`` are the Wasserstein and
+    Jensen-Shannon distances and ``hypotheses`` the tests with p-values, at every size; ``by_size`` takes hypotheses
+    for baselines of at most 1000 known rows. The name of a single test is possible, too. Dates and times
+    are compared as ordered numbers.
+    """
     spark = baseline.sparkSession
-    numeric = {
-        c: is_numeric(baseline.schema[c].dataType) and is_numeric(current.schema[c].dataType)
-        for c in drift_columns(baseline, current)
-    }
+
+    def both(c: str, family: Callable[[T.DataType], bool]) -> bool:
+        return family(baseline.schema[c].dataType) and family(current.schema[c].dataType)
+
+    numeric = {c: both(c, is_numeric) or both(c, is_temporal) for c in drift_columns(baseline, current)}
+    wanted = tests if isinstance(tests, dict) else dict.fromkeys(numeric, tests)
     if not numeric:
         return _drift_result(spark, [], "SKIPPED")
-    tests = {
-        c: choose_test(numeric[c], size.distinct, size.baseline_rows)
+    chosen = {
+        c: choose_test(numeric[c], size.distinct, size.baseline_rows, wanted.get(c, "distances"))
         for c, size in _sizes(baseline, current, numeric).items()
         if size.baseline_rows > 0 and size.current_rows > 0
     }
-    if not tests:
+    if not chosen:
         return _drift_result(spark, [], "SKIPPED")
-    splits = _numeric_splits(baseline, current, [c for c, t in tests.items() if t in ("ks", "wasserstein")])
+    splits = _numeric_splits(baseline, current, [c for c, t in chosen.items() if t in ("ks", "wasserstein")])
+    scaled = [c for c, t in chosen.items() if t == "wasserstein"]
+    spreads = first_row(
+        baseline, [F.stddev_pop(as_number(baseline.schema[c])).alias(f"s{i}") for i, c in enumerate(scaled)], 3
+    )
+    options = {c: {"std": spreads[f"s{i}"]} for i, c in enumerate(scaled)}
     parts = [
-        TESTS[t](baseline, current, c, splits[c]) if c in splits else TESTS[t](baseline, current, c)
-        for c, t in tests.items()
+        TESTS[t](baseline, current, c, splits[c], **options.get(c, {})) if c in splits else TESTS[t](baseline, current, c)
+        for c, t in chosen.items()
     ]
     rows = []
     for r in union_all(parts).collect():

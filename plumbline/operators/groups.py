@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     col,
@@ -28,6 +29,12 @@ SEPARATOR = " | "
 METRICS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
+def _summable(field: T.StructField, metric: str) -> Column:
+    """Whole numbers are summed as decimals, which hold any sum of a table's bigints."""
+    whole = isinstance(field.dataType, T.IntegralType) and metric == "sum"
+    return known(field).cast("decimal(38,0)") if whole else known(field)
+
+
 def _group_names(rule: dict[str, Any]) -> list[str]:
     names = rule["group_by"]
     return [names] if isinstance(names, str) else list(names)
@@ -45,7 +52,7 @@ def group_metrics(df: DataFrame, rule: dict[str, Any]) -> DataFrame:
     if unknown:
         raise ValueError(f"unknown metrics: {', '.join(unknown)}")
     values = [numeric_field(df, c) for c in rule.get("columns", [])] if metrics else []
-    aggregates = [METRICS[m](known(v)).alias(f"{m}_{v.name}") for v in values for m in metrics]
+    aggregates = [METRICS[m](_summable(v, m)).alias(f"{m}_{v.name}") for v in values for m in metrics]
     return (
         df.where(~any_of([is_missing(k) for k in keys]))
         .groupBy(*[col(k.name) for k in keys])

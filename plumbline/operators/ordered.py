@@ -1,7 +1,7 @@
 """Running totals over a globally ordered column, without a single-task window.
 
 Rows are first reduced to one row per distinct value. The values are then cut into buckets of about
-equal size at split points taken from an approximate quantile pass. The bucket is a fixed function
+equal numbers of distinct values, whatever the rows of a single value. The bucket is a fixed function
 of the value, so a task that is lost and run again puts every row where it was before. Windows run
 inside a bucket; the totals of the buckets before it come from a table of one row per bucket.
 """
@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators.sketches import sketched_quantiles
+from plumbline.functions.columns import col, union_all
+from plumbline.operators.batches import first_row
+from plumbline.operators.sketches import SKETCH_SIZE
 from plumbline.operators.stats import estimated_bytes
 
-MAX_BUCKETS = 8192
+# 65,536 buckets of 64 MB: 4 TiB of distinct values of one column.
+MAX_BUCKETS = 1 << 16
+SAMPLED_PER_BUCKET = 64
 BYTES_PER_BUCKET = 64 * 1024**2
 
 
@@ -32,10 +36,25 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def split_points(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
-    """Approximate quantiles of all columns in one job; at most ``buckets - 1`` numbers per column."""
-    shares = [i / buckets for i in range(1, buckets)]
-    found = sketched_quantiles(df, {c: shares for c in columns})
-    return {c: sorted({p for p in found[c].quantiles if abs(p) != inf}) for c in columns}
+    """At most ``buckets - 1`` places per column that cut its distinct values in about equal parts.
+
+    Values are chosen by their hash, so that one with many rows counts as often as one with a single
+    row: about ``SAMPLED_PER_BUCKET`` different values for each bucket are sketched per column.
+    """
+    if not columns:
+        return {}
+    seen = first_row(df, [F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)], 2)
+    parts = []
+    for i, c in enumerate(columns):
+        share = min(1.0, SAMPLED_PER_BUCKET * buckets / max(1, seen[f"d{i}"]))
+        place = F.xxhash64(col(c)).bitwiseAND(F.lit((1 << 62) - 1))
+        chosen = df.where(col(c).isNotNull() & (place < F.lit(int(share * (1 << 62)))))
+        parts.append(chosen.select(F.lit(i).alias("i"), col(c).cast("double").alias("v")).distinct())
+    sketched = union_all(parts).groupBy("i").agg(F.expr(f"kll_sketch_agg_double(v, {SKETCH_SIZE})").alias("s"))
+    shares = ", ".join(f"{k / buckets!r}D" for k in range(1, buckets))
+    rows = sketched.selectExpr("i", f"kll_sketch_get_quantile_double(s, array({shares})) AS q").collect()
+    found = {columns[r["i"]]: sorted({p for p in r["q"] if abs(p) != inf}) for r in rows}
+    return {c: found.get(c, []) for c in columns}
 
 
 def with_bucket(df: DataFrame, value: str, splits: list[float]) -> DataFrame:

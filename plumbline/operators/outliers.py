@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.columns import col, is_numeric, known, select_fields
 from plumbline.functions.predicates import any_of, z_score
+from plumbline.operators.batches import no_rows
 from plumbline.operators.results import as_rows, no_results, result
 
 EXAMPLES = 5
@@ -36,6 +37,8 @@ def _scores(fields: list[T.StructField], moments: Column) -> list[Column]:
 def outlier_moments(df: DataFrame, columns: list[str], z: float = 3.0) -> DataFrame:
     """``(column, mean, std, outlier_count, row_count)`` per numeric column."""
     fields = outlier_fields(df, columns)
+    if not fields:
+        return no_rows(df, outlier_moments, "double")
     moments = _moments(df, fields)
     hits = [F.count_if(s > z).alias(f"n{i}") for i, s in enumerate(_scores(fields, moments))]
     counted = df.agg(F.count(F.lit(1)).alias("rows"), *hits)
@@ -55,6 +58,8 @@ def outlier_moments(df: DataFrame, columns: list[str], z: float = 3.0) -> DataFr
 def outlier_examples(df: DataFrame, columns: list[str], z: float = 3.0, k: int = EXAMPLES) -> DataFrame:
     """The ``k`` most distant different values per column: ``(column, value, z_score, rank)``."""
     fields = outlier_fields(df, columns)
+    if not fields:
+        return no_rows(df, outlier_examples, "double")
     scores = _scores(fields, _moments(df, fields))
     entries = [
         F.when(

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import WILDCARD, union_all
 from plumbline.operators import checks as C
-from plumbline.operators.dates import date_distribution, date_fields, date_max
+from plumbline.operators.dates import SHOWN_DAYS, date_distribution, date_fields, date_max
 from plumbline.operators.drift import Drift, data_drift
 from plumbline.operators.duplicates import duplicates
-from plumbline.operators.groups import group_check, group_distribution
+from plumbline.operators.groups import SHOWN_GROUPS, group_check, group_distribution
 from plumbline.operators.keys import KeySearch, detect_keys, key_not_run
 from plumbline.operators.outliers import outlier_check
 from plumbline.operators.results import RESULT_SCHEMA, no_results, score
@@ -78,7 +78,10 @@ class Discovery:
 
 
 def run_discovery(df: DataFrame, config: dict[str, Any], single_scan: bool = False) -> Discovery:
-    """Size, keys, duplicates, group distributions and dates, as configured."""
+    """Size, keys, duplicates, group distributions and dates, as configured.
+
+    ``shown_groups`` and ``shown_days`` (None: all) set the length of the lists.
+    """
     if config.get("detect_keys"):
         keys = detect_keys(df, max_columns=config.get("max_key_columns", 5), single_scan=single_scan)
     else:
@@ -92,7 +95,7 @@ def run_discovery(df: DataFrame, config: dict[str, Any], single_scan: bool = Fal
     if repeated:
         found.duplicates = union_all(repeated)
     if config.get("group_by"):
-        found.groups = group_distribution(df, config["group_by"])
+        found.groups = group_distribution(df, config["group_by"], config.get("shown_groups", SHOWN_GROUPS))
     wanted = config.get("date_analysis")
     if wanted:
         columns = wanted if isinstance(wanted, list) else [WILDCARD]
@@ -101,7 +104,7 @@ def run_discovery(df: DataFrame, config: dict[str, Any], single_scan: bool = Fal
         if fields:
             found.date_distribution = union_all(
                 [
-                    date_distribution(df, f.name).select(F.lit(f.name).alias("column"), "date", "count")
+                    date_distribution(df, f.name, config.get("shown_days", SHOWN_DAYS)).select(F.lit(f.name).alias("column"), "date", "count")
                     for f in fields
                 ]
             )
@@ -152,11 +155,21 @@ def _load(spark: SparkSession, source: dict[str, Any], staged: list[str]) -> Dat
 def run_rules(spark: SparkSession, config: dict[str, Any], df: DataFrame | None = None) -> QualityRun:
     """Loads the source, infers and compares the schema, runs checks, discovery and drift.
 
-    ``config`` has the sections ``source``, ``validations``, ``discovery`` and ``reference``.
+    ``config`` has the sections ``source``, ``validations``, ``discovery`` and ``reference``, and ``drift_tests``
+    as in :func:`plumbline.operators.drift.data_drift`. Staged copies are removed if the run fails.
     ``df`` replaces the source. A drift that cannot be computed does not stop the run.
     """
-    source = config.get("source", {})
     staged: list[str] = []
+    try:
+        return _run(spark, config, df, staged)
+    except BaseException:
+        while staged:
+            release(spark, staged.pop())
+        raise
+
+
+def _run(spark: SparkSession, config: dict[str, Any], df: DataFrame | None, staged: list[str]) -> QualityRun:
+    source = config.get("source", {})
     data = _load(spark, source, staged) if df is None else df
     by_column = bool(staged) or not is_row_source(source)
     dataset = dataset_name(source)
@@ -184,7 +197,9 @@ def run_rules(spark: SparkSession, config: dict[str, Any], df: DataFrame | None
     )
     if "reference" in config:
         try:
-            run.drift = data_drift(_load(spark, config["reference"], staged), data)
+            run.drift = data_drift(
+                _load(spark, config["reference"], staged), data, config.get("drift_tests", "distances")
+            )
             run.drift_status = run.drift.summary.first()["status"]
         except Exception as error:  # reported, as the run's other results stand on their own
             run.drift_status = "FAIL"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from plumbline.functions.parsing import MISSING_TOKENS, looks_numeric, looks_who
 from plumbline.operators.batches import first_row
 
 DELIMITERS = (",", ";", "\t", "|")
-SNIFFED_LINES = 50
+CORRUPT = "__corrupt_line"
 
 # Reader options by the names a rule file uses (fixed values).
 READER_OPTIONS = {
@@ -30,7 +30,7 @@ READER_OPTIONS = {
     "multiline": "multiLine",
 }
 # Options handled after reading.
-OWN_OPTIONS = ("usecols", "nrows", "na_values", "keep_default_na", "dtype", "names", "header", "engine")
+OWN_OPTIONS = ("on_bad_lines", "usecols", "nrows", "na_values", "keep_default_na", "dtype", "names", "header", "engine")
 
 _NUMPY_TYPES = {
     "int": "bigint", "int64": "bigint", "int32": "int", "float": "double", "float64": "double",
@@ -38,53 +38,109 @@ _NUMPY_TYPES = {
 }
 
 
+def _best(candidates: dict[str, tuple[int, int, int]]) -> str:
+    """The candidate that occurs in every line, equally often if possible, and most often.
+
+    By candidate: how often the first line has it, lines with as many, and all lines.
+    """
+    best, best_rank = ",", (0, 0, 0)
+    for candidate, (first, agreeing, lines) in candidates.items():
+        rank = (int(agreeing == lines), agreeing, first)
+        if first and rank > best_rank:
+            best, best_rank = candidate, rank
+    return best
+
+
 def detect_delimiter(lines: list[str]) -> str:
-    """The candidate that occurs in every line, equally often if possible, and most often."""
     unquoted = [re.sub(r'"[^"]*"', "", line) for line in lines if line.strip()]
-    best, best_rank = ",", (0, 0, 0)
+    if not unquoted:
+        return ","
+    found = {}
     for candidate in DELIMITERS:
         counts = [line.count(candidate) for line in unquoted]
-        if not counts or counts[0] == 0:
-            continue
-        agreeing = sum(c == counts[0] for c in counts)
-        rank = (int(agreeing == len(counts)), agreeing, counts[0])
-        if rank > best_rank:
-            best, best_rank = candidate, rank
-    return best
+        found[candidate] = (counts[0], sum(c == counts[0] for c in counts), len(counts))
+    return _best(found)
+
+
+class Lines(NamedTuple):
+    """What all lines of a source say about its format."""
+
+    delimiter: str
+    open_quotes: int
+
+
+def inspect_lines(
+    spark: SparkSession, path: str | list[str], quote: str = '"', escape: str = '"', comment: str | None = None
+) -> Lines:
+    """Delimiter and number of lines with an odd number of quotes, in one aggregate over all lines."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if comment:
+        lines = lines.where(~F.startswith("value", F.lit(comment)))
+    text = F.col("value") if escape == quote else F.replace(F.col("value"), F.lit(escape + quote), F.lit(""))
+    q = re.escape(quote)
+    bare = F.regexp_replace(text, f"{q}[^{q}]*{q}", "")
+    counted = lines.select(
+        (F.regexp_count(text, F.lit(q)) % 2).alias("odd"),
+        *[F.regexp_count(bare, F.lit(re.escape(d))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)],
+    )
+    first = counted.first()
+    if first is None:
+        return Lines(",", 0)
+    found = counted.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("odd").alias("odd"),
+        *[F.count_if(F.col(f"d{i}") == first[f"d{i}"]).alias(f"d{i}") for i in range(len(DELIMITERS))],
+    ).first()
+    ranked = {d: (first[f"d{i}"], found[f"d{i}"], found["lines"]) for i, d in enumerate(DELIMITERS)}
+    return Lines(_best(ranked), found["odd"])
 
 
 def sniff_delimiter(spark: SparkSession, path: str | list[str]) -> str:
-    """Reads the first lines only; the choice does not depend on the size of the file."""
-    return detect_delimiter([r["value"] for r in spark.read.text(path).head(SNIFFED_LINES)])
+    """The delimiter that all lines speak for."""
+    return inspect_lines(spark, path).delimiter
 
 
 def blank_out(df: DataFrame, tokens: list[str]) -> DataFrame:
     """Text that stands for a missing value becomes NULL."""
-    text = {f.name: col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    text = {
+        f.name: col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != CORRUPT
+    }
     return df.withColumns({c: F.when(~v.isin(tokens), v) for c, v in text.items()}) if text else df
 
 
-def typed(df: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:
+def typed(df: DataFrame, wanted: dict[str, str] | None = None, refused: Column | None = None) -> DataFrame:
     """Casts text columns whose every known value is a whole number, a number or a boolean.
 
+    Whole numbers become bigint, those that do not fit decimal(38,0).
+
     One fused pass over the columns that have no type in ``wanted``; a column that is only NULL
-    stays text.
+    stays text. Rows for which ``refused`` holds are counted in the same pass and raise an error.
     """
     wanted = wanted or {}
-    open_columns = [c for c in df.columns if c not in wanted]
+    open_columns = [c for c in df.columns if c not in wanted and c != CORRUPT]
     evidence: list[Column] = []
     for i, c in enumerate(open_columns):
         evidence += [
             F.count(col(c)).alias(f"n_{i}"),
             F.count_if(looks_whole(col(c))).alias(f"whole_{i}"),
+            F.count_if(looks_whole(col(c)) & F.trim(col(c)).try_cast("bigint").isNotNull()).alias(f"long_{i}"),
+            F.count_if(looks_whole(col(c)) & F.trim(col(c)).try_cast("decimal(38,0)").isNotNull()).alias(f"wide_{i}"),
             F.count_if(looks_numeric(col(c))).alias(f"num_{i}"),
             F.count_if(F.lower(col(c)).isin("true", "false")).alias(f"bool_{i}"),
         ]
+    if refused is not None:
+        evidence.append(F.count_if(refused).alias("refused"))
     seen = first_row(df, evidence) if evidence else {}
+    if seen.get("refused"):
+        raise ValueError(
+            f"{seen['refused']} lines have more fields than the header; on_bad_lines='skip' leaves them out"
+        )
     target = dict(wanted)
     for i, c in enumerate(open_columns):
         n = seen[f"n_{i}"]
-        for kind, dtype in (("whole", "bigint"), ("num", "double"), ("bool", "boolean")):
+        if n and seen[f"whole_{i}"] == n and seen[f"wide_{i}"] < n:
+            continue  # whole numbers beyond 38 digits stay text, as no number type holds them
+        for kind, dtype in (("long", "bigint"), ("wide", "decimal(38,0)"), ("num", "double"), ("bool", "boolean")):
             if n and seen[f"{kind}_{i}"] == n:
                 target[c] = dtype
                 break
@@ -93,7 +149,7 @@ def typed(df: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:
         dtype = target.get(c, "string")
         return col(c) if dtype == "string" else F.trim(col(c)).cast(dtype).alias(c)
 
-    return df.select(*[cast(c) for c in df.columns])
+    return df.select(*[cast(c) for c in df.columns if c != CORRUPT])
 
 
 def _charset(encoding: str) -> str:
@@ -105,7 +161,9 @@ def _charset(encoding: str) -> str:
 def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> DataFrame:
     """Reads headed CSV with the option names of :data:`READER_OPTIONS`; others are refused by name.
 
-    ``dtype`` (column to type) saves the typing pass for the columns it names.
+    ``dtype`` (column to type) saves the typing pass for the columns it names. A line with more fields than the
+    header raises an error, as does a quoted line break without ``multiline``; ``on_bad_lines="skip"`` leaves
+    lines with too many fields out.
     """
     unknown = sorted(set(options) - set(READER_OPTIONS) - set(OWN_OPTIONS))
     if unknown:
@@ -113,18 +171,33 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> Data
     given = {READER_OPTIONS[k]: v for k, v in options.items() if k in READER_OPTIONS and v is not None}
     if "encoding" in given:
         given["encoding"] = _charset(given["encoding"])
-    if "sep" not in given:
-        given["sep"] = sniff_delimiter(spark, path)
     # A quote inside a quoted text is written twice.
-    given.setdefault("escape", given.get("quote", '"'))
+    quote = given.setdefault("quote", '"')
+    given.setdefault("escape", quote)
+    if "sep" not in given or not given.get("multiLine"):
+        lines = inspect_lines(spark, path, quote, given["escape"], given.get("comment"))
+        given.setdefault("sep", lines.delimiter)
+        if lines.open_quotes and not given.get("multiLine"):
+            raise ValueError(
+                f"{lines.open_quotes} lines have an odd number of quotes; multiline=True reads quoted line breaks"
+            )
     headed = options.get("header", "infer") is not None and options.get("names") is None
     if options.get("names") is not None and options.get("header") == 0:
         headed = True
-    raw = spark.read.options(**given).csv(path, header=headed, inferSchema=False)
-    if options.get("names") is not None:
-        raw = raw.toDF(*options["names"])
+    header = spark.read.options(**given).csv(path, header=headed, inferSchema=False).schema
+    names = options.get("names") or header.names
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    # All columns are parsed, or extra fields would go unseen.
+    raw = spark.read.options(**given, columnNameOfCorruptRecord=CORRUPT, columnPruning="false").schema(schema).csv(
+        path, header=headed, mode="PERMISSIVE"
+    )
+    q, sep = re.escape(quote), re.escape(given["sep"])
+    fields = F.regexp_count(F.regexp_replace(col(CORRUPT), f"{q}[^{q}]*{q}", ""), F.lit(sep)) + 1
+    refused = F.coalesce(fields > len(names), F.lit(False))
+    if options.get("on_bad_lines", "error") == "skip":
+        raw, refused = raw.where(~refused), None
     if options.get("usecols") is not None:
-        raw = raw.select(*[col(c) for c in options["usecols"]])
+        raw = raw.select(*[col(c) for c in (*options["usecols"], CORRUPT)])
     if options.get("nrows") is not None:
         raw = raw.limit(options["nrows"])
     extra = options.get("na_values") or []
@@ -132,6 +205,6 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> Data
     if options.get("keep_default_na", True):
         tokens = [*MISSING_TOKENS, *tokens]
     dtype = options.get("dtype") or {}
-    names = dict.fromkeys(raw.columns, dtype) if isinstance(dtype, str) else dtype
-    wanted = {c: _NUMPY_TYPES.get(t, t) for c, t in names.items()}
-    return typed(blank_out(raw, tokens) if tokens else raw, wanted)
+    given_types = dict.fromkeys(raw.columns, dtype) if isinstance(dtype, str) else dtype
+    wanted = {c: _NUMPY_TYPES.get(t, t) for c, t in given_types.items()}
+    return typed(blank_out(raw, tokens) if tokens else raw, wanted, refused)

@@ -38,6 +38,16 @@ def sample_rows(df: DataFrame, size: int | None, seed: int = 42) -> DataFrame:
 
 
 def sample_by_key(df: DataFrame, key: list[str], size: int) -> DataFrame:
-    """The same ``size`` rows on every run: those with the smallest hash of the key columns."""
+    """The same ``size`` rows on every run: those with the smallest hash of the key columns.
+
+    Rows above a hash below which about ``size`` rows lie are dropped first, so that tasks do not each send
+    ``size`` rows to one place. If a few keys hold so many rows that the bound misses, it is not used.
+    """
     parts = [col(c) for c in key]
-    return _smallest(df, F.xxhash64(*parts), None, size, parts)
+    order, total = F.xxhash64(*parts), df.count()
+    expected = size + 8 * math.sqrt(size) + 16
+    if expected >= total:
+        return _smallest(df, order, None, size, parts)
+    bound = F.lit(int(-(2**63) + expected / total * 2**64))
+    enough = df.where(order < bound).limit(size).count() == size
+    return _smallest(df, order, bound if enough else None, size, parts)

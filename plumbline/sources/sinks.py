@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN_FORMAT = "%Y-%m-%d_%Hh%M"
+# The table of all runs and the tables that each has written.
+RUNS = "runs"
+RUN_FORMAT = "%Y-%m-%d_%Hh%Mm%Ss"
 
 
 def run_id(at: datetime | None = None) -> str:
-    return (at or datetime.now()).strftime(RUN_FORMAT)
+    """A name that sorts by time, to the second, and differs between runs of the same second."""
+    return f"{(at or datetime.now()).strftime(RUN_FORMAT)}-{uuid.uuid4().hex[:6]}"
 
 
 def write_table(df: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
@@ -27,15 +31,24 @@ def write_table(df: DataFrame, path: str, run: str, fmt: str = "parquet") -> Non
 
 
 def write_results(tables: dict[str, DataFrame], path: str, run: str, fmt: str = "parquet") -> None:
+    """Writes all tables of a run, then notes the run in the table ``runs``."""
     for name, df in tables.items():
         write_table(df, f"{path.rstrip('/')}/{name}", run, fmt)
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        listed = spark.createDataFrame([(name,) for name in sorted(tables)], "name string")
+        write_table(listed, f"{path.rstrip('/')}/{RUNS}", run, fmt)
 
 
 def read_run(spark: SparkSession, path: str, name: str, run: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """One result table of a run; of the latest run if none is named."""
+    """One result table of a run; of the latest run of all tables if none is named.
+
+    A table that the run did not write has no rows.
+    """
     table = spark.read.format(fmt).load(f"{path.rstrip('/')}/{name}")
     table = table.withColumn("run_id", F.col("run_id").cast("string"))
-    wanted = table.agg(F.max("run_id")).scalar() if run is None else F.lit(run)
+    runs = spark.read.format(fmt).load(f"{path.rstrip('/')}/{RUNS}")
+    wanted = runs.agg(F.max(F.col("run_id").cast("string"))).scalar() if run is None else F.lit(run)
     return table.where(F.col("run_id") == wanted)
 
 

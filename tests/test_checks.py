@@ -12,9 +12,9 @@ def one(df):
 
 
 def test_null_check_thresholds(unit):
-    assert one(q.null_check(unit, [{"column": "valor", "max_percent": 30}])).status == "PASS"
-    assert one(q.null_check(unit, [{"column": "valor", "max_percent": 25}])).status == "PASS"
-    failed = one(q.null_check(unit, [{"column": "valor", "max_percent": 0}]))
+    assert one(q.null_check(unit, [{"column": "level", "max_percent": 30}])).status == "PASS"
+    assert one(q.null_check(unit, [{"column": "level", "max_percent": 25}])).status == "PASS"
+    failed = one(q.null_check(unit, [{"column": "level", "max_percent": 0}]))
     assert (failed.status, failed.observed, failed.details["null_count"]) == ("FAIL", 25.0, "1")
 
 
@@ -41,7 +41,7 @@ def test_uniqueness(unit):
     assert one(q.uniqueness_check(unit, ["id"])).status == "PASS"
     repeated = one(q.uniqueness_check(unit.unionAll(unit.where("id = 1")), ["id"]))
     assert (repeated.status, repeated.observed) == ("FAIL", 1.0)
-    assert one(q.uniqueness_check(unit, ["status", "data"])).status == "PASS"
+    assert one(q.uniqueness_check(unit, ["sky", "noted"])).status == "PASS"
 
 
 def test_uniqueness_treats_missing_as_equal(spark):
@@ -62,8 +62,8 @@ def test_long_text_keys_are_exact(spark):
 def test_numeric_check(unit):
     assert one(q.numeric_check(unit, [{"column": "id", "min": 1, "max": 10}])).status == "PASS"
     assert one(q.numeric_check(unit, [{"column": "id", "min": 2}])).observed == 1.0
-    with pytest.raises(TypeError, match="status"):
-        q.numeric_check(unit, [{"column": "status", "min": 2}])
+    with pytest.raises(TypeError, match="sky"):
+        q.numeric_check(unit, [{"column": "sky", "min": 2}])
 
 
 def test_numeric_check_ignores_missing_and_nan(spark):
@@ -142,8 +142,8 @@ def test_outlier_examples_are_distinct_and_ranked(spark):
 
 
 def test_group_check(unit, spark):
-    assert one(q.group_check(unit, [{"group_by": ["status"], "min_count": 1}])).status == "PASS"
-    failed = one(q.group_check(unit, [{"group_by": ["status"], "min_count": 3}]))
+    assert one(q.group_check(unit, [{"group_by": ["sky"], "min_count": 1}])).status == "PASS"
+    failed = one(q.group_check(unit, [{"group_by": ["sky"], "min_count": 3}]))
     assert (failed.status, failed.observed) == ("FAIL", 1.0)
     with_missing = spark.createDataFrame([("a",), (None,), ("a",)], "g string")
     kept = one(q.group_check(with_missing, [{"group_by": "g", "min_count": 2}]))
@@ -193,9 +193,9 @@ def test_score_counts_schema_and_skips_groups(unit):
     checks = q.run_checks(
         unit,
         {
-            "null_checks": [{"column": "valor"}, {"column": "id"}],
+            "null_checks": [{"column": "level"}, {"column": "id"}],
             "constant_checks": ["*"],
-            "group_by_checks": [{"group_by": ["status"], "min_count": 99}],
+            "group_by_checks": [{"group_by": ["sky"], "min_count": 99}],
         },
     )
     assert one(q.score(checks, "PASS")).score == 66.67
@@ -211,3 +211,10 @@ def test_masks_are_never_null(spark):
         P.not_allowed(word, ["a"]), P.forbidden(word, ["a"]), P.not_matching(word, "a"),
     ]
     assert None not in tuple(df.select(*[m.alias(str(i)) for i, m in enumerate(masks)]).first())
+
+
+def test_regex_sees_plain_decimals(spark):
+    df = spark.createDataFrame([(12345678.0,), (0.00025,), (1.5,)], "v double")
+    texts = [r.t for r in df.select(P.as_text(df.schema["v"]).alias("t")).collect()]
+    assert texts == ["12345678.0", "0.00025", "1.5"]
+    assert one(q.domain_check(df.limit(1), [{"column": "v", "regex": r"\d{8}"}])).status == "PASS"

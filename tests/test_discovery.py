@@ -57,19 +57,19 @@ def test_load_metadata_is_ignored_whatever_its_case(spark):
 
 def test_duplicates_of_the_sample(spark, files):
     df = q.read_csv(spark, files["duplicates"], sep=";")
-    for found in (q.duplicates(df, include=["nome", "valor"]), q.duplicates(df, exclude=["id", "status"])):
+    for found in (q.duplicates(df, include=["item", "price"]), q.duplicates(df, exclude=["code", "shelf"])):
         row = found.first()
         assert (row.duplicate_count, row.duplicate_percent, row.status) == (3, 42.86, "SUCCESS")
-        assert row.columns == ["nome", "valor"]
+        assert row.columns == ["item", "price"]
     search = q.detect_keys(df)
     assert [r.distinct_count for r in search.history.collect()] == [5, 5, 6]
     assert search.key.first().status == "FAIL"
-    groups = q.group_distribution(df, ["status"]).collect()
-    assert [(r["values"], r["count"], r.percent) for r in groups] == [("ATIVO", 5, 71.43), ("INATIVO", 2, 28.57)]
+    groups = q.group_distribution(df, ["shelf"]).collect()
+    assert [(r["values"], r["count"], r.percent) for r in groups] == [("front", 5, 71.43), ("back", 2, 28.57)]
 
 
 def test_duplicates_excluding_the_id(spark, files):
-    row = q.duplicates(q.read_csv(spark, files["repeated"]), exclude=["id"]).first()
+    row = q.duplicates(q.read_csv(spark, files["repeated"]), exclude=["tag"]).first()
     assert (row.duplicate_count, row.duplicate_percent) == (1, 20.0)
 
 
@@ -120,7 +120,7 @@ def test_ten_latest_days(spark):
 
 
 def test_schema_of_the_unit_frame(unit):
-    assert infer_types(unit) == {"id": "integer", "valor": "float", "status": "categorical", "data": "datetime"}
+    assert infer_types(unit) == {"id": "integer", "level": "float", "sky": "categorical", "noted": "datetime"}
 
 
 def test_schema_rules(spark):
@@ -171,12 +171,12 @@ def test_decimal_follows_the_float_rule(spark):
 
 def test_schema_drift(unit):
     actual = q.infer_schema(unit)
-    expected = {"id": "integer", "valor": "integer", "status": "categorical", "new": "string"}
+    expected = {"id": "integer", "level": "integer", "sky": "categorical", "new": "string"}
     assert [r.column for r in q.missing_columns(actual, expected).collect()] == ["new"]
-    assert [r.column for r in q.extra_columns(actual, expected).collect()] == ["data"]
-    assert [tuple(r) for r in q.type_mismatches(actual, expected).collect()] == [("valor", "integer", "float")]
+    assert [r.column for r in q.extra_columns(actual, expected).collect()] == ["noted"]
+    assert [tuple(r) for r in q.type_mismatches(actual, expected).collect()] == [("level", "integer", "float")]
     assert q.schema_status(q.schema_drift(actual, expected)).first().status == "FAIL"
-    extra_only = {"id": "integer", "valor": "float"}
+    extra_only = {"id": "integer", "level": "float"}
     assert q.schema_status(q.schema_drift(actual, extra_only)).first().status == "PASS"
 
 
@@ -184,3 +184,21 @@ def test_dataset_stats(spark):
     df = spark.createDataFrame([(1, "é", [1.0, 2.0]), (2, None, [])], "n bigint, t string, e array<double>")
     row = q.dataset_stats(df).first()
     assert (row.total_rows, row.total_columns, row.total_bytes) == (2, 3, 8 + 8 + 2 + 16)
+
+
+def test_one_date_format_for_a_column(spark):
+    df = spark.createDataFrame(
+        [("01/02/2025", "1/2/2025", "Jan 5, 2024", "2024-01-01T10:00"), ("01/25/2025", "13/2/2025", "Dec 15, 2024", "2024-03-01T09:30")],
+        "a string, b string, c string, d string",
+    )
+    assert set(infer_types(df).values()) == {"datetime"}
+    found = {r.column: str(r.max_date) for r in q.date_max(df, ["a", "b", "c", "d"]).collect()}
+    assert found == {
+        "a": "2025-01-25 00:00:00", "b": "2025-02-13 00:00:00", "c": "2024-12-15 00:00:00", "d": "2024-03-01 09:30:00",
+    }
+    assert str(q.date_max(df, ["b"], date_format="M/d/yyyy").first().max_date) == "2025-01-02 00:00:00"
+
+
+def test_long_digit_texts_are_recognised_in_time(spark):
+    df = spark.createDataFrame([("1" * 20_000 + "x",)] * 4, "t string")
+    assert infer_types(df) == {"t": "categorical"}

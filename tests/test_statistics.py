@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import plumbline as q
 from plumbline.functions.tails import chi_square_upper, kolmogorov_two_sided, normal_two_sided
 from plumbline.operators import drift as R
+from plumbline.operators import ordered
 from plumbline.operators.ordered import mid_rank, running_totals
 from plumbline.operators.quantiles import exact_quantiles
 
@@ -137,7 +138,7 @@ def test_small_baseline_uses_hypothesis_tests(spark):
     rows = [(float(i), "abc"[i % 3], i % 2 == 0) for i in range(200)]
     left = spark.createDataFrame(rows, "v double, c string, f boolean")
     right = spark.createDataFrame([(v + 500, "a", f) for v, _, f in rows], "v double, c string, f boolean")
-    found = {r.column: r for r in q.data_drift(left, right).columns.collect()}
+    found = {r.column: r for r in q.data_drift(left, right, tests="by_size").columns.collect()}
     assert {c: r.test for c, r in found.items()} == {"v": "ks", "c": "chi_square", "f": "proportion_z"}
     assert {c: r.drifted for c, r in found.items()} == {"v": True, "c": True, "f": False}
     assert found["f"].p_value == pytest.approx(1.0)
@@ -270,3 +271,56 @@ def test_drift_between_columns_of_different_types(spark):
     right = spark.createDataFrame([(float(i % 3), i % 2) for i in range(60)], "n double, c int")
     found = {r.column: r for r in q.data_drift(left, right).columns.collect()}
     assert found["n"].statistic == pytest.approx(0.0) and found["c"].statistic == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("n", [999, 1001])
+def test_drift_tests_do_not_change_with_the_size(spark, n):
+    df = spark.createDataFrame([(float(i % 50), str(i % 4)) for i in range(n)], "v double, c string")
+    assert {r.column: r.test for r in q.data_drift(df, df).columns.collect()} == {"v": "wasserstein", "c": "jensen_shannon"}
+    found = q.data_drift(df, df, tests="hypotheses").columns.collect()
+    assert {r.column: r.test for r in found} == {"v": "ks", "c": "chi_square"}
+
+
+def test_a_small_shift_of_dates_is_no_drift(spark):
+    times = spark.range(2000).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("at"))
+    shifted = times.select((F.col("at") + F.expr("INTERVAL 0.001 SECOND")).alias("at"))
+    row = q.data_drift(times, shifted).columns.first()
+    assert row.test == "wasserstein" and not row.drifted
+
+
+def test_a_hot_value_leaves_the_buckets_even(spark):
+    hot = spark.range(200_000).select(F.when(F.col("id") < 2000, F.col("id")).otherwise(0).cast("double").alias("v"))
+    splits = ordered.split_points(hot, ["v"], 64)["v"]
+    values = hot.distinct()
+    sizes = [r["count"] for r in ordered.with_bucket(values, "v", splits).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 60 and max(sizes) <= 4 * 2000 / 64
+
+
+def test_counts_beyond_the_square_root_of_a_bigint(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", 4 * 10**9, 10**9), ("b", 3 * 10**9, 4 * 10**9)], "value string, b bigint, c bigint")
+    monkeypatch.setattr(R, "value_pairs", lambda *_: cells)
+    assert R.chi_square(spark.range(1), spark.range(1), "id").first().statistic > 0
+    sums = spark.createDataFrame([("g", 9 * 10**18)] * 3, "k string, v bigint")
+    assert int(q.group_metrics(sums, {"group_by": "k", "metrics": ["sum"], "columns": ["v"]}).first().sum_v) == 27 * 10**18
+    exact = q.profile_numeric(sums, ["v"]).first()
+    assert (exact.max_exact, exact.sum_exact) == (str(9 * 10**18), str(27 * 10**18))
+
+
+EMPTY_SELECTIONS = [
+    (q.profile_numeric, "c string", ["*"]), (q.profile_quantiles, "c string", ["*"]), (q.profile_quantiles_approx, "c string", ["*"]),
+    (q.profile_histogram, "c string", ["*"]), (q.profile_text, "c int", ["*"]), (q.profile_top_values, "c array<int>", ["*"]),
+    (q.spearman, "c string", ["*"]), (q.cramers_v, "c int", ["c"]), (q.pearson, "c string", ["*"]),
+    (q.outlier_moments, "c string", ["*"]), (q.outlier_examples, "c string", ["*"]),
+]
+
+
+@pytest.mark.parametrize(("operator", "schema", "columns"), EMPTY_SELECTIONS)
+def test_tables_without_a_fitting_column(spark, operator, schema, columns):
+    found = operator(spark.createDataFrame([], schema), columns)
+    assert found.columns and found.collect() == []
+
+
+def test_infinite_values_are_in_no_bin(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, float("inf"), float("-inf"), None)], "v double")
+    bins = q.profile_histogram(df, ["v"], 2).orderBy("bin").collect()
+    assert [(r.lower, r.upper, r["count"]) for r in bins] == [(1.0, 1.5, 1), (1.5, 2.0, 1)]
