@@ -78,3 +78,19 @@ def null_safe(left: DataFrame, right: DataFrame, *keys: str) -> Column:
     for key in keys[1:]:
         condition &= left[key].eqNullSafe(right[key])
     return condition
+
+
+#: The most rows and bytes that are broadcast. A table beyond either is shuffled.
+BROADCAST_ROWS = 4_000_000
+BROADCAST_BYTES = 96 * 1024**2
+
+
+def small(table: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows and bytes are within the bounds.
+
+    ``row_bytes`` is the size of a row or an expression for it. Larger tables come back as they are, to be
+    joined by a shuffle.
+    """
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    seen = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if seen.n <= BROADCAST_ROWS and seen.bytes <= BROADCAST_BYTES else table

@@ -39,7 +39,7 @@ def without_repeated_passages(documents: DataFrame, length: int = LENGTH) -> Dat
                 n.append(len(ws))
                 spans.append([])
                 if places.is_valid:
-                    gone = covered(places.values.to_numpy(), len(ws), length)
+                    gone = covered(places.values, len(ws), length)
                     spans[-1] = [{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in runs(gone)), strict=True)]
                     ws = [ws[i] for i in np.flatnonzero(~gone).tolist()]
                 kept.append(b" ".join(ws).decode())

@@ -10,7 +10,11 @@ neither windows nor symbols are shuffled; what is shuffled are phrases:
 3. Phrases are united by content. In a content that occurs several times every window is repeated: a
    path without branches, compacted to one entry of the dictionary.
 4. Only where one trigger has several contents, paths branch. There the windows of one occurrence of
-   each content are compared one by one, at their coordinates in the source texts.
+   each content are compared one by one, at their coordinates in the source texts: the windows of a phrase travel
+   as one row to the partition of their trigger and are compared there. Triggers with more than
+   ``CROWDED`` contents are compared by window instead, with counts made before the shuffle.
+
+What is found are places of phrases, each with a mask of the windows in it that are repeated.
 
 Hashes of any part of a text come from sums of powers modulo 2^64 over random symbol values. A phrase
 is matched by two of them, a window by two as well.
@@ -27,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import materialise, text_of
+from plumbline.llm.common import materialise, small, text_of
 from plumbline.llm.hashing import mix
 
 SLICE_SYMBOLS = 1_000_000
+CROWDED = 1000
+#: The mask of a phrase all of whose windows are repeated.
+ALL = -1
 #: An odd base and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,11 +82,15 @@ def smallest_places(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """Length of a window and of the grams that trigger, in symbols."""
+    """Length of a window and of the grams that trigger, in symbols; a mask holds the windows of a phrase."""
 
     length: int
     gram: int
 
+    def __post_init__(self):
+        if not 0 <= self.length - self.gram < 62:
+            raise ValueError("a gram may be up to 61 symbols shorter than a window")
+
 
 def phrases(symbols: np.ndarray, ends: np.ndarray, shape: Shape):
     """``owner, start, windows, key, content`` of all phrases of concatenated sequences that end at ``ends``."""
@@ -179,77 +190,100 @@ class Repeats:
         return self.rows.select(self.symbols(F.col("text")).alias("symbols")).mapInArrow(run, "key bigint")
 
     def _windows(self, chosen: DataFrame) -> DataFrame:
-        """``key, window, id, place`` of every window of the phrases ``chosen (id, place, key)``."""
+        """``key, contents, id, place, windows`` of the phrases ``chosen``: the hashes of their windows in order."""
         shape = self.shape
-        per_row = chosen.withColumn("rank", F.shiftright("place", _RANK)).groupBy("id", "rank").agg(
-            F.collect_list(F.struct("place", "key")).alias("phrases")
+        per_row = materialise(chosen.withColumn("rank", F.shiftright("place", _RANK)).groupBy("id", "rank").agg(
+            F.collect_list(F.struct("place", "key", "contents")).alias("phrases")
+        ), "chosen")
+        found = per_row if "rank" in self.keys else per_row.drop("rank")
+        rows = self.rows.select("id", "rank", "text").join(small(found, 64 + 40 * F.size("phrases")), self.keys).select(
+            "id", self.symbols(F.col("text")).alias("symbols"), "phrases"
         )
-        rows = self.rows.select("id", "rank", "text").join(
-            per_row if "rank" in self.keys else per_row.drop("rank"), self.keys
-        ).select("id", "rank", self.symbols(F.col("text")).alias("symbols"), "phrases")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 offsets, symbols = _symbols(batch.column("symbols"))
                 lists = batch.column("phrases")
                 inner = lists.flatten()
-                places, keys = (inner.field(c).to_numpy() for c in ("place", "key"))
-                bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                ids = batch.column("id").to_numpy()
+                places, keys, contents = (inner.field(c).to_numpy() for c in ("place", "key", "contents"))
+                n = lists.value_lengths().to_numpy()
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                hashed, lengths = [], places & ((1 << _START) - 1)
                 for i in range(batch.num_rows):
                     hashes = Hashes(symbols[offsets[i]: offsets[i + 1]].astype(np.uint64))
-                    place, key = places[bounds[i]: bounds[i + 1]], keys[bounds[i]: bounds[i + 1]]
-                    windows = place & ((1 << _START) - 1)
+                    place, windows = (a[bounds[i]: bounds[i + 1]] for a in (places, lengths))
                     first = (place >> _START) & ((1 << (_RANK - _START)) - 1)
                     step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                     start = np.repeat(first, windows) + step
-                    window = hashes.of(start, start + shape.length).view(np.int64)
-                    spot = (place[0] >> _RANK << _RANK) | (start << _START) | 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(key, windows)), pa.array(window), pa.array(np.full(len(start), ids[i])), pa.array(spot)],
-                        ["key", "window", "id", "place"],
-                    )
-
-        return rows.mapInArrow(run, "key bigint, window bigint, id bigint, place bigint")
-
-    def _later(self, rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-        """The places of ``rows`` in ``groups`` of several, but for each group's first if that is kept."""
-        joined = rows.join(groups.where("n > 1").select(*by, "head"), by)
+                    hashed.append(hashes.of(start, start + shape.length).view(np.int64))
+                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), type=pa.int32())
+                ids = np.repeat(batch.column("id").to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys), pa.array(contents), pa.array(ids), pa.array(places),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashed))),
+                ], ["key", "contents", "id", "place", "windows"])
+
+        return rows.mapInArrow(run, "key bigint, contents bigint, id bigint, place bigint, windows array<bigint>")
+
+    def _masks(self, windows: DataFrame, crowded: bool) -> DataFrame:
+        """``id, place, mask`` of phrases with windows that other phrases of their trigger have, too."""
+        rows = windows.where((F.col("contents") > CROWDED) == F.lit(crowded))
+        rows = (rows if crowded else rows.repartition("key")).select(
+            "key", "id", "place", F.posexplode("windows").alias("nth", "window")
+        )
+        spot = F.struct("id", F.col("place") + F.shiftleft(F.col("nth").cast("bigint"), _START))
+        n, head = F.count(F.lit(1)), F.min(spot)
+        if crowded:
+            groups = rows.groupBy("key", "window").agg(n.alias("n"), head.alias("head"))
+            seen = rows.join(groups.where("n > 1"), ["key", "window"])
+        else:
+            # At most CROWDED phrases share a trigger here, so that groups are small.
+            group = Window.partitionBy("key", "window")
+            seen = rows.withColumn("n", n.over(group)).withColumn("head", head.over(group)).where("n > 1")
         if self.keep_first:
-            joined = joined.where((F.col("id") != F.col("head.id")) | (F.col("place") != F.col("head.place")))
-        return joined.select("id", "place")
+            seen = seen.where(F.col("head") != spot)
+        bit = F.expr("shiftleft(1L, nth)")
+        return seen.groupBy("key", "id", "place").agg(F.bit_or(bit).alias("mask")).select("id", "place", "mask")
 
     def places(self) -> DataFrame:
-        """``id, place`` of phrases and single windows that are repeated."""
+        """``id, place, mask`` of the phrases with repeated windows."""
         head = F.min(F.struct("id", "place")).alias("head")
         several = materialise(self._all_keys().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-        found = materialise(self._all_phrases().join(several, "key"), "phrases")
+        found = materialise(self._all_phrases().join(small(several, 24), "key"), "phrases")
         contents = materialise(found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), head), "contents")
-        branching = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("key")
-        whole = self._later(found, contents, ["key", "content"])
-        chosen = materialise(contents.join(branching, "key").select("key", "head.id", "head.place"), "branching")
+        branching = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+        whole = found.join(contents.where("n > 1").select("key", "content", "head"), ["key", "content"])
+        if self.keep_first:
+            whole = whole.where((F.col("id") != F.col("head.id")) | (F.col("place") != F.col("head.place")))
+        whole = whole.select("id", "place", F.lit(ALL).cast("bigint").alias("mask"))
+        chosen = contents.join(branching, "key")
+        chosen = materialise(chosen.select("key", "contents", "head.id", "head.place"), "branching")
         if chosen.isEmpty():
             return whole
         windows = materialise(self._windows(chosen), "windows")
-        groups = windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n"), head)
-        return whole.unionByName(self._later(windows, groups, ["key", "window"]))
+        return whole.unionByName(self._masks(windows, False)).unionByName(self._masks(windows, True))
 
     def removed(self) -> DataFrame:
-        """The rows with ``places``, the sorted places that are repeated, or null."""
+        """The rows with ``places``, the phrases that have repeated windows and their masks, or null."""
         spots = self.places().withColumn("rank", F.shiftright("place", _RANK)).groupBy("id", "rank").agg(
-            F.sort_array(F.collect_set("place")).alias("places")
+            F.collect_set(F.struct("place", "mask")).alias("places")
         )
         spots = materialise(spots, "spots")
-        return self.rows.join(spots if "rank" in self.keys else spots.drop("rank"), self.keys, "left")
-
-
-def covered(places: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Which of ``n`` symbols lie in one of the windows at ``places``."""
-    start = (places >> _START) & ((1 << (_RANK - _START)) - 1)
-    end = start + (places & ((1 << _START) - 1)) - 1 + length
+        found = spots if "rank" in self.keys else spots.drop("rank")
+        return self.rows.join(small(found, 64 + 32 * F.size("places")), self.keys, "left")
+
+
+def covered(places: pa.Array, n: int, length: int) -> np.ndarray:
+    """Which of ``n`` symbols lie in a repeated window of the phrases ``places`` (place and mask)."""
+    place, mask = (places.field(c).to_numpy() for c in ("place", "mask"))
+    start = (place >> _START) & ((1 << (_RANK - _START)) - 1)
+    windows = place & ((1 << _START) - 1)
+    nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    repeated = (np.repeat(mask, windows) >> np.minimum(nth, 62)) & 1 == 1
+    at = (np.repeat(start, windows) + nth)[repeated]
     change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, end, -1)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + length, -1)
     return np.cumsum(change[:-1]) > 0
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.repeats import Repeats, Shape, covered, runs
 
 LENGTH = 100
-GRAM = 16
+GRAM = 48
 
 
 def without_repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -37,7 +37,7 @@ def without_repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFr
                 raw = data.as_py()
                 n.append(len(raw))
                 if places.is_valid:
-                    gone = covered(places.values.to_numpy(), len(raw), length)
+                    gone = covered(places.values, len(raw), length)
                     spans.append([{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in runs(gone)), strict=True)])
                     kept.append(np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes())
                 else:
