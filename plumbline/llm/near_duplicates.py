@@ -8,10 +8,13 @@ keeps its earliest time. Points come in order of time, so a process ends as soon
 later than every register, and heavy shingles cost the logarithm of their weight.
 
 Signatures are cut into bands. Texts are reduced to one node for each different word sequence first.
-In a band's group every node is compared with the smallest one, by the overlap of their multisets, and
-similar ones are united. After that the groups that hold several components are gone through again:
-every member outside of the group's largest component against all members of other components. So no
-pair that shares a band can be a missed link, while members already united are not compared again.
+Every group of a band has a centre, the node that shares most bands with others, so that the text which
+others were made from is likely to be it. Pairs are compared by the overlap of their multisets, in rounds,
+and only while they are not in one component yet: each node with the most central of its centres, then
+with its other centres, then the members outside of a group's largest component with those of other
+components. In the last round the triangle inequality of the Jaccard distance leaves out pairs whose
+distances to the centre differ by more than the limit. So no pair that shares a band can be a missed
+link, while members of a large group of copies are not compared with each other.
 
 Defined cases: a text of fewer than five words is one shingle; texts without words are copies of each
 other. Missing texts are empty. White space does not matter. Rows may repeat, also with the same
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import let, materialise, null_safe, text_of, whole_row, words
+from plumbline.llm.common import let, materialise, null_safe, small, text_of, whole_row, words
 from plumbline.llm.components import components
 from plumbline.llm.hashing import GOLDEN, mix, unit
 
@@ -117,18 +120,17 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose multisets have a similarity of ``SIMILAR`` or more."""
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted Jaccard similarity of the sorted multisets ``a`` and ``b`` of every pair."""
     for batch in batches:
         lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column("a"), batch.column("b"))]
-        kept = []
+        found = np.zeros(batch.num_rows)
         for i in range(batch.num_rows):
             (x, n), (y, m) = [np.unique(v[o[i]: o[i + 1]], return_counts=True) for o, v in lists]
             _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
             both = int(np.minimum(n[p], m[q]).sum())
-            kept.append(both >= SIMILAR * (int(n.sum()) + int(m.sum()) - both))
-        chosen = pa.array(kept, type=pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(chosen), batch.column("v").filter(chosen)], ["u", "v"])
+            found[i] = both / (int(n.sum()) + int(m.sum()) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found)], ["u", "v", "similarity"])
 
 
 class _Corpus:
@@ -157,60 +159,105 @@ class _Corpus:
         banded = self.nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).select(
             F.xxhash64("band", "key").alias("bucket"), "node", "n"
         )
-        shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.members = materialise(banded.join(shared.select("bucket", "centre"), "bucket"), "members")
-
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(u, v)`` that are similar; ``pairs`` also has the sizes ``n_u`` and ``n_v``."""
-        fitting = materialise(pairs.where(
-            F.least("n_u", "n_v") >= F.lit(SIMILAR) * F.greatest("n_u", "n_v")
-        ).select("u", "v").distinct(), "pairs")
-        wanted = fitting.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        named = self.nodes.select("node", F.col("rep").alias("doc_id"), "content").join(wanted, "node", "left_semi")
-        named = materialise(named, "wanted")
-        tokens = self.documents.select("doc_id", words(text_of(self.documents)).alias("ws"))
-        hashed = tokens.select("doc_id", content(F.col("ws")).alias("content"), "ws")
+        shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        members = materialise(banded.join(shared, "bucket"), "members")
+        weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
+        weighed = members.join(weight, "node")
+        centres = weighed.groupBy("bucket").agg(
+            F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("n_centre"))).alias("c")
+        ).select("bucket", (-F.col("c.minus")).alias("centre"), "c.n_centre", F.col("c.weight").alias("rank"))
+        self.members = materialise(members.join(centres, "bucket").select("bucket", "node", "n", "centre", "n_centre", "rank"), "centred")
+        self.sets = None
+
+    def _all_sets(self) -> DataFrame:
+        """``node, shingles`` of the nodes that share a band with another."""
+        named = self.nodes.select("node", F.col("rep").alias("doc_id"), "content").join(
+            self.members.select("node").distinct(), "node", "left_semi"
+        )
+        named = small(materialise(named, "wanted"), 96)
+        hashed = self.documents.select("doc_id", words(text_of(self.documents)).alias("ws")).select(
+            "doc_id", content(F.col("ws")).alias("content"), "ws"
+        )
         sets = hashed.join(named, null_safe(hashed, named, "doc_id", "content")).select(
             "node", shingles(F.col("ws")).alias("shingles")
-        ).dropDuplicates(["node"])
-        sets = materialise(sets, "sets")
-        left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-        joined = fitting.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-        return joined.mapInArrow(_overlaps, "u bigint, v bigint")
-
-    def stars(self) -> DataFrame:
-        centres = self.nodes.select(F.col("node").alias("v"), F.col("n").alias("n_v"))
-        pairs = self.members.where("node != centre").select(
-            F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("centre").alias("v")
-        ).distinct()
-        return pairs.join(centres, "v")
-
-    def across(self, found: DataFrame) -> DataFrame:
-        """Pairs of a group's members in different components, one of them outside its largest."""
-        labelled = self.members.join(found, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("root", "node").alias("part")
+        )
+        return materialise(sets, "sets")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """``u, v, similarity`` of written pairs; both sides must share a band with another node."""
+        if self.sets is None:
+            self.sets = self._all_sets()
+            # Rows that repeat an id and a text have a set each, which only then are reduced to one.
+            if self.sets.count() > self.sets.select("node").distinct().count():
+                self.sets = materialise(self.sets.dropDuplicates(["node"]), "sets")
+        right = self.sets.join(small(materialise(pairs.select(F.col("v").alias("node")).distinct(), "right"), 32), "node", "left_semi")
+        right = materialise(right.toDF("v", "b"), "right-sets")
+        left = self.sets.toDF("u", "a").join(small(pairs.select("u", "v"), 48), "u")
+        joined = left.join(small(right, 64 + 8 * F.size("b")), "v").select("u", "v", "a", "b")
+        return materialise(joined.mapInArrow(_similarities, "u bigint, v bigint, similarity double"), "similarities")
+
+    def _rounds(self) -> Iterator[DataFrame]:
+        """The pairs of each round, given the components so far, which ``self.found`` holds."""
+        stars = self.members.where("node != centre").where(
+            F.least("n", "n_centre") >= F.lit(SIMILAR) * F.greatest("n", "n_centre")
+        ).select(F.col("node").alias("u"), F.col("centre").alias("v"), "rank").distinct()
+        first = stars.groupBy("u").agg(F.max(F.struct("rank", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+        yield first
+        yield self._apart(stars.select("u", "v")).join(self.tried.select("u", "v"), ["u", "v"], "left_anti")
+        yield self._across().join(self.tried.select("u", "v"), ["u", "v"], "left_anti")
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are not in one component."""
+        root = self.found.select("node", "root")
+        of_u, of_v = root.toDF("u", "root_u"), root.toDF("v", "root_v")
+        joined = pairs.join(of_u, "u", "left").join(of_v, "v", "left")
+        return joined.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+    def _across(self) -> DataFrame:
+        """Pairs of a group's members in different components, one of them outside its largest.
+
+        A member's distance to the centre is known, or at least what their sizes leave. Pairs whose distances to
+        it differ by more than the limit cannot be similar.
+        """
+        to_centre = self.tried.select(F.col("u").alias("node"), F.col("v").alias("centre"), (1 - F.col("similarity")).alias("known"))
+        least = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
+        labelled = (
+            self.members.join(self.found, "node", "left").join(to_centre, ["node", "centre"], "left")
+            .select(
+                "bucket", "node", "n", F.coalesce("root", "node").alias("part"),
+                F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.coalesce("known", least)).alias("far"),
+                ((F.col("node") == F.col("centre")) | F.col("known").isNotNull()).alias("exact"),
+            )
         )
         sizes = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        mixed = materialise(labelled.join(largest.where("parts > 1"), "bucket"), "mixed")
-        left = mixed.where("part != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("p"))
-        right = mixed.select("bucket", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("part").alias("q"))
-        pairs = left.join(right, "bucket").where("p != q")
-        swap = F.col("x") < F.col("y")
-        return pairs.select(
-            F.when(swap, F.col("y")).otherwise(F.col("x")).alias("u"), F.when(swap, F.col("n_y")).otherwise(F.col("n_x")).alias("n_u"),
-            F.when(swap, F.col("x")).otherwise(F.col("y")).alias("v"), F.when(swap, F.col("n_x")).otherwise(F.col("n_y")).alias("n_v"),
-        ).distinct()
+        largest = sizes.groupBy("bucket").agg(
+            F.max(F.struct("m", "part")).alias("top"), F.count(F.lit(1)).alias("parts")
+        ).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
+        mixed = materialise(labelled.join(largest, "bucket"), "mixed")
+        left = mixed.where("part != main").drop("main").toDF("bucket", "x", "n_x", "p", "far_x", "exact_x")
+        right = mixed.drop("main").toDF("bucket", "y", "n_y", "q", "far_y", "exact_y")
+        limit = F.lit(1 - SIMILAR + 1e-9)
+        near = (
+            ~(F.col("exact_y") & (F.col("far_x") - F.col("far_y") > limit))
+            & ~(F.col("exact_x") & (F.col("far_y") - F.col("far_x") > limit))
+        )
+        sizes_fit = F.least("n_x", "n_y") >= F.lit(SIMILAR) * F.greatest("n_x", "n_y")
+        pairs = left.join(right, "bucket").where((F.col("p") != F.col("q")) & near & sizes_fit)
+        return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
     def classes(self) -> DataFrame:
         """``node, root`` of the nodes that are similar to another."""
-        tried = materialise(self.stars(), "stars")
-        links = materialise(self.similar(tried), "links")
-        found = components(links)
-        rest = materialise(self.across(found).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "across")
-        if rest.isEmpty():
-            return found
-        return components(links.unionByName(materialise(self.similar(rest), "links")))
+        self.tried, self.found, links = None, None, None
+        for pairs in self._rounds():
+            pairs = materialise(pairs, "pairs")
+            if self.found is not None and pairs.isEmpty():
+                continue
+            compared = self.compare(pairs)
+            self.tried = compared if self.tried is None else self.tried.unionByName(compared)
+            similar = compared.where(F.col("similarity") >= SIMILAR).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            links = similar if links is None else links.unionByName(similar)
+            self.found = components(links)
+        return self.found
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -235,7 +282,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     kept = labelled.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))).select(
         F.col("doc_id").alias("id"), F.col("content").alias("of")
     )
-    kept = materialise(kept.groupBy("id", "of").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    kept = small(materialise(kept.groupBy("id", "of").agg(F.count(F.lit(1)).alias("rows")), "kept"), 96)
     tokens = let(words(text_of(documents)), content)
     rows = documents.select(whole_row(documents).alias("row"), documents["doc_id"].alias("id"), tokens.alias("of"))
     chosen = rows.join(kept, null_safe(rows, kept, "id", "of")).select(rows["id"], rows["of"], "row", "rows")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, let, materialise, null_safe, text_of, whole_row, words
+from plumbline.llm.common import WORD, let, materialise, null_safe, small, text_of, whole_row, words
 
 # Kinds in order, and their patterns. Possessive repeats and the condition that a match
 # starts where its run of characters starts, or where the last match ended, change no match; they
@@ -257,6 +257,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
     )
     rows = documents.select(whole_row(documents).alias("row"), documents["doc_id"].alias("id"),
                             F.xxhash64(text_of(documents)).alias("of"))
+    masks = small(masks, 64 + 48 * F.size("spans"))
     both = rows.join(masks, null_safe(rows, masks, "id", "of"), "left")
     clean = F.when(F.col("spans").isNotNull(), masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     changed = both.select("row", clean.alias("clean"))

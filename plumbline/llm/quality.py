@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import let, materialise, null_last, text_of, whole_row, words
+from plumbline.llm.common import let, materialise, null_last, small, text_of, whole_row, words
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -168,7 +168,8 @@ def adaptive_fences(rows: DataFrame) -> DataFrame:
 
 def judge(rows: DataFrame) -> DataFrame:
     """``rows`` of :func:`measured`, read twice, with ``failed`` (names of measures) and ``kept``."""
-    bounds = adaptive_fences(rows.where(~F.col("base_failed")))
+    # Written first: one row per language and source, so that rows with whole texts need not be shuffled to it.
+    bounds = small(materialise(adaptive_fences(rows.where(~F.col("base_failed"))), "fences"), 256)
     failed = F.array_compact(F.array(*[
         F.when((F.col(name) < F.col(f"{name}_low")) | (F.col(name) > F.col(f"{name}_high")), F.lit(name))
         for name, _, _ in MEASURES
