@@ -143,6 +143,45 @@ def _parts(batch: pa.RecordBatch, shape: Shape):
         yield owner + start, first, windows, key.view(np.int64), content.view(np.int64)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]):
+    """``keys, ids, places, lengths, windows`` of rows sorted by key, in parts that hold all rows of their keys."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        lists = batch.column("windows")
+        part = [batch.column(c).to_numpy() for c in ("key", "id", "place")]
+        part += [lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)]
+        if kept is not None:
+            part = [np.concatenate(pair) for pair in zip(kept, part, strict=True)]
+        keys = part[0]
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        ends = int(part[3][:cut].sum())
+        if cut:
+            yield [*(a[:cut] for a in part[:4]), part[4][:ends]]
+        kept = [*(a[cut:] for a in part[:4]), part[4][ends:]]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def compare_windows(
+    keys: np.ndarray, ids: np.ndarray, places: np.ndarray, lengths: np.ndarray, windows: np.ndarray, keep_first: bool
+) -> np.ndarray:
+    """For each phrase a mask of the windows that its key has several times; the first ones are left out if kept."""
+    owner = np.repeat(np.arange(len(keys)), lengths)
+    nth = np.arange(len(windows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    spot = places[owner] + (nth << _START)
+    order = np.lexsort((spot, ids[owner], windows, keys[owner]))
+    key, window = keys[owner][order], windows[order]
+    like_before = np.zeros(len(order), dtype=bool)
+    like_before[1:] = (key[1:] == key[:-1]) & (window[1:] == window[:-1])
+    told = like_before.copy()
+    if not keep_first:
+        told[:-1] |= like_before[1:]
+    masks = np.zeros(len(keys), dtype=np.int64)
+    chosen = order[told]
+    np.bitwise_or.at(masks, owner[chosen], np.int64(1) << nth[chosen])
+    return masks
+
+
 class Repeats:
     """Finds the repeated windows of ``documents``.
 
@@ -225,21 +264,29 @@ class Repeats:
 
         return rows.mapInArrow(run, "key bigint, contents bigint, id bigint, place bigint, windows array<bigint>")
 
-    def _masks(self, windows: DataFrame, crowded: bool) -> DataFrame:
+    def _masks(self, windows: DataFrame) -> DataFrame:
         """``id, place, mask`` of phrases with windows that other phrases of their trigger have, too."""
-        rows = windows.where((F.col("contents") > CROWDED) == F.lit(crowded))
-        rows = (rows if crowded else rows.repartition("key")).select(
+        keep_first = self.keep_first
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, ids, places, lengths, hashed in _whole_groups(batches):
+                masks = compare_windows(keys, ids, places, lengths, hashed, keep_first)
+                told = masks != 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[told]) for a in (ids, places, masks)], ["id", "place", "mask"]
+                )
+
+        few = windows.where(F.col("contents") <= CROWDED).select("key", "id", "place", "windows")
+        return few.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id bigint, place bigint, mask bigint")
+
+    def _crowded_masks(self, windows: DataFrame) -> DataFrame:
+        """The same for triggers with more than ``CROWDED`` contents: one row for each window, counted before the shuffle."""
+        rows = windows.where(F.col("contents") > CROWDED).select(
             "key", "id", "place", F.posexplode("windows").alias("nth", "window")
         )
         spot = F.struct("id", F.col("place") + F.shiftleft(F.col("nth").cast("bigint"), _START))
-        n, head = F.count(F.lit(1)), F.min(spot)
-        if crowded:
-            groups = rows.groupBy("key", "window").agg(n.alias("n"), head.alias("head"))
-            seen = rows.join(groups.where("n > 1"), ["key", "window"])
-        else:
-            # At most CROWDED phrases share a trigger here, so that groups are small.
-            group = Window.partitionBy("key", "window")
-            seen = rows.withColumn("n", n.over(group)).withColumn("head", head.over(group)).where("n > 1")
+        groups = rows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("head"))
+        seen = rows.join(groups.where("n > 1"), ["key", "window"])
         if self.keep_first:
             seen = seen.where(F.col("head") != spot)
         bit = F.expr("shiftleft(1L, nth)")
@@ -261,7 +308,7 @@ class Repeats:
         if chosen.isEmpty():
             return whole
         windows = materialise(self._windows(chosen), "windows")
-        return whole.unionByName(self._masks(windows, False)).unionByName(self._masks(windows, True))
+        return whole.unionByName(self._masks(windows)).unionByName(self._crowded_masks(windows))
 
     def removed(self) -> DataFrame:
         """The rows with ``places``, the phrases that have repeated windows and their masks, or null."""
