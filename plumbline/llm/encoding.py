@@ -29,8 +29,8 @@ from plumbline.llm.common import text_of
 
 #: One cut in so many word ends, entries kept per cache, and bytes of text handled together.
 CUT_EVERY = 32
-KEPT_CHUNKS = 40_000
-KEPT_WORDS = 800_000
+KEPT_CHUNKS = 20_000
+KEPT_WORDS = 500_000
 SLICE_BYTES = 2_000_000
 
 _TAIL = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 9, dtype=np.uint64)
