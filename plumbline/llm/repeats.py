@@ -35,7 +35,8 @@ from plumbline.llm.common import materialise, small, text_of
 from plumbline.llm.hashing import mix
 
 SLICE_SYMBOLS = 1_000_000
-CROWDED = 1000
+#: A trigger with so many contents has about a million windows, some 60 MB in a task; beyond it they are shuffled.
+CROWDED = 20_000
 #: The mask of a phrase all of whose windows are repeated.
 ALL = -1
 #: An odd base and its inverse modulo 2^64.
