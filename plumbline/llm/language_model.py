@@ -6,9 +6,9 @@ class the word. Less frequent words form classes of their own within which the t
 added, decide; the last of them holds all words outside of the ``KNOWN`` most frequent ones, with one place
 for all unknown words. So the probabilities of all words add up to one.
 
-Training is distributed: every task runs truncated backpropagation over its share of a fixed part of the
-training documents, the tasks' parameters are averaged by their numbers of tokens, and the next round
-starts from the average. Scoring runs every document from its first to its last word, many documents side
+Training is distributed: a hash of the id deals the training documents to ``ROUNDS`` rounds, so that each
+is learned from once. In a round every task runs truncated backpropagation over its share, the tasks'
+parameters are averaged by their numbers of tokens, and the next round starts from the average. Scoring runs every document from its first to its last word, many documents side
 by side; the state is carried from window to window. Counts of the ``KNOWN`` words travel with the code,
 a table of bounded size; those of other words are joined.
 
@@ -40,9 +40,8 @@ WINDOW = 16
 SIDE_BY_SIDE = 128
 #: Documents are learned from in pieces of so many words.
 PIECE = 256
-ROUNDS = 2
-#: One training document in so many is learned from in each round.
-LEARN_EVERY = 16
+#: Every training document is learned from in one of so many rounds.
+ROUNDS = 4
 SMOOTHING = 0.1
 BLOCK = 16384
 ROWS_AT_ONCE = 16384
@@ -340,7 +339,7 @@ class LanguageModel:
         )
         self.network = Network(self.vocabulary)
         for turn in range(ROUNDS if self.n_tokens else 0):
-            self._learn(learned.where(remainder(F.concat(F.lit("learn"), F.col("doc_id").cast("string")), LEARN_EVERY) == turn), turn)
+            self._learn(learned.where(remainder(F.concat(F.lit("learn"), F.col("doc_id").cast("string")), ROUNDS) == turn), turn)
 
     def _learn(self, part: DataFrame, turn: int) -> None:
         net, rate = self.network, 0.1 / (1 + turn)

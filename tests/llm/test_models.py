@@ -15,6 +15,18 @@ def test_language_model_beats_counts(spark):
     assert total.score > total.base
 
 
+def test_every_training_document_is_learned_once(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(
+        language_model.LanguageModel, "_learn",
+        lambda self, part, turn: learned.extend(r.doc_id for r in part.select("doc_id").collect()),
+    )
+    rows = [(i, f"word{i % 7} and word{i % 5}") for i in range(200)] + [(None, "a row without id")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    language_model.LanguageModel(documents, F.coalesce(F.col("doc_id"), F.lit(1)) % 10 == 0)
+    assert sorted(learned, key=str) == sorted((k for k, _ in rows if k is None or k % 10), key=str)
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(3)
     hashes, counts = rng.integers(-(2**62), 2**62, 6000), np.sort(rng.zipf(1.3, 6000).clip(1, 10**5))[::-1].copy()
