@@ -3,13 +3,13 @@
 Base spans are the matches of four patterns. Their positions come from the lengths of matches and of
 the text between them, so that everything stays in built-in functions.
 
-Terms near a match are judged by what they tell about it (information-theoretic sanitisation). Over
-the different texts of the corpus, ``I(c) = log2(N / n(c))`` is the information of the protected value
-``c``, and ``PMI(c, t) = log2(n(c, t) N / (n(c) n(t)))`` what a term ``t`` tells about it, where
-``n(c, t)`` counts texts with ``t`` within ``REACH`` characters of ``c``. A term that tells at least
+The terms of a text with a match are judged by what they tell about it (information-theoretic
+sanitisation). Over the different texts of the corpus, ``I(c) = log2(N / n(c))`` is the information of the
+protected value ``c``, and ``PMI(c, t) = log2(n(c, t) N / (n(c) n(t)))`` what a term ``t`` tells about it,
+where ``n(c, t)`` counts texts with ``t`` and ``c`` anywhere in them. A term that tells at least
 ``DISCLOSURE`` of the information, with ``LEAST_TEXTS`` texts to show it, becomes a span of kind
-``term`` wherever it stands near that value. A value that occurs in fewer texts discloses nothing that
-can be estimated.
+``term`` wherever it stands, in texts without the value too. A value that occurs in fewer texts discloses
+nothing that can be estimated.
 
 Defined cases: a missing text is an empty one, without spans. Copies of a text count once in the
 statistics and get equal spans. Spans of different kinds may overlap. An empty table gives no rows.
@@ -17,12 +17,10 @@ statistics and get equal spans. Spans of different kinds may overlap. An empty t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, let, materialise, null_safe, small, text_of, whole_row, words
+from plumbline.llm.common import WORD, let, materialise, small, text_of, whole_row, words
 
 # Kinds in order, and their patterns. Possessive repeats and the condition that a match
 # starts where its run of characters starts, or where the last match ended, change no match; they
@@ -34,11 +32,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)){3}$"
 
-REACH = 64
 DISCLOSURE = 0.8
 LEAST_TEXTS = 3
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
-CONTEXT = "struct<value:string,term:string,start:int,end:int>"
 
 
 def _sum(values: Column) -> Column:
@@ -121,81 +117,88 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """The terms that stand whole within ``REACH`` characters of a span, outside of any match."""
-
-    def side(start: Column, end: Column, span: Column) -> Column:
-        part = F.substring(text, start + 1, end - start)
-        whole = lambda w: (
-            ((w["start"] > 0) | (start == 0)) & ((w["end"] < end - start) | (end == F.length(text)))
-        )
-        told = F.filter(places(part, WORD, 0), lambda w: whole(w) & ~w["value"].rlike("[0-9@]"))
-        return F.transform(told, lambda w: F.struct(
-            F.concat(span["rank"].cast("string"), F.lit(":"), F.lower(span["value"])).alias("value"),
-            term(w["value"]).alias("term"), (w["start"] + start).alias("start"), (w["end"] + start).alias("end"),
-        ))
-
-    near = F.transform(spans, lambda s: F.concat(
-        let(F.greatest(s["start"] - REACH, F.lit(0)), lambda a: side(a, s["start"], s)),
-        let(F.least(s["end"] + REACH, F.length(text)), lambda b: side(s["end"], b, s)),
-    ))
-    return F.filter(F.flatten(near), lambda c: F.length(c["term"]) > 1)
-
-
 def term(word: Column) -> Column:
     """A word in lower case without punctuation around it."""
     return F.btrim(F.lower(word), F.lit(".,;:!?\"'()[]{}<>|*#$%&_-+=/\\"))
 
 
+def terms_of(text: Column) -> Column:
+    """The different terms of a text; words with digits or @, which hold the matches, are none."""
+    plain = F.filter(F.array_distinct(words(text)), lambda w: ~w.rlike("[0-9@]"))
+    return F.filter(F.array_distinct(F.transform(plain, term)), lambda t: F.length(t) > 1)
+
+
 def findings(documents: DataFrame) -> DataFrame:
-    """``row`` (all columns), ``text_id``, ``spans`` and ``near`` of each document."""
+    """``row`` (all columns), ``text_id`` and ``spans`` of each document, and ``terms`` of those with spans."""
     text = text_of(documents)
     found = documents.select(whole_row(documents).alias("row"), text.alias("text"), let(text, lambda t: let(
         base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(
-            F.size(s) > 0, contexts(t, s)
-        ).otherwise(F.array().cast(f"array<{CONTEXT}>")).alias("near"))
+            F.size(s) > 0, terms_of(t)
+        ).otherwise(F.array().cast("array<string>")).alias("terms"))
     )).alias("found"))
-    return found.select("row", F.xxhash64("text").alias("text_id"), "found.spans", "found.near")
+    return found.select("row", F.xxhash64("text").alias("text_id"), "found.spans", "found.terms")
 
 
 def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``value, term`` of all terms that disclose a protected value. ``found`` is read several times."""
-    copies = ["text_id"]
-    values = found.select("text_id", F.explode("spans").alias("s")).select(
-        "text_id", F.concat(F.col("s.rank").cast("string"), F.lit(":"), F.lower("s.value")).alias("value")
+    """``term`` of all terms that disclose a protected value. ``found`` is read several times."""
+    value = lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"]))
+    per_text = found.where(F.size("spans") > 0).select(
+        "text_id", F.array_distinct(F.transform("spans", value)).alias("values"), "terms"
+    ).dropDuplicates(["text_id"])
+    values = per_text.select("text_id", F.explode("values").alias("value"))
+    # No pair is in more texts than its value, so that values in too few texts have no candidates.
+    per_value = materialise(
+        values.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).where(F.col("n_value") >= LEAST_TEXTS), "values"
     )
-    per_value = values.distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-    pairs = found.select("text_id", F.explode("near").alias("c")).select("text_id", "c.value", "c.term")
-    together = pairs.distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    if per_value.isEmpty():
+        return per_value.select(F.col("value").alias("term"))
+    held = values.join(small(per_value.select("value"), 48 + F.length("value")), "value", "left_semi")
+    pairs = held.join(per_text.select("text_id", "terms"), "text_id").select("value", F.explode("terms").alias("term"))
+    together = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
     candidates = materialise(
         together.where(F.col("n_both") >= LEAST_TEXTS).join(per_value, "value"), "candidates"
     )
-    if candidates.isEmpty():
-        return candidates.select("value", "term")
-    n_texts = found.select(*copies).distinct().count()
     # Written before, so the optimizer knows the size of the candidates and broadcasts only a small table.
     wanted = materialise(candidates.select("term").distinct(), "terms")
     text = text_of(documents)
-    spoken = documents.select(
-        F.xxhash64(text).alias("text_id"), F.explode(F.array_distinct(words(text))).alias("word")
-    ).select("text_id", term(F.col("word")).alias("term"))
-    per_term = spoken.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    copies = materialise(
+        documents.select(F.xxhash64(text).alias("text_id")).groupBy("text_id").agg(F.count(F.lit(1)).alias("copies")), "copies"
+    )
+    n_texts = copies.count()
+    # Each of k copies counts 1 / k, which rounding makes whole again: no text has to meet its copies.
+    repeated = small(copies.where("copies > 1"))
+    spoken = documents.select(F.xxhash64(text).alias("text_id"), terms_of(text).alias("terms")).join(
+        repeated, "text_id", "left"
+    ).select(F.explode("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    per_term = spoken.join(small(wanted, 48 + F.length("term")), "term", "left_semi").groupBy("term").agg(
+        F.round(F.sum("share")).alias("n_term")
+    )
     told = F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_value") * F.col("n_term")))
     information = F.log2(F.lit(float(n_texts)) / F.col("n_value"))
     return candidates.join(per_term, "term").where(
         (information > 0) & (told >= F.lit(DISCLOSURE) * information)
-    ).select("value", "term")
+    ).select("term").distinct()
 
 
-def term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
-    """``doc_id, text_id, terms``: the spans of disclosing terms of the documents that have some."""
-    near = found.select("doc_id", "text_id", F.explode("near").alias("c")).select("doc_id", "text_id", "c.*")
-    span = F.struct(
-        "start", F.lit(KINDS.index("term")).alias("rank"), "end", F.col("term").alias("value")
+def term_spans(documents: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """``text_id, terms``: the spans of all places of disclosing terms, for each text that holds some."""
+    disclosed = materialise(disclosed, "disclosed")
+    empty = disclosed.select(F.lit(0).cast("bigint").alias("text_id"), F.array().cast(f"array<{SPAN}>").alias("terms"))
+    if disclosed.isEmpty():
+        return empty
+    text = text_of(documents)
+    spoken = documents.select(F.xxhash64(text).alias("text_id"), F.explode(terms_of(text)).alias("term"))
+    held = materialise(
+        spoken.join(small(disclosed, 48 + F.length("term")), "term", "left_semi").groupBy("text_id").agg(
+            F.collect_set("term").alias("held")
+        ), "holders",
     )
-    return near.join(disclosed, ["value", "term"], "left_semi").groupBy("doc_id", "text_id").agg(
-        F.collect_set(span).alias("terms")
+    # Only texts that hold a disclosing term are searched for its places.
+    both = documents.select(F.xxhash64(text).alias("text_id"), text.alias("text")).join(
+        small(held, 64 + 48 * F.size("held")), "text_id"
     )
+    told = F.filter(places(F.col("text"), WORD, KINDS.index("term")), lambda w: ~w["value"].rlike("[0-9@]") & F.array_contains("held", term(w["value"])))
+    return both.select("text_id", F.transform(told, lambda w: w.withField("value", term(w["value"]))).alias("terms")).dropDuplicates(["text_id"])
 
 
 def all_spans(spans: Column, terms: Column) -> Column:
@@ -204,11 +207,11 @@ def all_spans(spans: Column, terms: Column) -> Column:
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """``doc_id, base, spans``: base spans and all spans of each document."""
-    found = findings(documents)
-    slim = materialise(found.select("row.doc_id", "text_id", "spans", "near"), "findings")
-    extra = materialise(term_spans(slim, disclosing(documents, slim)), "term-spans")
-    return slim.join(extra, null_safe(slim, extra, "doc_id", "text_id"), "left").select(
-        slim["doc_id"], slim["spans"].alias("base"), all_spans(slim["spans"], extra["terms"]).alias("spans")
+    slim = materialise(findings(documents).select("row.doc_id", "text_id", "spans", "terms"), "findings")
+    extra = materialise(term_spans(documents, disclosing(documents, slim)), "term-spans")
+    extra = small(extra, 64 + 48 * F.size("terms"))
+    return slim.select("doc_id", "text_id", "spans").join(extra, "text_id", "left").select(
+        "doc_id", F.col("spans").alias("base"), all_spans(F.col("spans"), F.col("terms")).alias("spans")
     )
 
 
@@ -245,20 +248,18 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(documents: DataFrame) -> DataFrame:
     """``documents`` with all spans masked in ``text`` and ``n_chars``, if there, counted anew."""
     slim = materialise(
-        findings(documents).select("row.doc_id", "text_id", "spans", "near").where(F.size("spans") > 0), "findings"
+        findings(documents).select("text_id", "spans", "terms").where(F.size("spans") > 0), "findings"
     )
-    rest = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_id"))
-    terms = term_spans(slim, disclosing(documents, with_all_texts(slim, rest)))
-    spans = slim.select("doc_id", "text_id", "spans").dropDuplicates(["doc_id", "text_id"])
+    terms = term_spans(documents, disclosing(documents, slim))
+    spans = slim.select("text_id", "spans").dropDuplicates(["text_id"])
+    none = F.array().cast(f"array<{SPAN}>")
     masks = materialise(
-        spans.join(terms, null_safe(spans, terms, "doc_id", "text_id"), "left").select(
-            spans["doc_id"].alias("id"), spans["text_id"].alias("of"), all_spans(spans["spans"], terms["terms"]).alias("spans")
+        spans.join(terms, "text_id", "full").select(
+            F.col("text_id").alias("of"), all_spans(F.coalesce("spans", none), F.col("terms")).alias("spans")
         ), "masks",
     )
-    rows = documents.select(whole_row(documents).alias("row"), documents["doc_id"].alias("id"),
-                            F.xxhash64(text_of(documents)).alias("of"))
-    masks = small(masks, 64 + 48 * F.size("spans"))
-    both = rows.join(masks, null_safe(rows, masks, "id", "of"), "left")
+    rows = documents.select(whole_row(documents).alias("row"), F.xxhash64(text_of(documents)).alias("of"))
+    both = rows.join(small(masks, 64 + 48 * F.size("spans")), "of", "left")
     clean = F.when(F.col("spans").isNotNull(), masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     changed = both.select("row", clean.alias("clean"))
     columns = []
@@ -271,11 +272,3 @@ def sanitise(documents: DataFrame) -> DataFrame:
         else:
             columns.append(F.col("row").getField(c).alias(c))
     return changed.select(*columns)
-
-
-def with_all_texts(slim: DataFrame, every: DataFrame) -> DataFrame:
-    """Findings with an entry without spans for every document, so that all texts are counted."""
-    return reduce(DataFrame.unionByName, [
-        slim.select("text_id", "spans", "near"),
-        every.select("text_id", F.array().cast(f"array<{SPAN}>").alias("spans"), F.array().cast(f"array<{CONTEXT}>").alias("near")),
-    ])

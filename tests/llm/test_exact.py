@@ -207,6 +207,23 @@ def test_disclosing_terms(spark):
     assert all(clean[k] == t for k, t in rows if k >= 100)
 
 
+def test_terms_disclose_wherever_they_stand(spark):
+    far = "one two three four five six seven " * 5
+    rows = [(i, f"bob@x.example writes {far} from Zorblax, {far} and zorblax again {'ab'[i % 2]}") for i in range(5)]
+    rows += [(10, f"the {far} of zorblax"), (11, None), (None, rows[0][1]), (10, f"the {far} of zorblax")]
+    rows += [(100 + i, f"the {far} writes from and again {i}") for i in range(60)]
+    # Copies count once, so each of the first rows gets a mark of its own.
+    rows = [(k, t if t is None or k is None or k >= 10 else f"{t}{k}9") for k, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {(r.doc_id, r.spans) for r in privacy.personal_data(frame).select("doc_id", privacy.written(F.col("spans")).alias("spans")).collect()}
+    told = {(k, ",".join(
+        ([f"email:0:{len('bob@x.example')}"] if "bob" in (t or "") else [])
+        + [f"term:{m.start()}:{m.end()}" for m in re.finditer("[Zz]orblax,?", t or "")]
+    )) for k, t in rows}
+    assert spans == told
+    assert not any("zorblax" in (r.text or "").lower() for r in privacy.sanitise(frame).collect())
+
+
 # Repeats
 
 
