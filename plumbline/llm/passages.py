@@ -1,9 +1,9 @@
-"""Removing word sequences that occur more than once: compaction of a De Bruijn graph.
+"""Removing word sequences that occur more than once, by the phrases of ``repeats``.
 
-The edges of the graph are the windows of 35 words. Edges that share a trigger and follow each other
-in a text form a path; paths of equal content are compacted by a join into one, whose edges then all
-have several occurrences. Only at triggers with several paths, where the graph branches, edges are
-compared singly, at their coordinates in the source. All occurrences go, the first one included.
+Windows of 35 words that share a trigger and follow each other in a text form a phrase; phrases of equal
+content are counted together, and their windows then all have several occurrences. Only at triggers with
+several contents windows are compared singly, by hashes. No De Bruijn graph is built. All occurrences go,
+the first one included.
 
 Defined cases: a missing text has no words. Texts under 35 words lose nothing. Repeated rows are
 occurrences of their own, also with the same id. An empty table gives no rows.
