@@ -1,4 +1,4 @@
-"""Removing byte strings that occur before: prefix-free parsing.
+"""Removing byte strings that occur before, by the phrases of a prefix-free parse without suffix arrays.
 
 Every text is parsed into phrases by a rolling hash that triggers on the smallest gram of every
 100-byte window. Distinct phrases form the dictionary, their occurrences the parse. The order of
