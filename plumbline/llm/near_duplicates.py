@@ -13,10 +13,8 @@ others were made from is likely to be it. Pairs are compared by the overlap of t
 and only while they are not in one component yet: each node with the most central of its centres, then
 with its other centres, then the members outside of a group's largest component with those of other
 components. In the last round the triangle inequality of the Jaccard distance leaves out pairs whose
-distances to the centre differ by more than the limit, and so does the signature: of its 125 registers,
-kept as four bits each, at least ``AGREEING`` must be equal, four standard deviations less than a
-similarity of 0.8 gives (one such pair in 30,000 has fewer). Members of a large group of copies are not
-compared with each other.
+distances to the centre differ by more than the limit; all others are compared exactly. Members of a
+large group of copies are not compared with each other.
 
 Defined cases: a text of fewer than five words is one shingle; texts without words are copies of each
 other. Missing texts are empty. White space does not matter. Rows may repeat, also with the same
@@ -41,8 +39,6 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Pairs at a similarity of 0.8 share one of 25 bands of 5 registers with a probability of 0.99995.
 BANDS, ROWS = 25, 5
-#: 125 * (0.8 + 0.2 / 16) less four times sqrt(125 * 0.8125 * 0.1875).
-AGREEING = 84
 SLICE_SHINGLES = 400_000
 
 
@@ -101,28 +97,6 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def nibbles(table: np.ndarray) -> np.ndarray:
-    """Four bits of every register, sixteen registers to a number; the last three places are 0."""
-    bits = mix(np.ascontiguousarray(table).view(np.uint64).reshape(table.shape)) >> np.uint64(60)
-    padded = np.zeros((len(table), 128), dtype=np.uint64)
-    padded[:, : table.shape[1]] = bits
-    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    return np.bitwise_or.reduce(padded.reshape(len(table), 8, 16) << shifts, axis=2).view(np.int64)
-
-
-def agreeing(a: Column, b: Column) -> Column:
-    """Number of equal registers of two arrays of :func:`nibbles`."""
-    ones = F.lit(0x1111111111111111)
-    total = F.lit(-3)
-    for i in range(8):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        differ = x
-        for k in (1, 2, 3):
-            differ = differ.bitwiseOR(F.shiftrightunsigned(x, k))
-        total = total + 16 - F.bit_count(differ.bitwiseAND(ones))
-    return total
-
-
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the column ``shingles`` by ``n`` and ``keys``."""
     for batch in batches:
@@ -137,14 +111,12 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(end - start), sizes)
             table = signatures(values[offsets[start]: offsets[end]], owner, end - start)
             keys = band_keys(table)[sizes > 0].reshape(-1)
-            sketch = nibbles(table).reshape(-1)
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id")[start:end], batch.column("content")[start:end],
                 pa.array(sizes.astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(keys)),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketch) + 1, 8), type=pa.int32()), pa.array(sketch)),
-            ], ["doc_id", "content", "n", "keys", "sketch"])
+            ], ["doc_id", "content", "n", "keys"])
             start = end
 
 
@@ -172,7 +144,7 @@ class _Corpus:
             F.when(F.size("ws") > 0, shingles(F.col("ws"))).otherwise(F.array().cast("array<bigint>")).alias("shingles"),
         )
         self.slim = materialise(
-            tokens.mapInArrow(_with_keys, f"doc_id {kind}, content string, n bigint, keys array<bigint>, sketch array<bigint>"), "signatures"
+            tokens.mapInArrow(_with_keys, f"doc_id {kind}, content string, n bigint, keys array<bigint>"), "signatures"
         )
         # One node for each word sequence, named by its smallest id; by a hash if that id has several.
         same_id = Window.partitionBy("rep").orderBy("content")
@@ -182,7 +154,6 @@ class _Corpus:
         self.nodes = materialise(
             self.slim.groupBy("content").agg(
                 F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"),
-                F.first("sketch").alias("sketch"),
             ).withColumn("node", named), "nodes",
         )
         banded = self.nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).select(
@@ -248,7 +219,7 @@ class _Corpus:
         """Pairs of a group's members in different components, one of them outside its largest.
 
         A member's distance to the centre is known, or at least what their sizes leave. Pairs whose distances to
-        it differ by more than the limit cannot be similar; pairs whose signatures agree too little are not.
+        it differ by more than the limit cannot be similar. No estimate leaves a pair out.
         """
         to_centre = self.tried.select(F.col("u").alias("node"), F.col("v").alias("centre"), (1 - F.col("similarity")).alias("known"))
         least = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
@@ -264,23 +235,22 @@ class _Corpus:
         largest = sizes.groupBy("bucket").agg(
             F.max(F.struct("m", "part")).alias("top"), F.count(F.lit(1)).alias("parts")
         ).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
-        signed = self.nodes.select("node", "keys", "sketch")
+        signed = self.nodes.select("node", "keys")
         mixed = materialise(labelled.join(largest, "bucket").join(signed, "node").select(
-            "bucket", "band", "node", "n", "part", "far", "exact", "keys", "sketch", "main"
+            "bucket", "band", "node", "n", "part", "far", "exact", "keys", "main"
         ), "mixed")
-        left = mixed.where("part != main").drop("main").toDF("bucket", "band", "x", "n_x", "p", "far_x", "exact_x", "keys_x", "sketch_x")
-        right = mixed.drop("main", "band").toDF("bucket", "y", "n_y", "q", "far_y", "exact_y", "keys_y", "sketch_y")
+        left = mixed.where("part != main").drop("main").toDF("bucket", "band", "x", "n_x", "p", "far_x", "exact_x", "keys_x")
+        right = mixed.drop("main", "band").toDF("bucket", "y", "n_y", "q", "far_y", "exact_y", "keys_y")
         limit = F.lit(1 - SIMILAR + 1e-9)
         near = (
             ~(F.col("exact_y") & (F.col("far_x") - F.col("far_y") > limit))
             & ~(F.col("exact_x") & (F.col("far_y") - F.col("far_x") > limit))
         )
         sizes_fit = F.least("n_x", "n_y") >= F.lit(SIMILAR) * F.greatest("n_x", "n_y")
-        alike = agreeing(F.col("sketch_x"), F.col("sketch_y")) >= AGREEING
         # A pair is told by the first band that it shares.
         shared = F.array_position(F.zip_with("keys_x", "keys_y", lambda a, b: a == b), True)
         pairs = left.join(right, "bucket").where(
-            (F.col("p") != F.col("q")) & near & sizes_fit & alike & (shared == F.col("band") + 1)
+            (F.col("p") != F.col("q")) & near & sizes_fit & (shared == F.col("band") + 1)
         )
         return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 

@@ -93,6 +93,22 @@ def test_copies_share_a_class_and_one_stays(spark, documents):
     assert sum(r.text == LONG for r in left) == 1
 
 
+def test_no_signature_keeps_a_pair_from_comparison(spark):
+    """Two nodes that share a band and else agree in nothing are compared, whatever was kept of their registers."""
+    corpus = object.__new__(near_duplicates._Corpus)
+    corpus.members = spark.createDataFrame(
+        [(7, 0, k, 100, 1, 100, 9) for k in (1, 2, 3)],
+        "bucket bigint, band int, node bigint, n bigint, centre bigint, n_centre bigint, rank bigint",
+    )
+    corpus.found = spark.createDataFrame([(1, 1), (4, 1)], "node bigint, root bigint")
+    corpus.tried = spark.createDataFrame([(2, 1, 0.7), (3, 1, 0.7)], "u bigint, v bigint, similarity double")
+    corpus.nodes = spark.createDataFrame(
+        [(k, [5] + [100 * k + i for i in range(24)], [0x1111111111111111 * k] * 8) for k in (1, 2, 3)],
+        "node bigint, keys array<bigint>, sketch array<bigint>",
+    )
+    assert (3, 2) in {tuple(r) for r in corpus._across().collect()}
+
+
 def test_equal_texts_have_equal_fingerprints(spark, documents):
     prints = {}
     joined = fingerprints.compared_with_next(documents).collect()
