@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    classifier, encoding, fingerprints, language_model, mixing, near_duplicates, passages, privacy, quality, substrings,
+    classifier, encoding, fingerprints, impacts, interactions, language_model, mixing, near_duplicates, passages, privacy,
+    quality, substrings,
 )
 from plumbline.llm.common import materialise
 
@@ -238,3 +239,71 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+     100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)]::INT[] AS f
+  FROM d JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)
+), cell AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+letter AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o, substr('ABCDE', a.i, 1) || substr('ABCDE', b.i, 1) || substr('ABCDE', c.i, 1)
+    || substr('ABCDE', d.i, 1) || substr('ABCDE', e.i, 1) AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+found AS (
+  SELECT *, f[o[step]] AS fails, coalesce(list_sum(list_transform(o[1:step - 1], lambda x: f[x])), 0) AS before,
+    list_sum(f) AS all_fails
+  FROM cell, steps
+), counted AS (
+  SELECT part, filter_order, step, o[step] AS own,
+    sum(CASE WHEN before = 0 AND fails = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN before = 0 AND fails = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN before > 0 AND fails = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN all_fails = 1 AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN before = 0 AND fails = 1 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN before = 0 AND fails = 1 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM found GROUP BY part, filter_order, step, o[step]
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM counted"""
+
+
+@query(_AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return interactions.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 10"""
+
+
+@query(_NEAREST_SQL)
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    return impacts.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
