@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    classifier, encoding, fingerprints, impacts, interactions, language_model, mixing, near_duplicates, passages, privacy,
-    quality, substrings,
+    alignment, classifier, encoding, fingerprints, impacts, interactions, language_model, mixing, near_duplicates, passages,
+    privacy, quality, substrings,
 )
 from plumbline.llm.common import materialise
 
@@ -307,3 +307,13 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector with all others."""
     return impacts.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies align in every document, and how common their links are."""
+    found = alignment.aligned(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
