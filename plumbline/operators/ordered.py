@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.columns import col, union_all
+from plumbline.functions.columns import col
 from plumbline.operators.batches import first_row
 from plumbline.operators.sketches import SKETCH_SIZE
 from plumbline.operators.stats import estimated_bytes
@@ -35,28 +35,45 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, max(partitions, estimated_bytes(df) // BYTES_PER_BUCKET)))
 
 
-def split_points(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
+def split_points(
+    df: DataFrame, columns: list[str], buckets: int, distinct: dict[str, int] | None = None
+) -> dict[str, list[float]]:
     """At most ``buckets - 1`` places per column that cut its distinct values in about equal parts.
 
     Values are chosen by their hash, so that one with many rows counts as often as one with a single
-    row: about ``SAMPLED_PER_BUCKET`` different values for each bucket are sketched per column.
+    row: about ``SAMPLED_PER_BUCKET`` different values for each bucket are sketched per column. ``distinct``
+    says about how many a column has, if that is known.
     """
     if not columns:
         return {}
-    seen = first_row(df, [F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)], 2)
-    parts = []
+    if distinct is None:
+        distinct = first_row(df, [F.approx_count_distinct(col(c)).alias(c) for c in columns], 2)
+    entries = []
     for i, c in enumerate(columns):
-        share = min(1.0, SAMPLED_PER_BUCKET * buckets / max(1, seen[f"d{i}"]))
+        share = min(1.0, SAMPLED_PER_BUCKET * buckets / max(1, distinct[c]))
         place = F.xxhash64(col(c)).bitwiseAND(F.lit((1 << 62) - 1))
-        chosen = df.where(col(c).isNotNull() & (place < F.lit(int(share * (1 << 62)))))
-        parts.append(chosen.select(F.lit(i).alias("i"), col(c).cast("double").alias("v")).distinct())
-    sketched = union_all(parts).groupBy("i").agg(F.expr(f"kll_sketch_agg_double(v, {SKETCH_SIZE})").alias("s"))
+        chosen = F.when(place < F.lit(int(share * (1 << 62))), col(c).cast("double"))
+        entries.append(F.struct(F.lit(i).alias("i"), chosen.alias("v")))
+    # One scan for all columns; what is not chosen goes before anything is shuffled.
+    melted = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("v").isNotNull()).distinct()
+    sketched = melted.groupBy("i").agg(F.expr(f"kll_sketch_agg_double(v, {SKETCH_SIZE})").alias("s"))
     shares = ", ".join(f"{k / buckets!r}D" for k in range(1, buckets))
     rows = sketched.selectExpr("i", f"kll_sketch_get_quantile_double(s, array({shares})) AS q").collect()
     found = {columns[r["i"]]: sorted({p for p in r["q"] if abs(p) != inf}) for r in rows}
     return {c: found.get(c, []) for c in columns}
 
 
+def bucketed(df: DataFrame, columns: list[str], splits: dict[str, list[float]]) -> DataFrame:
+    """Adds ``b_<column>`` for every double column: the bucket of its value, a fixed function of it; never NULL."""
+    cut = [c for c in columns if splits[c]]
+    if cut:
+        placer = Bucketizer(
+            splitsArray=[[-inf, *splits[c], inf] for c in cut], inputCols=cut, outputCols=[f"b_{c}" for c in cut], handleInvalid="keep"
+        )
+        df = placer.transform(df)
+    return df.withColumns({f"b_{c}": F.coalesce(F.col(f"b_{c}"), F.lit(-1.0)) if c in cut else F.lit(0.0) for c in columns})
+
+
 def with_bucket(df: DataFrame, value: str, splits: list[float]) -> DataFrame:
     if not splits:
         return df.withColumn("bucket", F.lit(0.0))

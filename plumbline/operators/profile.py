@@ -107,9 +107,7 @@ def profile_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     if not fields:
         return no_rows(df, profile_quantiles, "double")
     values = {f.name: known(f) for f in fields}
-    found = exact_quantiles(df, values, [0.0, *PROFILE_SHARES, 1.0])
-    around = {c: F.abs(v.cast("double") - F.lit(found[c][0.5])) for c, v in values.items()}
-    spread = exact_quantiles(df, around, [0.5])
+    found = exact_quantiles(df, values, [0.0, *PROFILE_SHARES, 1.0], deviation=True)
 
     def minus(a: float | None, b: float | None) -> float | None:
         return None if a is None or b is None else a - b
@@ -117,7 +115,7 @@ def profile_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = []
     for c, q in found.items():
         rows.append(
-            (c, *[q[s] for s in PROFILE_SHARES], minus(q[0.75], q[0.25]), minus(q[1.0], q[0.0]), spread[c][0.5])
+            (c, *[q[s] for s in PROFILE_SHARES], minus(q[0.75], q[0.25]), minus(q[1.0], q[0.0]), q["mad"])
         )
     return df.sparkSession.createDataFrame(
         rows,

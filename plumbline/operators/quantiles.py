@@ -1,192 +1,189 @@
-"""Exact quantiles without sorting or shuffling a column.
-
-A sketch brackets every wanted rank between two values. Brackets that may still hold many rows are
-counted and sketched again. The last job counts the rows before each bracket and the rows of each
-value inside it, and picks the value at the rank. A rank the sketch put into the wrong bracket is
-noticed there and looked for again with wider brackets, so the result never depends on the sketch.
-
-Passes over the data are plain aggregations; the driver sees a few numbers per column and quantile.
+"""Exact quantiles of many columns by radix selection: a fixed number of passes, no sort, no shuffle of rows.
+
+The bits of a double, read as a whole number with the negative ones turned round, have the order of the values.
+A pass counts values by their next bits (``DIGITS``) within the places that hold a wanted rank, for all columns
+and ranks at once, and notes the least and greatest value of every count. The place of a rank is settled when
+these are equal, and at the latest when all bits are read: after three passes, however many the rows, and after two
+if no open place holds more rows than a digit has values, as then all bits left make the second digit. Every
+task adds up its counts by itself. A column has at most as many counts as a digit has values, per wanted rank;
+sign, exponent and eight more bits make the first digit, so real columns have some thousands.
+
+The median absolute deviation is selected the same way among the distances from the median, which are made
+from the same columns inside the pass.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.columns import union_all
-from plumbline.operators.batches import first_row, packed
-from plumbline.operators.sketches import RANK_ERROR, sketched_quantiles
-
-ROWS_PER_BRACKET = 100_000
-MAX_ROUNDS = 5
-
-# A bracket reaches this share of the rows below and above its rank.
-SLACK = 5 * RANK_ERROR
+#: Bits read by the first and by a later pass, and counts that a task gathers before it adds up equal ones.
+DIGITS = (20, 22)
+GATHERED = 1 << 20
+
+_HALF = np.int64(0x7FFFFFFFFFFFFFFF)
+_COUNTS = "measure int, parent bigint, place bigint, n bigint, low bigint, high bigint"
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> np.int64(63)) & _HALF)
+
+
+def from_ordered_bits(number: int) -> float:
+    bits = np.int64(number)
+    return float((bits ^ ((bits >> np.int64(63)) & _HALF)).view(np.float64))
+
+
+class _Counts:
+    """Counts by place of one column, with the least and greatest number of each."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, numbers: np.ndarray, shift: int) -> None:
+        """Counts ``numbers`` by their bits above ``shift``."""
+        if not len(numbers):
+            return
+        numbers = np.sort(numbers)
+        places = numbers >> np.int64(shift)
+        starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        ends = np.append(starts[1:], len(numbers))
+        self.parts.append(np.stack([places[starts], ends - starts, numbers[starts], numbers[ends - 1]]))
+        self.size += len(starts)
+        if self.size > GATHERED:
+            self.parts = [self.summed()]
+            self.size = self.parts[0].shape[1]
+
+    def summed(self) -> np.ndarray:
+        whole = np.concatenate(self.parts, axis=1) if self.parts else np.empty((4, 0), np.int64)
+        whole = whole[:, np.argsort(whole[0], kind="stable")]
+        starts = np.flatnonzero(np.concatenate([[True], whole[0, 1:] != whole[0, :-1]])) if whole.shape[1] else np.empty(0, np.int64)
+        if not len(starts):
+            return whole
+        return np.stack([
+            whole[0, starts], np.add.reduceat(whole[1], starts), np.minimum.reduceat(whole[2], starts), np.maximum.reduceat(whole[3], starts)
+        ])
+
+
+def _counted(
+    values: DataFrame, names: list[str], seen: int, digit: int, within: dict[int, np.ndarray],
+    centres: dict[int, float],
+) -> DataFrame:
+    """One pass: counts of the columns by ``digit`` bits after the ``seen`` first, inside the parents ``within``."""
+    shift = 64 - seen - digit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {m: _Counts() for m in within}
+        for batch in batches:
+            for m, counts in found.items():
+                column = batch[names[m]].to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                column = column[~np.isnan(column)]
+                if m in centres:
+                    with np.errstate(invalid="ignore"):
+                        column = np.abs(column - centres[m])
+                    column = column[~np.isnan(column)]
+                numbers = ordered_bits(column)
+                if seen:
+                    parents, asked = numbers >> np.int64(shift + digit), within[m]
+                    at = np.minimum(np.searchsorted(asked, parents), len(asked) - 1)
+                    numbers = numbers[asked[at] == parents]
+                counts.add(numbers, shift)
+        for m, counts in found.items():
+            place, n, low, high = counts.summed()
+            parent = place >> np.int64(digit) if seen else np.zeros_like(place)
+            arrays = [pa.array(np.full(len(place), m, dtype=np.int32)), *map(pa.array, (parent, place, n, low, high))]
+            yield pa.RecordBatch.from_arrays(arrays, ["measure", "parent", "place", "n", "low", "high"])
+
+    counted = values.select(*[names[m] for m in within]).mapInArrow(run, _COUNTS)
+    return counted.groupBy("measure", "parent", "place").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
 
 
-@dataclass
-class Bracket:
-    """The rows of ``measure`` with a value in ``low..high``; meant to hold the 0-based ``ranks``.
+def _selected(counts: DataFrame, wanted: DataFrame) -> list:
+    """``measure, rank, left, place, low, high, total`` of every wanted rank.
 
-    ``before`` rows are smaller and ``inside`` rows are in it, once counted.
+    ``wanted`` has ``measure, parent`` and either ``rank`` and ``left``, the rank inside the parent, or a ``share``.
     """
+    # At most as many counts per column and parent as the digit has values.
+    whole = Window.partitionBy("measure", "parent")
+    upto = F.sum("n").over(whole.orderBy("place"))
+    running = counts.withColumns({"upto": upto, "total": F.sum("n").over(whole)})
+    joined = running.join(F.broadcast(wanted), ["measure", "parent"])
+    if "share" in wanted.columns:
+        spot = F.col("share") * (F.col("total") - 1)
+        ranks = F.array(F.floor(spot).cast("bigint"), F.ceil(spot).cast("bigint"))
+        joined = joined.withColumn("rank", F.explode(F.array_distinct(ranks)))
+        joined = joined.withColumn("left", F.col("rank"))
+    before = F.col("upto") - F.col("n")
+    return (
+        joined.where((before <= F.col("left")) & (F.col("left") < F.col("upto")))
+        .select("measure", "rank", (F.col("left") - before).alias("left"), "place", "n", "low", "high", "total")
+        .collect()
+    )
 
-    measure: str
-    low: float
-    high: float
-    ranks: set[int] = field(default_factory=set)
-    before: int = 0
-    inside: int = 0
-
-    def within(self) -> str:
-        return f"{self.measure} between {_double(self.low)} and {_double(self.high)}"
-
-    def smaller(self) -> str:
-        return f"{self.measure} < {_double(self.low)}"
-
-
-def _double(value: float) -> str:
-    return f"double('{value!r}')"
-
-
-def _shares(ranks: list[int], before: int, inside: int, slack: float) -> list[float]:
-    """Shares a little below and above every rank."""
-    return [s for r in ranks for s in ((r - before) / inside - slack, (r - before + 1) / inside + slack)]
-
-
-def _around(measure: str, ranks: list[int], bounds: list[float]) -> list[Bracket]:
-    found: dict[tuple[float, float], Bracket] = {}
-    for i, r in enumerate(ranks):
-        low, high = bounds[2 * i], bounds[2 * i + 1]
-        found.setdefault((low, high), Bracket(measure, low, high)).ranks.add(r)
-    return list(found.values())
-
-
-def _narrow(values: DataFrame, brackets: list[Bracket], limit: int, slack: float) -> list[Bracket]:
-    """Counts the brackets and sketches inside those with more than ``limit`` rows.
 
-    A rank that turns out to lie outside its bracket is left to the final check.
-    """
-    counted = []
-    for i, b in enumerate(brackets):
-        counted.append(F.expr(f"count_if({b.smaller()}) as before_{i}"))
-        counted.append(F.expr(f"count_if({b.within()}) as inside_{i}"))
-    row = first_row(values, counted)
-    done, wide = [], []
-    for i, b in enumerate(brackets):
-        b.before, b.inside = row[f"before_{i}"], row[f"inside_{i}"]
-        (wide if b.inside > limit and b.low < b.high else done).append(b)
-    if not wide:
-        return done
-    asked, columns = {}, []
-    for i, b in enumerate(wide):
-        columns.append(f"if({b.within()}, {b.measure}, null) as w{i}")
-        asked[f"w{i}"] = _shares(sorted(b.ranks), b.before, b.inside, slack)
-    found = sketched_quantiles(values.selectExpr(*columns), asked)
-    for i, b in enumerate(wide):
-        done += _around(b.measure, sorted(b.ranks), found[f"w{i}"].quantiles)
-    return done
-
-
-def _read(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float]:
-    """The value at every rank, in one job; a rank that is not in its bracket is left out."""
-    spark = values.sparkSession
-    measures = list(dict.fromkeys(b.measure for b in brackets))
-    counts = union_all(
-        [
-            values.where(" or ".join(b.within() for b in brackets if b.measure == m))
-            .groupBy(F.col(m).alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .selectExpr(f"{i} as m", "value", "n")
-            for i, m in enumerate(measures)
-        ]
-    )
-    before = union_all(
-        [
-            values.agg(*[F.expr(f"count_if({b.smaller()}) as b{i}") for i, b in batch]).selectExpr(
-                f"inline(array({', '.join(f'struct({i} as i, b{i} as before)' for i, _ in batch)}))"
-            )
-            for batch in packed(list(enumerate(brackets)), lambda _: 1)
-        ]
-    )
-    ranges = spark.createDataFrame(
-        [(measures.index(b.measure), i, b.low, b.high) for i, b in enumerate(brackets)],
-        "m int, i int, low double, high double",
+def _select(
+    values: DataFrame, names: list[str], shares: list[float], centres: dict[int, float] | None = None
+) -> dict[int, dict[float, float | None]]:
+    """The quantiles of the columns, or of their distances from ``centres``."""
+    spark, centres = values.sparkSession, centres or {}
+    measures = sorted(centres) if centres else list(range(len(names)))
+    wanted = spark.createDataFrame(
+        [(m, 0, float(s)) for m in measures for s in shares], "measure int, parent bigint, share double"
     )
-    ranks = spark.createDataFrame(
-        [(i, r) for i, b in enumerate(brackets) for r in sorted(b.ranks)], "i int, rank bigint"
-    )
-    # One row per wanted rank: bounded by columns and quantiles.
-    places = ranks.join(F.broadcast(before), "i").selectExpr("i", "rank", "rank - before as place")
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("value"))
-    found = (
-        counts.join(F.broadcast(ranges), "m")
-        .where("value between low and high")
-        .withColumn("upto", upto)
-        .join(F.broadcast(places), "i")
-        .where("place >= 0 and upto > place")
-        .groupBy("i", "rank")
-        .agg(F.min("value").alias("value"))
-    )
-    return {(brackets[r["i"]].measure, r["rank"]): r["value"] for r in found.collect()}
+    within = {m: np.zeros(1, dtype=np.int64) for m in measures}
+    at_rank: dict[tuple[int, int], float] = {}
+    totals: dict[int, int] = {}
+    seen, digit = 0, DIGITS[0]
+    while True:
+        rows = _selected(_counted(values, names, seen, digit, within, centres), wanted)
+        if not seen:
+            totals = {r["measure"]: r["total"] for r in rows}
+        at_rank.update({(r["measure"], r["rank"]): from_ordered_bits(r["low"]) for r in rows if r["low"] == r["high"]})
+        # Several shares can ask for one rank.
+        open_ = list({(r["measure"], r["rank"]): r for r in rows if r["low"] != r["high"]}.values())
+        if not open_:
+            break
+        seen += digit
+        digit = 64 - seen if max(r["n"] for r in open_) <= 1 << DIGITS[1] else DIGITS[1]
+        wanted = spark.createDataFrame(
+            [(r["measure"], r["place"], r["rank"], r["left"]) for r in open_], "measure int, parent bigint, rank bigint, left bigint"
+        )
+        within = {m: np.unique([r["place"] for r in open_ if r["measure"] == m]) for m in sorted({r["measure"] for r in open_})}
+
+    def quantile(m: int, share: float) -> float | None:
+        if m not in totals:
+            return None
+        spot = share * (totals[m] - 1)
+        low, high = at_rank[m, math.floor(spot)], at_rank[m, math.ceil(spot)]
+        return low if low == high else low + (high - low) * (spot - math.floor(spot))
+
+    return {m: {s: quantile(m, s) for s in shares} for m in measures}
 
 
 def exact_quantiles(
-    df: DataFrame, measures: dict[str, Column], shares: list[float], rows_per_bracket: int = ROWS_PER_BRACKET
-) -> dict[str, dict[float, float | None]]:
-    """Quantiles with linear interpolation of numeric expressions; NULLs are skipped."""
-    names = {f"v{i}": m for i, m in enumerate(measures)}
-    values = df.select(*[c.cast("double").alias(v) for v, c in zip(names, measures.values())])
-
-    # The number of rows is not known yet, so the first brackets are around the shares.
-    around = [s for share in shares for s in (share - SLACK, share + SLACK)]
-    sketched = sketched_quantiles(values, {v: around for v in names})
-    wanted: dict[str, set[int]] = {}
-    at_rank: dict[tuple[str, int], float] = {}
-    brackets: list[Bracket] = []
-    for v, seen in sketched.items():
-        if not seen.n:
-            continue
-        at_rank[v, 0], at_rank[v, seen.n - 1] = seen.low, seen.high
-        tight: dict[tuple[float, float], Bracket] = {}
-        for i, share in enumerate(shares):
-            place = share * (seen.n - 1)
-            ranks = {math.floor(place), math.ceil(place)} - {0, seen.n - 1}
-            if ranks:
-                low, high = seen.quantiles[2 * i], seen.quantiles[2 * i + 1]
-                tight.setdefault((low, high), Bracket(v, low, high)).ranks.update(ranks)
-                wanted.setdefault(v, set()).update(ranks)
-        brackets += tight.values()
-
-    largest, slack = max((s.n for s in sketched.values()), default=0), SLACK
-    while brackets:
-        expected = largest * 2 * slack
-        for _ in range(MAX_ROUNDS):
-            if expected <= rows_per_bracket or not brackets:
-                break
-            brackets = _narrow(values, brackets, rows_per_bracket, slack)
-            expected *= 2 * slack
-        at_rank.update(_read(values, brackets))
-        missed = {v: sorted(r for r in ranks if (v, r) not in at_rank) for v, ranks in wanted.items()}
-        missed = {v: ranks for v, ranks in missed.items() if ranks}
-        # Never seen in practice: at a slack of one a bracket is the whole range, so this ends.
-        slack = min(1.0, slack * 8)
-        brackets = []
-        if missed:
-            asked = {v: _shares(ranks, 0, sketched[v].n, slack) for v, ranks in missed.items()}
-            again = sketched_quantiles(values, asked)
-            brackets = [b for v, ranks in missed.items() for b in _around(v, ranks, again[v].quantiles)]
-
-    def quantile(v: str, share: float) -> float | None:
-        n = sketched[v].n
-        if not n:
-            return None
-        place = share * (n - 1)
-        low, high = at_rank[v, math.floor(place)], at_rank[v, math.ceil(place)]
-        return low if low == high else low + (high - low) * (place - math.floor(place))
+    df: DataFrame, measures: dict[str, Column], shares: list[float], deviation: bool = False
+) -> dict[str, dict]:
+    """Quantiles with linear interpolation of numeric expressions; NULLs and NaN are skipped.
 
-    return {m: {s: quantile(v, s) for s in shares} for v, m in names.items()}
+    With ``deviation`` the key ``"mad"`` holds the median distance from the median, of which ``shares`` must have 0.5.
+    """
+    names = [f"v{i}" for i in range(len(measures))]
+    values = df.select(*[c.cast("double").alias(v) for v, c in zip(names, measures.values(), strict=True)])
+    found: dict[int, dict] = _select(values, names, shares) if names else {}
+    if deviation:
+        centres = {m: q[0.5] for m, q in found.items() if q[0.5] is not None and math.isfinite(q[0.5])}
+        around = _select(values, names, [0.5], centres) if centres else {}
+        for m, q in found.items():
+            q["mad"] = around[m][0.5] if m in around else (None if q[0.5] is None else math.nan)
+    return {c: found[i] for i, c in enumerate(measures)}

@@ -65,6 +65,32 @@ def test_value_counts_are_shuffled_once(lineitem):
         assert "ReusedExchange" in final_plan_of(found)
 
 
+def own_scans(plan):
+    """Scans that run; those of a reused shuffle do not."""
+    return len(re.findall(r"FileScan|Scan parquet", plan))
+
+
+def test_correlation_of_60_columns_is_one_scan(spark, tmp_path):
+    wide = spark.range(500).select(*[F.when(F.col("id") % (i + 2) > 0, F.rand(i)).alias(f"c{i}") for i in range(60)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    stored = spark.read.parquet(str(tmp_path / "wide"))
+    for found in (q.pearson(stored, ["*"]), q.profile_missing_correlation(stored, ["*"])):
+        plan = plan_of(found)
+        assert own_scans(plan) == 1 and plan.count("Exchange") == 2
+
+
+def test_rank_correlation_does_not_scan_per_column_or_pair(spark, lineitem):
+    few, many = ["l_quantity", "l_discount"], ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_partkey", "l_suppkey"]
+    plans = [final_plan_of(q.spearman(lineitem, c)) for c in (few, many)]
+    assert own_scans(plans[0]) == own_scans(plans[1]) == 2
+    assert plans[0].count("Exchange hashpartitioning") == plans[1].count("Exchange hashpartitioning")
+
+
+def test_contingency_tables_of_all_pairs_are_one_scan(lineitem):
+    columns = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]
+    assert own_scans(final_plan_of(A.cramers_v(lineitem, columns))) == 1
+
+
 def test_top_k_is_cut_before_the_shuffle(lineitem):
     assert "TakeOrderedAndProject" in plan_of(q.date_distribution(lineitem, "l_shipdate"))
     assert "TakeOrderedAndProject" in plan_of(q.group_summary(lineitem, {"group_by": ["l_suppkey"]}))

@@ -15,6 +15,8 @@ from plumbline.functions.tails import chi_square_upper, kolmogorov_two_sided, no
 from plumbline.operators import drift as R
 from plumbline.operators import ordered
 from plumbline.operators.ordered import mid_rank, running_totals
+from plumbline.operators import comoments
+from plumbline.operators import quantiles as Q
 from plumbline.operators.quantiles import exact_quantiles
 
 
@@ -38,36 +40,45 @@ def clean(values):
     return [v for v in values if v is not None and not math.isnan(v)]
 
 
-@pytest.mark.parametrize("limit", [3, 50, 100_000])
-def test_exact_quantiles(spark, limit):
+@pytest.mark.parametrize("digits", [(20, 22), (2, 5), (12, 8)])
+def test_exact_quantiles(spark, monkeypatch, digits):
+    monkeypatch.setattr(Q, "DIGITS", digits)
     values = hot_values(1, 3000)
     df = frame(spark, values)
     shares = [0.0, 0.05, 0.25, 0.5, 0.613, 0.95, 1.0]
     known = F.when(~F.isnan("v"), F.col("v"))
-    found = exact_quantiles(df, {"v": known, "neg": -known}, shares, rows_per_bracket=limit)
+    found = exact_quantiles(df, {"v": known, "neg": -known}, shares, deviation=True)
     expected = np.quantile(clean(values), shares)
     assert [found["v"][s] for s in shares] == pytest.approx(list(expected))
     assert [found["neg"][s] for s in shares] == pytest.approx(list(np.quantile([-v for v in clean(values)], shares)))
+    mad = np.median(np.abs(np.array(clean(values)) - np.median(clean(values))))
+    assert found["v"]["mad"] == found["neg"]["mad"] == pytest.approx(mad)
 
 
-def test_quantiles_survive_a_wrong_sketch(spark, monkeypatch):
-    from plumbline.operators import quantiles as Q
+def test_bits_have_the_order_of_values():
+    values = np.array([-np.inf, -1e300, -2.5, -2.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf])
+    bits = Q.ordered_bits(values)
+    assert (np.diff(bits) >= 0).all() and bits[5] == bits[6] and len(set(bits.tolist())) == len(values) - 1
+    assert [Q.from_ordered_bits(b) for b in bits.tolist()] == values.tolist()
 
-    values = [float(v) for v in range(1000)]
-    honest, calls = Q.sketched_quantiles, []
 
-    def misleading(df, asked):
-        found = honest(df, asked)
-        calls.append(asked)
-        if len(calls) == 1:
-            for s in found.values():
-                s.quantiles = [s.low for _ in s.quantiles]
-        return found
+@pytest.mark.parametrize("rows", [500, 5000, 50_000])
+def test_passes_of_quantiles_do_not_grow_with_rows(spark, monkeypatch, rows):
+    passes, counted = [], Q._counted
+    monkeypatch.setattr(Q, "_counted", lambda *a: passes.append(a[2:4]) or counted(*a))
+    monkeypatch.setattr(Q, "DIGITS", (20, 6))
+    df = spark.range(rows).select(F.xxhash64("id").cast("double").alias("v"))
+    exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.75])
+    # 20 bits, then 6 bits a pass at most.
+    assert len(passes) <= 1 + 8 and sum(d for _, d in passes) <= 64
 
-    monkeypatch.setattr(Q, "sketched_quantiles", misleading)
-    found = exact_quantiles(frame(spark, values), {"v": F.col("v")}, [0.1, 0.5, 0.9])
-    assert [found["v"][s] for s in (0.1, 0.5, 0.9)] == pytest.approx([99.9, 499.5, 899.1])
-    assert len(calls) == 2
+
+def test_infinite_values_and_quantiles(spark):
+    inf = math.inf
+    found = exact_quantiles(frame(spark, [-inf, 1.0, 2.0, inf, inf]), {"v": F.col("v")}, [0.0, 0.5, 1.0], deviation=True)
+    assert [found["v"][s] for s in (0.0, 0.5, 1.0)] == [-inf, 2.0, inf] and found["v"]["mad"] == inf
+    endless = exact_quantiles(frame(spark, [inf, inf, 1.0]), {"v": F.col("v")}, [0.5], deviation=True)
+    assert endless["v"][0.5] == inf and math.isnan(endless["v"]["mad"])
 
 
 def test_quantiles_of_nothing_and_of_one(spark):
@@ -196,6 +207,56 @@ def test_correlation_of_constant_columns_is_null(spark):
     assert q.spearman(df, ["a", "b"]).first().correlation is None
 
 
+def test_correlation_of_many_gapped_columns(spark, monkeypatch):
+    """Several blocks, classes of columns with the same gaps, offsets that would cancel, ties."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (400, 1))
+    data = pd.DataFrame(np.round(base + rng.normal(0, 1, (400, 7)), 1) + np.arange(7) * 1e7, columns=list("abcdefg"))
+    data.loc[rng.random(400) < 0.3, ["b", "c"]] = np.nan
+    data.loc[rng.random(400) < 0.2, "e"] = np.nan
+    data.loc[data.index > 5, "g"] = np.nan
+    monkeypatch.setattr(comoments, "SIDE", 3)
+    monkeypatch.setattr("plumbline.operators.association.SIDE", 2)
+    monkeypatch.setattr("plumbline.operators.association.RANKS_AT_ONCE", 50)
+    df = spark.createDataFrame(data).repartition(6)
+    for method, found in (("pearson", q.pearson(df, ["*"])), ("spearman", q.spearman(df, ["*"]))):
+        expected = data.corr(method=method)
+        rows = {(r.column_a, r.column_b): r.correlation for r in found.collect()}
+        assert sorted(rows) == list(combinations("abcdefg", 2))
+        for a, b in rows:
+            assert rows[a, b] == pytest.approx(expected.loc[a, b], abs=1e-7), (method, a, b)
+
+
+def test_correlation_with_infinite_values_and_none(spark):
+    rows = [(1.0, 2.0, math.inf), (2.0, 4.0, 1.0), (3.0, 6.5, 2.0), (4.0, None, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    found = {(r.column_a, r.column_b): r.correlation for r in q.pearson(df, ["*"]).collect()}
+    assert found["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1]) and math.isnan(found["a", "c"])
+    empty = df.limit(0)
+    assert {r.correlation for r in q.pearson(empty, ["*"]).collect()} == {None}
+    assert {r.correlation for r in q.spearman(empty, ["*"]).collect()} == {None}
+
+
+def test_cramers_v_of_many_kinds(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        a = rng.randrange(4)
+        b = a if rng.random() < 0.5 else rng.randrange(3)
+        rows.append((a, None if rng.random() < 0.1 else f"t{b}" + "x" * 80, rng.choice([0.0, -0.0, 1.5, float("nan")]), b > 1, None))
+    df = spark.createDataFrame(rows, "a int, b string, c double, d boolean, e string").repartition(5)
+    found = {(r.column_a, r.column_b): r for r in q.cramers_v(df, ["*"]).collect()}
+    assert len(found) == 10 and found["a", "e"].n is None and found["d", "e"].cramers_v is None
+    for x, y in combinations(range(4), 2):
+        both = [(r[x], r[y]) for r in rows if r[x] is not None and r[y] is not None and r[x] == r[x] and r[y] == r[y]]
+        table = pd.crosstab(*map(pd.Series, zip(*both))).to_numpy()
+        expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
+        chi = ((table - expected) ** 2 / expected).sum()
+        row = found["abcd"[x], "abcd"[y]]
+        assert row.n == len(both) and row.chi_square == pytest.approx(chi)
+        assert row.cramers_v == pytest.approx(math.sqrt(chi / len(both) / (min(table.shape) - 1)))
+
+
 def test_cramers_v(spark):
     same = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x"), ("b", "y")], "p string, r string")
     assert q.cramers_v(same, ["p", "r"]).first().cramers_v == pytest.approx(1.0)
