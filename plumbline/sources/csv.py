@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import col
 from plumbline.functions.parsing import MISSING_TOKENS, looks_numeric, looks_whole
 from plumbline.operators.batches import first_row
+from plumbline.sources.records import Dialect, read_records
 
 DELIMITERS = (",", ";", "\t", "|")
 CORRUPT = "__corrupt_line"
@@ -72,15 +73,19 @@ class Lines(NamedTuple):
 def inspect_lines(
     spark: SparkSession, path: str | list[str], quote: str = '"', escape: str = '"', comment: str | None = None
 ) -> Lines:
-    """Delimiter and number of lines with an odd number of quotes, in one aggregate over all lines."""
+    """Delimiter and number of lines that end inside quotes, in one aggregate over all lines.
+
+    Quotes count where a field can start: at the start of a line and behind a candidate for the delimiter. Lines are
+    looked at one by one, so behind an open quote the rest of the quoted text may count as well.
+    """
     lines = spark.read.text(path).where(F.trim("value") != "")
     if comment:
         lines = lines.where(~F.startswith("value", F.lit(comment)))
     text = F.col("value") if escape == quote else F.replace(F.col("value"), F.lit(escape + quote), F.lit(""))
-    q = re.escape(quote)
-    bare = F.regexp_replace(text, f"{q}[^{q}]*{q}", "")
+    q, start = re.escape(quote), f"(^|[{re.escape(''.join(DELIMITERS))}])"
+    bare = F.regexp_replace(text, f"{start}{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}", "$1")
     counted = lines.select(
-        (F.regexp_count(text, F.lit(q)) % 2).alias("odd"),
+        F.regexp_like(bare, F.lit(f"{start}{q}")).cast("int").alias("open"),
         *[F.regexp_count(bare, F.lit(re.escape(d))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)],
     )
     first = counted.first()
@@ -88,11 +93,11 @@ def inspect_lines(
         return Lines(",", 0)
     found = counted.agg(
         F.count(F.lit(1)).alias("lines"),
-        F.sum("odd").alias("odd"),
+        F.sum("open").alias("open"),
         *[F.count_if(F.col(f"d{i}") == first[f"d{i}"]).alias(f"d{i}") for i in range(len(DELIMITERS))],
     ).first()
     ranked = {d: (first[f"d{i}"], found[f"d{i}"], found["lines"]) for i, d in enumerate(DELIMITERS)}
-    return Lines(_best(ranked), found["odd"])
+    return Lines(_best(ranked), found["open"])
 
 
 def sniff_delimiter(spark: SparkSession, path: str | list[str]) -> str:
@@ -158,12 +163,52 @@ def _charset(encoding: str) -> str:
     return "ISO-8859-1" if name == "iso8859-1" else name
 
 
+def _by_line(
+    spark: SparkSession, path: str | list[str], given: dict[str, Any], names: list[str] | None, headed: bool
+) -> tuple[DataFrame, Column]:
+    """Text columns of a source in which every line is a record, and which rows have too many fields."""
+    quote = given["quote"]
+    names = names or spark.read.options(**given).csv(path, header=headed, inferSchema=False).schema.names
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    # All columns are parsed, or extra fields would go unseen.
+    raw = spark.read.options(**given, columnNameOfCorruptRecord=CORRUPT, columnPruning="false").schema(schema).csv(
+        path, header=headed, mode="PERMISSIVE"
+    )
+    q, sep = re.escape(quote), re.escape(given["sep"])
+    bare = F.regexp_replace(col(CORRUPT), f"(^|{sep}){q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}", "$1")
+    return raw, F.coalesce(F.regexp_count(bare, F.lit(sep)) + 1 > len(names), F.lit(False))
+
+
+def _across_lines(
+    spark: SparkSession, path: str | list[str], given: dict[str, Any], names: list[str] | None, headed: bool
+) -> tuple[DataFrame, Column]:
+    """The same of a source whose quoted fields may hold line breaks."""
+    dialect = Dialect(
+        sep=given["sep"], quote=given["quote"], escape=given["escape"], comment=given.get("comment"),
+        skip_space=str(given.get("ignoreLeadingWhiteSpace", "")).lower() == "true",
+        line_end=given.get("lineSep", "\n"), encoding=given.get("encoding", "UTF-8"),
+    )
+    records = read_records(spark, path, dialect)
+    if names is None:
+        first = records.where("header").orderBy("file").first()
+        width = len(first["fields"]) if first else 0
+        names = [n or f"_c{i}" for i, n in enumerate(first["fields"])] if headed and first else [f"_c{i}" for i in range(width)]
+    rows = records.where("NOT header") if headed else records
+    extra = F.size("fields") > len(names)
+    raw = rows.select(
+        *[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)],
+        F.when(extra, F.array_join("fields", given["sep"], "")).alias(CORRUPT),
+    )
+    return raw, F.coalesce(col(CORRUPT).isNotNull(), F.lit(False))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> DataFrame:
     """Reads headed CSV with the option names of :data:`READER_OPTIONS`; others are refused by name.
 
     ``dtype`` (column to type) saves the typing pass for the columns it names. A line with more fields than the
-    header raises an error, as does a quoted line break without ``multiline``; ``on_bad_lines="skip"`` leaves
-    lines with too many fields out.
+    header raises an error, which ``on_bad_lines="skip"`` leaves out; shorter lines are filled with NULL. A quote opens a
+    quoted field at the start of a field only. Sources with line breaks in quoted fields are noticed (``multiline``
+    saves the pass that looks for them) and read in parallel all the same, see :mod:`plumbline.sources.records`.
     """
     unknown = sorted(set(options) - set(READER_OPTIONS) - set(OWN_OPTIONS))
     if unknown:
@@ -174,26 +219,16 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> Data
     # A quote inside a quoted text is written twice.
     quote = given.setdefault("quote", '"')
     given.setdefault("escape", quote)
-    if "sep" not in given or not given.get("multiLine"):
+    across = bool(given.pop("multiLine", False))
+    if "sep" not in given or not across:
         lines = inspect_lines(spark, path, quote, given["escape"], given.get("comment"))
         given.setdefault("sep", lines.delimiter)
-        if lines.open_quotes and not given.get("multiLine"):
-            raise ValueError(
-                f"{lines.open_quotes} lines have an odd number of quotes; multiline=True reads quoted line breaks"
-            )
+        across = across or lines.open_quotes > 0
     headed = options.get("header", "infer") is not None and options.get("names") is None
     if options.get("names") is not None and options.get("header") == 0:
         headed = True
-    header = spark.read.options(**given).csv(path, header=headed, inferSchema=False).schema
-    names = options.get("names") or header.names
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
-    # All columns are parsed, or extra fields would go unseen.
-    raw = spark.read.options(**given, columnNameOfCorruptRecord=CORRUPT, columnPruning="false").schema(schema).csv(
-        path, header=headed, mode="PERMISSIVE"
-    )
-    q, sep = re.escape(quote), re.escape(given["sep"])
-    fields = F.regexp_count(F.regexp_replace(col(CORRUPT), f"{q}[^{q}]*{q}", ""), F.lit(sep)) + 1
-    refused = F.coalesce(fields > len(names), F.lit(False))
+    read = _across_lines if across else _by_line
+    raw, refused = read(spark, path, given, options.get("names"), headed)
     if options.get("on_bad_lines", "error") == "skip":
         raw, refused = raw.where(~refused), None
     if options.get("usecols") is not None:
