@@ -354,7 +354,7 @@ def group_distribution(spark, sf_dir):
     )
 )
 def date_max(spark, sf_dir):
-    return union_all([D.date_max(table(spark, sf_dir, t), ["*"]) for t in ("orders", "lineitem", "events")])
+    return union_all([D.date_max(table(spark, sf_dir, t), ["*"]) for t in ("orders", "lineitem", "events")]).drop("unparsed")
 
 
 @query(
@@ -366,7 +366,62 @@ def date_max(spark, sf_dir):
     )
 )
 def date_max_text(spark, sf_dir):
-    return D.date_max(orders_t(spark, sf_dir), ["iso_day", "day_first", "iso_time", "o_orderpriority"])
+    return D.date_max(orders_t(spark, sf_dir), ["iso_day", "day_first", "iso_time", "o_orderpriority"]).drop("unparsed")
+
+
+# Days written in eight ways, of which one has values in another format.
+ORDERS_WRITTEN = """(
+  SELECT strftime(o_orderdate, '%-d %b %Y') AS short_month, strftime(o_orderdate, '%B %-d, %Y') AS long_month,
+    strftime(o_orderdate, '%d-%b-%Y') AS dashed, strftime(o_orderdate, '%m/%d/%y') AS two_digits,
+    strftime(o_orderdate, '%m/%d/%Y %I:%M %p') AS half_days, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+0000') AS zoned,
+    CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed,
+    o_orderdate, o_orderkey
+  FROM orders)"""
+WRITTEN = {
+    "short_month": "d MMM yyyy", "long_month": "MMMM d, yyyy", "dashed": "dd-MMM-yyyy", "two_digits": "MM/dd/yy",
+    "half_days": "MM/dd/yyyy hh:mm a", "zoned": "yyyy-MM-dd'T'HH:mm:ss'+0000'",
+}
+
+
+def orders_written(spark, sf_dir):
+    day = F.col("o_orderdate")
+    other = F.when(F.col("o_orderkey") % 7 == 0, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select(
+        *[F.date_format(day, pattern).alias(c) for c, pattern in WRITTEN.items()], other.alias("mixed"), "o_orderdate"
+    )
+
+
+@query(
+    union_sql([
+        f"SELECT '{c}' AS \"column\", 'TEXT' AS kind, max(o_orderdate) AS max_date, CAST(0 AS BIGINT) AS unparsed FROM {ORDERS_WRITTEN}"
+        for c in WRITTEN
+    ] + [
+        "SELECT 'mixed', 'TEXT', max(o_orderdate) FILTER (WHERE o_orderkey % 7 <> 0), count(*) FILTER (WHERE o_orderkey % 7 = 0) FROM orders"
+    ])
+)
+def date_unparsed(spark, sf_dir):
+    """Latest days of texts written in many ways, and how many values are not of their column's format."""
+    return D.date_max(orders_written(spark, sf_dir), [*WRITTEN, "mixed"])
+
+
+@query(
+    union_sql([f"SELECT '{c}' AS \"column\", 'string' AS source_type, 'datetime' AS inferred_type" for c in WRITTEN] + [
+        "SELECT 'mixed', 'string', CASE WHEN count(DISTINCT mixed) < 20 OR count(DISTINCT mixed) / CAST(count(mixed) AS DOUBLE) < 0.1 "
+        f"THEN 'categorical' ELSE 'string' END FROM {ORDERS_WRITTEN}"
+    ])
+)
+def schema_infer_dates(spark, sf_dir):
+    """Types of the same texts; a column in two formats is no date."""
+    return S.infer_schema(orders_written(spark, sf_dir).drop("o_orderdate"))
+
+
+@query(
+    "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'UNPARSED' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, count(*) AS count "
+    "FROM orders GROUP BY 1 UNION ALL SELECT 'TOTAL', count(*) FROM orders WHERE o_orderkey % 7 <> 0"
+)
+def date_distribution_unparsed(spark, sf_dir):
+    """Days of a column in two formats, with what stands in no day."""
+    return D.date_distribution_total(orders_written(spark, sf_dir), "mixed")
 
 
 def _per_day(limit: str = "") -> str:

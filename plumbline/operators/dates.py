@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import WILDCARD, col, field_of, is_temporal, is_text, select_fields
-from plumbline.functions.parsing import DATE_FORMATS, DateFormat, date_shape, parse_as, parse_with
-from plumbline.operators.batches import first_row
+from plumbline.functions.parsing import DATE_FORMATS, KNOWN_SHAPES, DateFormat, date_shape, parse_as
 
 SHOWN_DAYS = 10
 
@@ -30,24 +31,56 @@ def date_fields(df: DataFrame, columns: list[str]) -> list[T.StructField]:
     return [f for f in select_fields(df, columns) if is_temporal(f.dataType) or is_text(f.dataType)]
 
 
-def text_formats(df: DataFrame, fields: list[T.StructField]) -> dict[str, DateFormat]:
-    """The one format that each text column is read with.
+def shape_evidence(df: DataFrame, texts: list[T.StructField]) -> dict[str, Counter]:
+    """Per text column how many values each format of ``DATE_FORMATS`` (by its number) reads, and all known ones (``None``).
 
-    It is the format that fits most values of the column, the earlier one in ``DATE_FORMATS`` (day before month)
-    if several fit as many. A column that no format fits has none.
+    Values are grouped by shape, which is one of a fixed list or none, in one pass over all columns; a value is only
+    parsed by the formats that accept its shape. What reaches the driver has one row per column and known shape.
     """
-    texts = [f for f in fields if is_text(f.dataType)]
-    counts = [
-        F.count(parse_with(col(f.name), date_shape(col(f.name)), fmt)).alias(f"n_{i}_{j}")
+    if not texts:
+        return {}
+    candidates = {s: [j for j, fmt in enumerate(DATE_FORMATS) if s in fmt.shapes] for s in KNOWN_SHAPES}
+    most = max(map(len, candidates.values()))
+    # Longer texts are no dates; they are counted, not carried along.
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.when(date_shape(col(f.name)).isNotNull(), col(f.name)).alias("text"), col(f.name).isNotNull().alias("there"))
         for i, f in enumerate(texts)
-        for j, fmt in enumerate(DATE_FORMATS)
     ]
-    seen = first_row(df, counts) if counts else {}
+    melted = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("there")
+    shape = date_shape(F.col("text"))
+    shaped = melted.withColumn("shape", F.when(shape.isin(*KNOWN_SHAPES), shape))
+
+    def reads(turn: int) -> Column:
+        by_format: dict[int, list[str]] = {}
+        for s, found in candidates.items():
+            if turn < len(found):
+                by_format.setdefault(found[turn], []).append(s)
+        parsed = F.lit(None).cast("timestamp")
+        for j, shapes in by_format.items():
+            parsed = F.when(F.col("shape").isin(*shapes), F.try_to_timestamp("text", F.lit(DATE_FORMATS[j].pattern))).otherwise(parsed)
+        return F.count(parsed).alias(f"fits_{turn}")
+
+    rows = shaped.groupBy("i", "shape").agg(F.count(F.lit(1)).alias("n"), *[reads(t) for t in range(most)]).collect()
+    evidence: dict[str, Counter] = {f.name: Counter() for f in texts}
+    for r in rows:
+        found = evidence[texts[r["i"]].name]
+        found[None] += r["n"]
+        for turn, j in enumerate(candidates.get(r["shape"], [])):
+            found[j] += r[f"fits_{turn}"]
+    return evidence
+
+
+def text_formats(df: DataFrame, fields: list[T.StructField]) -> dict[str, DateFormat]:
+    """The one format that each text column is read with.
+
+    It is the format with a day that fits most values of the column, the earlier one in ``DATE_FORMATS`` (day before
+    month) if several fit as many. A column that no format fits has none.
+    """
     found = {}
-    for i, f in enumerate(texts):
-        best = max(range(len(DATE_FORMATS)), key=lambda j: (seen[f"n_{i}_{j}"], -j))
-        if seen[f"n_{i}_{best}"]:
-            found[f.name] = DATE_FORMATS[best]
+    for name, fits in shape_evidence(df, [f for f in fields if is_text(f.dataType)]).items():
+        best = max((j for j, fmt in enumerate(DATE_FORMATS) if fmt.has_day), key=lambda j: (fits[j], -j))
+        if fits[best]:
+            found[name] = DATE_FORMATS[best]
     return found
 
 
@@ -68,20 +101,25 @@ def _formats(df: DataFrame, fields: list[T.StructField], date_format: str | None
 
 
 def date_max(df: DataFrame, columns: list[str], date_format: str | None = None) -> DataFrame:
-    """``(column, kind, max_date)`` of every column with a date, all in one aggregation.
+    """``(column, kind, max_date, unparsed)`` of every column with a date, all in one aggregation.
 
-    Text columns are read with ``date_format``, or each with the format that fits it best.
+    Text columns are read with ``date_format``, or each with the format that fits it best; ``unparsed`` counts the
+    known values that are not dates of that format.
     """
     fields = date_fields(df, columns)
     if not fields:
-        return df.sparkSession.createDataFrame([], "column string, kind string, max_date timestamp_ntz")
+        return df.sparkSession.createDataFrame([], "column string, kind string, max_date timestamp_ntz, unparsed bigint")
     formats = _formats(df, fields, date_format)
-    latest = df.agg(*[F.max(moment(f, formats)).alias(f"m{i}") for i, f in enumerate(fields)])
+    latest = df.agg(
+        *[F.max(moment(f, formats)).alias(f"m{i}") for i, f in enumerate(fields)],
+        *[F.count_if(col(f.name).isNotNull() & moment(f, formats).isNull()).alias(f"u{i}") for i, f in enumerate(fields)],
+    )
     entries = [
         F.struct(
             F.lit(f.name).alias("column"),
             F.lit(date_kind(f.dataType) or "TEXT").alias("kind"),
             col(f"m{i}").alias("max_date"),
+            col(f"u{i}").alias("unparsed"),
         )
         for i, f in enumerate(fields)
     ]
@@ -90,30 +128,35 @@ def date_max(df: DataFrame, columns: list[str], date_format: str | None = None)
 
 
 def _per_day(df: DataFrame, column: str, date_format: str | None) -> DataFrame:
+    """Known values per day; the day of those that are no dates of the format is NULL."""
     field = field_of(df, column)
     day = F.to_date(moment(field, _formats(df, [field], date_format)))
-    return df.select(day.alias("date")).where(F.col("date").isNotNull()).groupBy("date").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    return df.where(col(column).isNotNull()).groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def date_distribution(
     df: DataFrame, column: str, k: int | None = SHOWN_DAYS, date_format: str | None = None
 ) -> DataFrame:
-    """Records per day, latest first; ``k=None`` lists every day."""
-    days = _per_day(df, column, date_format).orderBy(F.desc("date"))
+    """Records per day, latest first; ``k=None`` lists every day. Values that are no dates are in none."""
+    days = _per_day(df, column, date_format).where(F.col("date").isNotNull()).orderBy(F.desc("date"))
     return days if k is None else days.limit(k)
 
 
 def date_distribution_total(df: DataFrame, column: str, date_format: str | None = None) -> DataFrame:
-    """Every day plus a TOTAL row. The rollup runs on the daily counts, not on the records."""
+    """Every day plus a TOTAL row over the days, and an UNPARSED row if known values are no dates of the format.
+
+    The rollup runs on the daily counts, not on the records.
+    """
+    days = _per_day(df, column, date_format)
+    # The group of the total adds up the days only.
+    dated = F.when(F.col("date").isNotNull(), F.col("count"))
     return (
-        _per_day(df, column, date_format)
+        days.select(F.coalesce(F.col("date").cast("string"), F.lit("UNPARSED")).alias("date"), "count", dated.alias("dated"))
         .rollup("date")
-        .agg(F.sum("count").alias("count"), F.grouping("date").alias("total"))
+        .agg(F.sum("count").alias("count"), F.sum("dated").alias("dated"), F.grouping("date").alias("total"))
         .select(
-            F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("date").cast("string")).alias("date"),
-            F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+            F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("date")).alias("date"),
+            F.coalesce(F.when(F.col("total") == 1, F.col("dated")).otherwise(F.col("count")), F.lit(0)).cast("bigint").alias("count"),
         )
         .orderBy(F.desc("date"))
     )

@@ -14,8 +14,9 @@ from plumbline.functions.columns import (
     is_text,
     known,
 )
-from plumbline.functions.parsing import DATE_FORMATS, date_shape, looks_boolean, looks_numeric, parse_with
+from plumbline.functions.parsing import DATE_FORMATS, looks_boolean, looks_numeric
 from plumbline.operators.batches import first_row
+from plumbline.operators.dates import shape_evidence
 from plumbline.operators.distinct import distinct_counts
 
 SCHEMA_OF_SCHEMA = "column string, source_type string, inferred_type string"
@@ -36,18 +37,12 @@ def column_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column string, source_type string")
 
 
-def _shape_name(i: int) -> str:
-    return f"date shape of column {i}"
-
-
 def _text_evidence(i: int, field: T.StructField) -> list[Column]:
-    c, shape = col(field.name), col(_shape_name(i))
-    found = [
+    c = col(field.name)
+    return [
         F.count_if(looks_boolean(c)).alias(f"bool_{i}"),
         F.count_if(looks_numeric(c)).alias(f"num_{i}"),
     ]
-    found += [F.count(parse_with(c, shape, fmt)).alias(f"date_{i}_{j}") for j, fmt in enumerate(DATE_FORMATS)]
-    return found
 
 
 def _fraction_evidence(i: int, field: T.StructField) -> list[Column]:
@@ -60,9 +55,9 @@ def _categories(df: DataFrame, fields: list[T.StructField], present: dict[str, i
     """Which text columns repeat few values: sketched first, counted exactly where it is close."""
     if not fields:
         return {}
-    sketch = df.agg(
-        *[F.approx_count_distinct(col(f.name), _SKETCH_ERROR).alias(f"d{i}") for i, f in enumerate(fields)]
-    ).first()
+    sketch = first_row(
+        df, [F.approx_count_distinct(col(f.name), _SKETCH_ERROR).alias(f"d{i}") for i, f in enumerate(fields)], 10
+    )
     verdict, close = {}, []
     for i, f in enumerate(fields):
         # Categorical means: fewer than 20 values, or fewer than a tenth of the known rows.
@@ -83,7 +78,11 @@ def _categories(df: DataFrame, fields: list[T.StructField], present: dict[str, i
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
-    """Column name to semantic type; one fused pass, plus a distinct pass for undecided text."""
+    """Column name to semantic type.
+
+    One fused pass, one over texts that are neither booleans nor numbers for their date shapes, and a distinct pass for
+    text that is no date.
+    """
     evidence: list[Column] = []
     simple: dict[str, str] = {}
     for i, f in enumerate(df.schema.fields):
@@ -96,9 +95,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
             evidence += _text_evidence(i, f)
         elif is_floating(dtype) or isinstance(dtype, T.DecimalType):
             evidence += _fraction_evidence(i, f)
-    texts = {i: col(f.name) for i, f in enumerate(df.schema.fields) if is_text(f.dataType)}
-    shaped = df.withColumns({_shape_name(i): date_shape(c) for i, c in texts.items()}) if texts else df
-    counts = first_row(shaped, evidence)
+    counts = first_row(df, evidence)
 
     types: dict[str, str] = {}
     undecided: list[T.StructField] = []
@@ -124,10 +121,12 @@ def infer_types(df: DataFrame) -> dict[str, str]:
             types[f.name] = "boolean"
         elif counts[f"num_{i}"] == n:
             types[f.name] = "float"
-        elif any(counts[f"date_{i}_{j}"] == n for j in range(len(DATE_FORMATS))):
-            types[f.name] = "datetime"
         else:
             undecided.append(f)
+    fits = shape_evidence(df, undecided)
+    dated = {f.name for f in undecided if any(fits[f.name][j] == present[f.name] for j in range(len(DATE_FORMATS)))}
+    types.update(dict.fromkeys(dated, "datetime"))
+    undecided = [f for f in undecided if f.name not in dated]
     few = _categories(df, undecided, present)
     types.update({c: "categorical" if yes else "string" for c, yes in few.items()})
     return {f.name: types[f.name] for f in df.schema.fields}

@@ -202,3 +202,31 @@ def test_one_date_format_for_a_column(spark):
 def test_long_digit_texts_are_recognised_in_time(spark):
     df = spark.createDataFrame([("1" * 20_000 + "x",)] * 4, "t string")
     assert infer_types(df) == {"t": "categorical"}
+
+
+def test_dates_in_words_and_other_clocks(spark):
+    written = {
+        "a": ["5 Jan 2024", "17 may 2023"], "b": ["January 5, 2024", "May 17, 2023"], "c": ["05-JAN-2024", "17-May-2023"],
+        "d": ["01/02/25", "28/12/69"], "e": ["10:00 PM", "9:15:30 am"], "f": ["2025-01-02T03:04:05+0000", "2025-01-02T03:04:05.123-0300"],
+        "g": ["2025-01-02 03:04:05 +0000", "2025-01-02 03:04:05+0100"], "h": ["5 January 2024", "17 May 2023"],
+        "i": ["01/31/2025 10:00 PM", "02/01/2025 01:30 am"], "j": ["Mayday", "June bug"],
+    }
+    df = spark.createDataFrame(list(zip(*written.values())), list(written))
+    types = infer_types(df)
+    assert types.pop("j") == "categorical" and set(types.values()) == {"datetime"}
+    found = {r.column: (str(r.max_date), r.unparsed) for r in q.date_max(df, list(written)).collect()}
+    assert {c: found[c][0] for c in "abcdgi"} == {
+        "a": "2024-01-05 00:00:00", "b": "2024-01-05 00:00:00", "c": "2024-01-05 00:00:00", "d": "2025-02-01 00:00:00",
+        "g": "2025-01-02 03:04:05", "i": "2025-02-01 01:30:00",
+    }
+    # A time of day is of no day.
+    assert "e" not in found
+
+
+def test_values_off_the_format_are_counted(spark):
+    df = spark.createDataFrame([("2025-01-02",), ("2025-01-03",), ("2025/01/09",), (None,)], "t string")
+    row = q.date_max(df, ["t"]).first()
+    assert (str(row.max_date), row.unparsed) == ("2025-01-03 00:00:00", 1)
+    total = {r.date: r["count"] for r in q.date_distribution_total(df, "t").collect()}
+    assert total == {"2025-01-02": 1, "2025-01-03": 1, "UNPARSED": 1, "TOTAL": 2}
+    assert q.date_distribution(df, "t").count() == 2
