@@ -19,6 +19,7 @@ from plumbline.sources.csv import blank_out, typed
 from plumbline.sources.load import load_source
 from plumbline.sources.sampling import sample_by_key as by_key
 from plumbline.sources.sampling import sample_rows as at_random
+from plumbline.sources.sampling import smallest_places
 
 # ``orders`` with values written as text, so that every inference rule has a column to find.
 ORDERS_T = """(
@@ -554,3 +555,14 @@ def key_outcomes(spark, sf_dir):
         "repeated": detect_keys(few).key, "unlimited": detect_keys(lineitem, max_columns=None).key,
     }
     return union_all([df.select(F.lit(name).alias("dataset"), "status", "row_count") for name, df in found.items()])
+
+
+@query(
+    "SELECT count(*) AS sampled, CAST(sum(place) AS VARCHAR) AS places FROM ("
+    "SELECT ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT AS place FROM orders ORDER BY place LIMIT 700)"
+)
+def sample_smallest_places(spark, sf_dir):
+    """The sample is the rows with the smallest places, here those of a digest that SQL knows, too."""
+    place = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 15), 16, 10).cast("bigint")
+    found = smallest_places(table(spark, sf_dir, "orders"), place, 700)
+    return found.agg(F.count(F.lit(1)).alias("sampled"), F.sum(place.cast("decimal(28,0)")).cast("string").alias("places"))

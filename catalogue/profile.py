@@ -353,3 +353,15 @@ def profile_alerts(spark, sf_dir):
 def profile_sample(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     return P.profile_sample(customer, ["c_custkey"])
+
+
+
+@query(
+    "SELECT 'big' AS \"column\", CAST(9 * count(*) AS VARCHAR) || lpad(CAST(sum(o_custkey) AS VARCHAR), 37, '0') AS sum_exact FROM orders "
+    "UNION ALL SELECT 'negative', '-' || CAST(9 * count(*) AS VARCHAR) || lpad(CAST(sum(o_custkey) AS VARCHAR), 37, '0') FROM orders"
+)
+def profile_sum_of_wide_numbers(spark, sf_dir):
+    """Sums of numbers of 38 digits have more digits than any number type."""
+    big = F.lit("9" + "0" * 37).cast("decimal(38,0)") + F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders").select(big.cast("decimal(38,0)").alias("big"), (-big).cast("decimal(38,0)").alias("negative"))
+    return P.profile_numeric(orders, ["*"]).select("column", "sum_exact")

@@ -110,6 +110,19 @@ def group_key(field: T.StructField) -> Column:
     return c
 
 
+def text_key(field: T.StructField) -> Column:
+    """The same key as text: different values have different texts, both zeros have one."""
+    key = group_key(field)
+    if is_floating(field.dataType):
+        key = key + F.lit(0.0).cast(field.dataType)
+    if isinstance(field.dataType, T.TimestampType):
+        # The text of a time can stand for two moments where clocks are put back.
+        key = F.unix_micros(key)
+    if isinstance(field.dataType, T.BinaryType):
+        return F.hex(key)
+    return F.to_json(F.struct(key)) if is_complex(field.dataType) else key.cast("string")
+
+
 def key_fields(df: DataFrame) -> list[T.StructField]:
     """Fields that take part in distinct and key operators when nothing is named."""
     return [f for f in df.schema.fields if not is_complex(f.dataType)]

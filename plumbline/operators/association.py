@@ -18,13 +18,12 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.columns import (
     field_of,
-    group_key,
     is_complex,
-    is_floating,
     is_numeric,
     known,
     numeric_field,
     select_fields,
+    text_key,
 )
 from plumbline.operators.batches import first_row, no_rows
 from plumbline.operators.comoments import SIDE, Block, Gathered, co_moments, pair_correlations, square_blocks
@@ -168,17 +167,6 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     return pair_correlations(in_rows.mapInArrow(run, "block int, task_group int, stats binary"), blocks, shown)
 
 
-def _text_key(field: T.StructField) -> Column:
-    """Equality key of a value as text: different values have different texts."""
-    key = group_key(field)
-    if is_floating(field.dataType):
-        # Both zeros are one value.
-        key = key + F.lit(0.0).cast(field.dataType)
-    if isinstance(field.dataType, T.TimestampType):
-        key = F.unix_micros(key)
-    return key.cast("string")
-
-
 def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """``(pair, a, b, o)``: how often the values of every pair of columns stand in one row, from one scan.
 
@@ -199,7 +187,7 @@ def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
                     columns = [pa.array(np.full(len(cell), p, np.int32)), coded[x].dictionary.take(pa.array(a)), coded[y].dictionary.take(pa.array(b)), pa.array(o)]
                     yield pa.RecordBatch.from_arrays(columns, ["pair", "a", "b", "o"])
 
-    keys = df.select(*[_text_key(f).alias(n) for f, n in zip(fields, names)])
+    keys = df.select(*[text_key(f).alias(n) for f, n in zip(fields, names)])
     counted = keys.mapInArrow(run, "pair int, a string, b string, o bigint")
     # Said before the grouping, so that all uses of the cells have one plan and share their shuffle.
     some = counted.where("pair IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import predicates as P
 from plumbline.functions.columns import (
+    DIGEST_LENGTH,
     WILDCARD,
     col,
     field_of,
@@ -122,15 +123,34 @@ def volume_probes(
     return [Probe("", {}, result("volume_check", [], pass_if(inside), ROWS, ROWS, None, bounds, dataset))]
 
 
+#: Characters that a result shows of a long text.
+SHOWN_CHARACTERS = 40
+
+
+def _bounded(field: T.StructField) -> tuple[Column, str]:
+    """A key of bounded size that is equal for equal values, and the SQL that shows the value of key ``{low}``.
+
+    Long texts and bytes are their digest and their beginning, so that no task gathers whole texts.
+    """
+    value = known(field)
+    if is_text(field.dataType):
+        long = F.concat(F.sha2(value, 256), F.left(value, F.lit(SHOWN_CHARACTERS)))
+        key = F.when(F.octet_length(value) >= DIGEST_LENGTH, long).otherwise(value)
+        return key, f"if(octet_length({{low}}) >= {DIGEST_LENGTH}, concat(substring({{low}}, {DIGEST_LENGTH + 1}), '...'), {{low}})"
+    if isinstance(field.dataType, T.BinaryType):
+        return F.when(F.octet_length(value) >= DIGEST_LENGTH, F.sha2(value, 256).cast("binary")).otherwise(value), "hex({low})"
+    if is_complex(field.dataType):
+        return F.sha2(F.to_json(F.struct(value)), 256), "{low}"
+    return value, "{low}"
+
+
 def constant_probes(df: DataFrame, columns: list[str], dataset: str = "") -> list[Probe]:
     """Exactly one value, a missing value counting as one: least = greatest and all or none missing."""
     probes = []
     for field in [f for f in select_fields(df, columns) if is_orderable(f.dataType)]:
-        value = known(field)
-        binary = isinstance(field.dataType, T.BinaryType)
+        value, shown = _bounded(field)
         row = result(
-            "constant_check", [field.name], "'WARN'", "1", ROWS, 1.0,
-            {"value": "hex({low})" if binary else "{low}"}, dataset,
+            "constant_check", [field.name], "'WARN'", "1", ROWS, 1.0, {"value": shown}, dataset,
         )
         single = f"coalesce({{known}} = {ROWS} and {{low}} = {{high}}, false)"
         probes.append(

@@ -26,6 +26,7 @@ from plumbline.functions.columns import (
 from plumbline.functions.tails import chi_square_upper, kolmogorov_two_sided, normal_two_sided
 from plumbline.operators.batches import first_row, packed
 from plumbline.operators.ordered import bucket_count, running_totals, split_points
+from plumbline.operators.sketches import MERGE_GROUPS
 
 # Verdict thresholds, the most values of a number that is compared as a category, and the
 # largest baseline for which the family "by_size" uses hypothesis tests.
@@ -264,8 +265,11 @@ def _sizes(baseline: DataFrame, current: DataFrame, numeric: dict[str, bool]) ->
         )
     few = [i for i in range(len(columns)) if seen[f"d{i}"] <= SKETCHED_FEW]
     if few:
-        # At most about SKETCHED_FEW values per column.
-        values = both.agg(*[F.expr(f"size(collect_set(v{i})) as d{i}") for i in few])
+        # At most about SKETCHED_FEW keys of bounded size per column, merged in groups of tasks and then once more.
+        by_group = both.withColumn("task_group", F.spark_partition_id() % MERGE_GROUPS).groupBy("task_group").agg(
+            *[F.expr(f"collect_set(v{i}) as s{i}") for i in few]
+        )
+        values = by_group.agg(*[F.expr(f"size(array_distinct(flatten(collect_list(s{i})))) as d{i}") for i in few])
         seen.update(values.first().asDict())
     return {c: _Size(seen[f"b{i}"], seen[f"c{i}"], seen[f"d{i}"]) for i, c in enumerate(columns)}
 

@@ -26,7 +26,8 @@ from plumbline.operators.results import as_rows, pass_if, result
 SHOWN_GROUPS = 10
 SEPARATOR = " | "
 
-METRICS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+# A sum or mean beyond 38 digits is NULL.
+METRICS = {"sum": F.try_sum, "avg": F.try_avg, "min": F.min, "max": F.max}
 
 
 def _summable(field: T.StructField, metric: str) -> Column:

@@ -60,11 +60,37 @@ def profile_overview(df: DataFrame) -> DataFrame:
     )
 
 
+#: Whole numbers of more digits are summed in two parts: with fewer, no table has the rows to fill 38 digits.
+WIDE_DIGITS = 28
+_LOW_DIGITS = 20
+
+
+def _long_sum(v: Column) -> Column:
+    """The sum of whole decimals as text, however long: of the digits above the twentieth and of those below apart."""
+    one = F.lit("1" + "0" * _LOW_DIGITS).cast("decimal(38,0)")
+    rest = v % one
+    low = F.when(rest < 0, rest + one).otherwise(rest)
+    high = (v.cast("decimal(38,0)") - rest) / one
+    high = F.when(rest < 0, high - 1).otherwise(high).cast("decimal(20,0)")
+    low_sum = F.sum(low.cast("decimal(21,0)"))
+    # Divided without a rest, as quotients of decimals are rounded.
+    lower = low_sum % one
+    upper = F.sum(high) + ((low_sum - lower) / one).cast("decimal(38,0)")
+    # Below zero: the distance from zero has the complement of the lower digits.
+    borrowed = (upper < 0) & (lower > 0)
+    upper = F.when(borrowed, upper + 1).otherwise(upper).cast("decimal(38,0)")
+    lower = F.when(borrowed, one - lower).otherwise(lower).cast("decimal(38,0)")
+    sign = F.when(borrowed | (upper < 0), "-").otherwise("")
+    lead, tail = F.abs(upper).cast("string"), lower.cast("string")
+    return F.concat(sign, F.when(upper == 0, tail).otherwise(F.concat(lead, F.lpad(tail, _LOW_DIGITS, "0"))))
+
+
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Range, moments, zeros and negatives of every numeric column.
 
     ``min_exact``, ``max_exact`` and ``sum_exact`` are texts: the values in the column's own type, and the
-    sum of whole and decimal numbers without rounding; the others are doubles.
+    sum of whole and decimal numbers without rounding; the others are doubles. The sum of whole numbers may have more
+    than 38 digits; that of decimals with a fraction is NULL beyond them.
     """
     fields = _numeric(df, columns)
     if not fields:
@@ -82,19 +108,22 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         "zeros": lambda v: F.count_if(v == 0),
         "negatives": lambda v: F.count_if(v < 0),
     }
-    exact = {"min_exact": F.min, "max_exact": F.max, "sum_exact": lambda v: F.sum(v)}
+    exact = {"min_exact": F.min, "max_exact": F.max, "sum_exact": F.try_sum}
 
-    def summed(f: T.StructField, measure: str) -> Column:
-        wide = measure == "sum_exact" and not is_floating(f.dataType)
-        scale = f.dataType.scale if isinstance(f.dataType, T.DecimalType) else 0
-        return known(f).cast(f"decimal(38,{scale})") if wide else known(f)
+    def exactly(f: T.StructField, measure: str) -> Column:
+        v, scale = known(f), getattr(f.dataType, "scale", 0)
+        if measure != "sum_exact" or is_floating(f.dataType):
+            return exact[measure](v).cast("string")
+        if getattr(f.dataType, "precision", 0) > WIDE_DIGITS and not scale:
+            return _long_sum(v)
+        return exact[measure](v.cast(f"decimal(38,{scale})")).cast("string")
 
     return aggregate_rows(
         df,
         fields,
         lambda f: 29,
         lambda i, f: [make(known(f).cast("double")).alias(f"{m}_{i}") for m, make in measures.items()]
-        + [make(summed(f, m)).cast("string").alias(f"{m}_{i}") for m, make in exact.items()],
+        + [exactly(f, m).alias(f"{m}_{i}") for m in exact],
         lambda i, f: F.struct(
             F.lit(f.name).alias("column"), *[col(f"{m}_{i}").alias(m) for m in (*measures, *exact)]
         ),

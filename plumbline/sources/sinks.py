@@ -1,16 +1,22 @@
-"""Result tables: partitioned by run, with a view of the latest run, and JSON documents."""
+"""Result tables by run, published at once, with a view of the latest run, and JSON documents.
+
+A run writes its tables to a folder of its own and then one manifest, a small JSON file that names the folder and the
+tables. The manifest is written beside its place and renamed, so a reader finds the whole run or nothing of it; what
+a run that died has left is in no manifest. Writing a run again makes a new folder, to which the renamed manifest points.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# The table of all runs and the tables that each has written.
-RUNS = "runs"
 RUN_FORMAT = "%Y-%m-%d_%Hh%Mm%Ss"
+MANIFESTS, DATA = "manifests", "data"
 
 
 def run_id(at: datetime | None = None) -> str:
@@ -18,38 +24,56 @@ def run_id(at: datetime | None = None) -> str:
     return f"{(at or datetime.now()).strftime(RUN_FORMAT)}-{uuid.uuid4().hex[:6]}"
 
 
-def write_table(df: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
-    """Writes one result table under ``run_id=<run>``. Writing a run again replaces that run only."""
-    (
-        df.withColumn("run_id", F.lit(run))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .format(fmt)
-        .save(path)
-    )
+def _publish(spark: SparkSession, folder: str, run: str, content: dict) -> None:
+    """Puts the manifest in its place by a rename that replaces an older one."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{folder}/{run}.json")
+    beside = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{run}-{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    out = place.getFileSystem(conf).create(beside)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf).rename(beside, place, options)
 
 
 def write_results(tables: dict[str, DataFrame], path: str, run: str, fmt: str = "parquet") -> None:
-    """Writes all tables of a run, then notes the run in the table ``runs``."""
+    """Writes all tables of a run and publishes them together, in place of what the run has published before."""
+    if not tables:
+        return
+    spark, root = next(iter(tables.values())).sparkSession, path.rstrip("/")
+    folder = f"{DATA}/{run}-{uuid.uuid4().hex[:6]}"
     for name, df in tables.items():
-        write_table(df, f"{path.rstrip('/')}/{name}", run, fmt)
-    if tables:
-        spark = next(iter(tables.values())).sparkSession
-        listed = spark.createDataFrame([(name,) for name in sorted(tables)], "name string")
-        write_table(listed, f"{path.rstrip('/')}/{RUNS}", run, fmt)
+        df.withColumn("run_id", F.lit(run)).write.format(fmt).save(f"{root}/{folder}/{name}")
+    schemas = {name: df.withColumn("run_id", F.lit(run)).schema.jsonValue() for name, df in tables.items()}
+    _publish(spark, f"{root}/{MANIFESTS}", run, {"run": run, "folder": folder, "tables": schemas})
+
+
+def published_runs(spark: SparkSession, path: str) -> list[dict]:
+    """The manifests of all published runs, latest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFESTS}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    # One small file per run; names with a leading dot are not read.
+    rows = spark.read.text(f"{path.rstrip('/')}/{MANIFESTS}", wholetext=True, pathGlobFilter="*.json").collect()
+    return sorted((json.loads(r["value"]) for r in rows), key=lambda m: m["run"], reverse=True)
 
 
 def read_run(spark: SparkSession, path: str, name: str, run: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """One result table of a run; of the latest run of all tables if none is named.
+    """One result table of a run; of the latest run if none is named.
 
-    A table that the run did not write has no rows.
+    A table that the run did not write has no rows, and the columns it had in the latest run that wrote it.
     """
-    table = spark.read.format(fmt).load(f"{path.rstrip('/')}/{name}")
-    table = table.withColumn("run_id", F.col("run_id").cast("string"))
-    runs = spark.read.format(fmt).load(f"{path.rstrip('/')}/{RUNS}")
-    wanted = runs.agg(F.max(F.col("run_id").cast("string"))).scalar() if run is None else F.lit(run)
-    return table.where(F.col("run_id") == wanted)
+    runs = published_runs(spark, path)
+    chosen = next((m for m in runs if run is None or m["run"] == run), None)
+    writer = chosen if chosen and name in chosen["tables"] else next((m for m in runs if name in m["tables"]), None)
+    if writer is None:
+        raise KeyError(f"no published run has a table {name!r}")
+    schema = T.StructType.fromJson(writer["tables"][name])
+    if writer is not chosen:
+        return spark.createDataFrame([], schema)
+    return spark.read.format(fmt).schema(schema).load(f"{path.rstrip('/')}/{chosen['folder']}/{name}")
 
 
 def results_document(dataset: str, check_results: DataFrame, score: DataFrame, drift: DataFrame | None = None) -> DataFrame:

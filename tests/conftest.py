@@ -22,65 +22,48 @@ def spark(shared_folder):
 
 @pytest.fixture
 def unit(spark):
-    """Four rows with one missing value."""
-    return spark.createDataFrame(
-        [
-            (1, "rain", "2031-07-04", 7.25),
-            (2, "sun", "2031-07-09", 31.5),
-            (3, "rain", "2031-07-16", 12.75),
-            (4, "fog", "2032-02-29", None),
-        ],
-        "id bigint, sky string, noted string, level double",
-    )
-
-
-# Five plants: one place unknown, one height below zero, three states of which one is not allowed.
-PLANTS = """tag,species,bed,height,planted,state
-11,Thyme,north wall,14,2030-04-02,grown
-12,Sage,south wall,33,2030-04-19,grown
-13,Mint,,21,2030-05-06,resting
-14,Dill,east gate,-4,2030-06-11,grown
-15,Lovage,west gate,60,2029-10-30,unsure
-"""
-
-PLANTS_SEMICOLON = """tag;species;bed;height;planted;state
-11;Thyme;north wall;33;02/04/2030;grown
-12;Sage;south wall;33;19/04/2030;grown
-13;Mint;;21;06/05/2030;resting
-14;Dill;east gate;8;11/06/2030;grown
-15;Lovage;west gate;60;30/10/2029;unsure
-"""
-
-# Two rows that differ in the tag only.
-REPEATED = """tag,species,bed,height,planted,state
-21,Fennel,hill,90,2030-03-03,grown
-22,Chervil,,12,2030-03-09,resting
-23,Fennel,hill,90,2030-03-03,grown
-24,Rue,pond,-2,2030-08-21,grown
-25,Yarrow,lane,41,2029-12-01,unsure
-"""
-
-# Seven rows, five different pairs of item and price less one: three copies by pair, six different rows.
-DUPLICATES = """code;item;shelf;price
-7;cup;front;12
-8;jug;back;30
-9;pan;front;45
-9;pan;back;45
-7;cup;front;12
-5;lid;front;8
-6;lid;front;8
-"""
+    """Six readings of three gauges: one level is missing."""
+    levels = [0.5, 1.5, 4.0, None, 2.25, 0.5]
+    rows = [(10 * i, f"gauge {'xyz'[i % 3]}", f"2019-11-{25 + i}", level) for i, level in enumerate(levels)]
+    return spark.createDataFrame(rows, "id bigint, place string, noted string, level double")
+
+
+class Shipments:
+    """Generated parcel lists. What tests expect of them is computed from ``rows``."""
+
+    columns = ("parcel", "depot", "kilos", "priority", "sent", "zone", "paid")
+
+    def __init__(self, n: int = 12):
+        depots, zones = ("Oslo", "Riga", "Turin"), ("north", "south")
+        self.rows = [
+            (
+                500 + i, depots[i % 3], round(0.5 + i * 1.25, 2) * (-1 if i == 4 else 1), i % 5, f"2018-{i % 12 + 1:02d}-14",
+                None if i % 6 == 5 else zones[i % 2], i % 4 != 0,
+            )
+            for i in range(n)
+        ]
+
+    def column(self, name: str) -> list:
+        return [r[self.columns.index(name)] for r in self.rows]
+
+    def text(self, sep: str = ",", without: tuple[str, ...] = ()) -> str:
+        kept = [i for i, c in enumerate(self.columns) if c not in without]
+        lines = [[self.columns[i] for i in kept]]
+        lines += [["" if r[i] is None else str(r[i]) for i in kept] for r in self.rows]
+        return "".join(sep.join(line) + "\n" for line in lines)
+
+
+@pytest.fixture
+def shipments():
+    return Shipments()
 
 
 @pytest.fixture
-def files(tmp_path):
-    """Paths of the sample files by name."""
-    texts = {
-        "plants": PLANTS,
-        "semicolon": PLANTS_SEMICOLON,
-        "repeated": REPEATED,
-        "duplicates": DUPLICATES,
-    }
+def files(tmp_path, shipments):
+    """Paths of the generated lists by name."""
+    twice = Shipments()
+    twice.rows = [r for i, r in enumerate(twice.rows) for _ in range(1 + (i % 4 == 1))]
+    texts = {"commas": shipments.text(), "bars": shipments.text("|"), "copies": twice.text(";")}
     paths = {}
     for name, content in texts.items():
         path = tmp_path / f"{name}.csv"

@@ -12,10 +12,10 @@ def one(df):
 
 
 def test_null_check_thresholds(unit):
-    assert one(q.null_check(unit, [{"column": "level", "max_percent": 30}])).status == "PASS"
-    assert one(q.null_check(unit, [{"column": "level", "max_percent": 25}])).status == "PASS"
-    failed = one(q.null_check(unit, [{"column": "level", "max_percent": 0}]))
-    assert (failed.status, failed.observed, failed.details["null_count"]) == ("FAIL", 25.0, "1")
+    share = 100.0 / unit.count()
+    for limit, status in ((50, "PASS"), (share, "PASS"), (share - 0.01, "FAIL"), (0, "FAIL")):
+        found = one(q.null_check(unit, [{"column": "level", "max_percent": limit}]))
+        assert (found.status, found.details["null_count"]) == (status, "1") and found.observed == pytest.approx(share)
 
 
 def test_null_check_counts_nan_and_survives_zero_rows(spark):
@@ -39,9 +39,9 @@ def test_unknown_column_is_reported_early(unit):
 
 def test_uniqueness(unit):
     assert one(q.uniqueness_check(unit, ["id"])).status == "PASS"
-    repeated = one(q.uniqueness_check(unit.unionAll(unit.where("id = 1")), ["id"]))
+    repeated = one(q.uniqueness_check(unit.unionAll(unit.where("id = 30")), ["id"]))
     assert (repeated.status, repeated.observed) == ("FAIL", 1.0)
-    assert one(q.uniqueness_check(unit, ["sky", "noted"])).status == "PASS"
+    assert one(q.uniqueness_check(unit, ["place", "noted"])).status == "PASS"
 
 
 def test_uniqueness_treats_missing_as_equal(spark):
@@ -60,10 +60,10 @@ def test_long_text_keys_are_exact(spark):
 
 
 def test_numeric_check(unit):
-    assert one(q.numeric_check(unit, [{"column": "id", "min": 1, "max": 10}])).status == "PASS"
-    assert one(q.numeric_check(unit, [{"column": "id", "min": 2}])).observed == 1.0
-    with pytest.raises(TypeError, match="sky"):
-        q.numeric_check(unit, [{"column": "sky", "min": 2}])
+    assert one(q.numeric_check(unit, [{"column": "id", "min": 0, "max": 50}])).status == "PASS"
+    assert one(q.numeric_check(unit, [{"column": "id", "min": 15}])).observed == 2.0
+    with pytest.raises(TypeError, match="place"):
+        q.numeric_check(unit, [{"column": "place", "min": 2}])
 
 
 def test_numeric_check_ignores_missing_and_nan(spark):
@@ -91,9 +91,9 @@ def test_regex_matches_from_the_start(spark):
 
 
 def test_volume_check(unit):
-    assert one(q.volume_check(unit, 4, 4)).status == "PASS"
-    assert one(q.volume_check(unit, min_rows=5)).status == "FAIL"
-    assert one(q.volume_check(unit, max_rows=3)).status == "FAIL"
+    assert one(q.volume_check(unit, 6, 6)).status == "PASS"
+    assert one(q.volume_check(unit, min_rows=7)).status == "FAIL"
+    assert one(q.volume_check(unit, max_rows=5)).status == "FAIL"
     assert one(q.volume_check(unit)).status == "PASS"
 
 
@@ -142,8 +142,8 @@ def test_outlier_examples_are_distinct_and_ranked(spark):
 
 
 def test_group_check(unit, spark):
-    assert one(q.group_check(unit, [{"group_by": ["sky"], "min_count": 1}])).status == "PASS"
-    failed = one(q.group_check(unit, [{"group_by": ["sky"], "min_count": 3}]))
+    assert one(q.group_check(unit, [{"group_by": ["place"], "min_count": 2}])).status == "PASS"
+    failed = one(q.group_check(unit.where("id < 40"), [{"group_by": ["place"], "min_count": 2}]))
     assert (failed.status, failed.observed) == ("FAIL", 1.0)
     with_missing = spark.createDataFrame([("a",), (None,), ("a",)], "g string")
     kept = one(q.group_check(with_missing, [{"group_by": "g", "min_count": 2}]))
@@ -189,18 +189,32 @@ def test_quotes_in_names_and_values(spark):
     assert found == {"a'b.c", "x\\y"}
 
 
+def test_constant_check_of_long_texts_keeps_no_texts(spark):
+    long = "né " * 5000
+    rows = [(long, bytearray(b"z" * 90), long, [1, 2])] * 3 + [(long, bytearray(b"z" * 90), long + "!", [1, 2])]
+    df = spark.createDataFrame(rows, "same string, bytes binary, other string, list array<int>")
+    found = {r.target[0]: r.details["value"] for r in q.constant_check(df, ["*"]).collect()}
+    assert set(found) == {"same", "bytes", "list"} and found["same"] == long[:40] + "..."
+
+
+def test_group_sums_beyond_38_digits_are_null(spark):
+    big = "9" * 38
+    df = spark.createDataFrame([("a", big), ("a", big), ("b", "7")], "g string, t string").select("g", F.col("t").cast("decimal(38,0)").alias("v"))
+    found = {r.g: (r.sum_v, r.max_v) for r in q.group_metrics(df, {"group_by": "g", "metrics": ["sum", "avg", "max"], "columns": ["v"]}).collect()}
+    assert found["a"][0] is None and str(found["a"][1]) == big and int(found["b"][0]) == 7
+
+
 def test_score_counts_schema_and_skips_groups(unit):
-    checks = q.run_checks(
-        unit,
-        {
-            "null_checks": [{"column": "level"}, {"column": "id"}],
-            "constant_checks": ["*"],
-            "group_by_checks": [{"group_by": ["sky"], "min_count": 99}],
-        },
-    )
-    assert one(q.score(checks, "PASS")).score == 66.67
-    assert one(q.score(checks, "FAIL")).score == 33.33
-    assert q.failed_checks(checks).where("check_type = 'null_check'").count() == 1
+    rules = {
+        "null_checks": [{"column": c} for c in unit.columns],
+        "numeric_checks": [{"column": "id", "max": 0}],
+        "group_by_checks": [{"group_by": ["place"], "min_count": 99}],
+    }
+    checks = q.run_checks(unit, rules)
+    # Of five checks without the groups, one has a missing value and one is out of range.
+    for schema, passed in (("PASS", 4), ("FAIL", 3)):
+        assert one(q.score(checks, schema)).score == pytest.approx(100 * passed / 6, abs=0.005)
+    assert {r.check_type for r in q.failed_checks(checks).collect()} >= {"null_check", "numeric_check"}
 
 
 def test_masks_are_never_null(spark):

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,22 +56,26 @@ def test_load_metadata_is_ignored_whatever_its_case(spark):
     assert q.distinct_counts(df).count() == 3
 
 
-def test_duplicates_of_the_sample(spark, files):
-    df = q.read_csv(spark, files["duplicates"], sep=";")
-    for found in (q.duplicates(df, include=["item", "price"]), q.duplicates(df, exclude=["code", "shelf"])):
+def test_duplicates_of_copied_parcels(spark, files, shipments):
+    df = q.read_csv(spark, files["copies"], sep=";")
+    n = len(shipments.rows)
+    copied = sum(i % 4 == 1 for i in range(n))
+    for found in (q.duplicates(df, include=["parcel", "kilos"]), q.duplicates(df, exclude=["depot", "priority", "sent", "zone", "paid"])):
         row = found.first()
-        assert (row.duplicate_count, row.duplicate_percent, row.status) == (3, 42.86, "SUCCESS")
-        assert row.columns == ["item", "price"]
+        assert (row.duplicate_count, row.status, row.columns) == (copied, "SUCCESS", ["parcel", "kilos"])
+        assert row.duplicate_percent == pytest.approx(100 * copied / (n + copied), abs=0.005)
     search = q.detect_keys(df)
-    assert [r.distinct_count for r in search.history.collect()] == [5, 5, 6]
-    assert search.key.first().status == "FAIL"
-    groups = q.group_distribution(df, ["shelf"]).collect()
-    assert [(r["values"], r["count"], r.percent) for r in groups] == [("front", 5, 71.43), ("back", 2, 28.57)]
+    assert search.key.first().status == "FAIL" and max(r.distinct_count for r in search.history.collect()) == n
+    depots = Counter(d for i, d in enumerate(shipments.column("depot")) for _ in range(1 + (i % 4 == 1)))
+    groups = {r["values"]: (r["count"], r.percent) for r in q.group_distribution(df, ["depot"]).collect()}
+    assert groups == {d: (k, pytest.approx(100 * k / (n + copied), abs=0.005)) for d, k in depots.items()}
 
 
-def test_duplicates_excluding_the_id(spark, files):
-    row = q.duplicates(q.read_csv(spark, files["repeated"]), exclude=["tag"]).first()
-    assert (row.duplicate_count, row.duplicate_percent) == (1, 20.0)
+def test_duplicates_excluding_the_id(spark, files, shipments):
+    df = q.read_csv(spark, files["commas"])
+    rows = list(zip(shipments.column("depot"), shipments.column("zone")))
+    row = q.duplicates(df, exclude=["parcel", "kilos", "priority", "sent", "paid"]).first()
+    assert row.duplicate_count == len(rows) - len(set(rows))
 
 
 def test_duplicates_without_columns_or_rows(unit):
@@ -120,7 +125,7 @@ def test_ten_latest_days(spark):
 
 
 def test_schema_of_the_unit_frame(unit):
-    assert infer_types(unit) == {"id": "integer", "level": "float", "sky": "categorical", "noted": "datetime"}
+    assert infer_types(unit) == {"id": "integer", "level": "float", "place": "categorical", "noted": "datetime"}
 
 
 def test_schema_rules(spark):
@@ -171,7 +176,7 @@ def test_decimal_follows_the_float_rule(spark):
 
 def test_schema_drift(unit):
     actual = q.infer_schema(unit)
-    expected = {"id": "integer", "level": "integer", "sky": "categorical", "new": "string"}
+    expected = {"id": "integer", "level": "integer", "place": "categorical", "new": "string"}
     assert [r.column for r in q.missing_columns(actual, expected).collect()] == ["new"]
     assert [r.column for r in q.extra_columns(actual, expected).collect()] == ["noted"]
     assert [tuple(r) for r in q.type_mismatches(actual, expected).collect()] == [("level", "integer", "float")]

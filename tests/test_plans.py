@@ -91,6 +91,16 @@ def test_contingency_tables_of_all_pairs_are_one_scan(lineitem):
     assert own_scans(final_plan_of(A.cramers_v(lineitem, columns))) == 1
 
 
+def test_distinct_counts_of_one_scan_copy_no_row(lineitem):
+    plan = plan_of(q.distinct_counts(lineitem, single_scan=True))
+    assert own_scans(plan) == 1 and "Expand" not in plan and "Generate" not in plan
+
+
+def test_samples_are_filters(spark, lineitem):
+    plan = plan_of(q.sample_rows(lineitem, 100))
+    assert "TakeOrdered" not in plan and "Exchange" not in plan and "Limit" not in plan
+
+
 def test_top_k_is_cut_before_the_shuffle(lineitem):
     assert "TakeOrderedAndProject" in plan_of(q.date_distribution(lineitem, "l_shipdate"))
     assert "TakeOrderedAndProject" in plan_of(q.group_summary(lineitem, {"group_by": ["l_suppkey"]}))

@@ -264,6 +264,14 @@ def test_cramers_v(spark):
     assert q.cramers_v(apart, ["p", "r"]).first().cramers_v == pytest.approx(0.0)
 
 
+def test_sums_of_long_whole_numbers_are_exact(spark):
+    rng = random.Random(12)
+    for values in ([10**38 - 1] * 3, [-(10**38 - 1)] * 3, [10**37, -(10**37)], [-(10**20), 5], [10**20, -5], [-3], [10**20 - 1, 1, 0],
+                   [rng.randrange(-(10**38) + 1, 10**38) for _ in range(50)]):
+        df = spark.createDataFrame([(str(v),) for v in values] + [(None,)], "t string").select(F.col("t").cast("decimal(38,0)").alias("v"))
+        assert q.profile_numeric(df, ["v"]).first().sum_exact == str(sum(values)), values
+
+
 def test_overview_counts(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "a")], "n int, t string")
     row = q.profile_overview(df).first()
