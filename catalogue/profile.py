@@ -363,5 +363,7 @@ def profile_sample(spark, sf_dir):
 def profile_sum_of_wide_numbers(spark, sf_dir):
     """Sums of numbers of 38 digits have more digits than any number type."""
     big = F.lit("9" + "0" * 37).cast("decimal(38,0)") + F.col("o_custkey")
-    orders = table(spark, sf_dir, "orders").select(big.cast("decimal(38,0)").alias("big"), (-big).cast("decimal(38,0)").alias("negative"))
+    # Not the negative of the other: a minus rounds decimals to 34 digits.
+    negative = F.lit("-9" + "0" * 37).cast("decimal(38,0)") - F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders").select(big.cast("decimal(38,0)").alias("big"), negative.cast("decimal(38,0)").alias("negative"))
     return P.profile_numeric(orders, ["*"]).select("column", "sum_exact")
