@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import text_of
 
-#: One cut in so many word ends, entries kept per cache, and bytes of text handled together.
+#: One cut in so many word ends, entries and bytes of text kept per cache, words asked for at once, and bytes of text
+#: handled together.
 CUT_EVERY = 32
 KEPT_CHUNKS = 20_000
 KEPT_WORDS = 500_000
+KEPT_BYTES = 24_000_000
+ASKED = 5_000
 SLICE_BYTES = 2_000_000
 
 _TAIL = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 9, dtype=np.uint64)
@@ -70,8 +73,13 @@ class Encoder:
         self.tokenizer.no_padding()
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.word_bytes = self.chunk_bytes = 0
 
     def ask(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        """The tokenizer's answers; it keeps much beside the ids of each text, so few are asked for at once."""
+        return [found for at in range(0, len(texts), ASKED) for found in self._asked(texts[at : at + ASKED])]
+
+    def _asked(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         ids = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         return [(np.array(i, dtype=np.int32).tobytes(), d) for i, d in zip(ids, decoded, strict=True)]
@@ -82,17 +90,19 @@ class Encoder:
 
     def learn(self, chunks: set[bytes]) -> None:
         """Fills the caches with all words and chunks that are not there yet."""
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks = {}
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
+        if len(self.chunks) > KEPT_CHUNKS or self.chunk_bytes > KEPT_BYTES:
+            self.chunks, self.chunk_bytes = {}, 0
+        if len(self.words) > KEPT_WORDS or self.word_bytes > KEPT_BYTES:
+            self.words, self.word_bytes = {}, 0
         new = {c: c.split() for c in chunks if c not in self.chunks}
         missing = list({w for ws in new.values() for w in ws if w not in self.words})
         if missing:
             self.words.update(zip(missing, self.ask(missing), strict=True))
+            self.word_bytes += sum(map(len, missing))
         known = self.words
         for chunk, ws in new.items():
             self.chunks[chunk] = self.joined([known[w] for w in ws])
+            self.chunk_bytes += len(chunk)
 
     def agree(self, left: bytes, right: bytes) -> bool:
         """Whether the chunks encode alone as they do together."""
