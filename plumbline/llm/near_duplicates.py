@@ -219,7 +219,8 @@ class _Corpus:
         """Pairs of a group's members in different components, one of them outside its largest.
 
         A member's distance to the centre is known, or at least what their sizes leave. Pairs whose distances to
-        it differ by more than the limit cannot be similar. No estimate leaves a pair out.
+        it differ by more than the limit cannot be similar. Nor can pairs whose rarest shingles have none in common, see
+        :meth:`_rarest`. No estimate leaves a pair out.
         """
         to_centre = self.tried.select(F.col("u").alias("node"), F.col("v").alias("centre"), (1 - F.col("similarity")).alias("known"))
         least = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
@@ -249,11 +250,37 @@ class _Corpus:
         sizes_fit = F.least("n_x", "n_y") >= F.lit(SIMILAR) * F.greatest("n_x", "n_y")
         # A pair is told by the first band that it shares.
         shared = F.array_position(F.zip_with("keys_x", "keys_y", lambda a, b: a == b), True)
-        pairs = left.join(right, "bucket").where(
-            (F.col("p") != F.col("q")) & near & sizes_fit & (shared == F.col("band") + 1)
-        )
+        if getattr(self, "sets", None) is not None:
+            rarest = self._rarest(mixed.select("node").distinct())
+            left, right = left.join(rarest.toDF("x", "rare"), "x"), right.join(rarest.toDF("y", "rare"), "y")
+            left, right = (side.withColumn("rare", F.explode("rare")) for side in (left, right))
+            met = left.join(right, ["bucket", "rare"])
+        else:
+            met = left.join(right, "bucket")
+        pairs = met.where((F.col("p") != F.col("q")) & near & sizes_fit & (shared == F.col("band") + 1))
         return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
+    def _rarest(self, nodes: DataFrame) -> DataFrame:
+        """``node, rare``: so many of the rarest shingles of a node that similar nodes have one of them in common.
+
+        Repetitions of a shingle are told apart by their number, which makes multisets sets. In an order of all shingles that is
+        the same for all nodes, two sets of which ``k`` of ``n`` members must be shared meet within their first ``n - k + 1``.
+        The order is by the number of nodes that hold a shingle, so what a whole group of copies shares comes last.
+        """
+        sets = self.sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.posexplode("shingles").alias("at", "s"))
+        # Shingles are sorted: equal ones stand together, and their number is their distance from the first of them.
+        numbered = sets.withColumn("first", F.min("at").over(Window.partitionBy("node", "s"))).select(
+            "node", "n", F.xxhash64("s", F.col("at") - F.col("first")).alias("member")
+        )
+        numbered = materialise(numbered, "members-of-sets")
+        often = numbered.groupBy("member").agg(F.count(F.lit(1)).alias("nodes"))
+        ordered = numbered.join(often, "member").groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("nodes", "member"))).alias("all"), F.min("n").alias("n")
+        )
+        # A member more than needed, for the rounding of the limit.
+        wanted = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(SIMILAR)) + 2).cast("int")
+        return materialise(ordered.select("node", F.slice("all.member", F.lit(1), wanted).alias("rare")), "rarest")
+
     def classes(self) -> DataFrame:
         """``node, root`` of the nodes that are similar to another."""
         self.tried, self.found, links = None, None, None
