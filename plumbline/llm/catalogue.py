@@ -47,11 +47,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document: counts by kind, and spans with those of disclosing terms."""
+    """Personal data in every document: counts by kind, and spans with those of secrets and disclosing terms."""
     found = privacy.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [privacy.count_of("base", kind).alias(f"n_{kind}") for kind in privacy.KINDS[:4]]
     base, spans = privacy.written(F.col("base")), privacy.written(F.col("spans"))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    more = [privacy.count_of("spans", kind).alias(f"n_{kind}") for kind in privacy.KINDS[4:]]
+    return found.select(
+        "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), *more,
+        F.size("spans").cast("bigint").alias("n_spans"),
+    )
 
 
 _SPACE = r"[\x20\x09-\x0D]+"

@@ -1,18 +1,24 @@
-"""Finding personal data, and terms that give it away.
-
-Base spans are the matches of four patterns. Their positions come from the lengths of matches and of
-the text between them, so that everything stays in built-in functions.
-
-The terms of a text with a match are judged by what they tell about it (information-theoretic
-sanitisation). Over the different texts of the corpus, ``I(c) = log2(N / n(c))`` is the information of the
-protected value ``c``, and ``PMI(c, t) = log2(n(c, t) N / (n(c) n(t)))`` what a term ``t`` tells about it,
-where ``n(c, t)`` counts texts with ``t`` and ``c`` anywhere in them. A term that tells at least
-``DISCLOSURE`` of the information, with ``LEAST_TEXTS`` texts to show it, becomes a span of kind
-``term`` wherever it stands, in texts without the value too. A value that occurs in fewer texts discloses
-nothing that can be estimated.
+"""Finding personal data and secrets, and terms that give them away.
+
+Base spans are the matches of four patterns; keys and tokens (long runs of letters mixed with digits) are
+spans of kind ``secret``. Their positions come from the lengths of matches and of the text between them, so
+that everything stays in built-in functions.
+
+The terms of a text are the words of what these spans leave. They are judged by what they tell about
+protected entities (information-theoretic sanitisation). Entities are the values, what they generalise to
+(the mail domain, the first three parts of an address, a card's issuer, a phone number without its last
+seven digits), and the kind itself. Over the different texts of the corpus, ``I(e) = log2(N / n(e))`` is
+the information of the entity ``e``, and ``PMI(e, t) = log2(n(e, t) N / (n(e) n(t)))`` what a term ``t``
+tells about it, where ``n(e, t)`` counts texts with ``t`` and ``e`` anywhere in them. A term that tells at
+least ``DISCLOSURE`` of the information becomes a span of kind ``term`` wherever it stands, in texts
+without the entity too, if the corpus shows it: the ``n(e, t) PMI(e, t)`` bits of evidence must pay for
+naming one pair among all entities and all terms beside them. So a word that stands in one text tells
+nothing about the value beside it, at any size of the corpus. An entity of less than ``LEAST_INFORMATION``
+bits is known anyway.
 
 Defined cases: a missing text is an empty one, without spans. Copies of a text count once in the
-statistics and get equal spans. Spans of different kinds may overlap. An empty table gives no rows.
+statistics and get equal spans. Spans of different kinds may overlap, those of terms overlap no others.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +31,17 @@ from plumbline.llm.common import WORD, let, materialise, small, text_of, whole_r
 # Kinds in order, and their patterns. Possessive repeats and the condition that a match
 # starts where its run of characters starts, or where the last match ended, change no match; they
 # keep the time linear and the stack flat on long runs.
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+"
+MIXED = r"(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})"
 IP_PARTS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)){3}$"
 
 DISCLOSURE = 0.8
-LEAST_TEXTS = 3
+LEAST_INFORMATION = 1.0
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
@@ -96,8 +104,8 @@ def passes_luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans of a text by start, then kind."""
+def spans_of(text: Column) -> Column:
+    """All spans of a text that need no corpus, base spans and secrets, by start, then kind."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def kind(rank: int, hint: Column, pattern: str, valid) -> Column:
@@ -113,91 +121,152 @@ def base_spans(text: Column) -> Column:
         kind(1, digit, IP, lambda v: v.rlike(IP_PARTS)),
         kind(2, digit, CARD, valid_card),
         kind(3, F.contains(text, F.lit("+")), PHONE, lambda v: F.length(_digits(v)).between(9, 15)),
+        kind(4, digit, SECRET, lambda v: v.rlike("^" + MIXED)),
     ]
     return F.sort_array(F.concat(*found))
 
 
+def base_spans(spans: Column) -> Column:
+    """The spans of the four patterns."""
+    return F.filter(spans, lambda s: s["rank"] < KINDS.index("secret"))
+
+
 def term(word: Column) -> Column:
     """A word in lower case without punctuation around it."""
     return F.btrim(F.lower(word), F.lit(".,;:!?\"'()[]{}<>|*#$%&_-+=/\\"))
 
 
 def terms_of(text: Column) -> Column:
-    """The different terms of a text; words with digits or @, which hold the matches, are none."""
-    plain = F.filter(F.array_distinct(words(text)), lambda w: ~w.rlike("[0-9@]"))
-    return F.filter(F.array_distinct(F.transform(plain, term)), lambda t: F.length(t) > 1)
+    """The different terms of a text without its spans."""
+    different = F.array_distinct(words(text))
+    return F.filter(F.array_distinct(F.transform(different, term)), lambda t: F.length(t) > 1)
+
+
+def replaced(text: Column, spans: Column, first, more) -> Column:
+    """The text with ``first(span)`` for each span, or ``more(span, pos)`` for what it adds to those before it."""
+    nothing = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+
+    def add(done: Column, span: Column) -> Column:
+        apart = span["start"] >= done["pos"]
+        piece = F.when(apart, F.concat(
+            F.substring(text, done["pos"] + 1, span["start"] - done["pos"]), first(span)
+        )).otherwise(more(span, done["pos"]))
+        return F.struct(F.greatest(done["pos"], span["end"]).alias("pos"), F.concat(done["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(spans, nothing, add, lambda done: F.array_join(F.concat(
+        done["out"], F.array(F.substring(text, done["pos"] + 1, F.length(text)))
+    ), ""))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with as many spaces as characters for its spans, so that all other places stay."""
+    return F.when(F.size(spans) > 0, replaced(
+        text, spans, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]),
+        lambda s, pos: F.repeat(F.lit(" "), F.greatest(s["end"] - pos, F.lit(0))),
+    )).otherwise(text)
+
+
+def without_spans(text: Column) -> Column:
+    return let(text, lambda t: let(spans_of(t), lambda s: blanked(t, s)))
+
+
+def text_key(text: Column) -> Column:
+    """The 32 bytes of SHA-256, which tell texts apart at any number of them."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def entities(span: Column) -> Column:
+    """What a span's value protects: itself, what it generalises to, and its kind; null where there is none."""
+    value, rank = F.lower(span["value"]), span["rank"]
+    digits = _digits(value)
+    wider = (
+        F.when(rank == 0, F.substring_index(value, "@", -1))
+        .when(rank == 1, F.substring_index(value, ".", 3))
+        .when(rank == 2, F.substring(digits, 1, 6))
+        .when(rank == 3, F.substring(digits, F.lit(1), F.length(digits) - 7))
+    )
+    named = lambda mark, of: F.concat(rank.cast("string"), F.lit(mark), of)
+    return F.array(named("=", value), named("~", wider), named("*", F.lit("")))
 
 
 def findings(documents: DataFrame) -> DataFrame:
     """``row`` (all columns), ``text_id`` and ``spans`` of each document, and ``terms`` of those with spans."""
     text = text_of(documents)
     found = documents.select(whole_row(documents).alias("row"), text.alias("text"), let(text, lambda t: let(
-        base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(
-            F.size(s) > 0, terms_of(t)
+        spans_of(t), lambda s: F.struct(s.alias("spans"), F.when(
+            F.size(s) > 0, terms_of(blanked(t, s))
         ).otherwise(F.array().cast("array<string>")).alias("terms"))
     )).alias("found"))
-    return found.select("row", F.xxhash64("text").alias("text_id"), "found.spans", "found.terms")
+    return found.select("row", text_key(F.col("text")).alias("text_id"), "found.spans", "found.terms")
 
 
 def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``term`` of all terms that disclose a protected value. ``found`` is read several times."""
-    value = lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"]))
-    per_text = found.where(F.size("spans") > 0).select(
-        "text_id", F.array_distinct(F.transform("spans", value)).alias("values"), "terms"
-    ).dropDuplicates(["text_id"])
-    values = per_text.select("text_id", F.explode("values").alias("value"))
-    # No pair is in more texts than its value, so that values in too few texts have no candidates.
-    per_value = materialise(
-        values.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).where(F.col("n_value") >= LEAST_TEXTS), "values"
+    """``term`` of all terms that disclose a protected entity. ``found`` is read once."""
+    per_text = materialise(found.where(F.size("spans") > 0).select(
+        "text_id", F.array_distinct(F.array_compact(F.flatten(F.transform("spans", entities)))).alias("entities"), "terms"
+    ).dropDuplicates(["text_id"]), "protected")
+    held = per_text.select("text_id", F.explode("entities").alias("entity"))
+    per_entity = materialise(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entities")
+    n_entities = per_entity.count()
+    if n_entities == 0:
+        return per_entity.select(F.col("entity").alias("term"))
+    n_terms = per_text.select(F.explode("terms").alias("term")).distinct().count()
+    text = text_of(documents)
+    copies = materialise(
+        documents.select(text_key(text).alias("text_id")).groupBy("text_id").agg(F.count(F.lit(1)).alias("copies")), "copies"
     )
-    if per_value.isEmpty():
-        return per_value.select(F.col("value").alias("term"))
-    held = values.join(small(per_value.select("value"), 48 + F.length("value")), "value", "left_semi")
-    pairs = held.join(per_text.select("text_id", "terms"), "text_id").select("value", F.explode("terms").alias("term"))
-    together = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    n_texts = float(copies.count())
+    cost = F.log2(F.lit(float(n_entities) * max(n_terms, 1)))
+    information = F.log2(F.lit(n_texts) / F.col("n_entity"))
+    # A term tells no more than the information, in no more texts than the entity's: others cannot pay the cost.
+    able = materialise(
+        per_entity.where((information >= LEAST_INFORMATION) & (F.col("n_entity") * information >= cost)), "able"
+    )
+    held = held.join(small(able.select("entity"), 48 + F.length("entity")), "entity", "left_semi")
+    pairs = held.join(per_text.select("text_id", "terms"), "text_id").select("entity", F.explode("terms").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     candidates = materialise(
-        together.where(F.col("n_both") >= LEAST_TEXTS).join(per_value, "value"), "candidates"
+        together.join(able, "entity").where(F.col("n_both") * information >= cost), "candidates"
     )
     # Written before, so the optimizer knows the size of the candidates and broadcasts only a small table.
     wanted = materialise(candidates.select("term").distinct(), "terms")
-    text = text_of(documents)
-    copies = materialise(
-        documents.select(F.xxhash64(text).alias("text_id")).groupBy("text_id").agg(F.count(F.lit(1)).alias("copies")), "copies"
-    )
-    n_texts = copies.count()
+    if wanted.isEmpty():
+        return wanted
     # Each of k copies counts 1 / k, which rounding makes whole again: no text has to meet its copies.
-    repeated = small(copies.where("copies > 1"))
-    spoken = documents.select(F.xxhash64(text).alias("text_id"), terms_of(text).alias("terms")).join(
+    repeated = small(copies.where("copies > 1"), 96)
+    spoken = documents.select(text_key(text).alias("text_id"), terms_of(without_spans(text)).alias("terms")).join(
         repeated, "text_id", "left"
     ).select(F.explode("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("share"))
     per_term = spoken.join(small(wanted, 48 + F.length("term")), "term", "left_semi").groupBy("term").agg(
         F.round(F.sum("share")).alias("n_term")
     )
-    told = F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_value") * F.col("n_term")))
-    information = F.log2(F.lit(float(n_texts)) / F.col("n_value"))
+    told = F.log2(F.col("n_both") * F.lit(n_texts) / (F.col("n_entity") * F.col("n_term")))
     return candidates.join(per_term, "term").where(
-        (information > 0) & (told >= F.lit(DISCLOSURE) * information)
+        (told >= F.lit(DISCLOSURE) * information) & (F.col("n_both") * told >= cost)
     ).select("term").distinct()
 
 
 def term_spans(documents: DataFrame, disclosed: DataFrame) -> DataFrame:
     """``text_id, terms``: the spans of all places of disclosing terms, for each text that holds some."""
     disclosed = materialise(disclosed, "disclosed")
-    empty = disclosed.select(F.lit(0).cast("bigint").alias("text_id"), F.array().cast(f"array<{SPAN}>").alias("terms"))
+    empty = disclosed.select(F.lit(b"").alias("text_id"), F.array().cast(f"array<{SPAN}>").alias("terms"))
     if disclosed.isEmpty():
         return empty
     text = text_of(documents)
-    spoken = documents.select(F.xxhash64(text).alias("text_id"), F.explode(terms_of(text)).alias("term"))
+    spoken = documents.select(text_key(text).alias("text_id"), F.explode(terms_of(without_spans(text))).alias("term"))
     held = materialise(
         spoken.join(small(disclosed, 48 + F.length("term")), "term", "left_semi").groupBy("text_id").agg(
             F.collect_set("term").alias("held")
         ), "holders",
     )
     # Only texts that hold a disclosing term are searched for its places.
-    both = documents.select(F.xxhash64(text).alias("text_id"), text.alias("text")).join(
-        small(held, 64 + 48 * F.size("held")), "text_id"
+    both = documents.select(text_key(text).alias("text_id"), text.alias("text")).join(
+        small(held, 96 + 48 * F.size("held")), "text_id"
+    )
+    told = F.filter(
+        let(without_spans(F.col("text")), lambda t: places(t, WORD, KINDS.index("term"))),
+        lambda w: F.array_contains("held", term(w["value"])),
     )
-    told = F.filter(places(F.col("text"), WORD, KINDS.index("term")), lambda w: ~w["value"].rlike("[0-9@]") & F.array_contains("held", term(w["value"])))
     return both.select("text_id", F.transform(told, lambda w: w.withField("value", term(w["value"]))).alias("terms")).dropDuplicates(["text_id"])
 
 
@@ -206,12 +275,12 @@ def all_spans(spans: Column, terms: Column) -> Column:
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
-    """``doc_id, base, spans``: base spans and all spans of each document."""
+    """``doc_id, base, spans``: spans of the four patterns, and all spans, of each document."""
     slim = materialise(findings(documents).select("row.doc_id", "text_id", "spans", "terms"), "findings")
     extra = materialise(term_spans(documents, disclosing(documents, slim)), "term-spans")
-    extra = small(extra, 64 + 48 * F.size("terms"))
+    extra = small(extra, 96 + 48 * F.size("terms"))
     return slim.select("doc_id", "text_id", "spans").join(extra, "text_id", "left").select(
-        "doc_id", F.col("spans").alias("base"), all_spans(F.col("spans"), F.col("terms")).alias("spans")
+        "doc_id", base_spans(F.col("spans")).alias("base"), all_spans(F.col("spans"), F.col("terms")).alias("spans")
     )
 
 
@@ -230,19 +299,7 @@ def written(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or chain of overlapping spans, replaced by the name of its first kind."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    nothing = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-
-    def add(done: Column, span: Column) -> Column:
-        pieces = F.array(
-            F.substring(text, done["pos"] + 1, span["start"] - done["pos"]), F.get(marks, span["rank"])
-        )
-        return F.when(span["start"] >= done["pos"], F.struct(
-            span["end"].alias("pos"), F.concat(done["out"], pieces).alias("out")
-        )).otherwise(F.struct(F.greatest(done["pos"], span["end"]).alias("pos"), done["out"].alias("out")))
-
-    return F.aggregate(spans, nothing, add, lambda done: F.array_join(F.concat(
-        done["out"], F.array(F.substring(text, done["pos"] + 1, F.length(text)))
-    ), ""))
+    return replaced(text, spans, lambda s: F.get(marks, s["rank"]), lambda s, pos: F.lit(""))
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
@@ -258,8 +315,8 @@ def sanitise(documents: DataFrame) -> DataFrame:
             F.col("text_id").alias("of"), all_spans(F.coalesce("spans", none), F.col("terms")).alias("spans")
         ), "masks",
     )
-    rows = documents.select(whole_row(documents).alias("row"), F.xxhash64(text_of(documents)).alias("of"))
-    both = rows.join(small(masks, 64 + 48 * F.size("spans")), "of", "left")
+    rows = documents.select(whole_row(documents).alias("row"), text_key(text_of(documents)).alias("of"))
+    both = rows.join(small(masks, 96 + 48 * F.size("spans")), "of", "left")
     clean = F.when(F.col("spans").isNotNull(), masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     changed = both.select("row", clean.alias("clean"))
     columns = []

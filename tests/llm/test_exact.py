@@ -224,6 +224,98 @@ def test_terms_disclose_wherever_they_stand(spark):
     assert not any("zorblax" in (r.text or "").lower() for r in privacy.sanitise(frame).collect())
 
 
+def spans_in(text):
+    """(start, end, kind, value) of base spans and secrets."""
+    found = [(m.start(), m.end(), k, m.group()) for k, p in KINDS for m in p.finditer(text) if valid(k, m.group())]
+    found += [
+        (m.start(), m.end(), "secret", m.group()) for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}", text)
+        if min(len(re.findall("[0-9]", m.group())), len(re.findall("[A-Za-z]", m.group()))) >= 4
+    ]
+    return found
+
+
+def terms_in(text):
+    """(start, end, term) of the words that the spans leave."""
+    left = list(text)
+    for start, end, _, _ in spans_in(text):
+        left[start:end] = " " * (end - start)
+    found = [(m.start(), m.end(), m.group().lower().strip(".,;:!?\"'()[]{}<>|*#$%&_-+=/\\"))
+             for m in re.finditer(r"[^\x20\x09-\x0D]+", "".join(left))]
+    return [f for f in found if len(f[2]) > 1]
+
+
+def protected_in(text):
+    found = set()
+    for _, _, kind, value in spans_in(text):
+        digits = re.sub("[^0-9]", "", value)
+        wider = {"email": value.lower().split("@")[-1], "ip": ".".join(value.split(".")[:3]),
+                 "card": digits[:6], "phone": digits[:-7]}.get(kind)
+        found |= {(kind, "value", value.lower()), (kind, "kind", "")} | ({(kind, "wider", wider)} if wider is not None else set())
+    return found
+
+
+def disclosed_in(texts):
+    """Terms whose mutual information with an entity passes the threshold and pays for the pair, pair by pair."""
+    texts = set(texts)
+    terms = {t: {w for _, _, w in terms_in(t)} for t in texts}
+    held = {t: protected_in(t) for t in texts}
+    n_entity = Counter(e for es in held.values() for e in es)
+    n_term = Counter(w for ws in terms.values() for w in ws)
+    both = Counter((e, w) for t in texts for e in held[t] for w in terms[t])
+    beside = {w for t in texts if held[t] for w in terms[t]}
+    cost = math.log2(max(len(n_entity), 1) * max(len(beside), 1))
+    told = set()
+    for (e, w), n in both.items():
+        information = math.log2(len(texts) / n_entity[e])
+        pmi = math.log2(n * len(texts) / (n_entity[e] * n_term[w]))
+        if information >= 1 and pmi >= 0.8 * information and n * pmi >= cost:
+            told.add(w)
+    return told
+
+
+def assert_spans_as_by_brute_force(spark, rows):
+    told = disclosed_in([t or "" for _, t in rows])
+    order = [k for k, _ in KINDS] + ["secret", "term"]
+    expected = Counter()
+    for k, t in rows:
+        found = [(a, order.index(kind), b) for a, b, kind, _ in spans_in(t or "")]
+        found += [(a, order.index("term"), b) for a, b, w in terms_in(t or "") if w in told]
+        expected[k, ",".join(f"{order[r]}:{a}:{b}" for a, r, b in sorted(found))] += 1
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    result = privacy.personal_data(frame).select("doc_id", privacy.written(F.col("spans")).alias("spans")).collect()
+    assert Counter((r.doc_id, r.spans) for r in result) == expected
+    return told
+
+
+def test_disclosing_terms_of_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    told = assert_spans_as_by_brute_force(spark, [tuple(r) for r in rows])
+    assert told  # the method finds terms in the given table
+
+
+def test_terms_tell_what_values_generalise_to(spark):
+    """No value recurs, but their mail domain, network, issuer and prefix do, beside words with digits too."""
+    rng = random.Random(3)
+    filler = [f"word{'abcdefghij'[i % 10]}{i}" for i in range(40)]
+    some = lambda: " ".join(rng.sample(filler, 12))
+    rows = [(i, f"{some()} acme2024, p{i}@acme.example {some()}") for i in range(12)]
+    rows += [(20 + i, f"(Hostel) 10.20.30.{i} {some()}") for i in range(12)]
+    rows += [(40 + i, f"{some()} dial: +44 20 {1000000 + 7919 * i} Reception") for i in range(12)]
+    rows += [(60 + i, f"{some()} q{i}@mail{i}.example and 172.{i}.9.9") for i in range(20)]
+    rows += [(80, f"only once beside z@lone.example {some()}"), (81, rows[0][1]), (82, None), (None, ""), (0, "acme2024")]
+    rows += [(83, 'key = "0123456789abcdef0123456789abcdef",x'), (84, "a" * 40), (85, "1" * 40)]
+    rows += [(100 + i, some()) for i in range(120)]
+    told = assert_spans_as_by_brute_force(spark, rows)
+    assert {"acme2024", "hostel", "reception"} <= told and not told & {"once", "only", *filler}
+
+
+def test_a_term_of_one_text_tells_nothing_at_any_size(spark):
+    for size in (50, 800):
+        rows = [(i, f"plain words here {i % 7}") for i in range(size)]
+        rows += [(size + i, f"plain words unique{i} u{i}@host{i}.example") for i in range(size // 10)]
+        assert not {t for t in assert_spans_as_by_brute_force(spark, rows) if "unique" in t}
+
+
 # Repeats
 
 
