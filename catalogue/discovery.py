@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from catalogue.registry import EVENTS_D, events_d, query, table, union_sql
@@ -13,7 +15,7 @@ from plumbline.operators.distinct import distinct_counts as count_distinct
 from plumbline.operators.distinct import key_candidates
 from plumbline.operators.duplicates import duplicates
 from plumbline.operators.groups import group_distribution as distribute
-from plumbline.operators.keys import detect_keys, key_not_run
+from plumbline.operators.keys import detect_keys, key_not_run, minimal_keys
 from plumbline.operators.stats import dataset_stats as measure
 from plumbline.sources.csv import blank_out, typed
 from plumbline.sources.load import load_source
@@ -267,6 +269,33 @@ def key_search(spark, sf_dir):
     )
 
 
+def _minimal_sql(source: str, columns: tuple[str, ...], depth: int) -> tuple[str, str]:
+    """Minimal keys of at most ``depth`` columns, and the table of all keys, whose sets are counted one by one."""
+    sets = [c for size in range(1, depth + 1) for c in combinations(columns, size)]
+    rows = " UNION ALL ".join(
+        f"SELECT {len(c)} AS size, '{','.join(c)}' AS columns, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM {source})) AS distinct_count"
+        for c in sets
+    )
+    return (
+        f"SELECT '{source}' AS dataset, size, columns, distinct_count, distinct_count AS row_count FROM keys_{source} k WHERE NOT EXISTS "
+        f"(SELECT 1 FROM keys_{source} o WHERE o.size < k.size AND list_has_all(string_split(k.columns, ','), string_split(o.columns, ',')))",
+        f"keys_{source} AS MATERIALIZED (SELECT * FROM ({rows}) WHERE distinct_count = (SELECT count(*) FROM {source}) AND distinct_count > 0)",
+    )
+
+
+MINIMAL_TABLES = {"lineitem": LINEITEM_COLUMNS, "orders": ORDERS_COLUMNS, "conversations": ("conv_id", "turn", "role", "text")}
+_MINIMAL = [_minimal_sql(t, c, 3) for t, c in MINIMAL_TABLES.items()]
+
+
+@query("WITH " + ", ".join(k for _, k in _MINIMAL) + " " + " UNION ALL ".join(q for q, _ in _MINIMAL))
+def key_minimal(spark, sf_dir):
+    return union_all([
+        minimal_keys(table(spark, sf_dir, t)).select(
+            F.lit(t).alias("dataset"), "size", F.array_join("columns", ",").alias("columns"), "distinct_count", "row_count"
+        ) for t in MINIMAL_TABLES
+    ])
+
+
 def _duplicate_row(label: str, source: str, columns: str) -> str:
     copies = f"(SELECT {columns}, count(*) AS n FROM {source} GROUP BY {columns})"
     return (

@@ -18,7 +18,7 @@ from plumbline.operators.distinct import distinct_counts, key_candidates
 from plumbline.operators.drift import data_drift
 from plumbline.operators.duplicates import duplicates
 from plumbline.operators.groups import group_check, group_distribution, group_metrics, group_summary
-from plumbline.operators.keys import detect_keys
+from plumbline.operators.keys import detect_keys, minimal_keys
 from plumbline.operators.outliers import outlier_check, outlier_examples, outlier_moments
 from plumbline.operators.profile import (
     profile_alerts,

@@ -1,18 +1,28 @@
-"""Search for primary keys: unique columns first, then growing prefixes of the widest columns."""
+"""Search for primary keys: unique columns first, then growing prefixes of the widest columns; or all minimal keys."""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import prod
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.columns import METADATA_COLUMNS, key_fields, without_metadata
+from plumbline.functions.columns import METADATA_COLUMNS, group_key, key_fields, union_all, without_metadata
 from plumbline.operators.distinct import distinct_counts, distinct_rows
 
 KEY_SCHEMA = (
     "status string, key_type string, columns array<string>, distinct_count bigint, "
     "row_count bigint, message string"
 )
+MINIMAL_SCHEMA = "size int, columns array<string>, distinct_count bigint, row_count bigint"
+#: Sketches of 2^12 registers have a relative deviation of 1.04 / 64; sets that fall short of the rows by six are no keys.
+REGISTERS = 12
+SHORT_OF = 1 - 6 * 1.04 / 2 ** (REGISTERS / 2)
+#: One of so many slices of the rows is searched for repeats before all rows are counted.
+SLICES = 16
 HISTORY_SCHEMA = "attempt int, columns array<string>, distinct_count bigint, row_count bigint, is_key boolean"
 
 
@@ -84,3 +94,75 @@ def key_not_run(df: DataFrame, single_scan: bool = False) -> KeySearch:
         spark.createDataFrame([], HISTORY_SCHEMA),
         distinct_counts(df, single_scan=single_scan),
     )
+
+
+def _hashes(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Two independent hashes of every value; a missing one has hashes of its own."""
+    return df.select(*[
+        F.xxhash64(F.lit(f"{seed}{i}"), group_key(f).isNull(), group_key(f)).alias(f"{seed}{i}")
+        for seed in "gh" for i, f in enumerate(fields)
+    ])
+
+
+def _sketched(df: DataFrame, sets: list[tuple[int, ...]], fields: list[T.StructField]) -> list[int]:
+    """Estimated distinct rows of every set of columns, all from one scan with one sketch per set."""
+    return list(_hashes(df, fields).agg(*[
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[f"h{i}" for i in chosen]), REGISTERS)).alias(f"s{n}")
+        for n, chosen in enumerate(sets)
+    ]).first())
+
+
+def _repeated(df: DataFrame, sets: list[tuple[int, ...]], fields: list[T.StructField], single: list[int]) -> set[int]:
+    """Which sets repeat a row within one slice, all from one scan and one shuffle.
+
+    A slice is chosen by the hash of the set's column with most values, so that equal rows are in it together: a
+    row that repeats there repeats in the table. Rows are known by 128 bits.
+    """
+    def entry(n: int, chosen: tuple[int, ...]):
+        key = [F.xxhash64(*[f"{seed}{i}" for i in chosen]).alias(seed) for seed in "gh"]
+        sliced = F.pmod(F.col(f"g{max(chosen, key=lambda i: single[i])}"), F.lit(SLICES)) == 0
+        return F.when(sliced, F.struct(F.lit(n).alias("n"), *key))
+
+    rows = _hashes(df, fields).select(F.explode(F.array_compact(F.array(*[entry(n, c) for n, c in enumerate(sets)]))).alias("e"))
+    copies = rows.groupBy("e.n", "e.g", "e.h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return {r["n"] for r in copies.select("n").distinct().collect()}
+
+
+def minimal_keys(df: DataFrame, ignored: tuple[str, ...] = METADATA_COLUMNS, max_columns: int = 3) -> DataFrame:
+    """All sets of at most ``max_columns`` columns that are unique and hold no smaller unique set.
+
+    The lattice of column sets is climbed by size. Sets above a key are never looked at; neither are sets whose
+    columns have too few distinct values for all rows. The rest of a level is sketched in one scan; those that the
+    sketch leaves are searched for a repeated row in a slice of the table, again in one scan; the last ones are
+    counted exactly, so that no set is called a key that is none. A sketch rules a key out with a probability
+    below 1e-8. Missing values count as one value. Sketches grow with the number of sets (2 KB
+    each and task), not with the rows; one row per set reaches the driver. A table without rows has no keys.
+    """
+    spark = df.sparkSession
+    eligible = set(without_metadata(df.columns, ignored))
+    fields = [f for f in key_fields(df) if f.name in eligible]
+    counted = {r["column"]: r for r in distinct_counts(df, fields).collect()} if fields else {}
+    total = max((r["row_count"] for r in counted.values()), default=0)
+    single = [counted[f.name]["distinct_count"] for f in fields] if total else []
+    found = [(1, (i,), total) for i, n in enumerate(single) if n == total]
+    for size in range(2, max_columns + 1) if total else ():
+        keys = [set(chosen) for _, chosen, _ in found]
+        sets = [
+            chosen for chosen in combinations(range(len(fields)), size)
+            if prod(single[i] for i in chosen) >= total and not any(k <= set(chosen) for k in keys)
+        ]
+        if not sets:
+            continue
+        likely = [c for c, n in zip(sets, _sketched(df, sets, fields)) if n >= SHORT_OF * total]
+        refuted = _repeated(df, likely, fields, single) if likely else set()
+        likely = [c for n, c in enumerate(likely) if n not in refuted]
+        if not likely:
+            continue
+        exact = union_all([
+            distinct_rows(df, [fields[i] for i in chosen]).select(F.lit(n).alias("n"), "distinct_count")
+            for n, chosen in enumerate(likely)
+        ]).where(F.col("distinct_count") == total).collect()
+        found += [(size, likely[r["n"]], total) for r in sorted(exact)]
+    return spark.createDataFrame(
+        [(size, [fields[i].name for i in chosen], n, total) for size, chosen, n in found], MINIMAL_SCHEMA
+    )

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,44 @@ def test_key_search_statuses(spark):
     assert q.detect_keys(stamp).key.first().status == "FAIL"
 
 
+def minimal_by_hand(rows, names, depth):
+    keys = []
+    for size in range(1, depth + 1):
+        for chosen in combinations(range(len(names)), size):
+            if len({tuple(r[i] for i in chosen) for r in rows}) == len(rows) > 0 and not any(set(k) <= set(chosen) for k in keys):
+                keys.append(chosen)
+    return {tuple(names[i] for i in k) for k in keys}
+
+
+def test_minimal_keys(spark):
+    rng = random.Random(5)
+    names = ("a", "b", "c", "d", "e")
+    rows = [(i // 20, i % 20, None if i == 7 else i // 40, rng.choice("xyz"), i % 2) for i in range(400)]
+    rows.append((None, 3, 1, "x", None))
+    frame = spark.createDataFrame(rows, "a int, b int, c int, d string, e int")
+    expected = minimal_by_hand(rows, names, 3)
+    assert ("a", "b") in expected
+    found = q.minimal_keys(frame).collect()
+    assert {tuple(r.columns) for r in found} == expected
+    assert all(r.size == len(r.columns) and r.distinct_count == r.row_count == 401 for r in found)
+    assert {tuple(r.columns) for r in q.minimal_keys(frame, max_columns=4).collect()} == minimal_by_hand(rows, names, 4)
+    assert q.minimal_keys(frame.limit(0)).collect() == []
+    assert q.minimal_keys(frame.unionAll(frame)).collect() == []
+
+
+def test_minimal_keys_tell_missing_values_from_each_other(spark):
+    """(NULL, 1) and (1, NULL) are two rows; sketches that mix them up would rule the key out."""
+    rows = [(i, None) for i in range(300)] + [(None, i) for i in range(300)]
+    found = q.minimal_keys(spark.createDataFrame(rows, "a int, b int")).collect()
+    assert [r.columns for r in found] == [["a", "b"]]
+
+
+def test_minimal_keys_leave_supersets_and_metadata_out(spark):
+    frame = spark.range(50).select("id", (F.col("id") % 5).alias("v"), F.col("id").alias("insert_date"))
+    found = [r.columns for r in q.minimal_keys(frame, ignored=("insert_date",)).collect()]
+    assert found == [["id"]]
+
+
 def test_key_search_depth(spark):
     rows = [(a, b, c) for a in range(2) for b in range(2) for c in range(2)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
