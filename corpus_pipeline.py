@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and gives the documents it keeps or changes, with the columns
 of ``documents``; the last gives ``doc_id, n_tokens, ids, decoded``. Stages work on all rows of their
 predecessor, whose result is a Parquet table.
+
+Defined cases: missing and empty texts have no words and go with the first stage; repeated rows and other copies
+leave one row; ids may be missing or repeat. An empty table passes all stages empty. Columns beyond those of
+``documents`` are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-# Rolling hashes, signatures and BPE merges are beyond SQL; tests hold the stages against brute force.
+# Rolling hashes, signatures and BPE merges are beyond SQL; a test holds run() row by row against a plain chain of the stages.
 ORACLE_SQL = None
 
 
