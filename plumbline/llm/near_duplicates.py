@@ -12,9 +12,11 @@ Every group of a band has a centre, the node that shares most bands with others,
 others were made from is likely to be it. Pairs are compared by the overlap of their multisets, in rounds,
 and only while they are not in one component yet: each node with the most central of its centres, then
 with its other centres, then the members outside of a group's largest component with those of other
-components. In the last round the triangle inequality of the Jaccard distance leaves out pairs whose
-distances to the centre differ by more than the limit; all others are compared exactly. Members of a
-large group of copies are not compared with each other.
+components. The last round takes groups of up to ``FEW`` members pair by pair, where the triangle inequality of
+the Jaccard distance leaves out pairs whose distances to the centre differ by more than the limit. Larger groups
+are cut into blocks of about ``BLOCK`` members: a block of those outside the largest component meets a block of
+all members in one task, which counts the overlaps of both sides at once and puts out only links that join
+components, never pairs. Both ways are exact. Members of a large group of copies are not compared with each other.
 
 Defined cases: a text of fewer than five words is one shingle; texts without words are copies of each
 other. Missing texts are empty. White space does not matter. Rows may repeat, also with the same
@@ -40,6 +42,11 @@ SIMILAR = 0.8
 #: Pairs at a similarity of 0.8 share one of 25 bands of 5 registers with a probability of 0.99995.
 BANDS, ROWS = 25, 5
 SLICE_SHINGLES = 400_000
+#: Groups of more members are compared by blocks instead of pairs; the result is the same.
+FEW = 64
+#: About so many members, and shingles of them, are on each side of a block: some 40 MB in a task.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+_DENSE = 4096
 
 
 def shingles(tokens: Column, size: int = SHINGLE) -> Column:
@@ -133,6 +140,113 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found)], ["u", "v", "similarity"])
 
 
+def overlaps(element: np.ndarray, row: np.ndarray, right: np.ndarray, n_left: int, n_right: int) -> np.ndarray:
+    """How many elements each row on the left shares with each on the right; no row has an element twice.
+
+    ``element`` and ``row`` are the entries of both sides, ``right`` tells the side. Elements that many rows have are
+    counted by matrix products, the others entry by entry.
+    """
+    _, element = np.unique(element, return_inverse=True)
+    n = int(element.max(initial=-1)) + 1
+    on_left, on_right = np.bincount(element[~right], minlength=n), np.bincount(element[right], minlength=n)
+    counted = np.zeros(n_left * n_right, dtype=np.int64)
+    dense = on_left * on_right > n_left * n_right // 16
+    chosen = np.flatnonzero(dense)
+    place = np.full(n, -1)
+    for start in range(0, len(chosen), _DENSE):
+        part = chosen[start: start + _DENSE]
+        place[:] = -1
+        place[part] = np.arange(len(part))
+        sides = []
+        for of_side, rows in ((~right, n_left), (right, n_right)):
+            taken = of_side & (place[element] >= 0)
+            side = np.zeros((rows, len(part)), dtype=np.float32)
+            side[row[taken], place[element[taken]]] = 1
+            sides.append(side)
+        counted += (sides[0] @ sides[1].T).astype(np.int64).reshape(-1)
+    left_at = np.flatnonzero(~right & ~dense[element] & (on_right[element] > 0))
+    right_at = np.flatnonzero(right & ~dense[element])
+    right_at = right_at[np.argsort(element[right_at], kind="stable")]
+    first = np.searchsorted(element[right_at], element[left_at])
+    times = on_right[element[left_at]]
+    upto = np.concatenate([[0], np.cumsum(times)])
+    start = 0
+    while start < len(left_at):
+        end = max(int(np.searchsorted(upto, upto[start] + 2_000_000, side="right")) - 1, start + 1)
+        many = times[start:end]
+        step = np.arange(upto[end] - upto[start]) - np.repeat(upto[start:end] - upto[start], many)
+        partner = row[right_at[np.repeat(first[start:end], many) + step]]
+        counted += np.bincount(np.repeat(row[left_at[start:end]], many) * n_right + partner, minlength=len(counted))
+        start = end
+    return counted.reshape(n_left, n_right)
+
+
+def joining(left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Numbers of the edges ``left, right`` that join what the edges before leave apart."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    found = []
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            found.append(i)
+    return found
+
+
+def _links_of_block(rows: pa.Table) -> pa.RecordBatch:
+    """``u, v``: similar rows of the two sides that join different components."""
+    node, part = (rows.column(c).to_numpy() for c in ("node", "part"))
+    right = rows.column("side").to_numpy() == 1
+    lists = rows.column("shingles").combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    owner = np.repeat(np.arange(len(node)), sizes)
+    # The sets are sorted: a shingle that a row has several times counts as so many elements.
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    at = np.arange(len(values))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+    element = np.where(nth > 0, mix(values ^ mix(nth.astype(np.uint64))), values)
+    place = np.where(right, np.cumsum(right), np.cumsum(~right)) - 1
+    n_right = int(right.sum())
+    both = overlaps(element, place[owner], right[owner], len(node) - n_right, n_right)
+    whole = sizes[~right][:, None] + sizes[right][None, :] - both
+    p, q = part[~right], part[right]
+    x, y = np.nonzero((both / whole >= SIMILAR) & (p[:, None] != q[None, :]))
+    _, once = np.unique(np.stack([p[x], q[y]]), axis=1, return_index=True)
+    x, y = x[once], y[once]
+    told = joining(p[x], q[y])
+    u, v = node[~right][x[told]], node[right][y[told]]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of all blocks, whose rows follow each other."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "l", "r")])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(keys[:, start].tolist())
+            if kept and key != last:
+                yield _links_of_block(pa.Table.from_batches(kept))
+                kept = []
+            kept.append(batch.slice(start, end - start))
+            last = key
+    if kept:
+        yield _links_of_block(pa.Table.from_batches(kept))
+
+
 class _Corpus:
     """The documents' nodes, the members of all band groups, and the comparison of pairs."""
 
@@ -218,7 +332,7 @@ class _Corpus:
     def _across(self) -> DataFrame:
         """Pairs of a group's members in different components, one of them outside its largest.
 
-        A member's distance to the centre is known, or at least what their sizes leave. Pairs whose distances to
+        Groups of more than ``FEW`` members are left in ``crowded`` for :meth:`_between_blocks`. A member's distance to the centre is known, or at least what their sizes leave. Pairs whose distances to
         it differ by more than the limit cannot be similar. No estimate leaves a pair out.
         """
         to_centre = self.tried.select(F.col("u").alias("node"), F.col("v").alias("centre"), (1 - F.col("similarity")).alias("known"))
@@ -231,12 +345,20 @@ class _Corpus:
                 ((F.col("node") == F.col("centre")) | F.col("known").isNotNull()).alias("exact"),
             )
         )
-        sizes = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
+        sizes = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+        blocks = lambda m, size: F.ceil(F.greatest(m / BLOCK, size / BLOCK_SHINGLES, F.lit(1)))
         largest = sizes.groupBy("bucket").agg(
-            F.max(F.struct("m", "part")).alias("top"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
+            F.max(F.struct("m", "part", "size")).alias("top"), F.count(F.lit(1)).alias("parts"),
+            F.sum("m").alias("m"), F.sum("size").alias("size"),
+        ).where("parts > 1").select(
+            "bucket", F.col("top.part").alias("main"), "m",
+            blocks(F.col("m") - F.col("top.m"), F.col("size") - F.col("top.size")).alias("ls"),
+            blocks(F.col("m"), F.col("size")).alias("rs"),
+        )
+        split = materialise(labelled.join(largest, "bucket"), "split")
+        self.crowded = split.where(F.col("m") > FEW)
         signed = self.nodes.select("node", "keys")
-        mixed = materialise(labelled.join(largest, "bucket").join(signed, "node").select(
+        mixed = materialise(split.where(F.col("m") <= FEW).join(signed, "node").select(
             "bucket", "band", "node", "n", "part", "far", "exact", "keys", "main"
         ), "mixed")
         left = mixed.where("part != main").drop("main").toDF("bucket", "band", "x", "n_x", "p", "far_x", "exact_x", "keys_x")
@@ -254,9 +376,24 @@ class _Corpus:
         )
         return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
+    def _between_blocks(self) -> DataFrame:
+        """Links between components within the groups in ``crowded``, block by block."""
+        own = lambda blocks: F.pmod(F.xxhash64("node", F.lit(1)), F.col(blocks))
+        every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+        outside = self.crowded.where("part != main").select(
+            "bucket", own("ls").alias("l"), every("rs").alias("r"), F.lit(0).alias("side"), "node", "part"
+        )
+        members = self.crowded.select(
+            "bucket", every("ls").alias("l"), own("rs").alias("r"), F.lit(1).alias("side"), "node", "part"
+        )
+        placed = materialise(outside.unionByName(members), "blocks")
+        rows = self.sets.join(small(placed, 64), "node").select("bucket", "l", "r", "side", "node", "part", "shingles")
+        dealt = rows.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r")
+        return materialise(dealt.mapInArrow(_block_links, "u bigint, v bigint").distinct(), "block-links")
+
     def classes(self) -> DataFrame:
         """``node, root`` of the nodes that are similar to another."""
-        self.tried, self.found, links = None, None, None
+        self.tried, self.found, links, self.crowded = None, None, None, None
         for pairs in self._rounds():
             pairs = materialise(pairs, "pairs")
             if self.found is not None and pairs.isEmpty():
@@ -266,6 +403,8 @@ class _Corpus:
             similar = compared.where(F.col("similarity") >= SIMILAR).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             links = similar if links is None else links.unionByName(similar)
             self.found = components(links)
+        if self.crowded is not None and not self.crowded.isEmpty():
+            self.found = components(links.unionByName(self._between_blocks()))
         return self.found
 
 

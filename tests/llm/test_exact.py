@@ -82,6 +82,36 @@ def test_chain_of_edits_is_one_class(spark):
     assert found == classes_of(dict(rows)) and set(found.values()) == {0}
 
 
+@pytest.mark.parametrize("few, block", [(64, 1000), (3, 1000), (3, 7)])
+def test_hot_group_of_near_copies(spark, monkeypatch, few, block):
+    """Versions of one text, most of them less similar to it than 0.8 and some similar to each other, in blocks of any size."""
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rng = random.Random(8)
+    words = [f"w{i % 90}" for i in range(140)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 120):
+        new = list(words if rng.random() < 0.7 else rows[rng.randrange(len(rows))][1].split())
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 7])):
+            new[rng.randrange(len(new))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(new)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(frame).collect()}
+    assert found == classes_of(dict(rows)) and len(set(found.values())) > 5
+
+
+@pytest.mark.parametrize("held", [2, 30])
+def test_overlaps(held):
+    rng = np.random.default_rng(held)
+    left, right = (rng.random((n, 900)) < held / 60 for n in (23, 41))
+    (a, x), (b, y) = np.nonzero(left), np.nonzero(right)
+    side = np.repeat([False, True], [len(a), len(b)])
+    order = rng.permutation(len(side))
+    element, row = np.concatenate([x, y]).astype(np.uint64)[order], np.concatenate([a, b])[order]
+    found = near_duplicates.overlaps(element, row, side[order], 23, 41)
+    assert (found == left.astype(int) @ right.T.astype(int)).all()
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     errors = []
