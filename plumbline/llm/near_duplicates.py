@@ -44,9 +44,9 @@ BANDS, ROWS = 25, 5
 SLICE_SHINGLES = 400_000
 #: Groups of more members are compared by blocks instead of pairs; the result is the same.
 FEW = 64
-#: About so many members, and shingles of them, are on each side of a block: some 40 MB in a task.
-BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
-_DENSE = 4096
+#: About so many members, and shingles of them, are on each side of a block: some 50 MB in a task.
+BLOCK, BLOCK_SHINGLES = 500, 100_000
+_DENSE, _ENTRIES = 1024, 250_000
 
 
 def shingles(tokens: Column, size: int = SHINGLE) -> Column:
@@ -172,7 +172,7 @@ def overlaps(element: np.ndarray, row: np.ndarray, right: np.ndarray, n_left: in
     upto = np.concatenate([[0], np.cumsum(times)])
     start = 0
     while start < len(left_at):
-        end = max(int(np.searchsorted(upto, upto[start] + 2_000_000, side="right")) - 1, start + 1)
+        end = max(int(np.searchsorted(upto, upto[start] + _ENTRIES, side="right")) - 1, start + 1)
         many = times[start:end]
         step = np.arange(upto[end] - upto[start]) - np.repeat(upto[start:end] - upto[start], many)
         partner = row[right_at[np.repeat(first[start:end], many) + step]]
