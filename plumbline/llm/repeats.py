@@ -14,7 +14,8 @@ neither windows nor symbols are shuffled; what is shuffled are phrases:
    as one row to the partition of their trigger and are compared there. Triggers with more than
    ``CROWDED`` contents are compared by window instead, with counts made before the shuffle.
 
-What is found are places of phrases, each with a mask of the windows in it that are repeated.
+What is found are places of phrases, each with a mask of the windows in it that are repeated. Texts move to their
+places by a shuffle on their ids, at every size: places grow with the texts, so they are never broadcast.
 
 Hashes of any part of a text come from sums of powers modulo 2^64 over random symbol values. A phrase
 is matched by two of them, a window by two as well.
@@ -232,11 +233,10 @@ class Repeats:
     def _windows(self, chosen: DataFrame) -> DataFrame:
         """``key, contents, id, place, windows`` of the phrases ``chosen``: the hashes of their windows in order."""
         shape = self.shape
-        per_row = materialise(chosen.withColumn("rank", F.shiftright("place", _RANK)).groupBy("id", "rank").agg(
+        found = chosen.withColumn("rank", F.shiftright("place", _RANK)).groupBy(*self.keys).agg(
             F.collect_list(F.struct("place", "key", "contents")).alias("phrases")
-        ), "chosen")
-        found = per_row if "rank" in self.keys else per_row.drop("rank")
-        rows = self.rows.select("id", "rank", "text").join(small(found, 64 + 40 * F.size("phrases")), self.keys).select(
+        )
+        rows = self.rows.select("id", "rank", "text").join(found, self.keys).select(
             "id", self.symbols(F.col("text")).alias("symbols"), "phrases"
         )
 
@@ -313,12 +313,10 @@ class Repeats:
 
     def removed(self) -> DataFrame:
         """The rows with ``places``, the phrases that have repeated windows and their masks, or null."""
-        spots = self.places().withColumn("rank", F.shiftright("place", _RANK)).groupBy("id", "rank").agg(
+        found = self.places().withColumn("rank", F.shiftright("place", _RANK)).groupBy(*self.keys).agg(
             F.collect_set(F.struct("place", "mask")).alias("places")
         )
-        spots = materialise(spots, "spots")
-        found = spots if "rank" in self.keys else spots.drop("rank")
-        return self.rows.join(small(found, 64 + 32 * F.size("places")), self.keys, "left")
+        return self.rows.join(found, self.keys, "left")
 
 
 def covered(places: pa.Array, n: int, length: int) -> np.ndarray:
