@@ -37,7 +37,8 @@ CLASSES = 64
 RARE_CLASSES = 8
 HIDDEN = 24
 WINDOW = 16
-SIDE_BY_SIDE = 128
+#: Pieces that are learned from side by side: a quarter of those at hand, within these bounds.
+SIDE_BY_SIDE = (128, 512)
 #: Documents are learned from in pieces of so many words.
 PIECE = 256
 #: Every training document is learned from in one of so many rounds.
@@ -45,6 +46,8 @@ ROUNDS = 4
 SMOOTHING = 0.1
 BLOCK = 16384
 ROWS_AT_ONCE = 16384
+#: Documents of about so many tokens are handled together, however many rows come at once.
+TOKENS_AT_ONCE = 1 << 19
 #: Where the sums of squared slopes begin: windows of few words move the parameters little.
 START_SQUARES = 1.0
 
@@ -223,8 +226,9 @@ class Network:
             back = d * z + inner @ self.u.T
             dx[t] = np.concatenate([dz, dr, dn], axis=1)
         rows, where = np.unique(inputs, return_inverse=True)
-        gx = np.zeros((len(rows), 3 * h), dtype=np.float32)
-        np.add.at(gx, where.reshape(-1), dx.reshape(-1, 3 * h))
+        where = where.reshape(-1)
+        order = np.argsort(where, kind="stable")
+        gx = np.add.reduceat(dx.reshape(-1, 3 * h)[order], np.searchsorted(where[order], np.arange(len(rows))), axis=0)
         if self.squares is None:
             self.squares = {n: np.full_like(getattr(self, n), START_SQUARES) for n in self.NAMES}
         self.squares["x"][rows] += gx**2
@@ -236,9 +240,16 @@ class Network:
         return state
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Ranges of documents of about ``TOKENS_AT_ONCE``, with their offsets and tokens."""
     lists = batch.column("tokens")
-    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    offsets, hashed = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(lists):
+        end = int(np.searchsorted(offsets, offsets[start] + TOKENS_AT_ONCE, side="right")) - 1
+        end = min(max(end, start + 1), len(lists))
+        yield slice(start, end), offsets[start: end + 1] - offsets[start], hashed[offsets[start]: offsets[end]]
+        start = end
 
 
 def train_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray, rate: float) -> None:
@@ -251,8 +262,9 @@ def train_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray, rate: flo
     length = np.minimum(np.repeat(sizes, pieces) - turn * PIECE, PIECE)
     opening = np.where(turn > 0, place[np.maximum(start - 1, 0)], net.begin)
     mixed = np.argsort(mix(np.arange(len(start), dtype=np.uint64)))
-    for i in range(0, len(mixed), SIDE_BY_SIDE):
-        chosen = mixed[i: i + SIDE_BY_SIDE]
+    side = min(max(len(mixed) // 4, SIDE_BY_SIDE[0]), SIDE_BY_SIDE[1])
+    for i in range(0, len(mixed), side):
+        chosen = mixed[i: i + side]
         chosen = chosen[np.argsort(-length[chosen], kind="stable")]
         state = np.zeros((len(chosen), HIDDEN), dtype=np.float32)
         longest = length[chosen]
@@ -284,7 +296,7 @@ def score_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray) -> np.nda
         for i in range(0, len(a), ROWS_AT_ONCE):
             part = slice(i, i + ROWS_AT_ONCE)
             found, _ = net.log_probability(s[part], place[a[part]], group[a[part]])
-            np.add.at(total, o[part], found.astype(np.float64))
+            total[:] += np.bincount(o[part], weights=found, minlength=len(total))
         states.clear(), at.clear(), owners.clear()
         pending = 0
 
@@ -349,9 +361,9 @@ class LanguageModel:
 
             seen = 0
             for batch in batches:
-                offsets, hashed = _rows(batch)
-                train_batch(net, offsets, hashed, rate)
-                seen += int(offsets[-1] - offsets[0])
+                for _, offsets, hashed in _slices(batch):
+                    train_batch(net, offsets, hashed, rate)
+                    seen += len(hashed)
             if seen:
                 values = net.flat().astype(np.float64)
                 blocks = [values[i: i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
@@ -372,20 +384,23 @@ class LanguageModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                offsets, hashed = _rows(batch)
-                n = np.diff(offsets)
-                owner = np.repeat(np.arange(len(n)), n)
-                at, there = voc.look_up(hashed)
-                base, model = np.zeros(len(n)), score_batch(net, offsets, hashed)
-                base += np.bincount(owner[there], weights=voc.log_count[at[there]], minlength=len(n))
-                model += np.bincount(owner[there], weights=voc.within[at[there]], minlength=len(n))
-                known = np.bincount(owner[there], minlength=len(n))
-                rest = np.concatenate([[0], np.cumsum(n - known)])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)),
-                    pa.array(known.astype(np.int64)), pa.array(base), pa.array(model),
-                    pa.ListArray.from_arrays(pa.array(rest, type=pa.int32()), pa.array(hashed[~there])),
-                ], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
+                for rows, offsets, hashed in _slices(batch):
+                    yield scored_rows(batch.slice(rows.start, rows.stop - rows.start), offsets, hashed)
+
+        def scored_rows(batch: pa.RecordBatch, offsets: np.ndarray, hashed: np.ndarray) -> pa.RecordBatch:
+            n = np.diff(offsets)
+            owner = np.repeat(np.arange(len(n)), n)
+            at, there = voc.look_up(hashed)
+            base, model = np.zeros(len(n)), score_batch(net, offsets, hashed)
+            base += np.bincount(owner[there], weights=voc.log_count[at[there]], minlength=len(n))
+            model += np.bincount(owner[there], weights=voc.within[at[there]], minlength=len(n))
+            known = np.bincount(owner[there], minlength=len(n))
+            rest = np.concatenate([[0], np.cumsum(n - known)])
+            return pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)),
+                pa.array(known.astype(np.int64)), pa.array(base), pa.array(model),
+                pa.ListArray.from_arrays(pa.array(rest, type=pa.int32()), pa.array(hashed[~there])),
+            ], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
 
         kind = self.rows.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, rest array<bigint>"

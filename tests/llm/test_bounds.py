@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from plumbline.llm import encoding
+from plumbline.llm import encoding, language_model
 
 
 def encoder(asked: list[str]) -> encoding.Encoder:
@@ -42,3 +44,23 @@ def test_full_caches_keep_what_is_met_again(monkeypatch):
         assert encoding.encode_texts([text], found) == [np.array(ids, dtype=np.int32).tobytes()]
         assert len(found.words.new) + len(found.words.old) < 200
     assert sum("often" in t.split() for t in asked) == 1
+
+
+def test_language_model_takes_documents_of_a_batch_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 60, n).tolist() for n in (0, 5, 700, 1, 40, 90, 0, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([[1], *docs], pa.list_(pa.int64()))], ["tokens"]).slice(1)
+    hashes, counts = np.unique(np.concatenate(docs).astype(np.int64), return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    net = language_model.Network(language_model.Vocabulary.of(hashes[order], counts[order], int(counts.sum()), len(hashes)))
+
+    def scores():
+        return [language_model.score_batch(net, o, h) for _, o, h in language_model._slices(batch)]
+
+    whole = scores()
+    monkeypatch.setattr(language_model, "TOKENS_AT_ONCE", 100)
+    sliced = scores()
+    assert len(whole) == 1 and len(sliced) > 3
+    assert np.concatenate(sliced) == pytest.approx(whole[0], rel=1e-5)
+    sizes = [len(h) for _, _, h in language_model._slices(batch)]
+    assert (sum(sizes), max(sizes)) == (sum(map(len, docs)), 700)
