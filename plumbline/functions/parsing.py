@@ -87,7 +87,7 @@ DATE_FORMATS = (
 )
 KNOWN_SHAPES = tuple(sorted({s for fmt in DATE_FORMATS for s in fmt.shapes}))
 # "month" is five letters for up to nine.
-_LONGEST_DATE = max(map(len, KNOWN_SHAPES)) + 4
+LONGEST_DATE = max(map(len, KNOWN_SHAPES)) + 4
 
 
 def looks_boolean(c: Column) -> Column:
@@ -110,7 +110,7 @@ def date_shape(c: Column) -> Column:
     shape = F.translate(F.lower(c), "012345678", "999999999")
     named = F.regexp_replace(F.regexp_replace(shape, rf"\b(?:{_MONTH})\b", "month"), rf"\b(?:{_MON})\b", "mon")
     lettered = F.when(F.regexp_like(shape, F.lit("[a-y]")), F.regexp_replace(named, " pm$", " am")).otherwise(shape)
-    return F.when(F.length(c) <= _LONGEST_DATE, lettered)
+    return F.when(F.length(c) <= LONGEST_DATE, lettered)
 
 
 def parse_with(c: Column, shape: Column, fmt: DateFormat) -> Column:

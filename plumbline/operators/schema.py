@@ -124,7 +124,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         else:
             undecided.append(f)
     fits = shape_evidence(df, undecided)
-    dated = {f.name for f in undecided if any(fits[f.name][j] == present[f.name] for j in range(len(DATE_FORMATS)))}
+    dated = {f.name for f in undecided if any(fits[f.name].fits[j] == present[f.name] for j in range(len(DATE_FORMATS)))}
     types.update(dict.fromkeys(dated, "datetime"))
     undecided = [f for f in undecided if f.name not in dated]
     few = _categories(df, undecided, present)

@@ -275,3 +275,15 @@ def test_values_off_the_format_are_counted(spark):
     total = {r.date: r["count"] for r in q.date_distribution_total(df, "t").collect()}
     assert total == {"2025-01-02": 1, "2025-01-03": 1, "UNPARSED": 1, "TOTAL": 2}
     assert q.date_distribution(df, "t").count() == 2
+
+
+def test_dates_are_parsed_once_per_different_text(spark):
+    """The plan counts texts before it reads them, so many copies cost no more than one."""
+    from plumbline.operators import dates
+
+    rows = [("2024-01-05", "x" * 100)] * 40 + [("2024-02-30", "no"), (None, None), ("2024-03-01", "5 May 2020")]
+    df = spark.createDataFrame(rows, "d string, t string")
+    texts = dates.different_texts(df, df.schema.fields).collect()
+    assert {(r.i, r.text, r.n) for r in texts} == {(0, "2024-01-05", 40), (0, "2024-02-30", 1), (0, "2024-03-01", 1), (1, None, 41), (1, "5 May 2020", 1)}
+    found = {r.column: (str(r.max_date), r.unparsed) for r in q.date_max(df, ["d", "t"]).collect()}
+    assert found == {"d": ("2024-03-01 00:00:00", 1), "t": ("2020-05-05 00:00:00", 41)}
