@@ -18,11 +18,10 @@ KEY_SCHEMA = (
     "row_count bigint, message string"
 )
 MINIMAL_SCHEMA = "size int, columns array<string>, distinct_count bigint, row_count bigint"
-#: Sketches of 2^12 registers have a relative deviation of 1.04 / 64; sets that fall short of the rows by six are no keys.
-REGISTERS = 12
-SHORT_OF = 1 - 6 * 1.04 / 2 ** (REGISTERS / 2)
-#: One of so many slices of the rows is searched for repeats before all rows are counted.
-SLICES = 16
+#: Sets of columns are searched for repeats in one of so many slices of the rows, few rows first, before all rows are looked at.
+SLICES = (1024, 32)
+#: A value with more than this share of the rows (and more rows than that) keeps rows from being dealt out by its column.
+HOT_SHARE, HOT_ROWS = 0.001, 10_000
 HISTORY_SCHEMA = "attempt int, columns array<string>, distinct_count bigint, row_count bigint, is_key boolean"
 
 
@@ -104,39 +103,49 @@ def _hashes(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     ])
 
 
-def _sketched(df: DataFrame, sets: list[tuple[int, ...]], fields: list[T.StructField]) -> list[int]:
-    """Estimated distinct rows of every set of columns, all from one scan with one sketch per set."""
-    return list(_hashes(df, fields).agg(*[
-        F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[f"h{i}" for i in chosen]), REGISTERS)).alias(f"s{n}")
-        for n, chosen in enumerate(sets)
-    ]).first())
+def _repeated(df: DataFrame, sets: list[tuple[int, ...]], fields: list[T.StructField], single: list[int], slices: int) -> set[int]:
+    """Which sets repeat a row within one slice of the table, or anywhere with one slice; each row is shuffled once per leading column.
 
-
-def _repeated(df: DataFrame, sets: list[tuple[int, ...]], fields: list[T.StructField], single: list[int]) -> set[int]:
-    """Which sets repeat a row within one slice, all from one scan and one shuffle.
-
-    A slice is chosen by the hash of the set's column with most values, so that equal rows are in it together: a
-    row that repeats there repeats in the table. Rows are known by 128 bits.
+    The leading column of a set is the one with most values. Equal rows of a set agree in it, so its hash chooses the
+    slice and the partition: a row that repeats in a slice repeats in the table, and all copies meet without a shuffle per
+    set. Rows are known by 128 bits: rows with different hashes are different.
     """
-    def entry(n: int, chosen: tuple[int, ...]):
-        key = [F.xxhash64(*[f"{seed}{i}" for i in chosen]).alias(seed) for seed in "gh"]
-        sliced = F.pmod(F.col(f"g{max(chosen, key=lambda i: single[i])}"), F.lit(SLICES)) == 0
-        return F.when(sliced, F.struct(F.lit(n).alias("n"), *key))
+    hashed = _hashes(df, fields)
+    by_lead: dict[int, list[int]] = {}
+    for n, chosen in enumerate(sets):
+        by_lead.setdefault(max(chosen, key=lambda i: single[i]), []).append(n)
+    found = []
+    for lead, numbers in by_lead.items():
+        used = sorted({i for n in numbers for i in sets[n]})
+        rows = hashed.select(*[f"{seed}{i}" for seed in "gh" for i in used])
+        keys = ["n", "g", "h"]
+        if slices > 1:
+            rows = rows.where(F.pmod(F.col(f"g{lead}"), F.lit(slices)) == 0)
+        elif not _hot(df, fields[lead]):
+            rows, keys = rows.repartition(f"g{lead}"), [f"g{lead}", *keys]
+        entries = [
+            F.struct(F.lit(n).alias("n"), *[F.xxhash64(*[f"{seed}{i}" for i in sets[n]]).alias(seed) for seed in "gh"]) for n in numbers
+        ]
+        single_rows = rows.select(f"g{lead}", F.explode(F.array(*entries)).alias("e")).select(f"g{lead}", "e.*")
+        found.append(single_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("n"))
+    return {r["n"] for r in union_all(found).distinct().collect()}
+
 
-    rows = _hashes(df, fields).select(F.explode(F.array_compact(F.array(*[entry(n, c) for n, c in enumerate(sets)]))).alias("e"))
-    copies = rows.groupBy("e.n", "e.g", "e.h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return {r["n"] for r in copies.select("n").distinct().collect()}
+def _hot(df: DataFrame, field: T.StructField) -> bool:
+    """Whether one value of a column holds so many rows that they should not meet in one task."""
+    copies = df.select(group_key(field).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    seen = copies.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    return seen["most"] > max(HOT_ROWS, HOT_SHARE * seen["rows"])
 
 
 def minimal_keys(df: DataFrame, ignored: tuple[str, ...] = METADATA_COLUMNS, max_columns: int = 3) -> DataFrame:
     """All sets of at most ``max_columns`` columns that are unique and hold no smaller unique set.
 
     The lattice of column sets is climbed by size. Sets above a key are never looked at; neither are sets whose
-    columns have too few distinct values for all rows. The rest of a level is sketched in one scan; those that the
-    sketch leaves are searched for a repeated row in a slice of the table, again in one scan; the last ones are
-    counted exactly, so that no set is called a key that is none. A sketch rules a key out with a probability
-    below 1e-8. Missing values count as one value. Sketches grow with the number of sets (2 KB
-    each and task), not with the rows; one row per set reaches the driver. A table without rows has no keys.
+    columns have too few distinct values for all rows. The rest of a level is searched for repeated rows in ever larger
+    slices of the table and at last in all rows, where each row is shuffled once for all sets with the same leading
+    column. Equal rows have equal hashes, so no set is called a key that is none. Missing values count as one value.
+    One number per refuted set reaches the driver. A table without rows has no keys.
     """
     spark = df.sparkSession
     eligible = set(without_metadata(df.columns, ignored))
@@ -151,18 +160,10 @@ def minimal_keys(df: DataFrame, ignored: tuple[str, ...] = METADATA_COLUMNS, max
             chosen for chosen in combinations(range(len(fields)), size)
             if prod(single[i] for i in chosen) >= total and not any(k <= set(chosen) for k in keys)
         ]
-        if not sets:
-            continue
-        likely = [c for c, n in zip(sets, _sketched(df, sets, fields)) if n >= SHORT_OF * total]
-        refuted = _repeated(df, likely, fields, single) if likely else set()
-        likely = [c for n, c in enumerate(likely) if n not in refuted]
-        if not likely:
-            continue
-        exact = union_all([
-            distinct_rows(df, [fields[i] for i in chosen]).select(F.lit(n).alias("n"), "distinct_count")
-            for n, chosen in enumerate(likely)
-        ]).where(F.col("distinct_count") == total).collect()
-        found += [(size, likely[r["n"]], total) for r in sorted(exact)]
+        for slices in (*SLICES, 1):
+            refuted = _repeated(df, sets, fields, single, slices) if sets else set()
+            sets = [c for n, c in enumerate(sets) if n not in refuted]
+        found += [(size, chosen, total) for chosen in sets]
     return spark.createDataFrame(
         [(size, [fields[i].name for i in chosen], n, total) for size, chosen, n in found], MINIMAL_SCHEMA
     )

@@ -287,3 +287,18 @@ def test_dates_are_parsed_once_per_different_text(spark):
     assert {(r.i, r.text, r.n) for r in texts} == {(0, "2024-01-05", 40), (0, "2024-02-30", 1), (0, "2024-03-01", 1), (1, None, 41), (1, "5 May 2020", 1)}
     found = {r.column: (str(r.max_date), r.unparsed) for r in q.date_max(df, ["d", "t"]).collect()}
     assert found == {"d": ("2024-03-01 00:00:00", 1), "t": ("2020-05-05 00:00:00", 41)}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats_of_all_sets_from_one_shuffle(spark, monkeypatch, hot):
+    from plumbline.functions.columns import key_fields
+    from plumbline.operators import keys
+
+    monkeypatch.setattr(keys, "_hot", lambda df, field: hot)
+    rows = [(i, i % 7, i // 7, None if i % 2 else i) for i in range(200)] + [(199, 0, 0, 1)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    sets = [(0,), (0, 1), (1, 2), (1, 3), (0, 3)]
+    single = [len({r[i] for r in rows}) for i in range(4)]
+    wanted = {n for n, s in enumerate(sets) if len({tuple(r[i] for i in s) for r in rows}) < len(rows)}
+    assert keys._repeated(df, sets, key_fields(df), single, 1) == wanted == {0, 2, 3}
+    assert keys._repeated(df, sets, key_fields(df), single, 4) <= wanted
