@@ -14,6 +14,7 @@ from plumbline.functions.columns import col
 from plumbline.functions.parsing import MISSING_TOKENS, looks_numeric, looks_whole
 from plumbline.operators.batches import first_row
 from plumbline.sources.records import Dialect, read_records
+from plumbline.sources.staging import stage
 
 DELIMITERS = (",", ";", "\t", "|")
 CORRUPT = "__corrupt_line"
@@ -188,7 +189,8 @@ def _across_lines(
         skip_space=str(given.get("ignoreLeadingWhiteSpace", "")).lower() == "true",
         line_end=given.get("lineSep", "\n"), encoding=given.get("encoding", "UTF-8"),
     )
-    records = read_records(spark, path, dialect)
+    # Parsed once: the header, the types and the rows are read from there.
+    records, _ = stage(read_records(spark, path, dialect))
     if names is None:
         first = records.where("header").orderBy("file").first()
         width = len(first["fields"]) if first else 0
@@ -208,7 +210,8 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> Data
     ``dtype`` (column to type) saves the typing pass for the columns it names. A line with more fields than the
     header raises an error, which ``on_bad_lines="skip"`` leaves out; shorter lines are filled with NULL. A quote opens a
     quoted field at the start of a field only. Sources with line breaks in quoted fields are noticed (``multiline``
-    saves the pass that looks for them) and read in parallel all the same, see :mod:`plumbline.sources.records`.
+    saves the pass that looks for them) and read in parallel all the same, see :mod:`plumbline.sources.records`. Their
+    records are kept as Parquet in the folder of ``spark.checkpoint.dir``, if there is one, for whoever owns it to remove.
     """
     unknown = sorted(set(options) - set(READER_OPTIONS) - set(OWN_OPTIONS))
     if unknown:
