@@ -14,7 +14,9 @@ import csv
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,11 +91,18 @@ def _lines(spark: SparkSession, path: str | list[str], dialect: Dialect) -> Data
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
     """The lines of every split; a task reads one split after the other."""
-    rows = (
-        (key, line)
-        for batch in batches
-        for *key, line in zip(batch["file"].to_pylist(), batch["start"].to_pylist(), batch["line"].to_pylist(), strict=True)
-    )
+    def each() -> Iterator[tuple[tuple[str, int], str]]:
+        for batch in batches:
+            files, starts = batch["file"].dictionary_encode(), batch["start"].to_numpy()
+            number = files.indices.to_numpy()
+            changed = np.flatnonzero((number[1:] != number[:-1]) | (starts[1:] != starts[:-1])) + 1
+            lines = batch["line"].to_pylist()
+            for a, b in zip([0, *changed.tolist()], [*changed.tolist(), len(lines)], strict=True):
+                if a < b:
+                    key = (files.dictionary[int(number[a])].as_py(), int(starts[a]))
+                    yield from zip(repeat(key), lines[a:b])
+
+    rows = each()
     held = next(rows, None)
     while held is not None:
         key = held[0]
@@ -105,7 +114,7 @@ def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, in
                 held = next(rows, None)
 
         lines = own()
-        yield tuple(key), lines
+        yield key, lines
         for _ in lines:
             pass
 
@@ -118,7 +127,8 @@ def splits_inside(lines: DataFrame, dialect: Dialect) -> set[tuple[str, int]]:
         for (file, start), own in _by_split(batches):
             ends = [False, True]
             for line in own:
-                ends = [after(line, s) for s in ends]
+                if dialect.quote in line:
+                    ends = [after(line, s) for s in ends]
             yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "outside": ends[0], "inside": ends[1]}])
 
     def along(group: pd.DataFrame) -> pd.DataFrame:
@@ -150,10 +160,11 @@ def read_records(spark: SparkSession, path: str | list[str], dialect: Dialect) -
         )
 
         def batch_of(key: tuple[str, int], kind: int, fields: list[list], first: bool) -> pa.RecordBatch:
-            rows = [
-                {"file": key[0], "start": key[1], "kind": kind, "header": first and i == 0, "fields": f} for i, f in enumerate(fields)
-            ]
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+            n = len(fields)
+            header = np.zeros(n, dtype=bool)
+            header[:1] = first
+            values = [pa.repeat(v, n) for v in (pa.scalar(key[0]), pa.scalar(key[1], pa.int64()), pa.scalar(kind, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*values, pa.array(header), pa.array(fields, pa.list_(pa.string()))], schema=schema)
 
         for key, own in _by_split(batches):
             if key in inside:
