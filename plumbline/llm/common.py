@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +97,47 @@ def small(table: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
     size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
     seen = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     return F.broadcast(table) if seen.n <= BROADCAST_ROWS and seen.bytes <= BROADCAST_BYTES else table
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the allocators of Arrow and C would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: The most rows of texts or shingles in an Arrow batch: some 4 MB each in the task's JVM and in its Python worker.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``, for texts that the default would hold by the 10,000.
+
+    Spark reads the setting when a plan is run, and a result may be run at any time, so it stays. No result depends on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def one_by_one(
+    batches: Iterator[pa.RecordBatch],
+    run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+    at_end: Callable[[], None] = lambda: None,
+) -> Iterator[pa.RecordBatch]:
+    """What ``run`` gives for each batch. No batch is held while the next one is read.
+
+    Python workers outlive their tasks and stay beside those of later stages, so the end of a task, after ``at_end``,
+    gives its memory back.
+    """
+    try:
+        while (batch := next(batches, None)) is not None:
+            rows = run(batch)
+            del batch
+            yield from rows
+            del rows
+    finally:
+        at_end()
+        give_back()

@@ -5,8 +5,9 @@ passages of different documents give equal chunks wherever they stand. A task ke
 and words it has met and asks the tokenizer only for words it does not know, all missing words of a slice of
 documents at once and many as one text, parted by a separator whose id no word in it gives. A word of
 ASCII letters is asked for in lower case and without the mark behind it, where the tokenizer lowers and cuts
-there anyway. The caches live as long as the Python worker and are bounded: full ones become the old
-generation, of which only what is met again is kept. That costs time but never changes a result.
+there anyway. The caches live as long as the task, as its Python worker stays beside those of later stages, and are
+bounded: full ones become the old generation, of which only what is met again is kept. That costs time but never
+changes a result.
 
 Decoded text is joined from the tokens of all ids of a slice at once if the tokenizer has no decoder of its own.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import text_of
+from plumbline.llm.common import one_by_one, short_batches, text_of
 
 #: One cut in so many word ends, entries per generation of a cache and bytes of text in the chunks of one, words in a text
 #: that is asked for, texts asked for at once, and bytes of text handled together.
@@ -111,8 +112,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Cache(KEPT_WORDS, KEPT_BYTES)
-        self.chunks = Cache(KEPT_CHUNKS, KEPT_BYTES)
+        self.forget()
         parted = self._ids([SEPARATOR.decode()])[0]
         self.separator = int(parted[0]) if len(parted) == 1 else None
         self.parts_marks = self.ask([b"Word."]) == [b"".join(self.ask([b"word", b"."]))]
@@ -121,6 +121,11 @@ class Encoder:
             ids = range(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1)
             self.tokens = pa.array([self.tokenizer.id_to_token(i) or "" for i in ids], type=pa.string())
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.words = Cache(KEPT_WORDS, KEPT_BYTES)
+        self.chunks = Cache(KEPT_CHUNKS, KEPT_BYTES)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -221,28 +226,32 @@ def encode_texts(texts: list[bytes], encoder: Encoder) -> list[bytes]:
     return [encoder.text(chunks) for chunks in parts]
 
 
+def encoded_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, ids, decoded`` of a task's rows; the tokenizer stays for the worker's next task, the caches go."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    encoder = _encoders[path]
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column("text")
+        for start, end in _slices(texts):
+            rows = encode_texts([t.as_buffer().to_pybytes() for t in texts[start:end]], encoder)
+            lengths = [0, *[len(ids) // 4 for ids in rows]]
+            values = pa.array(np.frombuffer(b"".join(rows), dtype=np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), type=pa.int32()), values)
+            decoded = encoder.decoded(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[start:end], ids, decoded], ["doc_id", "ids", "decoded"])
+
+    yield from one_by_one(batches, rows_of, encoder.forget)
+
+
 def encode(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids array<int>, decoded string`` of each row.
 
     ``vocabulary`` is the path of a tokenizer file that every executor can read.
     """
     path = vocabulary or default_vocabulary()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        for batch in batches:
-            texts = batch.column("text")
-            for start, end in _slices(texts):
-                rows = encode_texts([t.as_buffer().to_pybytes() for t in texts[start:end]], _encoders[path])
-                lengths = [0, *[len(ids) // 4 for ids in rows]]
-                values = pa.array(np.frombuffer(b"".join(rows), dtype=np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), type=pa.int32()), values)
-                decoded = _encoders[path].decoded(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[start:end], ids, decoded], ["doc_id", "ids", "decoded"]
-                )
-
+    short_batches(documents.sparkSession)
     inputs = documents.select("doc_id", text_of(documents).alias("text"))
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return inputs.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return inputs.mapInArrow(lambda batches: encoded_rows(batches, path), f"doc_id {kind}, ids array<int>, decoded string")

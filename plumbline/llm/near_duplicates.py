@@ -33,7 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import let, materialise, null_safe, small, text_of, whole_row, words
+from plumbline.llm.common import (
+    give_back, let, materialise, null_safe, one_by_one, short_batches, small, text_of, whole_row, words,
+)
 from plumbline.llm.components import components
 from plumbline.llm.hashing import GOLDEN, mix, unit
 
@@ -41,7 +43,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Pairs at a similarity of 0.8 share one of 25 bands of 5 registers with a probability of 0.99995.
 BANDS, ROWS = 25, 5
-SLICE_SHINGLES = 400_000
+#: Documents of about so many shingles get their signatures together: some 20 MB.
+SLICE_SHINGLES = 100_000
 #: Groups of more members are compared by blocks instead of pairs; the result is the same.
 FEW = 64
 #: About so many members, and shingles of them, are on each side of a block: some 50 MB in a task.
@@ -106,7 +109,8 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the column ``shingles`` by ``n`` and ``keys``."""
-    for batch in batches:
+
+    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = batch.column("shingles")
         offsets = lists.offsets.to_numpy()
         values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -126,10 +130,13 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "content", "n", "keys"])
             start = end
 
+    yield from one_by_one(batches, keyed)
+
 
 def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted Jaccard similarity of the sorted multisets ``a`` and ``b`` of every pair."""
-    for batch in batches:
+
+    def compared(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column("a"), batch.column("b"))]
         found = np.zeros(batch.num_rows)
         for i in range(batch.num_rows):
@@ -139,6 +146,8 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             found[i] = both / (int(n.sum()) + int(m.sum()) - both)
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found)], ["u", "v", "similarity"])
 
+    yield from one_by_one(batches, compared)
+
 
 def overlaps(element: np.ndarray, row: np.ndarray, right: np.ndarray, n_left: int, n_right: int) -> np.ndarray:
     """How many elements each row on the left shares with each on the right; no row has an element twice.
@@ -230,7 +239,7 @@ def _links_of_block(rows: pa.Table) -> pa.RecordBatch:
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of all blocks, whose rows follow each other."""
     kept: list[pa.RecordBatch] = []
-    last = None
+    last = batch = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -245,6 +254,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = key
     if kept:
         yield _links_of_block(pa.Table.from_batches(kept))
+    del batch, kept
+    give_back()
 
 
 class _Corpus:
@@ -252,6 +263,7 @@ class _Corpus:
 
     def __init__(self, documents: DataFrame):
         self.documents = documents
+        short_batches(documents.sparkSession)
         kind = documents.schema["doc_id"].dataType.simpleString()
         tokens = documents.select("doc_id", words(text_of(documents)).alias("ws")).select(
             "doc_id", content(F.col("ws")).alias("content"),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from plumbline.llm import encoding, language_model
+from plumbline.llm import common, encoding, language_model, near_duplicates
 
 
 def encoder(asked: list[str]) -> encoding.Encoder:
@@ -64,3 +65,41 @@ def test_language_model_takes_documents_of_a_batch_in_slices(monkeypatch):
     assert np.concatenate(sliced) == pytest.approx(whole[0], rel=1e-5)
     sizes = [len(h) for _, _, h in language_model._slices(batch)]
     assert (sum(sizes), max(sizes)) == (sum(map(len, docs)), 700)
+
+
+def test_a_worker_keeps_no_words_of_a_task_that_is_over():
+    path = encoding.default_vocabulary()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", "some more"])], ["doc_id", "text"])
+    rows = [r for b in encoding.encoded_rows(iter([batch, batch]), path) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["decoded"]) for r in rows] == [(1, "some</w> words</w>"), (2, "some</w> more</w>")] * 2
+    left = encoding._encoders[path]
+    assert not any([left.words.new, left.words.old, left.chunks.new, left.chunks.old])
+
+
+def test_no_batch_is_held_while_the_next_is_read(monkeypatch):
+    held, alive = [], []
+    monkeypatch.setattr(near_duplicates, "SLICE_SHINGLES", 100)
+
+    def batches():
+        for _ in range(3):
+            held.append(sum(w() is not None for w in alive))
+            n = np.arange(0, 1001, 50, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(n), pa.array(np.arange(1000)))
+            batch = pa.RecordBatch.from_arrays([pa.array(n[1:]), pa.array(["c"] * 20), lists], ["doc_id", "content", "shingles"])
+            alive.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    assert sum(b.num_rows for b in near_duplicates._with_keys(batches())) == 60
+    assert held == [0, 0, 0]
+
+
+def test_texts_come_in_short_batches(spark):
+    name, long = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    before = spark.conf.get(name)
+    spark.conf.set(name, long)
+    try:
+        encoding.encode(spark.createDataFrame([(1, "a text")], "doc_id bigint, text string"))
+        assert int(spark.conf.get(name)) == common.BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
