@@ -8,9 +8,11 @@ for all unknown words. So the probabilities of all words add up to one.
 
 Training is distributed: a hash of the id deals the training documents to ``ROUNDS`` rounds, so that each
 is learned from once. In a round every task runs truncated backpropagation over its share, the tasks'
-parameters are averaged by their numbers of tokens, and the next round starts from the average. Scoring runs every document from its first to its last word, many documents side
-by side; the state is carried from window to window. Counts of the ``KNOWN`` words travel with the code,
-a table of bounded size; those of other words are joined.
+parameters are averaged by their numbers of tokens, and the next round starts from the average. Scoring runs every
+document from its first to its last word, many documents side by side; the state is carried from window to window.
+Texts are cut into words twice, to count them and to write their input rows, 16 bits each, which all rounds and the
+scoring read. Counts of the ``KNOWN`` words travel with the code, a table of bounded size; those of other words are
+joined.
 
 Defined cases: a missing text is an empty one, of which the end is scored. Repeated rows are scored each;
 a missing id counts as the empty text in the split. Without training documents every probability is
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.classifier import remainder
-from plumbline.llm.common import materialise, text_of, words
-from plumbline.llm.hashing import mix
+from plumbline.llm.common import materialise, one_by_one, short_batches, text_of
+from plumbline.llm.hashing import GOLDEN, mix
 
 KNOWN = 1 << 18
 MODELLED = 4096
@@ -44,18 +47,69 @@ PIECE = 256
 #: Every training document is learned from in one of so many rounds.
 ROUNDS = 4
 SMOOTHING = 0.1
+#: Words are found among the known ones by so many bits of their hash.
+LEADING = 20
+#: Different words of a task's texts that are counted before they go on.
+COUNTED_AT_ONCE = 1 << 20
 BLOCK = 16384
 ROWS_AT_ONCE = 16384
 #: Documents of about so many tokens are handled together, however many rows come at once.
 TOKENS_AT_ONCE = 1 << 19
 #: Where the sums of squared slopes begin: windows of few words move the parameters little.
 START_SQUARES = 1.0
-
-
-def tokens(text: Column) -> Column:
-    """Hashes of the words of a text in lower case (A to Z only), then of the end."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.concat(F.transform(words(lower), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+#: Sums of exponentials outside of these are taken again, scaled by the largest of each row.
+SMALLEST, LARGEST = 1e-30, 1e30
+#: So many rows of probabilities stay in a core's cache.
+NEAR_ROWS = 2048
+
+
+_WORD = np.ones(256, dtype=bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of the eight bytes from a word's start, those that belong to a word of so many bytes.
+_OWN_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Stands for the end of a text.
+END = np.uint64(0x5851F42D4C957F2D)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the texts and hashes of their words in lower case (A to Z only), an end behind those of each."""
+    n = len(texts)
+    places = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset: texts.offset + n + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8)[places[0]: places[-1]] if held else np.zeros(0, dtype=np.uint8)
+    places -= places[0]
+    inside = _WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    some = places[1:] > places[:-1]
+    opening, closing = places[:-1][some], places[1:][some] - 1
+    first[opening], last[closing] = inside[opening], inside[closing]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    eights = np.zeros(len(data) // 8 + 3, dtype=np.uint64)
+    eights.view(np.uint8)[: len(data)] = _LOWER[data]
+
+    def part(of: slice | np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 k to 8 k + 7 of words, those behind a word as zeros."""
+        at = start[of] + 8 * k
+        by = ((at & 7) << 3).astype(np.uint64)
+        at >>= 3
+        both = (eights[at] >> by) | ((eights[at + 1] << np.uint64(1)) << (np.uint64(63) - by))
+        return both & _OWN_BYTES[np.minimum(size[of] - 8 * k, 8)]
+
+    hashed = mix(part(slice(None), 0) ^ (size.astype(np.uint64) * GOLDEN))
+    k, longer = 1, np.flatnonzero(size > 8)
+    while len(longer):
+        hashed[longer] = mix(part(longer, k) ^ (hashed[longer] + GOLDEN))
+        k += 1
+        longer = longer[size[longer] > 8 * k]
+    upto = np.searchsorted(start, places)
+    found = np.full(len(start) + n, END, dtype=np.uint64)
+    found[np.arange(len(start)) + np.repeat(np.arange(n), np.diff(upto))] = hashed
+    return upto + np.arange(n + 1), found.view(np.int64)
 
 
 @dataclass
@@ -109,21 +163,47 @@ class Vocabulary:
             float(n_tokens - counts.sum() + SMOOTHING * (n_words - sizes.sum() + 1)),
         )
 
+    @cached_property
+    def group_of_place(self) -> np.ndarray:
+        modelled = len(self.bounds) - 1
+        return np.concatenate([np.repeat(np.arange(modelled), np.diff(self.bounds)), np.arange(modelled, self.classes)]).astype(np.uint16)
+
+    @staticmethod
+    def _leading(hashed: np.ndarray) -> np.ndarray:
+        """The leading bits, in the order of signed numbers."""
+        return (hashed >> (64 - LEADING)) + (1 << (LEADING - 1))
+
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """The first of the sorted words with each value of the leading bits."""
+        return np.searchsorted(self._leading(self.hashes), np.arange((1 << LEADING) + 1)).astype(np.int32)
+
     def look_up(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the sorted words, and whether the word is there."""
         if not len(self.hashes):
             return np.zeros(len(hashed), dtype=np.int64), np.zeros(len(hashed), dtype=bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashed
+        leading = self._leading(hashed)
+        at, end = self._starts[leading], self._starts[leading + 1]
+        np.minimum(at, len(self.hashes) - 1, out=at)
+        there = self.hashes[at] == hashed
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.hashes[at[left]] == hashed[left]
+            there[left[hit]] = True
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return at, there
+
+    def places(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Input rows of what :meth:`look_up` gave; unknown words share the last."""
+        rest = self.modelled + self.classes - len(self.bounds)
+        return np.where(there, self.place[at], rest) if len(self.hashes) else np.full(len(at), rest)
 
     def encode(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input rows and classes."""
-        at, there = self.look_up(hashed)
-        last = self.classes - 1
-        if not len(self.hashes):
-            return np.full(len(hashed), self.modelled), np.full(len(hashed), last)
-        rare = self.modelled + last - (len(self.bounds) - 1)
-        return np.where(there, self.place[at], rare).astype(np.int64), np.where(there, self.group[at], last).astype(np.int64)
+        place = self.places(*self.look_up(hashed)).astype(np.int64)
+        return place, self.group_of_place[place].astype(np.int64)
 
 
 class Network:
@@ -154,90 +234,157 @@ class Network:
             values = values[own.size:]
         return self
 
-    def step(self, inputs: np.ndarray, state: np.ndarray):
+    def _cell(self, a: np.ndarray, state: np.ndarray, out: tuple[np.ndarray, ...] | None = None):
+        """The next state from what the inputs give, and the gates: z beside r, what is new, and what r lets pass.
+
+        ``out`` has places for the three and the state.
+        """
         h = HIDDEN
-        a, b = self.x[inputs], state @ self.u
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * h] + b[:, : 2 * h])))
-        z, r = zr[:, :h], zr[:, h:]
-        new = np.tanh(a[:, 2 * h:] + r * b[:, 2 * h:])
-        return z * state + (1 - z) * new, (z, r, new, b[:, 2 * h:])
-
-    def _by_class(self, group: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Bounds of each modelled class and the rows whose word is in it."""
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.v.classes + 1))
-        for c in range(len(self.v.bounds) - 1):
-            if ends[c] < ends[c + 1]:
-                yield int(self.v.bounds[c]), int(self.v.bounds[c + 1]), order[ends[c]: ends[c + 1]]
+        if out is None:
+            out = tuple(np.empty((len(a), n), dtype=np.float32) for n in (2 * h, h, 3 * h, h))
+        zr, new, b, after = out
+        np.matmul(state, self.u, out=b)
+        np.add(a[:, : 2 * h], b[:, : 2 * h], out=zr)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[:, h:], b[:, 2 * h:], out=new)
+        new += a[:, 2 * h:]
+        np.tanh(new, out=new)
+        np.subtract(state, new, out=after)
+        after *= zr[:, :h]
+        after += new
+        return after, (zr, new, b)
+
+    def step(self, inputs: np.ndarray, state: np.ndarray):
+        return self._cell(self.x[inputs], state)
 
     def log_probability(self, state: np.ndarray, place: np.ndarray, group: np.ndarray, grads: dict | None = None):
         """Natural log probability of class and modelled word; with ``grads`` also the slope by state."""
-        logits = state @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        exps = np.exp(logits)
-        sums = exps.sum(axis=1, keepdims=True)
-        rows = np.arange(len(group))
-        found = logits[rows, group] - np.log(sums[:, 0])
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            found, slope, safe = self._log_probability(state, place, group, grads, False)
+        return (found, slope) if safe else self._log_probability(state, place, group, grads, True)[:2]
+
+    def _log_probability(self, state: np.ndarray, place: np.ndarray, group: np.ndarray, grads: dict | None, shifted: bool):
+        """The same and whether no sum of exponentials left the range of floats, as without ``shifted`` none is scaled."""
+        n, h = state.shape
+        ones = np.ones(max(self.v.classes, self.v.modelled, 1), dtype=np.float32)
+
+        def normalised(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The chosen logits and the sums; ``logits`` becomes what both slopes begin with."""
+            rows = np.arange(len(logits))
+            if shifted:
+                logits -= logits.max(axis=1, keepdims=True)
+            told = logits[rows, chosen]
+            np.exp(logits, out=logits)
+            sums = logits @ ones[: logits.shape[1]]
+            if grads is not None:
+                logits *= (-1 / sums)[:, None]
+                logits[rows, chosen] += 1
+            return told, sums
+
+        # The last column of the states is one, so that products with the biases as a row add them.
+        s = np.ones((n, h + 1), dtype=np.float32)
+        s[:, :h] = state
+        classes = np.vstack([self.wc, self.bc])
+        told, sums = np.zeros(n, dtype=np.float32), np.ones(n, dtype=np.float32)
         slope = None
         if grads is not None:
-            d = -exps / sums
-            d[rows, group] += 1
-            grads["wc"], grads["bc"] = state.T @ d, d.sum(axis=0)
-            slope = d @ self.wc.T
-            grads["ww"], grads["bw"] = np.zeros_like(self.ww), np.zeros_like(self.bw)
-        for a, b, chosen in self._by_class(group):
-            if b - a == 1:
+            both, slope, down = np.zeros_like(classes), np.empty((n, h), dtype=np.float32), self.wc.T.copy()
+            of_words = np.zeros((self.v.modelled, h + 1), dtype=np.float32)
+        for i in range(0, n, NEAR_ROWS):
+            part = slice(i, i + NEAR_ROWS)
+            d = s[part] @ classes
+            told[part], sums[part] = normalised(d, group[part])
+            if grads is not None:
+                both += s[part].T @ d
+                np.matmul(d, down, out=slope[part])
+        if grads is not None:
+            grads["wc"], grads["bc"] = both[:h].copy(), both[h].copy()
+        found = told - np.log(sums)
+        safe = bool(n == 0 or (sums.min() > SMALLEST and sums.max() < LARGEST))
+        group = group.astype(np.uint16)  # short numbers are sorted by counting
+        order = np.argsort(group, kind="stable")
+        bounds = self.v.bounds.tolist()
+        ends = np.searchsorted(group[order], np.arange(len(bounds)))
+        order = order[: ends[-1]]
+        s, at = s[order], place[order] - self.v.bounds[group[order]]
+        told, sums = np.zeros(len(order), dtype=np.float32), np.ones(len(order), dtype=np.float32)
+        inner = np.zeros((len(order), h), dtype=np.float32) if grads is not None else None
+        words = np.column_stack([self.ww, self.bw])
+        ends = ends.tolist()
+        for a, b, i, j in zip(bounds, bounds[1:], ends, ends[1:], strict=False):
+            if i == j or b - a == 1:
                 continue
-            s, at = state[chosen], place[chosen] - a
-            logits = s @ self.ww[a:b].T + self.bw[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            exps = np.exp(logits)
-            sums = exps.sum(axis=1, keepdims=True)
-            inner = np.arange(len(chosen))
-            found[chosen] += logits[inner, at] - np.log(sums[:, 0])
+            d = s[i:j] @ words[a:b].T
+            told[i:j], sums[i:j] = normalised(d, at[i:j])
             if grads is not None:
-                d = -exps / sums
-                d[inner, at] += 1
-                grads["ww"][a:b], grads["bw"][a:b] = d.T @ s, d.sum(axis=0)
-                slope[chosen] += d @ self.ww[a:b]
-        return found, slope
+                of_words[a:b] = d.T @ s[i:j]
+                inner[i:j] = d @ self.ww[a:b]
+        found[order] += told - np.log(sums)
+        if grads is not None:
+            slope[order] += inner
+            grads["ww"], grads["bw"] = np.ascontiguousarray(of_words[:, :h]), of_words[:, h].copy()
+        return found, slope, safe and bool(len(order) == 0 or (sums.min() > SMALLEST and sums.max() < LARGEST))
 
     def learn(self, inputs: np.ndarray, place: np.ndarray, group: np.ndarray, live: np.ndarray, state: np.ndarray, rate: float):
         """One window (steps by documents) of truncated backpropagation; gives the state after it."""
-        h, steps = HIDDEN, len(inputs)
-        states, kept = [state], []
+        h, (steps, n) = HIDDEN, inputs.shape
+        states = np.empty((steps + 1, n, h), dtype=np.float32)
+        states[0] = state
+        a = self.x[inputs]
+        zr, new, passed = (np.empty((steps, n, k * h), dtype=np.float32) for k in (2, 1, 3))
         for t in range(steps):
-            state, gates = self.step(inputs[t], state)
-            states.append(state)
-            kept.append(gates)
+            self._cell(a[t], states[t], (zr[t], new[t], passed[t], states[t + 1]))
         grads: dict = {}
-        after = np.stack(states[1:])
-        _, slope = self.log_probability(after[live], place[live], group[live], grads)
-        ds = np.zeros_like(after)
-        ds[live] = slope
-        du, dx, back = np.zeros_like(self.u), np.zeros((steps, *states[0].shape[:1], 3 * h), dtype=np.float32), 0
+        alive = np.flatnonzero(live)
+        _, slope = self.log_probability(
+            states[1:].reshape(-1, h)[alive], place.reshape(-1)[alive], group.reshape(-1)[alive], grads
+        )
+        ds = np.zeros((steps, n, h), dtype=np.float32)
+        ds.reshape(-1, h)[alive] = slope
+        dx, inner, back, down = a, passed, 0, self.u.T.copy()  # both arrays are used up step by step
         for t in range(steps - 1, -1, -1):
-            d = ds[t] + back
-            (z, r, new, bn), before = kept[t], states[t]
-            dz, dn = d * (before - new) * z * (1 - z), d * (1 - z) * (1 - new**2)
-            dr = dn * bn * r * (1 - r)
-            inner = np.concatenate([dz, dr, dn * r], axis=1)
-            du += before.T @ inner
-            back = d * z + inner @ self.u.T
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        rows, where = np.unique(inputs, return_inverse=True)
-        where = where.reshape(-1)
-        order = np.argsort(where, kind="stable")
-        gx = np.add.reduceat(dx.reshape(-1, 3 * h)[order], np.searchsorted(where[order], np.arange(len(rows))), axis=0)
+            d, z, r = ds[t], zr[t, :, :h], zr[t, :, h:]
+            d += back
+            rest = 1 - z
+            dn = 1 - new[t] * new[t]
+            dn *= rest
+            dn *= d
+            dz, dr = dx[t, :, :h], dx[t, :, h: 2 * h]
+            np.subtract(states[t], new[t], out=dz)
+            rest *= z
+            rest *= d
+            dz *= rest
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= passed[t, :, 2 * h:]
+            dr *= dn
+            dx[t, :, 2 * h:] = dn
+            inner[t, :, : 2 * h] = dx[t, :, : 2 * h]
+            dn *= r
+            inner[t, :, 2 * h:] = dn
+            back = inner[t] @ down
+            back += d * z
+        du = states[:-1].reshape(-1, h).T @ inner.reshape(-1, 3 * h)
+        short = inputs.reshape(-1).astype(np.uint16)
+        order = np.argsort(short, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(short[order]) != 0]))
+        rows = short[order[starts]]
+        gx = np.add.reduceat(dx.reshape(-1, 3 * h)[order], starts, axis=0)
         if self.squares is None:
             self.squares = {n: np.full_like(getattr(self, n), START_SQUARES) for n in self.NAMES}
         self.squares["x"][rows] += gx**2
         self.x[rows] += rate * gx / np.sqrt(self.squares["x"][rows])
         for name, grad in {**grads, "u": du}.items():
-            grad = np.clip(grad, -50, 50)
-            self.squares[name] += grad**2
-            setattr(self, name, getattr(self, name) + rate * grad / np.sqrt(self.squares[name]))
-        return state
+            np.clip(grad, -50, 50, out=grad)
+            squares, own = self.squares[name], getattr(self, name)
+            squares += grad * grad
+            grad /= np.sqrt(squares)
+            grad *= rate
+            own += grad
+        return states[steps]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -252,9 +399,10 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarr
         start = end
 
 
-def train_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray, rate: float) -> None:
+def train_batch(net: Network, offsets: np.ndarray, place: np.ndarray, rate: float) -> None:
     """Learns from all words, in pieces of documents that are taken in a fixed mixed order, side by side."""
-    place, group = net.v.encode(hashed)
+    place = place.astype(np.int64)
+    group = net.v.group_of_place[place]
     sizes = np.diff(offsets).astype(np.int64)
     pieces = -(-sizes // PIECE)
     turn = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -279,39 +427,36 @@ def train_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray, rate: flo
 
 def score_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Log10 probability of each document but for the shares of words in classes that are not modelled."""
-    place, group = net.v.encode(hashed)
+    return score_places(net, offsets, net.v.encode(hashed)[0])
+
+
+def score_places(net: Network, offsets: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The same from the words' input rows."""
     lengths = np.diff(offsets).astype(np.int64)
+    n = int((lengths > 0).sum())
     order = np.argsort(-lengths, kind="stable")
-    start, length = offsets[:-1].astype(np.int64)[order], lengths[order]
-    total = np.zeros(len(order))
-    state = np.zeros((len(order), HIDDEN), dtype=np.float32)
-    inputs = np.full(len(order), net.begin)
-    states, at, owners, pending = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal pending
-        if not pending:
-            return
-        s, a, o = np.concatenate(states), np.concatenate(at), np.concatenate(owners)
-        for i in range(0, len(a), ROWS_AT_ONCE):
-            part = slice(i, i + ROWS_AT_ONCE)
-            found, _ = net.log_probability(s[part], place[a[part]], group[a[part]])
-            total[:] += np.bincount(o[part], weights=found, minlength=len(total))
-        states.clear(), at.clear(), owners.clear()
-        pending = 0
-
-    for t in range(int(length.max(initial=0))):
-        active = int(np.searchsorted(-length, -t, side="left"))
-        state, _ = net.step(inputs[:active], state[:active])
-        now = start[:active] + t
-        states.append(state), at.append(now), owners.append(np.arange(active))
-        inputs = place[now]
-        pending += active
-        if pending >= ROWS_AT_ONCE:
-            flush()
-    flush()
-    result = np.zeros(len(order))
-    result[order] = total / np.log(10)
+    # All first words, longest document first, then all second words and so on.
+    active = n - np.searchsorted(np.sort(lengths[order[:n]]), np.arange(int(lengths.max(initial=0))), side="right")
+    ends = np.cumsum(active)
+    owner = np.arange(len(place)) - np.repeat(ends - active, active)
+    place = place.astype(np.int64)[offsets[:-1].astype(np.int64)[order][owner] + np.repeat(np.arange(len(active)), active)]
+    group = net.v.group_of_place[place]
+    found = np.zeros(len(place))
+    state = np.zeros((n, HIDDEN), dtype=np.float32)
+    inputs = np.full(n, net.begin)
+    states, done = [], 0
+    for now, end in zip(active.tolist(), ends.tolist(), strict=True):
+        state, _ = net.step(inputs[:now], state[:now])
+        inputs = place[end - now: end]
+        states.append(state)
+        if end - done >= ROWS_AT_ONCE or end == len(place):
+            kept = np.concatenate(states)
+            for i in range(done, end, ROWS_AT_ONCE):
+                part = slice(i, min(i + ROWS_AT_ONCE, end))
+                found[part] = net.log_probability(kept[i - done: part.stop - done], place[part], group[part])[0]
+            states, done = [], end
+    result = np.zeros(len(lengths))
+    result[order[:n]] = np.bincount(owner, weights=found, minlength=n) / np.log(10)
     return result
 
 
@@ -332,16 +477,56 @@ def _average(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.part, dtype=np.float64) for r in rows]) if rows else np.zeros(0)
 
 
+def _tokenised(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The same as :func:`_slices` of the texts of a batch."""
+    offsets, hashed = tokens(batch.column("text"))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(hashed))
+    yield from _slices(pa.RecordBatch.from_arrays([lists], ["tokens"]))
+
+
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The same of the input rows that :meth:`LanguageModel._encoded` wrote."""
+    places = batch.column("places")
+    offsets = np.frombuffer(places.buffers()[1], dtype=np.int32)[places.offset: places.offset + len(places) + 1] // 2
+    held = places.buffers()[2]
+    values = pa.array(np.frombuffer(held, dtype=np.uint16, count=held.size // 2) if held else np.zeros(0, dtype=np.uint16))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
+    yield from _slices(pa.RecordBatch.from_arrays([lists], ["tokens"]))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``hash, c`` of the words of a task's texts, summed over at most about ``COUNTED_AT_ONCE`` words."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> pa.RecordBatch:
+        hashed, counts = (np.concatenate(part) for part in zip(*kept, strict=True))
+        order = np.argsort(hashed, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(hashed[order]) != 0]))
+        kept[:] = [(hashed[order[starts]], np.add.reduceat(counts[order], starts))]
+        return pa.RecordBatch.from_arrays([pa.array(kept[0][0]), pa.array(kept[0][1])], ["hash", "c"])
+
+    def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, _, hashed in _tokenised(batch):
+            kept.append(np.unique(hashed, return_counts=True))
+            if sum(len(h) for h, _ in kept) > COUNTED_AT_ONCE:
+                rows = summed()
+                if rows.num_rows > COUNTED_AT_ONCE // 2:
+                    kept.clear()
+                    yield rows
+
+    yield from one_by_one(batches, counted)
+    if kept:
+        yield summed()
+
+
 class LanguageModel:
     """A model of the documents for which ``held_out`` is false."""
 
     def __init__(self, documents: DataFrame, held_out: Column):
-        self.rows = documents.select(
-            "doc_id", held_out.alias("held_out"), tokens(text_of(documents)).alias("tokens")
-        )
-        learned = self.rows.where(~F.col("held_out"))
-        counted = learned.select(F.explode("tokens").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("c"))
-        self.counts = materialise(counted, "word-counts")
+        short_batches(documents.sparkSession)
+        rows = documents.select("doc_id", held_out.alias("held_out"), text_of(documents).alias("text"))
+        counted = rows.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "hash bigint, c bigint")
+        self.counts = materialise(counted.groupBy("hash").agg(F.sum("c").alias("c")), "word-counts")
         totals = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n_tokens, self.n_words = totals.n, totals.v
         # At most KNOWN rows of two numbers.
@@ -350,9 +535,42 @@ class LanguageModel:
             top.column("hash").to_numpy(), top.column("c").to_numpy(), self.n_tokens, self.n_words
         )
         self.network = Network(self.vocabulary)
+        self.rows = self._encoded(rows)
+        learned = self.rows.where(~F.col("held_out"))
         for turn in range(ROUNDS if self.n_tokens else 0):
             self._learn(learned.where(remainder(F.concat(F.lit("learn"), F.col("doc_id").cast("string")), ROUNDS) == turn), turn)
 
+    def _encoded(self, rows: DataFrame) -> DataFrame:
+        """The documents with the input rows of their words, 16 bits each, and what counts say of them."""
+        voc = self.vocabulary
+
+        def encoded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for part, offsets, hashed in _tokenised(batch):
+                at, there = voc.look_up(hashed)
+                first, n = offsets[:-1].astype(np.int64), np.diff(offsets)  # every text has its end at least
+                place = voc.places(at, there)
+
+                def total(values: np.ndarray) -> pa.Array:
+                    return pa.array(np.add.reduceat(np.where(there, values[at], 0.0) if len(values) else np.zeros(len(at)), first))  # noqa: B023
+
+                known = np.add.reduceat(there.astype(np.int64), first)
+                rest = np.concatenate([[0], np.cumsum(n - known)])
+                ends = pa.py_buffer((2 * offsets).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id")[part], batch.column("held_out")[part], pa.array(n.astype(np.int64)),
+                    pa.array(known), total(voc.log_count), total(voc.within),
+                    pa.ListArray.from_arrays(pa.array(rest, type=pa.int32()), pa.array(hashed[~there])),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(place.astype(np.uint16).tobytes())]),
+                ], ["doc_id", "held_out", "n_tokens", "n_known", "base", "within", "rest", "places"])
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        schema = (
+            f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, within double, "
+            "rest array<bigint>, places binary"
+        )
+        found = rows.mapInArrow(lambda batches: one_by_one(batches, encoded), schema)
+        return materialise(found.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
     def _learn(self, part: DataFrame, turn: int) -> None:
         net, rate = self.network, 0.1 / (1 + turn)
 
@@ -360,10 +578,15 @@ class LanguageModel:
             from pyspark import TaskContext
 
             seen = 0
-            for batch in batches:
-                for _, offsets, hashed in _slices(batch):
-                    train_batch(net, offsets, hashed, rate)
-                    seen += len(hashed)
+
+            def learned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+                nonlocal seen
+                for _, offsets, place in _placed(batch):
+                    train_batch(net, offsets, place, rate)
+                    seen += len(place)
+                yield from ()
+
+            yield from one_by_one(batches, learned)
             if seen:
                 values = net.flat().astype(np.float64)
                 blocks = [values[i: i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
@@ -374,7 +597,7 @@ class LanguageModel:
                 ], ["block", "lane", "weight", "part"])
 
         schema = "block int, lane int, weight double, part binary"
-        mean = _average(part.select("tokens").mapInArrow(run, schema))
+        mean = _average(part.select("places").mapInArrow(run, schema))
         if len(mean):
             self.network.load(mean)
 
@@ -382,42 +605,26 @@ class LanguageModel:
         """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, scores as log10."""
         net, voc = self.network, self.vocabulary
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows, offsets, hashed in _slices(batch):
-                    yield scored_rows(batch.slice(rows.start, rows.stop - rows.start), offsets, hashed)
-
-        def scored_rows(batch: pa.RecordBatch, offsets: np.ndarray, hashed: np.ndarray) -> pa.RecordBatch:
-            n = np.diff(offsets)
-            owner = np.repeat(np.arange(len(n)), n)
-            at, there = voc.look_up(hashed)
-            base, model = np.zeros(len(n)), score_batch(net, offsets, hashed)
-            base += np.bincount(owner[there], weights=voc.log_count[at[there]], minlength=len(n))
-            model += np.bincount(owner[there], weights=voc.within[at[there]], minlength=len(n))
-            known = np.bincount(owner[there], minlength=len(n))
-            rest = np.concatenate([[0], np.cumsum(n - known)])
-            return pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)),
-                pa.array(known.astype(np.int64)), pa.array(base), pa.array(model),
-                pa.ListArray.from_arrays(pa.array(rest, type=pa.int32()), pa.array(hashed[~there])),
-            ], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
-
-        kind = self.rows.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, rest array<bigint>"
-        scored = materialise(
-            self.rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored"
-        )
-        rare = scored.select("row", F.explode("rest").alias("hash")).join(self.counts, "hash", "left")
+        def scored_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for part, offsets, place in _placed(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row")[part], pa.array(score_places(net, offsets, place))], ["row", "model"]
+                )
+
+        scored = materialise(self.rows.select("row", "places").mapInArrow(
+            lambda batches: one_by_one(batches, scored_rows), "row bigint, model double"
+        ), "scored")
+        rare = self.rows.select("row", F.explode("rest").alias("hash")).join(self.counts, "hash", "left")
         added = rare.groupBy("row").agg(
             F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).alias("logs"), F.count("c").alias("counted")
         )
         logs, n_rest = F.coalesce("logs", F.lit(0.0)), F.size("rest")
         base_total = float(np.log10(self.n_tokens + SMOOTHING * (self.n_words + 1)))
         tail_total = float(np.log10(voc.tail_total))
-        return scored.join(added, "row", "left").select(
+        return self.rows.drop("places").join(scored, "row").join(added, "row", "left").select(
             "doc_id", "held_out", "n_tokens",
             (F.col("n_known") + F.coalesce("counted", F.lit(0))).alias("n_known"),
             F.lit(self.n_tokens).cast("bigint").alias("train_tokens"),
             (F.col("base") + logs - F.col("n_tokens") * base_total).alias("base_score"),
-            (F.col("model") + logs - n_rest * tail_total).alias("score"),
+            (F.col("model") + F.col("within") + logs - n_rest * tail_total).alias("score"),
         )

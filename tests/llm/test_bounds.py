@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 import weakref
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import common, encoding, language_model, near_duplicates
 
@@ -103,3 +105,35 @@ def test_texts_come_in_short_batches(spark):
         assert int(spark.conf.get(name)) == common.BATCH_ROWS
     finally:
         spark.conf.set(name, before)
+
+
+def test_words_are_hashed_where_they_stand():
+    texts = ["", "One  two\x0bONE", "\t", "\x00 a\x00 a", "éÉ exactly8 exactly8x " + "long" * 9, "x" * 17 + " " + "X" * 16 + "y", " one"]
+    array = pa.array(["skipped", *texts]).slice(1)
+    offsets, hashed = language_model.tokens(array)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [w for t in texts for w in [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(low)), None]]
+    assert np.diff(offsets).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) + 1 for t in texts]
+    assert len(set(zip(words, hashed.tolist(), strict=True))) == len(set(words)) == len(set(hashed.tolist()))
+
+
+def test_a_document_is_cut_into_words_twice_however_many_rounds_learn_from_it(spark, monkeypatch):
+    cut = []
+    rows = spark.createDataFrame([(i, f"a few words {i % 3}") for i in range(40)], "doc_id bigint, text string")
+    monkeypatch.setattr(language_model.LanguageModel, "_learn", lambda self, part, turn: cut.append(part.columns))
+    model = language_model.LanguageModel(rows, F.col("doc_id") % 10 == 0)
+    assert len(cut) == language_model.ROUNDS and not any("text" in c or "tokens" in c for c in cut)
+    assert model.rows.select(F.sum(F.length("places"))).first()[0] == 2 * 40 * 5
+
+
+def test_probabilities_of_large_weights_are_finite():
+    counts = np.arange(300, 100, -1)
+    net = language_model.Network(language_model.Vocabulary.of(np.arange(200) * 7919, counts, int(counts.sum()), 200))
+    net.wc += 200 * np.random.default_rng(1).normal(0, 1, net.wc.shape).astype(np.float32)
+    net.ww += 200 * np.random.default_rng(2).normal(0, 1, net.ww.shape).astype(np.float32)
+    place, group = net.v.encode(np.arange(200) * 7919)
+    state = np.random.default_rng(3).uniform(-1, 1, (200, language_model.HIDDEN)).astype(np.float32)
+    grads = {}
+    found, slope = net.log_probability(state, place, group, grads)
+    assert np.isfinite(found).all() and np.isfinite(slope).all() and all(np.isfinite(g).all() for g in grads.values())
+    assert found.min() < -100
