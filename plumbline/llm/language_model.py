@@ -9,7 +9,7 @@ for all unknown words. So the probabilities of all words add up to one.
 Training is distributed: a hash of the id deals the training documents to ``ROUNDS`` rounds, so that each
 is learned from once. In a round every task runs truncated backpropagation over its share, the tasks'
 parameters are averaged by their numbers of tokens, and the next round starts from the average. Scoring runs every
-document from its first to its last word, many documents side by side; the state is carried from window to window.
+document from its first to its last word, documents of like length side by side; the state is carried from word to word.
 Texts are cut into words twice, to count them and to write their input rows, 16 bits each, which all rounds and the
 scoring read. Counts of the ``KNOWN`` words travel with the code, a table of bounded size; those of other words are
 joined.
@@ -21,6 +21,7 @@ one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.classifier import remainder
-from plumbline.llm.common import materialise, one_by_one, short_batches, text_of
+from plumbline.llm.common import give_back, materialise, one_by_one, short_batches, text_of
 from plumbline.llm.hashing import GOLDEN, mix
 
 KNOWN = 1 << 18
@@ -55,12 +56,19 @@ BLOCK = 16384
 ROWS_AT_ONCE = 16384
 #: Documents of about so many tokens are handled together, however many rows come at once.
 TOKENS_AT_ONCE = 1 << 19
+#: Encoded documents are learned from, and scored, by about so many tokens of a task, whatever batches they come in.
+LEARNED_AT_ONCE = 1 << 20
+SCORED_AT_ONCE = 1 << 21
+#: Documents that are scored side by side, a long one beside other long ones.
+SCORED_TOGETHER = 1024
 #: Where the sums of squared slopes begin: windows of few words move the parameters little.
 START_SQUARES = 1.0
 #: Sums of exponentials outside of these are taken again, scaled by the largest of each row.
-SMALLEST, LARGEST = 1e-30, 1e30
-#: So many rows of probabilities stay in a core's cache.
-NEAR_ROWS = 2048
+SMALLEST, LARGEST = 1e-18, 1e18
+#: Slopes of an input that occurs so often in a window or less are added member by member.
+SHORT_RUN = 16
+#: So many logits stay in a core's cache.
+NEAR = 1 << 17
 
 
 _WORD = np.ones(256, dtype=bool)
@@ -168,6 +176,11 @@ class Vocabulary:
         modelled = len(self.bounds) - 1
         return np.concatenate([np.repeat(np.arange(modelled), np.diff(self.bounds)), np.arange(modelled, self.classes)]).astype(np.uint16)
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Modelled words in each class."""
+        return np.concatenate([np.diff(self.bounds), np.zeros(self.classes - len(self.bounds) + 1, dtype=np.int64)])
+
     @staticmethod
     def _leading(hashed: np.ndarray) -> np.ndarray:
         """The leading bits, in the order of signed numbers."""
@@ -206,6 +219,61 @@ class Vocabulary:
         return place, self.group_of_place[place].astype(np.int64)
 
 
+class _Softmax:
+    """Log probabilities of words (or classes) among those of their class, and with ``learning`` the slopes.
+
+    The biases are weights of the exponentials and not added to each row, or with ``shifted`` added, and the largest of
+    each row taken off.
+    """
+
+    def __init__(self, table: np.ndarray, bias: np.ndarray, shifted: bool, learning: bool):
+        self.table, self.bias, self.shifted, self.learning = np.ascontiguousarray(table), bias, shifted, learning
+        self.weight = np.ones_like(bias) if shifted else np.exp(bias)
+        self.safe = bool(len(bias) == 0 or self.weight.min() > SMALLEST)
+        if learning:
+            self.weighted = self.table * self.weight[:, None]
+            self.summed = np.zeros((len(table), table.shape[1] + 1), dtype=np.float32)
+
+    def of(self, room, s: np.ndarray, pieces: list[tuple[slice, slice, slice]], begin: np.ndarray, chosen: np.ndarray):
+        """Of the ``chosen`` entries, and the slopes by ``s``.
+
+        A piece is rows of ``s`` with the entries of their class and the place of the logits between them. The logit of a
+        row and an entry is at ``begin`` of the row and the entry.
+        """
+        n, h = s.shape
+        at, flat = begin + chosen, room("logits", pieces[-1][2].stop)
+        views = [(rows, columns, flat[places].reshape(rows.stop - rows.start, -1)) for rows, columns, places in pieces]
+        for rows, columns, logits in views:
+            np.matmul(s[rows], self.table[columns].T, out=logits)
+            if self.shifted:
+                logits += self.bias[columns]
+                logits -= logits.max(axis=1, keepdims=True)
+        told = flat[at] if self.shifted else flat[at] + self.bias[chosen]
+        np.exp(flat, out=flat)
+        sums = np.empty(n, dtype=np.float32)
+        for rows, columns, logits in views:
+            np.matmul(logits, self.weight[columns], out=sums[rows])
+        self.safe = bool(self.safe and sums.min() > SMALLEST and sums.max() < LARGEST)
+        told -= np.log(sums)
+        if not self.learning:
+            return told, None
+        flat[at] -= sums / self.weight[chosen]
+        factor = np.divide(-1, sums, out=sums)
+        scaled, slope = room("scaled", n, h + 1), room("slopes of a part", n, h)
+        np.multiply(s, factor[:, None], out=scaled[:, :h])
+        scaled[:, h] = factor
+        for rows, columns, logits in views:
+            np.matmul(logits, self.weighted[columns], out=slope[rows])
+            self.summed[columns] += logits.T @ scaled[rows]
+        slope *= factor[:, None]
+        return told, slope
+
+    def slopes(self) -> tuple[np.ndarray, np.ndarray]:
+        """By the table and by the biases."""
+        self.summed *= self.weight[:, None]
+        return self.summed[:, :-1].copy(), self.summed[:, -1].copy()
+
+
 class Network:
     """A gated recurrent unit with a class-factored output."""
 
@@ -216,13 +284,22 @@ class Network:
         self.v, h = vocabulary, HIDDEN
         inputs = vocabulary.modelled + vocabulary.classes - (len(vocabulary.bounds) - 1) + 1
         self.begin = inputs - 1
-        self.x = rng.normal(0, 0.3, (inputs, 3 * h)).astype(np.float32)
-        self.u = rng.normal(0, h**-0.5, (h, 3 * h)).astype(np.float32)
+        # Update gate, reset gate and new state one behind the other, so that each is one stretch of memory.
+        self.x = rng.normal(0, 0.3, (3, inputs, h)).astype(np.float32)
+        self.u = rng.normal(0, h**-0.5, (3, h, h)).astype(np.float32)
         self.wc = np.zeros((h, vocabulary.classes), dtype=np.float32)
         self.bc = np.log(vocabulary.class_counts / vocabulary.class_counts.sum()).astype(np.float32)
         self.ww = np.zeros((vocabulary.modelled, h), dtype=np.float32)
         self.bw = np.log(vocabulary.modelled_counts + SMOOTHING).astype(np.float32)
         self.squares = None
+        self._rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is written again and again, as new memory costs more than what is done with it."""
+        size = math.prod(shape)
+        if name not in self._rooms or self._rooms[name].size < size:
+            self._rooms[name] = np.empty(size, dtype=np.float32)
+        return self._rooms[name][:size].reshape(shape)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
@@ -234,31 +311,36 @@ class Network:
             values = values[own.size:]
         return self
 
-    def _cell(self, a: np.ndarray, state: np.ndarray, out: tuple[np.ndarray, ...] | None = None):
-        """The next state from what the inputs give, and the gates: z beside r, what is new, and what r lets pass.
+    def _cell(self, a: np.ndarray, state: np.ndarray, zr: np.ndarray, new: np.ndarray, b: np.ndarray, after: np.ndarray):
+        """Writes the next state to ``after`` from what the inputs give, with the gates z and r, what is new and what r lets pass.
 
-        ``out`` has places for the three and the state.
+        The gates close as their sums grow, which saves turning signs.
         """
-        h = HIDDEN
-        if out is None:
-            out = tuple(np.empty((len(a), n), dtype=np.float32) for n in (2 * h, h, 3 * h, h))
-        zr, new, b, after = out
         np.matmul(state, self.u, out=b)
-        np.add(a[:, : 2 * h], b[:, : 2 * h], out=zr)
-        np.negative(zr, out=zr)
+        np.add(a[:2], b[:2], out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        np.multiply(zr[:, h:], b[:, 2 * h:], out=new)
-        new += a[:, 2 * h:]
+        np.multiply(zr[1], b[2], out=new)
+        new += a[2]
         np.tanh(new, out=new)
         np.subtract(state, new, out=after)
-        after *= zr[:, :h]
+        after *= zr[0]
         after += new
-        return after, (zr, new, b)
 
-    def step(self, inputs: np.ndarray, state: np.ndarray):
-        return self._cell(self.x[inputs], state)
+    def _given(self, inputs: np.ndarray) -> np.ndarray:
+        out = self._room("given", 3, *inputs.shape, HIDDEN)
+        for of, part in zip(self.x, out, strict=True):
+            np.take(of, inputs, axis=0, out=part, mode="clip")  # the only mode that writes to its place at once
+        return out
+
+    def step(self, inputs: np.ndarray, state: np.ndarray, after: np.ndarray | None = None):
+        """The next state, in ``after`` if given, and the gates: z and r, what is new, and what r lets pass."""
+        n, h = state.shape
+        after = np.empty((n, h), dtype=np.float32) if after is None else after
+        gates = self._room("zr", 2, n, h), self._room("new", n, h), self._room("passed", 3, n, h)
+        self._cell(self._given(inputs), state, *gates, after)
+        return after, gates
 
     def log_probability(self, state: np.ndarray, place: np.ndarray, group: np.ndarray, grads: dict | None = None):
         """Natural log probability of class and modelled word; with ``grads`` also the slope by state."""
@@ -268,115 +350,104 @@ class Network:
 
     def _log_probability(self, state: np.ndarray, place: np.ndarray, group: np.ndarray, grads: dict | None, shifted: bool):
         """The same and whether no sum of exponentials left the range of floats, as without ``shifted`` none is scaled."""
-        n, h = state.shape
-        ones = np.ones(max(self.v.classes, self.v.modelled, 1), dtype=np.float32)
-
-        def normalised(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The chosen logits and the sums; ``logits`` becomes what both slopes begin with."""
-            rows = np.arange(len(logits))
-            if shifted:
-                logits -= logits.max(axis=1, keepdims=True)
-            told = logits[rows, chosen]
-            np.exp(logits, out=logits)
-            sums = logits @ ones[: logits.shape[1]]
-            if grads is not None:
-                logits *= (-1 / sums)[:, None]
-                logits[rows, chosen] += 1
-            return told, sums
-
-        # The last column of the states is one, so that products with the biases as a row add them.
-        s = np.ones((n, h + 1), dtype=np.float32)
-        s[:, :h] = state
-        classes = np.vstack([self.wc, self.bc])
-        told, sums = np.zeros(n, dtype=np.float32), np.ones(n, dtype=np.float32)
-        slope = None
-        if grads is not None:
-            both, slope, down = np.zeros_like(classes), np.empty((n, h), dtype=np.float32), self.wc.T.copy()
-            of_words = np.zeros((self.v.modelled, h + 1), dtype=np.float32)
-        for i in range(0, n, NEAR_ROWS):
-            part = slice(i, i + NEAR_ROWS)
-            d = s[part] @ classes
-            told[part], sums[part] = normalised(d, group[part])
-            if grads is not None:
-                both += s[part].T @ d
-                np.matmul(d, down, out=slope[part])
-        if grads is not None:
-            grads["wc"], grads["bc"] = both[:h].copy(), both[h].copy()
-        found = told - np.log(sums)
-        safe = bool(n == 0 or (sums.min() > SMALLEST and sums.max() < LARGEST))
-        group = group.astype(np.uint16)  # short numbers are sorted by counting
-        order = np.argsort(group, kind="stable")
-        bounds = self.v.bounds.tolist()
-        ends = np.searchsorted(group[order], np.arange(len(bounds)))
-        order = order[: ends[-1]]
-        s, at = s[order], place[order] - self.v.bounds[group[order]]
-        told, sums = np.zeros(len(order), dtype=np.float32), np.ones(len(order), dtype=np.float32)
-        inner = np.zeros((len(order), h), dtype=np.float32) if grads is not None else None
-        words = np.column_stack([self.ww, self.bw])
-        ends = ends.tolist()
-        for a, b, i, j in zip(bounds, bounds[1:], ends, ends[1:], strict=False):
-            if i == j or b - a == 1:
+        (n, h), v = state.shape, self.v
+        short = group.astype(np.uint16)  # short numbers are sorted by counting
+        order = np.argsort(short, kind="stable")
+        s = np.take(state, order, axis=0, out=self._room("states by class", n, h), mode="clip")
+        place, group = place[order], group[order]
+        upto = np.searchsorted(group, np.arange(len(v.bounds))).tolist()  # rows of the modelled classes
+        size = v.sizes[group]
+        start = np.cumsum(size) - size
+        with_classes = start + v.classes * np.arange(n)
+        cuts = np.unique(np.searchsorted(with_classes, np.arange(0, with_classes.max(initial=-1) + 1, NEAR))).tolist()
+        softmax = {
+            "c": _Softmax(self.wc.T, self.bc, shifted, grads is not None), "w": _Softmax(self.ww, self.bw, shifted, grads is not None)
+        }
+        found, slope = np.empty(n, dtype=np.float32), self._room("slopes by class", n, h)
+        for i, j in zip(cuts, [*cuts, n][1:], strict=True):
+            whole = [(slice(0, j - i), slice(0, v.classes), slice(0, (j - i) * v.classes))]
+            found[i:j], inner = softmax["c"].of(self._room, s[i:j], whole, np.arange(j - i) * v.classes, group[i:j])
+            if inner is not None:
+                slope[i:j] = inner
+            j = min(j, upto[-1])
+            if i >= j:
                 continue
-            d = s[i:j] @ words[a:b].T
-            told[i:j], sums[i:j] = normalised(d, at[i:j])
-            if grads is not None:
-                of_words[a:b] = d.T @ s[i:j]
-                inner[i:j] = d @ self.ww[a:b]
-        found[order] += told - np.log(sums)
-        if grads is not None:
-            slope[order] += inner
-            grads["ww"], grads["bw"] = np.ascontiguousarray(of_words[:, :h]), of_words[:, h].copy()
-        return found, slope, safe and bool(len(order) == 0 or (sums.min() > SMALLEST and sums.max() < LARGEST))
+            first, pieces = start[i], []
+            for c in range(group[i], group[j - 1] + 1):
+                a, b = max(i, upto[c]), min(j, upto[c + 1])
+                if a < b:
+                    columns = slice(v.bounds[c], v.bounds[c + 1])
+                    pieces.append((slice(a - i, b - i), columns, slice(start[a] - first, start[b - 1] + size[b - 1] - first)))
+            begin = start[i:j] - first - v.bounds[group[i:j]]
+            told, inner = softmax["w"].of(self._room, s[i:j], pieces, begin, place[i:j])
+            found[i:j] += told
+            if inner is not None:
+                slope[i:j] += inner
+        result = np.empty_like(found)
+        result[order] = found
+        safe = all(x.safe for x in softmax.values())
+        if grads is None:
+            return result, None, safe
+        (wc, grads["bc"]), (grads["ww"], grads["bw"]) = (x.slopes() for x in softmax.values())
+        grads["wc"] = wc.T.copy()
+        by_row = self._room("slopes", n, h)
+        by_row[order] = slope
+        return result, by_row, safe
 
     def learn(self, inputs: np.ndarray, place: np.ndarray, group: np.ndarray, live: np.ndarray, state: np.ndarray, rate: float):
         """One window (steps by documents) of truncated backpropagation; gives the state after it."""
         h, (steps, n) = HIDDEN, inputs.shape
-        states = np.empty((steps + 1, n, h), dtype=np.float32)
+        states = self._room("states", steps + 1, n, h)
         states[0] = state
-        a = self.x[inputs]
-        zr, new, passed = (np.empty((steps, n, k * h), dtype=np.float32) for k in (2, 1, 3))
+        a, zr, new, passed = self._given(inputs), *(self._room(*k, steps, n, h) for k in (("zr", 2), ("new",), ("passed", 3)))
         for t in range(steps):
-            self._cell(a[t], states[t], (zr[t], new[t], passed[t], states[t + 1]))
+            self._cell(a[:, t], states[t], zr[:, t], new[t], passed[:, t], states[t + 1])
         grads: dict = {}
-        alive = np.flatnonzero(live)
-        _, slope = self.log_probability(
-            states[1:].reshape(-1, h)[alive], place.reshape(-1)[alive], group.reshape(-1)[alive], grads
-        )
-        ds = np.zeros((steps, n, h), dtype=np.float32)
-        ds.reshape(-1, h)[alive] = slope
-        dx, inner, back, down = a, passed, 0, self.u.T.copy()  # both arrays are used up step by step
+        seen, place, group = states[1:].reshape(-1, h), place.reshape(-1), group.reshape(-1)
+        if live.all():
+            ds = self.log_probability(seen, place, group, grads)[1]
+        else:
+            alive = np.flatnonzero(live)
+            ds = np.zeros((steps * n, h), dtype=np.float32)
+            ds[alive] = self.log_probability(seen[alive], place[alive], group[alive], grads)[1]
+        ds = ds.reshape(steps, n, h)
+        # What was given and passed is used up step by step.
+        dx, inner, back, down = a, passed[2], 0, self.u.transpose(0, 2, 1).copy()
+        rest, by_gate = self._room("rest", n, h), self._room("by gate", 3, n, h)
         for t in range(steps - 1, -1, -1):
-            d, z, r = ds[t], zr[t, :, :h], zr[t, :, h:]
+            d, (z, r), (dz, dr, dn) = ds[t], zr[:, t], dx[:, t]
             d += back
-            rest = 1 - z
-            dn = 1 - new[t] * new[t]
+            np.subtract(1, z, out=rest)
+            np.multiply(new[t], new[t], out=dn)
+            np.subtract(1, dn, out=dn)
             dn *= rest
             dn *= d
-            dz, dr = dx[t, :, :h], dx[t, :, h: 2 * h]
-            np.subtract(states[t], new[t], out=dz)
+            np.subtract(new[t], states[t], out=dz)
             rest *= z
             rest *= d
             dz *= rest
-            np.subtract(1, r, out=dr)
+            np.subtract(r, 1, out=dr)
             dr *= r
-            dr *= passed[t, :, 2 * h:]
+            dr *= inner[t]
             dr *= dn
-            dx[t, :, 2 * h:] = dn
-            inner[t, :, : 2 * h] = dx[t, :, : 2 * h]
-            dn *= r
-            inner[t, :, 2 * h:] = dn
-            back = inner[t] @ down
-            back += d * z
-        du = states[:-1].reshape(-1, h).T @ inner.reshape(-1, 3 * h)
-        short = inputs.reshape(-1).astype(np.uint16)
-        order = np.argsort(short, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(short[order]) != 0]))
-        rows = short[order[starts]]
-        gx = np.add.reduceat(dx.reshape(-1, 3 * h)[order], starts, axis=0)
+            np.multiply(dn, r, out=inner[t])
+            for k, of in enumerate((dz, dr, inner[t])):
+                np.matmul(of, down[k], out=by_gate[k])
+            d *= z
+            d += by_gate[0]
+            d += by_gate[1]
+            d += by_gate[2]
+            back = d
+        before = states[:-1].reshape(-1, h).T
+        du = np.stack([before @ of.reshape(-1, h) for of in (dx[0], dx[1], inner)])
         if self.squares is None:
             self.squares = {n: np.full_like(getattr(self, n), START_SQUARES) for n in self.NAMES}
-        self.squares["x"][rows] += gx**2
-        self.x[rows] += rate * gx / np.sqrt(self.squares["x"][rows])
+        rows, gx = self._by_input(inputs.reshape(-1), dx.reshape(3, -1, h))
+        squares = self.squares["x"][:, rows] + gx * gx
+        self.squares["x"][:, rows] = squares
+        gx *= rate
+        gx /= np.sqrt(squares, out=squares)
+        self.x[:, rows] += gx
         for name, grad in {**grads, "u": du}.items():
             np.clip(grad, -50, 50, out=grad)
             squares, own = self.squares[name], getattr(self, name)
@@ -384,7 +455,30 @@ class Network:
             grad /= np.sqrt(squares)
             grad *= rate
             own += grad
-        return states[steps]
+        return states[steps].copy()
+
+    def _by_input(self, inputs: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different inputs and the sums of their slopes: long runs by products, short ones member by member."""
+        short = inputs.astype(np.uint16)
+        order = np.argsort(short, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(short[order]) != 0]))
+        counts = np.diff(starts, append=len(order))
+        by_count = np.argsort(-counts, kind="stable")
+        starts, counts = starts[by_count], counts[by_count]
+        sorted_dx = self._room("slopes by input", *dx.shape)
+        for of, part in zip(dx, sorted_dx, strict=True):
+            np.take(of, order, axis=0, out=part, mode="clip")
+        sums = np.take(sorted_dx, starts, axis=1)
+        n_long = int((counts > SHORT_RUN).sum())
+        ones = np.ones(int(counts.max(initial=0)), dtype=np.float32)
+        for i, (at, n) in enumerate(zip(starts[:n_long].tolist(), counts[:n_long].tolist(), strict=True)):
+            np.matmul(ones[:n], sorted_dx[:, at: at + n], out=sums[:, i])
+        for member in range(1, SHORT_RUN):
+            end = int(np.searchsorted(-counts, -member))  # those with more members than this come first
+            if end <= n_long:
+                break
+            sums[:, n_long:end] += sorted_dx[:, starts[n_long:end] + member]
+        return short[order[starts]], sums
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -411,18 +505,29 @@ def train_batch(net: Network, offsets: np.ndarray, place: np.ndarray, rate: floa
     opening = np.where(turn > 0, place[np.maximum(start - 1, 0)], net.begin)
     mixed = np.argsort(mix(np.arange(len(start), dtype=np.uint64)))
     side = min(max(len(mixed) // 4, SIDE_BY_SIDE[0]), SIDE_BY_SIDE[1])
-    for i in range(0, len(mixed), side):
-        chosen = mixed[i: i + side]
-        chosen = chosen[np.argsort(-length[chosen], kind="stable")]
-        state = np.zeros((len(chosen), HIDDEN), dtype=np.float32)
-        longest = length[chosen]
-        for t in range(0, int(longest[0]), WINDOW):
-            active = chosen[: int((longest > t).sum())]
-            steps = t + np.arange(min(WINDOW, int(longest[0]) - t))[:, None]
-            live = steps < length[None, active]
-            at = np.where(live, start[None, active] + steps, 0)
-            before = np.where(steps > 0, place[np.maximum(at - 1, 0)], opening[None, active])
-            state = net.learn(np.where(live, before, net.begin), place[at], group[at], live, state[: len(active)], rate)
+    # A piece that is over gives its lane to the next one, so that windows stay wide to the last pieces.
+    lanes, following = mixed[:side], side
+    begun, state = np.zeros(len(lanes), dtype=np.int64), np.zeros((len(lanes), HIDDEN), dtype=np.float32)
+    while len(lanes):
+        left = length[lanes] - begun
+        steps = np.arange(min(WINDOW, int(left.max())))[:, None]
+        live = steps < left
+        at = np.where(live, start[lanes] + begun + steps, 0)
+        before = np.where(begun + steps > 0, place[np.maximum(at - 1, 0)], opening[lanes])
+        state = net.learn(np.where(live, before, net.begin), place[at], group[at], live, state, rate)
+        begun += WINDOW
+        free = np.flatnonzero(left <= WINDOW)
+        new = mixed[following: following + len(free)]
+        following += len(new)
+        taken, free = free[: len(new)], free[len(new):]
+        lanes = np.delete(_with(lanes, taken, new), free)
+        begun, state = np.delete(_with(begun, taken, 0), free), np.delete(_with(state, taken, 0), free, axis=0)
+
+
+def _with(values: np.ndarray, at: np.ndarray, new: np.ndarray | int) -> np.ndarray:
+    values = values.copy()
+    values[at] = new
+    return values
 
 
 def score_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray) -> np.ndarray:
@@ -431,33 +536,38 @@ def score_batch(net: Network, offsets: np.ndarray, hashed: np.ndarray) -> np.nda
 
 
 def score_places(net: Network, offsets: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The same from the words' input rows."""
-    lengths = np.diff(offsets).astype(np.int64)
-    n = int((lengths > 0).sum())
-    order = np.argsort(-lengths, kind="stable")
+    """The same from the words' input rows, documents of like length side by side."""
+    starts, lengths = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+    order = np.argsort(-lengths, kind="stable")[: int((lengths > 0).sum())]
+    result = np.zeros(len(lengths))
+    for i in range(0, len(order), SCORED_TOGETHER):
+        chosen = order[i: i + SCORED_TOGETHER]
+        result[chosen] = _score_together(net, starts[chosen], lengths[chosen], place) / np.log(10)
+    return result
+
+
+def _score_together(net: Network, starts: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of documents, the longest first."""
+    n = len(lengths)
     # All first words, longest document first, then all second words and so on.
-    active = n - np.searchsorted(np.sort(lengths[order[:n]]), np.arange(int(lengths.max(initial=0))), side="right")
+    active = n - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
     ends = np.cumsum(active)
-    owner = np.arange(len(place)) - np.repeat(ends - active, active)
-    place = place.astype(np.int64)[offsets[:-1].astype(np.int64)[order][owner] + np.repeat(np.arange(len(active)), active)]
+    owner = np.arange(ends[-1]) - np.repeat(ends - active, active)
+    place = place[starts[owner] + np.repeat(np.arange(len(active)), active)].astype(np.int64)
     group = net.v.group_of_place[place]
     found = np.zeros(len(place))
     state = np.zeros((n, HIDDEN), dtype=np.float32)
     inputs = np.full(n, net.begin)
-    states, done = [], 0
+    kept, done = np.empty((ROWS_AT_ONCE + n, HIDDEN), dtype=np.float32), 0
     for now, end in zip(active.tolist(), ends.tolist(), strict=True):
-        state, _ = net.step(inputs[:now], state[:now])
+        state, _ = net.step(inputs[:now], state[:now], kept[end - now - done: end - done])
         inputs = place[end - now: end]
-        states.append(state)
         if end - done >= ROWS_AT_ONCE or end == len(place):
-            kept = np.concatenate(states)
             for i in range(done, end, ROWS_AT_ONCE):
                 part = slice(i, min(i + ROWS_AT_ONCE, end))
                 found[part] = net.log_probability(kept[i - done: part.stop - done], place[part], group[part])[0]
-            states, done = [], end
-    result = np.zeros(len(lengths))
-    result[order[:n]] = np.bincount(owner, weights=found, minlength=n) / np.log(10)
-    return result
+            state, done = state.copy(), end
+    return np.bincount(owner, weights=found, minlength=n)
 
 
 def _average(parts: DataFrame) -> np.ndarray:
@@ -494,6 +604,27 @@ def _placed(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarr
     yield from _slices(pa.RecordBatch.from_arrays([lists], ["tokens"]))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, offsets and input rows of the documents of several batches, together about ``at_once`` tokens."""
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, sizes, place = (np.concatenate(part) for part in zip(*kept, strict=True))
+        kept.clear()
+        return row, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), place
+
+    def taken(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for part, offsets, place in _placed(batch):
+            kept.append((batch.column("row")[part].to_numpy(), np.diff(offsets), place.copy()))
+            if sum(len(p) for _, _, p in kept) >= at_once:
+                yield together()
+
+    yield from one_by_one(batches, taken)
+    if kept:
+        yield together()
+        give_back()
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``hash, c`` of the words of a task's texts, summed over at most about ``COUNTED_AT_ONCE`` words."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -578,15 +709,9 @@ class LanguageModel:
             from pyspark import TaskContext
 
             seen = 0
-
-            def learned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                nonlocal seen
-                for _, offsets, place in _placed(batch):
-                    train_batch(net, offsets, place, rate)
-                    seen += len(place)
-                yield from ()
-
-            yield from one_by_one(batches, learned)
+            for _, offsets, place in _gathered(batches, LEARNED_AT_ONCE):
+                train_batch(net, offsets, place, rate)
+                seen += len(place)
             if seen:
                 values = net.flat().astype(np.float64)
                 blocks = [values[i: i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
@@ -597,7 +722,7 @@ class LanguageModel:
                 ], ["block", "lane", "weight", "part"])
 
         schema = "block int, lane int, weight double, part binary"
-        mean = _average(part.select("places").mapInArrow(run, schema))
+        mean = _average(part.select("row", "places").mapInArrow(run, schema))
         if len(mean):
             self.network.load(mean)
 
@@ -605,15 +730,13 @@ class LanguageModel:
         """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, scores as log10."""
         net, voc = self.network, self.vocabulary
 
-        def scored_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part, offsets, place in _placed(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row")[part], pa.array(score_places(net, offsets, place))], ["row", "model"]
-                )
+        def scored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row, offsets, place in _gathered(batches, SCORED_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score_places(net, offsets, place))], ["row", "model"])
 
-        scored = materialise(self.rows.select("row", "places").mapInArrow(
-            lambda batches: one_by_one(batches, scored_rows), "row bigint, model double"
-        ), "scored")
+        scored = materialise(
+            self.rows.select("row", "places").mapInArrow(scored_rows, "row bigint, model double"), "scored"
+        )
         rare = self.rows.select("row", F.explode("rest").alias("hash")).join(self.counts, "hash", "left")
         added = rare.groupBy("row").agg(
             F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).alias("logs"), F.count("c").alias("counted")

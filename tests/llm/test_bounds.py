@@ -137,3 +137,77 @@ def test_probabilities_of_large_weights_are_finite():
     found, slope = net.log_probability(state, place, group, grads)
     assert np.isfinite(found).all() and np.isfinite(slope).all() and all(np.isfinite(g).all() for g in grads.values())
     assert found.min() < -100
+
+
+def test_windows_stay_wide_while_pieces_of_any_length_are_learned_from(monkeypatch):
+    counts = np.arange(300, 100, -1)
+    net = language_model.Network(language_model.Vocabulary.of(np.arange(200) * 7919, counts, int(counts.sum()), 200))
+    offsets = np.concatenate([[0], np.cumsum([16, 256] * 512)])
+    place = np.random.default_rng(1).integers(0, 200, offsets[-1]).astype(np.uint16)
+    learned, windows = [], []
+
+    def learn(inputs, place, group, live, state, rate):
+        windows.append(live.size)
+        learned.append(np.stack([inputs[live], place[live]]))
+        assert len(state) == inputs.shape[1] and not state[inputs[0] == net.begin].any()
+        return np.ones_like(state)
+
+    monkeypatch.setattr(net, "learn", learn)
+    language_model.train_batch(net, offsets, place, 0.1)
+    before = np.concatenate([[net.begin], place[:-1]])
+    before[offsets[:-1]] = net.begin
+    pairs = [np.sort(1000 * a.astype(np.int64) + b) for a, b in (np.concatenate(learned, axis=1), (before, place))]
+    assert np.array_equal(*pairs)
+    assert sum(windows) == len(place) and len(windows) <= 50  # 34 full ones and those that run out; 64 by groups of 256
+
+
+def test_encoded_documents_of_several_batches_are_scored_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 200, n).astype(np.uint16) for n in (1, 900, 30, 2, 700, 5, 800, 1, 60)]
+    counts = np.arange(300, 100, -1)
+    net = language_model.Network(language_model.Vocabulary.of(np.arange(200) * 7919, counts, int(counts.sum()), 200))
+    for name in ("wc", "ww"):
+        setattr(net, name, rng.normal(0, 0.5, getattr(net, name).shape).astype(np.float32))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(range(i, i + 3)), pa.array([d.tobytes() for d in docs[i: i + 3]])], ["row", "places"])
+        for i in (0, 3, 6)
+    ]
+    alone = [language_model.score_places(net, np.array([0, len(d)]), d)[0] for d in docs]
+    steps, step = [], net.step
+    monkeypatch.setattr(net, "step", lambda *a: steps.append(1) or step(*a))
+    monkeypatch.setattr(language_model, "ROWS_AT_ONCE", 500)
+    for at_once, parts, most in ((10**6, 1, 900), (1000, 2, 1700)):
+        steps.clear()
+        together = list(language_model._gathered(iter(batches), at_once))
+        scores = [language_model.score_places(net, offsets, place) for _, offsets, place in together]
+        assert len(together) == parts and len(steps) == most
+        assert np.concatenate([row for row, _, _ in together]).tolist() == list(range(9))
+        assert np.concatenate(scores) == pytest.approx(alone, rel=1e-5)
+
+
+@pytest.mark.parametrize("near", [1 << 17, 300])
+def test_probabilities_do_not_depend_on_how_rows_are_cut(monkeypatch, near):
+    monkeypatch.setattr(language_model, "NEAR", near)
+    rng = np.random.default_rng(6)
+    counts = np.sort(rng.zipf(1.3, 6000).clip(1, 10**5))[::-1].copy()
+    net = language_model.Network(language_model.Vocabulary.of(np.arange(6000) * 7919, counts, int(counts.sum()), 6000))
+    for name in ("wc", "bc", "ww", "bw"):
+        own = getattr(net, name)
+        setattr(net, name, own + rng.normal(0, 0.5, own.shape).astype(np.float32))
+    place, group = net.v.encode(rng.choice(6000, 3000, p=counts / counts.sum()) * 7919)
+    state, grads = rng.uniform(-1, 1, (3000, language_model.HIDDEN)).astype(np.float32), {}
+    found, slope = net.log_probability(state, place, group, grads)
+    logits, words = state @ net.wc.astype(float) + net.bc, state @ net.ww.T.astype(float) + net.bw
+    share = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    plain, of_class = np.log(share[np.arange(3000), group]), np.eye(net.v.classes)[group] - share
+    by_state, of_word = of_class @ net.wc.T, np.zeros_like(words)
+    for i in np.flatnonzero(place < net.v.modelled):
+        own = slice(net.v.bounds[group[i]], net.v.bounds[group[i] + 1])
+        share = np.exp(words[i, own]) / np.exp(words[i, own]).sum()
+        plain[i] += np.log(share[place[i] - own.start])
+        of_word[i, own] = -share
+        of_word[i, place[i]] += 1
+    assert found == pytest.approx(plain, rel=1e-4, abs=1e-4)
+    assert slope == pytest.approx(by_state + of_word @ net.ww, rel=1e-3, abs=1e-4)
+    for name, exact in (("wc", state.T @ of_class), ("bc", of_class.sum(0)), ("ww", of_word.T @ state), ("bw", of_word.sum(0))):
+        assert grads[name] == pytest.approx(exact, rel=1e-2, abs=1e-2)
